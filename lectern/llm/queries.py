@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, sharding
+from . import decontam, langid, quality, secrets, sharding
 from .core import table
 
 
@@ -18,13 +18,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op5_decontam, op6_secrets, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": sharding.ORACLE}
+    return {"op5_decontam": decontam.ORACLE, "op10_sharding": sharding.ORACLE}
