@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, quality, secrets, sharding
+from . import decontam, fingerprint, langid, linedup, pieces, quality, secrets, sharding, toxicity
 from .core import table
 
 
@@ -18,6 +18,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenize(table(spark, sf_dir, "documents"))
+
+
+def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,13 +34,21 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_quality, op5_decontam, op6_secrets, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op3_pieces, op4_linedup, op5_decontam, op6_secrets, op7_toxicity, op9_fingerprint, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontam": decontam.ORACLE, "op10_sharding": sharding.ORACLE}
+    return {"op4_linedup": linedup.ORACLE, "op5_decontam": decontam.ORACLE, "op10_sharding": sharding.ORACLE}
