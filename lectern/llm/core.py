@@ -7,6 +7,8 @@ BLOCK bytes of text (or by one word, if a single word is longer), whatever the l
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -23,19 +25,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share (spark.checkpoint.dir).
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir).
 
     A private folder is used only where that setting is missing and the session is a single process.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="lectern-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        shared = _own[0]
+    return shared
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage, in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = tempfile.mkdtemp(prefix="lectern-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

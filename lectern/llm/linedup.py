@@ -12,7 +12,8 @@ documents share is one row from each task; the joins on it are plain ones that S
 
 Defined results: a null text stays null, and an empty text empty. Rows with the same doc_id count as one
 document: where they hold the first occurrence, all keep it. Chunks of white space only stay. A text
-with nothing removed is unchanged, byte for byte. Extra columns are carried along, whatever their names.
+with nothing removed is unchanged, byte for byte. Extra columns are carried along; any that are called
+like the two counts are replaced.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR)
     result = _bound(cut, lambda c: _bound(kept(c), lambda k: F.struct(F.array_join(F.flatten(k), "\n").alias("text"), (F.size(c) - F.size(k)).alias("chunks"), (F.size(F.flatten(c)) - F.size(F.flatten(k))).alias("lines"))))
     untouched = F.struct(F.col("row.text").alias("text"), F.lit(0).alias("chunks"), F.lit(0).alias("lines"))
     done = both.select("row", F.when(F.col("gone").isNull() | F.col("row.text").isNull(), untouched).otherwise(result).alias("new"))
-    return done.select(*[F.col("new.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("new.chunks").alias("n_chunks_removed"), F.col("new.lines").alias("n_lines_removed"))
+    return done.select(*[F.col("new.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_chunks_removed", "n_lines_removed")], F.col("new.chunks").alias("n_chunks_removed"), F.col("new.lines").alias("n_lines_removed"))
 
 
 ORACLE = """

@@ -28,6 +28,7 @@ from .core import BYTE, SPACE, crc_mod, mix, row_blocks, runs, span_hashes, utf8
 BUCKETS = 1 << 18
 MAX_ROWS = 8_000
 MAX_BYTES = 65_536
+THRESHOLD = 0.3
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MARK = ~_WORD & ~SPACE
@@ -96,23 +97,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     return ftrl([(np.asarray(b), np.asarray(v, float), y) for b, v, y in zip(got.bucket, got.value, got.label, strict=True)], buckets)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, cols: str = "doc_id long, held_out boolean") -> DataFrame:
-    """The given columns of docs with score and predicted, for each row."""
-    names = [c.split()[0] for c in cols.split(", ")]
+def probabilities(text: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The score of each text of a column."""
+    raw, offsets = utf8(text)
+    total = np.zeros(len(offsets) - 1)
+    for i, j in row_blocks(offsets):
+        row, bucket, value = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], len(weights))
+        total[i:j] = np.bincount(row, weights[bucket] * value, j - i)
+    return 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of (doc_id, held_out, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
         for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
-            total = np.zeros(len(offsets) - 1)
-            for i, j in row_blocks(offsets):
-                row, bucket, value = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], len(weights))
-                total[i:j] = np.bincount(row, weights[bucket] * value, j - i)
-            p = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            p = probabilities(batch.column("text"), *shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score threshold or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(batch.column(place), *shared.value) >= threshold))
 
-    return docs.select(*names, "text").mapInArrow(predict, f"{cols}, score double, predicted int") if "text" not in names else docs.select(*names).mapInArrow(predict, f"{cols}, score double, predicted int")
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, linedup, pieces, quality, secrets, sharding, toxicity
+from . import decontam, fingerprint, langid, linedup, neardup, pieces, quality, secrets, sharding, toxicity
 from .core import table
 
 
@@ -38,6 +38,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_quality, op3_pieces, op4_linedup, op5_decontam, op6_secrets, op7_toxicity, op9_fingerprint, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op3_pieces, op4_linedup, op5_decontam, op6_secrets, op7_toxicity, op8_neardup, op9_fingerprint, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_linedup": linedup.ORACLE, "op5_decontam": decontam.ORACLE, "op10_sharding": sharding.ORACLE}
+    return {"op4_linedup": linedup.ORACLE, "op5_decontam": decontam.ORACLE, "op8_neardup": neardup.ORACLE, "op10_sharding": sharding.ORACLE}
