@@ -5,14 +5,16 @@ adapts to how crowded a region is.
    class, and only classes go on, so a group of exact copies, however large, is one node.
 2. Each class has a signature of HASHES MinHash values. A tree orders the signatures by a sequence of
    hash values of its own; classes whose sequences agree in the first `depth` values are neighbours. The
-   first level has 32 trees of depth 4 and finds a pair of similarity 0.8 with probability 1 - 5e-8.
+   first level has 25 trees of depth 5 and finds a pair of similarity 0.8 with probability 0.99995.
 3. In a region of at most CROWD neighbours all pairs are candidates. In a crowded one each member is
-   compared with two pivots by signature. Members that surely belong to the first pivot need no further
-   link among themselves; if the others are few, they are paired with all members, and otherwise the
-   members go down to the next level: deeper, so that regions are smaller, and with more trees, so that
-   a similar pair is still found. No region emits all pairs, and none is left out.
-4. Candidates whose signatures agree too little for the threshold (by PRUNE standard errors) are
-   dropped; the others are confirmed on full sets: 100 * intersection >= 80 * union.
+   confirmed against the region's pivot, the smallest document. Members linked to one pivot need no
+   further link among themselves. If a region has few others, they are paired with all its members;
+   otherwise the members go down to the next level: deeper, so that regions are smaller, with more
+   trees, so that a similar pair is still found, and pairs only where they are not linked to one pivot
+   yet. So a group of near copies costs links in proportion to its size.
+4. Candidates whose signatures agree too little for the threshold (by PRUNE standard errors), or whose
+   sizes rule it out, are dropped; the others are confirmed on full sets: 100 * intersection >= 80 *
+   union. Only documents with candidates are read again; a bitmap of fixed size keeps the others out.
 5. Components by alternating large-star and small-star steps, each cut by a checkpoint.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing. Fewer
@@ -28,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .core import BLOCK, checkpointed, distinct, mix, row_blocks, shingles, utf8, words
@@ -36,11 +38,13 @@ from .core import BLOCK, checkpointed, distinct, mix, row_blocks, shingles, utf8
 SHINGLE = 4
 SHARE = 0.8
 HASHES = 128
-CROWD = 24
+CROWD = 16
+FEW = 2
 PRUNE = 5.0
-SURE = 0.92
 #: Depth and number of trees of each level; the last ends in regions of all but equal signatures.
-LEVELS = ((4, 32), (8, 64), (13, 128), (20, 192), (32, 192))
+LEVELS = ((5, 25), (10, 64), (16, 96), (24, 128), (40, 128))
+#: Bits of the bitmap of documents to read again: 1 MB, whatever the input.
+BITMAP = 1 << 23
 
 _random = np.random.Generator(np.random.PCG64(5))
 _FACTORS = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,8 +54,8 @@ _MASKS = _random.integers(0, 2**63, HASHES, dtype=np.uint64)
 def _orders(level: int) -> np.ndarray:
     """The first positions of each tree's order of the hash values; those of level 0 don't overlap."""
     depth, trees = LEVELS[level]
-    if depth * trees == HASHES:
-        return np.arange(HASHES).reshape(trees, depth)
+    if depth * trees <= HASHES:
+        return np.arange(depth * trees).reshape(trees, depth)
     rng = np.random.Generator(np.random.PCG64(100 + level))
     return np.array([rng.permutation(HASHES)[:depth] for _ in range(trees)])
 
@@ -61,145 +65,180 @@ def sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.nda
     return distinct(*shingles(*words(raw, offsets), k))
 
 
+def _digests(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A digest of each row's set; the rows that have one, and where they start."""
+    some = np.flatnonzero(n)
+    digest = np.zeros(len(n), np.uint64)
+    cut = np.r_[0, np.cumsum(n[some])[:-1]].astype(np.int64)
+    if len(some):
+        digest[some] = mix(np.add.reduceat(mix(value), cut) ^ np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5)), cut) * np.uint64(3) ^ n[some].astype(np.uint64))
+    return digest.view(np.int64), some, cut
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
         for i, j in row_blocks(offsets, BLOCK):
             row, value = sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             n = np.bincount(row, minlength=j - i)
-            some = np.flatnonzero(n)
-            digest = np.zeros(j - i, np.uint64)
-            signature = np.zeros((j - i, HASHES), np.uint32)
-            if len(some):
-                cut = np.r_[0, np.cumsum(n[some])[:-1]]
-                digest[some] = mix(np.add.reduceat(mix(value), cut) ^ np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5)), cut) * np.uint64(3) ^ n[some].astype(np.uint64))
-                for h in range(HASHES):
-                    signature[some, h] = np.minimum.reduceat(((value ^ _MASKS[h]) * _FACTORS[h]) >> np.uint64(32), cut)
+            digest, some, cut = _digests(row, value, n)
+            signature = np.zeros((j - i, HASHES), np.uint16)
+            for h in range(HASHES if len(some) else 0):
+                least = np.minimum.reduceat(((value ^ _MASKS[h]) * _FACTORS[h]) >> np.uint64(16), cut)
+                signature[some, h] = mix(least).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(digest.view(np.int64)), pa.array([x.tobytes() if m else None for x, m in zip(signature, n, strict=True)], pa.binary())],
+                [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(digest), pa.array([x.tobytes() if m else None for x, m in zip(signature, n, strict=True)], pa.binary())],
                 ["doc_id", "n_shingles", "node", "signature"],
             )
 
 
-def _keys(level: int):
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
+
+
+def _regions(level: int):
     orders = _orders(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                s = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+                s = _signatures(part.column("signature")).astype(np.uint64)
                 key = np.tile(np.arange(len(orders), dtype=np.uint64) * np.uint64(7919) + np.uint64(level), (len(s), 1))
                 for d in range(orders.shape[1]):
                     key = mix(key ^ s[:, orders[:, d]]) + np.uint64(d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), len(orders))), pa.array(np.repeat(part.column("first_doc").to_numpy(zero_copy_only=False), len(orders))), pa.array(key.ravel().view(np.int64))], ["node", "first_doc", "region"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(c).to_numpy(), len(orders))) for c in ("node", "first_doc")] + [pa.array(key.ravel().view(np.int64))], ["node", "first_doc", "region"])
 
     return run
 
 
-def _agreement(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with agree: the number of equal hash values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((s == t).sum(axis=1))], ["a", "b", "agree"])
-
-    both = pairs.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agree long")
-
-
-def candidates(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Pairs (a < b) of nodes to confirm, of (node, first_doc, signature)."""
-    found = []
-    here = classes
-    for level in range(len(LEVELS)):
-        rows = here.select("node", "first_doc", "signature").mapInArrow(_keys(level), "node long, first_doc long, region long")
-        sized = rows.groupBy("region").agg(F.count("*").alias("n"), F.min(F.struct("first_doc", "node")).alias("p1"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"))).alias("p2")).filter("n > 1")
-        members = checkpointed(rows.join(sized, "region").select("region", "node", "n", F.col("p1.node").alias("p1"), F.col("p2.node").alias("p2")))
-        small = members.filter(F.col("n") <= crowd).groupBy("region").agg(F.sort_array(F.collect_list("node")).alias("all"))  # crowd nodes at most
-        small = small.select(F.explode(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-        found.append(checkpointed(small.distinct()))
-        large = members.filter(F.col("n") > crowd)
-        if large.isEmpty():
-            break
-        ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        pivots = large.select(F.explode(F.array("p1", "p2")).alias("p"), "node").filter(F.col("p") != F.col("node")).select(*ordered(F.col("p"), F.col("node"))).distinct()
-        agree = checkpointed(_agreement(pivots, classes))
-        found.append(agree.select("a", "b"))
-        sure = agree.filter(F.col("agree") >= SURE * HASHES).select("a", "b", F.lit(True).alias("sure"))
-        told = large.select("region", "node", "p1", *ordered(F.col("p1"), F.col("node"))).join(sure, ["a", "b"], "left").select("region", "node", (F.col("sure").isNull() & (F.col("p1") != F.col("node"))).alias("open"))
-        told = checkpointed(told)
-        # in each region the nodes that the pivot doesn't settle: CROWD at most, or the region is too crowded
-        open_n = told.filter("open").groupBy("region").agg(F.count("*").alias("n_open"))
-        few = told.filter("open").join(open_n.filter(F.col("n_open") <= crowd), "region", "left_semi").groupBy("region").agg(F.collect_list("node").alias("rest"))
-        found.append(checkpointed(told.join(few, "region").select("node", F.explode("rest").alias("other")).filter(F.col("node") != F.col("other")).select(*ordered(F.col("node"), F.col("other"))).distinct()))
-        crowded = told.join(open_n.filter(F.col("n_open") > crowd), "region", "left_semi").select("node").distinct()
-        here = checkpointed(classes.join(crowded, "node", "left_semi"))
-        if here.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
-def links(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows (doc_id, n_shingles, node, first_doc), and the confirmed links (u, v) between first_docs."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = checkpointed(base.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, signature binary"))
-    classes = sketched.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n"))
-    classes = checkpointed(classes.filter("first_doc is not null").join(sketched.select(F.col("doc_id").alias("first_doc"), "node", "signature").dropDuplicates(["first_doc", "node"]), ["first_doc", "node"]))
-    least = share - PRUNE * (share * (1 - share) / HASHES) ** 0.5
-    pairs = _agreement(candidates(classes), classes).filter(F.col("agree") >= least * HASHES).select("a", "b")
-    size = classes.select("node", "n")
-    pairs = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = checkpointed(pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * share)))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first_doc"), "node")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
-            for i, j in row_blocks(offsets, BLOCK):
-                row, value = sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at = np.searchsorted(row, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array([value[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["node", "shingles"])
-
-    # a document's text by its id; of rows that repeat an id, the one whose set is the node's
-    texts = base.join(needed.select("first_doc").distinct(), base.doc_id == F.col("first_doc"), "left_semi").mapInArrow(_with_node, "node long, text string").dropDuplicates(["node"])
-    shingle_sets = checkpointed(texts.join(needed.select("node"), "node", "left_semi").mapInArrow(full, "node long, shingles binary"))
-    numerator = round(100 * share)
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                s, t = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                both = int((t[at] == s).sum())
-                keep.append(100 * both >= numerator * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.select("a", "b").join(shingle_sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(shingle_sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    linked = both.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
-    first = classes.select("node", "first_doc")
-    linked = linked.join(first.select(F.col("node").alias("a"), F.col("first_doc").alias("u")), "a").join(first.select(F.col("node").alias("b"), F.col("first_doc").alias("v")), "b").filter("u <> v").select("u", "v")
-    rows = sketched.join(first, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first_doc")).alias("first_doc"))
-    return rows, checkpointed(linked.distinct())
-
-
-def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node and text of (doc_id, text)."""
-    for batch in batches:
-        raw, offsets = utf8(batch.column("text"))
-        for i, j in row_blocks(offsets, BLOCK):
-            row, value = sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            n = np.bincount(row, minlength=j - i)
-            some = np.flatnonzero(n)
-            if len(some) == 0:
-                continue
-            cut = np.r_[0, np.cumsum(n[some])[:-1]]
-            digest = mix(np.add.reduceat(mix(value), cut) ^ np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5)), cut) * np.uint64(3) ^ n[some].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), batch.column("text").slice(i, j - i).take(pa.array(some)).cast(pa.string())], ["node", "text"])
+def _ordered(x: str | Column, y: str | Column) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _both(pairs: DataFrame, table: DataFrame, col: str, *more: str) -> DataFrame:
+    """pairs (a, b) with col of either node, as xa and xb."""
+    left, right = (table.select(F.col("node").alias(c), F.col(col).alias(f"x{c}")) for c in ("a", "b"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xa", "xb")
+
+
+class Forest:
+    """The classes of a table of documents, and confirmation of pairs of them."""
+
+    def __init__(self, docs: DataFrame, share: float = SHARE):
+        self.base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.share = share
+        self.rows = checkpointed(self.base.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, signature binary"))
+        self.classes = checkpointed(self.rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n")).filter("first_doc is not null"))
+        own = self.rows.filter("n_shingles > 0").select("node", F.col("doc_id").alias("first_doc"), "signature")
+        # one row for each class, but where a document's row is repeated
+        self.signatures = own.join(self.classes.select("node", "first_doc"), ["node", "first_doc"], "left_semi")
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs whose sizes and signatures allow a link."""
+        least = (self.share - PRUNE * (self.share * (1 - self.share) / HASHES) ** 0.5) * HASHES
+        parts = F.struct("n", "signature").alias("x")
+        sized = self.signatures.join(self.classes.select("node", "n"), "node").select("node", parts)
+        near = F.least("xa.n", "xb.n") * 100 >= F.greatest("xa.n", "xb.n") * round(100 * self.share)
+        both = _both(pairs, sized, "x").filter(near).select("a", "b", F.col("xa.signature").alias("sa"), F.col("xb.signature").alias("sb"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = (_signatures(batch.column("sa")) == _signatures(batch.column("sb"))).sum(axis=1) >= least
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+        return both.mapInArrow(run, "a long, b long")
+
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """node and its full set. Texts come from a second scan; a bitmap leaves most other documents out of it."""
+        wanted = nodes.join(self.classes.select("node", "first_doc"), "node").select("first_doc").distinct()
+        bit = F.pmod(F.xxhash64("first_doc"), F.lit(BITMAP))
+        parts = wanted.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()  # BITMAP bits at most
+        bits = np.zeros(BITMAP // 8 + 4096, np.uint8)
+        for r in parts:  # bit x lies in bucket 1 + (x - 1) div 32768 at position (x - 1) mod 32768; bit 0 in bucket 0
+            if r.k >= 1:
+                bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+        zero = any(r.k < 1 for r in parts)
+        shared = self.base.sparkSession.sparkContext.broadcast((bits, zero))
+
+        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, zero = shared.value
+            for batch in batches:
+                x = batch.column("bit").fill_null(0).to_numpy()
+                hit = np.where(x == 0, zero, (bits[np.maximum(x - 1, 0) >> 3] >> (np.maximum(x - 1, 0) & 7).astype(np.uint8)) & 1 > 0)
+                batch = batch.filter(pa.array(hit))
+                raw, offsets = utf8(batch.column("text"))
+                for i, j in row_blocks(offsets, BLOCK):
+                    row, value = sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    n = np.bincount(row, minlength=j - i)
+                    digest, some, _ = _digests(row, value, n)
+                    at = np.r_[0, np.cumsum(n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[some]), pa.array([value[at[r] : at[r + 1]].tobytes() for r in some], pa.binary())], ["node", "x"])
+
+        found = self.base.select(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("bit"), "text").mapInArrow(full, "node long, x binary")
+        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose full sets are similar enough."""
+        pairs = checkpointed(self.likely(pairs).distinct())
+        full = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        numerator = round(100 * self.share)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
+                    s, t = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                    if len(s) > len(t):
+                        s, t = t, s
+                    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+                    both = int((t[at] == s).sum())
+                    keep.append(100 * both >= numerator * (len(s) + len(t) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return checkpointed(_both(pairs, full, "x").mapInArrow(run, "a long, b long"))
+
+    def links(self, crowd: int = CROWD, few: int = FEW) -> DataFrame:
+        """Confirmed pairs (a, b) of nodes that connect all similar classes."""
+        found, done = [], []
+        here = self.signatures.select("node", "first_doc", "signature")
+        star = None  # node and the least pivot that it is linked to
+        for level in range(len(LEVELS)):
+            rows = here.mapInArrow(_regions(level), "node long, first_doc long, region long")
+            sized = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("first_doc").alias("first")).filter("n > 1")
+            members = rows.join(sized, "region").select("region", "node", "n", (F.col("first_doc") == F.col("first")).alias("is_first"))
+            if star is not None:
+                members = members.join(star, "node", "left").withColumn("star", F.coalesce("star", "node"))
+            else:
+                members = members.withColumn("star", F.col("node"))
+            members = checkpointed(members.dropDuplicates(["region", "node"]) if level == 0 else members)
+            small = members.filter(F.col("n") <= crowd).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "star"))).alias("all"))  # crowd nodes at most
+            near = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: y["star"] != x["star"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+            found.append(small.select(F.explode(near).alias("p")).select(*_ordered("p.a", "p.b")).distinct())
+            large = members.filter(F.col("n") > crowd)
+            if large.isEmpty():
+                break
+            pivot = large.filter("is_first").groupBy("region").agg(F.min("node").alias("pivot"))
+            large = large.join(pivot, "region").select("region", "node", "star", "pivot")
+            linked = self.confirmed(large.filter("node <> pivot and star <> pivot").select(*_ordered("node", "pivot")).distinct())
+            done.append(linked)
+            # the nodes' stars now: the least pivot of any confirmed link, with what was known
+            pivots = large.select(F.col("pivot").alias("node")).distinct()
+            ends = linked.select(F.col("a").alias("node"), F.col("b").alias("star")).unionByName(linked.select(F.col("b").alias("node"), F.col("a").alias("star")))
+            ends = ends.join(pivots.withColumnRenamed("node", "star"), "star", "left_semi").unionByName(pivots.select("node", F.col("node").alias("star")))
+            star = checkpointed((ends if star is None else ends.unionByName(star)).groupBy("node").agg(F.min("star").alias("star")))
+            told = large.select("region", "node", "pivot").join(star, "node", "left").withColumn("star", F.coalesce("star", "node"))
+            told = told.join(star.select(F.col("node").alias("pivot"), F.col("star").alias("main")), "pivot", "left")
+            told = checkpointed(told.join(linked.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(1).alias("up")), ["node", "pivot"], "left").join(linked.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.lit(1).alias("down")), ["node", "pivot"], "left").select("region", "node", (F.col("up").isNull() & F.col("down").isNull() & (F.col("node") != F.col("pivot")) & (F.col("star") != F.coalesce("main", "pivot"))).alias("open")))
+            crowds = told.filter("open").groupBy("region").agg(F.count("*").alias("n_open"))
+            rest = told.filter("open").join(crowds.filter(F.col("n_open") <= few), "region", "left_semi").groupBy("region").agg(F.collect_list("node").alias("rest"))  # few nodes at most
+            found.append(told.join(rest, "region").select("node", F.explode("rest").alias("other")).filter("node <> other").select(*_ordered("node", "other")).distinct())
+            crowded = told.join(crowds.filter(F.col("n_open") > few), "region", "left_semi").select("node").distinct()
+            here = checkpointed(self.signatures.select("node", "first_doc", "signature").join(crowded, "node", "left_semi"))
+            if here.isEmpty():
+                break
+        done.append(self.confirmed(reduce(DataFrame.unionByName, found).distinct()))
+        return reduce(DataFrame.unionByName, done)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,10 +262,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs."""
-    rows, edges = links(docs, share)
+    forest = Forest(docs, share)
+    first = forest.classes.select("node", "first_doc")
+    ends = (first.select(F.col("node").alias(c), F.col("first_doc").alias(d)) for c, d in (("a", "u"), ("b", "v")))
+    edges = reduce(lambda x, y: x.join(y[0], y[1]), zip(ends, ("a", "b"), strict=True), forest.links()).filter("u <> v").select("u", "v")
     label = components(edges)
-    named = rows.join(label, rows.first_doc == label.node, "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "first_doc", "doc_id").alias("component_id")).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = forest.rows.select("doc_id", "n_shingles", "node").join(first, "node", "left").join(label.withColumnRenamed("node", "first_doc"), "first_doc", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "first_doc", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def representatives(docs: DataFrame, share: float = SHARE) -> DataFrame:
