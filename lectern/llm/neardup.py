@@ -41,8 +41,9 @@ HASHES = 128
 CROWD = 16
 FEW = 2
 PRUNE = 5.0
-#: Depth and number of trees of each level; the last ends in regions of all but equal signatures.
-LEVELS = ((5, 25), (10, 64), (16, 96), (24, 128), (40, 128))
+#: Depth and number of trees of each level. Classes that agree in as many values as the last asks for are all but equal,
+#: so hardly any of them isn't linked to its pivot; there, all such are paired with their region.
+LEVELS = ((5, 25), (10, 64), (18, 96))
 #: Bits of the bitmap of documents to read again: 1 MB, whatever the input.
 BITMAP = 1 << 23
 
@@ -132,15 +133,13 @@ class Forest:
         self.classes = checkpointed(self.rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n")).filter("first_doc is not null"))
         own = self.rows.filter("n_shingles > 0").select("node", F.col("doc_id").alias("first_doc"), "signature")
         # one row for each class, but where a document's row is repeated
-        self.signatures = own.join(self.classes.select("node", "first_doc"), ["node", "first_doc"], "left_semi")
+        self.signatures = checkpointed(own.join(self.classes, ["node", "first_doc"]).select("node", "first_doc", "n", "signature"))
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs whose sizes and signatures allow a link."""
+    def likely(self, pairs: DataFrame, among: DataFrame) -> DataFrame:
+        """Those pairs of the given signatures whose sizes and hash values allow a link."""
         least = (self.share - PRUNE * (self.share * (1 - self.share) / HASHES) ** 0.5) * HASHES
-        parts = F.struct("n", "signature").alias("x")
-        sized = self.signatures.join(self.classes.select("node", "n"), "node").select("node", parts)
         near = F.least("xa.n", "xb.n") * 100 >= F.greatest("xa.n", "xb.n") * round(100 * self.share)
-        both = _both(pairs, sized, "x").filter(near).select("a", "b", F.col("xa.signature").alias("sa"), F.col("xb.signature").alias("sb"))
+        both = _both(pairs, among.select("node", F.struct("n", "signature").alias("x")), "x").filter(near).select("a", "b", F.col("xa.signature").alias("sa"), F.col("xb.signature").alias("sb"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -178,9 +177,9 @@ class Forest:
         found = self.base.select(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("bit"), "text").mapInArrow(full, "node long, x binary")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) whose full sets are similar enough."""
-        pairs = checkpointed(self.likely(pairs).distinct())
+    def confirmed(self, pairs: DataFrame, among: DataFrame) -> DataFrame:
+        """Those pairs (a, b) of the given signatures whose full sets are similar enough."""
+        pairs = checkpointed(self.likely(pairs, among))
         full = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         numerator = round(100 * self.share)
 
@@ -201,43 +200,38 @@ class Forest:
     def links(self, crowd: int = CROWD, few: int = FEW) -> DataFrame:
         """Confirmed pairs (a, b) of nodes that connect all similar classes."""
         found, done = [], []
-        here = self.signatures.select("node", "first_doc", "signature")
+        here = self.signatures
         star = None  # node and the least pivot that it is linked to
         for level in range(len(LEVELS)):
-            rows = here.mapInArrow(_regions(level), "node long, first_doc long, region long")
+            rows = here.select("node", "first_doc", "signature").mapInArrow(_regions(level), "node long, first_doc long, region long")
             sized = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("first_doc").alias("first")).filter("n > 1")
             members = rows.join(sized, "region").select("region", "node", "n", (F.col("first_doc") == F.col("first")).alias("is_first"))
-            if star is not None:
-                members = members.join(star, "node", "left").withColumn("star", F.coalesce("star", "node"))
-            else:
-                members = members.withColumn("star", F.col("node"))
-            members = checkpointed(members.dropDuplicates(["region", "node"]) if level == 0 else members)
-            small = members.filter(F.col("n") <= crowd).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "star"))).alias("all"))  # crowd nodes at most
+            members = members.withColumn("star", F.col("node")) if star is None else members.join(star, "node", "left").withColumn("star", F.coalesce("star", "node"))
+            members = checkpointed(members)
+            small = members.filter(F.col("n") <= crowd).groupBy("region").agg(F.sort_array(F.collect_set(F.struct("node", "star"))).alias("all"))  # crowd nodes at most
             near = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: y["star"] != x["star"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-            found.append(small.select(F.explode(near).alias("p")).select(*_ordered("p.a", "p.b")).distinct())
+            found.append(small.select(F.explode(near).alias("p")).select(*_ordered("p.a", "p.b")))
             large = members.filter(F.col("n") > crowd)
             if large.isEmpty():
                 break
-            pivot = large.filter("is_first").groupBy("region").agg(F.min("node").alias("pivot"))
-            large = large.join(pivot, "region").select("region", "node", "star", "pivot")
-            linked = self.confirmed(large.filter("node <> pivot and star <> pivot").select(*_ordered("node", "pivot")).distinct())
+            pivot = large.filter("is_first").groupBy("region").agg(F.min(F.struct("node", "star")).alias("p"))
+            large = checkpointed(large.join(pivot, "region").select("region", "node", "star", F.col("p.node").alias("pivot"), F.col("p.star").alias("main")))
+            linked = self.confirmed(large.filter("star <> main").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), here)
             done.append(linked)
-            # the nodes' stars now: the least pivot of any confirmed link, with what was known
-            pivots = large.select(F.col("pivot").alias("node")).distinct()
-            ends = linked.select(F.col("a").alias("node"), F.col("b").alias("star")).unionByName(linked.select(F.col("b").alias("node"), F.col("a").alias("star")))
-            ends = ends.join(pivots.withColumnRenamed("node", "star"), "star", "left_semi").unionByName(pivots.select("node", F.col("node").alias("star")))
+            ends = linked.select(F.col("a").alias("node"), F.col("b").alias("star"))
             star = checkpointed((ends if star is None else ends.unionByName(star)).groupBy("node").agg(F.min("star").alias("star")))
-            told = large.select("region", "node", "pivot").join(star, "node", "left").withColumn("star", F.coalesce("star", "node"))
-            told = told.join(star.select(F.col("node").alias("pivot"), F.col("star").alias("main")), "pivot", "left")
-            told = checkpointed(told.join(linked.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(1).alias("up")), ["node", "pivot"], "left").join(linked.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.lit(1).alias("down")), ["node", "pivot"], "left").select("region", "node", (F.col("up").isNull() & F.col("down").isNull() & (F.col("node") != F.col("pivot")) & (F.col("star") != F.coalesce("main", "pivot"))).alias("open")))
-            crowds = told.filter("open").groupBy("region").agg(F.count("*").alias("n_open"))
-            rest = told.filter("open").join(crowds.filter(F.col("n_open") <= few), "region", "left_semi").groupBy("region").agg(F.collect_list("node").alias("rest"))  # few nodes at most
-            found.append(told.join(rest, "region").select("node", F.explode("rest").alias("other")).filter("node <> other").select(*_ordered("node", "other")).distinct())
-            crowded = told.join(crowds.filter(F.col("n_open") > few), "region", "left_semi").select("node").distinct()
-            here = checkpointed(self.signatures.select("node", "first_doc", "signature").join(crowded, "node", "left_semi"))
+            told = large.filter("star <> main").join(linked.select(F.col("a").alias("node"), F.col("b").alias("pivot")), ["node", "pivot"], "left_anti").select("region", "node")
+            last = level == len(LEVELS) - 1
+            opened = checkpointed(told.groupBy("region").agg(F.count("*").alias("n_open")))
+            rest = told if last else told.join(opened.filter(F.col("n_open") <= few), "region", "left_semi")
+            found.append(large.select("region", "node").join(rest.withColumnRenamed("node", "other"), "region").filter("node <> other").select(*_ordered("node", "other")))
+            if last:
+                break
+            crowded = large.select("region", "node").join(opened.filter(F.col("n_open") > few), "region", "left_semi").select("node").distinct()
+            here = checkpointed(self.signatures.join(crowded, "node", "left_semi"))
             if here.isEmpty():
                 break
-        done.append(self.confirmed(reduce(DataFrame.unionByName, found).distinct()))
+        done.append(self.confirmed(reduce(DataFrame.unionByName, found).distinct(), self.signatures))
         return reduce(DataFrame.unionByName, done)
 
 
