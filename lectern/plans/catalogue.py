@@ -1,9 +1,428 @@
-"""The registered queries of the library's own operators, with their oracle SQL."""
+"""The registered queries of the library's own operators, with their oracle SQL.
 
+Every query runs its operator over whole tables. The reading tasks' own keywords never occur in the
+invented prose, so the retrieval queries pass a keyword table of terms that do.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..functions import text as T
+from ..operators import classify, evaluate, ground, identity, latex, monitor, retrieve, sets
+from ..operators.registry import Operator, Registry
+
+KEYWORDS = {"overview": ["that", "with"], "method": ["tion", "ing"], "results": ["ment", "ción"], "theory": ["the", "der"]}
+SIGNALS = {"english": ["the", "and"], "german": ["der", "und"], "french": ["les", "eau"], "spanish": ["los", "que"]}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_CHUNKS = """
+l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), chr(13), '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g')), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line,
+  generate_subscripts(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), chr(13), '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g')), chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 AS line_no FROM documents),
+chunks AS (SELECT doc_id, (line_no // 5 + 1)::INT AS part, (line_no // 5)::INT AS idx, string_agg(line, chr(10) ORDER BY line_no) AS text FROM l GROUP BY ALL)"""
+_TASKS = "tasks(task_id, keywords) AS (VALUES " + ", ".join(f"('{k}', {v!r})" for k, v in KEYWORDS.items()) + ")"
+_SCORED = f"""WITH {_CHUNKS}, {_TASKS},
+scored AS (SELECT doc_id, task_id, 'S1C' || part AS chunk_id, idx, text, (CASE WHEN idx < 2 THEN 3 - idx ELSE 0 END + 10 * len(list_filter(keywords, lambda k: contains('paper overview', k))) + 2 * len(list_filter(keywords, lambda k: contains(lower(text), k))))::INT AS score FROM chunks, tasks),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, task_id ORDER BY score DESC, idx)::INT AS rank FROM scored QUALIFY rank <= 5)"""
+_SENTENCES = "list_filter(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '[^.!?。！？]+[.!?。！？]?'), lambda s: trim(s)), lambda s: s <> '')"
+_KEY = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}%._]+', ' ', 'g'))"
+_STRICT = "trim(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+# ------------------------------------------------------------------ text
+
+
+@query(f"SELECT doc_id, md5({_KEY}) AS key_md5, length({_KEY})::INT AS key_length FROM documents")
+def norm_text(spark, d):
+    k = T.match_key(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(k.cast("binary")).alias("key_md5"), F.length(k).alias("key_length"))
+
+
+@query("SELECT doc_id, len(n)::INT AS n_numbers, array_to_string(n, ' ') AS numbers FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9_])(\\d+(?:\\.\\d+)?%?)', 1) AS n FROM documents)")
+def number_tokens(spark, d):
+    n = T.numbers(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.size(n).alias("n_numbers"), F.array_join(n, " ").alias("numbers"))
+
+
+@query(f"SELECT conv_id, turn, len(s)::INT AS n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::INT AS longest FROM (SELECT *, {_SENTENCES} AS s FROM conversations) WHERE NOT regexp_matches(text, '\\d\\.\\d')")
+def sentence_stats(spark, d):
+    s = T.sentences(F.col("text"))
+    plain = _t(spark, d, "conversations").filter(~F.col("text").rlike(r"\d\.\d"))
+    return plain.select("conv_id", "turn", F.size(s).alias("n_sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).alias("longest"))
+
+
+@query("""SELECT item_id, lpad(lower(printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(x, ''), lambda c: unicode(c)::BIGINT)), lambda h, p: (xor(h, p) * 16777619) & 4294967295))), 8, '0') || ':' || length(x) AS content_hash
+FROM (SELECT item_id, trim(regexp_replace(text, '[\\s\\x{00A0}\\x{FEFF}]+', ' ', 'g')) AS x FROM benchmark)""")
+def fnv_fingerprint(spark, d):
+    return _t(spark, d, "benchmark").select("item_id", T.fnv1a(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS html_md5, least(240, length(coalesce(text, '')))::INT AS n_redacted, ceil(length(coalesce(text, '')) / 4)::BIGINT AS n_tokens FROM documents WHERE NOT contains(coalesce(text, ''), 'sk-')")
+def text_cleanup(spark, d):
+    x = F.col("text")
+    docs = _t(spark, d, "documents").filter(~F.contains(T.text_of(x), F.lit("sk-")))
+    return docs.select("doc_id", F.md5(T.escape_html(x).cast("binary")).alias("html_md5"), F.length(T.redacted(x)).alias("n_redacted"), T.token_estimate(F.lit(None).cast("long"), x).alias("n_tokens"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS title, len(regexp_extract_all(html, '<p[ >]'))::INT AS n_paragraphs, len(regexp_extract_all(html, '<li[ >]'))::INT AS n_items,
+md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_md5 FROM pages""")
+def html_extract(spark, d):
+    h = F.col("html")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(h, "<[^>]*>", " "), r"\s+", " "))
+    return _t(spark, d, "pages").select("page_id", F.regexp_extract(h, "<h1[^>]*>([^<]*)</h1>", 1).alias("title"), F.regexp_count(h, F.lit("<p[ >]")).alias("n_paragraphs"), F.regexp_count(h, F.lit("<li[ >]")).alias("n_items"), F.md5(plain.cast("binary")).alias("text_md5"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, trim(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 8 AND length(x) < 120)[1]) AS title FROM documents)
+SELECT doc_id, coalesce(title, 'Untitled paper') AS title, md5({_STRICT.format("coalesce(title, 'Untitled paper')")}) AS title_key FROM t""")
+def titles(spark, d):
+    t = T.title_of(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", t.alias("title"), F.md5(T.strict_key(t).cast("binary")).alias("title_key"))
+
+
+# ------------------------------------------------------------------ retrieval
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, 'S1C' || part AS chunk_id, idx, length(text)::INT AS n_chars FROM chunks")
+def chunk_index(spark, d):
+    return retrieve.line_chunks(_t(spark, d, "documents")).select("doc_id", "chunk_id", F.col("idx").cast("int").alias("idx"), F.length("text").alias("n_chars"))
+
+
+def _scores(spark, d):
+    return retrieve.scored(retrieve.line_chunks(_t(spark, d, "documents")), retrieve.tasks(spark, KEYWORDS))
+
+
+@query(f"{_SCORED} SELECT doc_id, task_id, rank, chunk_id, score FROM top")
+def retrieve_topk(spark, d):
+    return retrieve.top_chunks(_scores(spark, d)).select("doc_id", "task_id", "rank", "chunk_id", F.col("score").cast("int").alias("score"))
+
+
+@query(f"{_SCORED} SELECT doc_id, chunk_id, max(score)::INT AS score, min(idx)::INT AS idx, count(*) AS n_tasks FROM top GROUP BY ALL")
+def best_chunk_global(spark, d):
+    return retrieve.best_of_tasks(retrieve.top_chunks(_scores(spark, d))).select("doc_id", "chunk_id", F.col("score").cast("int").alias("score"), F.col("idx").cast("int").alias("idx"), "n_tasks")
+
+
+@query(f"{_SCORED} SELECT task_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, max(score)::INT AS best, sum(score)::BIGINT AS total FROM top GROUP BY task_id")
+def context_stats(spark, d):
+    return retrieve.top_chunks(_scores(spark, d)).groupBy("task_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.max("score").cast("int").alias("best"), F.sum("score").cast("long").alias("total"))
+
+
+@query()
+def evidence_budget(spark, d):
+    return retrieve.within_budget(retrieve.top_chunks(_scores(spark, d)), 2000)
+
+
+@query()
+def compressed_chunks(spark, d):
+    return retrieve.line_chunks(_t(spark, d, "documents")).select("doc_id", "chunk_id", retrieve.compressed(F.col("text"), F.array(F.lit("the"), F.lit("der")), 300).alias("text"))
+
+
+@query()
+def size_chunks(spark, d):
+    return retrieve.size_chunks(_t(spark, d, "documents"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_filter({_SENTENCES}, lambda s: contains(lower(s), 'the') OR contains(lower(s), 'der'))[1:2], ' ') AS summary FROM conversations WHERE NOT regexp_matches(text, '\\d\\.\\d')")
+def keyword_sentences(spark, d):
+    plain = _t(spark, d, "conversations").filter(~F.col("text").rlike(r"\d\.\d"))
+    return plain.select("conv_id", "turn", retrieve.keyword_sentences(F.col("text"), ["the", "der"]).alias("summary"))
+
+
+# ------------------------------------------------------------------ grounding
+
+
+@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {_KEY} AS q FROM benchmark), (SELECT doc_id, {_KEY} AS b FROM documents) WHERE q <> '' AND contains(' ' || b || ' ', ' ' || q || ' ')")
+def evidence_containment(spark, d):
+    return ground.quotes_in_corpus(_t(spark, d, "benchmark"), _t(spark, d, "documents"))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT item_id FROM (SELECT item_id, {_KEY} AS q FROM benchmark), (SELECT doc_id, {_KEY} AS b FROM documents) WHERE q <> '' AND contains(' ' || b || ' ', ' ' || q || ' '))
+SELECT count(*) AS n_quotes, count(f.item_id) AS n_grounded, CASE WHEN count(*) = 0 THEN 100.0 ELSE 100.0 * count(f.item_id) / count(*) END::DOUBLE AS consistency FROM benchmark LEFT JOIN f USING (item_id)""")
+def evidence_consistency(spark, d):
+    quotes = _t(spark, d, "benchmark")
+    found = ground.quotes_in_corpus(quotes, _t(spark, d, "documents")).select("item_id").distinct().withColumn("hit", F.lit(1))
+    n = quotes.join(found, "item_id", "left").agg(F.count("*").alias("n_quotes"), F.count("hit").alias("n_grounded"))
+    return n.withColumn("consistency", P.percent(F.col("n_grounded"), F.col("n_quotes")).cast("double"))
+
+
+_NUM = "regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9_])(\\d+(?:\\.\\d+)?%?)', 1)"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT conv_id, unnest({_NUM}) AS n FROM conversations WHERE role = 'assistant'), s AS (SELECT DISTINCT conv_id, unnest({_NUM}) AS n FROM conversations WHERE role <> 'assistant'),
+k AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant'), nc AS (SELECT conv_id, count(*) AS n FROM c GROUP BY 1), nu AS (SELECT conv_id, count(*) AS n FROM c ANTI JOIN s USING (conv_id, n) GROUP BY 1)
+SELECT k.conv_id, coalesce(nc.n, 0) AS claimed, coalesce(nu.n, 0) AS unsupported, CASE WHEN coalesce(nc.n, 0) = 0 THEN 0.0 ELSE coalesce(nu.n, 0) / nc.n END::DOUBLE AS rate FROM k LEFT JOIN nc USING (conv_id) LEFT JOIN nu USING (conv_id)""")
+def numeric_hallucination(spark, d):
+    c = _t(spark, d, "conversations")
+    return ground.hallucination_rate(c.filter("role = 'assistant'"), c.filter("role <> 'assistant'"), "conv_id").withColumn("unsupported", F.col("unsupported").cast("long"))
+
+
+_TOK = "list_distinct(list_filter(string_split({}, ' '), lambda t: length(t) >= 4 AND t NOT IN ('the','and','with','from','this','that','which','into','using','figure','table')))"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, unnest({_TOK.format(_STRICT.format("text"))}) AS token FROM conversations),
+s AS (SELECT a.conv_id, a.turn AS section_id, b.turn AS passage_id, count(*) AS shared FROM t a JOIN t b USING (conv_id, token) GROUP BY ALL HAVING count(*) >= 2)
+SELECT *, row_number() OVER (PARTITION BY conv_id, section_id ORDER BY shared DESC, passage_id)::INT AS rank FROM s QUALIFY rank <= 3""")
+def grounded_excerpts(spark, d):
+    c = _t(spark, d, "conversations")
+    return ground.excerpts(c.select("conv_id", F.col("turn").alias("section_id"), "text"), c.select("conv_id", F.col("turn").alias("passage_id"), "text"), "conv_id")
+
+
+@query()
+def fuzzy_align(spark, d):
+    docs = _t(spark, d, "documents")
+    return ground.best_sentence(docs.select("doc_id", F.get(T.sentences(F.col("text")), F.lit(1)).alias("quote")), docs)
+
+
+# ------------------------------------------------------------------ evaluation
+
+_LABELS = "p AS (SELECT DISTINCT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1), e AS (SELECT DISTINCT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 0)"
+_PRF = f"""WITH {_LABELS}, m AS (SELECT coalesce(p.lang, e.lang) AS lang, count(p.doc_id) AS n_actual, count(e.doc_id) AS n_expected, count(*) FILTER (p.doc_id IS NOT NULL AND e.doc_id IS NOT NULL) AS matched FROM p FULL JOIN e ON p.lang = e.lang AND p.doc_id = e.doc_id GROUP BY 1),
+r AS (SELECT *, CASE WHEN n_actual = 0 THEN 100.0 ELSE 100.0 * matched / n_actual END::DOUBLE AS precision, CASE WHEN n_expected = 0 THEN 100.0 ELSE 100.0 * matched / n_expected END::DOUBLE AS recall FROM m),
+f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 100.0 ELSE 2 * precision * recall / (precision + recall) END::DOUBLE AS f1, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END::DOUBLE AS f1_strict FROM r)"""
+
+
+def _prf(spark, d):
+    both = _t(spark, d, "documents").select("doc_id", "lang").join(_t(spark, d, "labels"), "doc_id")
+    out = evaluate.set_scores(both.filter("toxic = 1"), both.filter("quality = 0"), "lang", "doc_id")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("precision", "recall", "f1", "f1_strict")})
+
+
+@query(f"{_PRF} SELECT * FROM f")
+def set_prf(spark, d):
+    return _prf(spark, d)
+
+
+@query(f"""{_PRF}, o AS (SELECT lang, recall * 0.30 + f1 * 0.15 + precision * 0.15 + recall * 0.20 + (1 - CASE WHEN n_expected = 0 THEN 0 ELSE matched / n_expected END) * 100 * 0.20 AS overall, recall, CASE WHEN n_expected = 0 THEN 0 ELSE matched / n_expected END AS rate FROM f)
+SELECT count(*) AS n_cases, count(*) FILTER (overall >= 80 AND recall >= 90 AND rate * 100 <= 5) AS n_passed, avg(overall) AS mean_overall, avg(rate) AS mean_rate FROM o""")
+def weighted_suite(spark, d):
+    parts = _prf(spark, d).select("lang", F.col("recall").alias("content"), F.col("f1").alias("formulas"), F.col("precision").alias("visuals"), F.col("recall").alias("evidence"), F.when(F.col("n_expected") == 0, 0.0).otherwise(F.try_divide("matched", "n_expected")).alias("rate"))
+    return evaluate.suite(evaluate.overall(parts))
+
+
+@query("SELECT lang, source, count(*) FILTER (quality = 1) AS n_matched, count(*) AS n_expected FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (lang, source))")
+def coverage_grouping_sets(spark, d):
+    both = _t(spark, d, "documents").select("doc_id", "lang", "source").join(_t(spark, d, "labels"), "doc_id")
+    return evaluate.coverage(both.select("lang", "source", (F.col("quality") == 1).alias("matched")), "lang", "source")
+
+
+_CHECKS = "length(coalesce(text, '')) >= 200 AS long_enough, contains(coalesce(text, ''), '.') AS has_sentence, contains(coalesce(text, ''), chr(10)) AS has_lines, NOT contains(coalesce(text, ''), '!!') AS calm"
+
+
+@query(f"""SELECT doc_id, (long_enough::INT + has_sentence::INT + has_lines::INT + calm::INT)::INT AS n_ok, CASE WHEN NOT long_enough OR NOT calm THEN 'review' WHEN NOT has_sentence OR NOT has_lines THEN 'warning' ELSE 'pass' END AS verdict FROM (SELECT doc_id, {_CHECKS} FROM documents)""")
+def audit_checks(spark, d):
+    x = T.text_of(F.col("text"))
+    has = lambda s: F.contains(x, F.lit(s))
+    checks = {"long_enough": ("high", F.length(x) >= 200), "has_sentence": ("medium", has(".")), "has_lines": ("medium", has("\n")), "calm": ("high", ~has("!!"))}
+    return evaluate.audit(_t(spark, d, "documents"), "doc_id", checks)
+
+
+@query("""SELECT item_id, len(i)::INT AS n_issues, array_to_string(i, '; ') AS issues FROM (SELECT item_id, CASE WHEN x = '' THEN ['answer is missing'] ELSE list_filter([
+ CASE WHEN length(x) < 120 THEN 'answer is too short' END, CASE WHEN regexp_matches(x, '(?i)^(figure|fig\\.|table)\\s*\\d+') THEN 'answer is a caption, not a conclusion' END,
+ CASE WHEN regexp_matches(x, '(?i)(\\.{3,}$|[,;:]$|\\b(and|or|to|of|with|by|for|from|that|which)$)') THEN 'answer trails off' END, CASE WHEN regexp_matches(x, '(?i)\\bcompared(\\s+(with|to))?[.!?]$') THEN 'answer omits the comparison target' END,
+ CASE WHEN regexp_matches(x, '^[a-z]{2,}\\s') AND NOT regexp_matches(x, '^(iPhone|eBay)\\b') THEN 'answer starts mid-sentence' END], lambda v: v IS NOT NULL) END AS i FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM benchmark))""")
+def field_rules(spark, d):
+    i = P.field_issues("answer", F.col("text"), 120)
+    return _t(spark, d, "benchmark").select("item_id", F.size(i).alias("n_issues"), F.array_join(i, "; ").alias("issues"))
+
+
+# ------------------------------------------------------------------ classification, sets, identity
+
+_SIG = ", ".join(f"{{'type': '{t}', 'ord': {i}, 'score': {' + '.join(f'least(5, len(regexp_extract_all(b, {p!r})))' for p in ps)}}}" for i, (t, ps) in enumerate(SIGNALS.items()))
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest([{_SIG}]) AS x FROM (SELECT doc_id, lower(coalesce(text, '')) AS b FROM documents)),
+r AS (SELECT doc_id, x.type AS type, x.score AS score, row_number() OVER (PARTITION BY doc_id ORDER BY x.score DESC, x.ord) AS rn FROM s),
+k AS (SELECT doc_id, max(type) FILTER (rn = 1) AS t1, max(score) FILTER (rn = 1) AS s1, max(type) FILTER (rn = 2) AS t2, max(score) FILTER (rn = 2) AS s2 FROM r GROUP BY 1)
+SELECT doc_id, CASE WHEN s1 > 0 THEN t1 ELSE 'method' END AS paper_type, s1::INT AS score, (s1 - s2)::INT AS margin, CASE WHEN s1 > 0 THEN least(96, 50 + 6 * (s1 - s2) + 2 * s1) ELSE 35 END::INT AS confidence_pct, t2 AS alternative FROM k""")
+def type_classify(spark, d):
+    return classify.classify(classify.signal_scores(_t(spark, d, "documents"), SIGNALS))
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(lower(regexp_replace(text, '\\s+', '', 'g'))) AS key FROM documents GROUP BY 2")
+def exact_dedupe_first(spark, d):
+    keyed = _t(spark, d, "documents").select("doc_id", F.md5(F.lower(F.regexp_replace("text", r"\s+", "")).cast("binary")).alias("key"))
+    return sets.first_by(keyed, ["key"], ["doc_id"])
+
+
+@query("SELECT o_custkey AS custkey, 0 AS precedence, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, 1, 0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def union_precedence(spark, d):
+    a = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("n"))
+    return sets.union_by_precedence([a, _t(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.lit(0).cast("long").alias("n"))], ["custkey"])
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def missing_anti(spark, d):
+    return sets.missing(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), ["doc_id"])
+
+
+@query("SELECT doc_id, coalesce(quality, n_chars % 2)::INT AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def fallback_merge(spark, d):
+    primary = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return sets.with_fallback(primary, _t(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality")), "doc_id", ["quality"])
+
+
+@query("WITH c AS (SELECT doc_id, toxic AS quality FROM labels WHERE toxic = 1) SELECT doc_id, quality FROM labels ANTI JOIN c USING (doc_id) UNION ALL SELECT doc_id, quality FROM c")
+def memory_upsert(spark, d):
+    labels = _t(spark, d, "labels")
+    return sets.upsert(labels.select("doc_id", "quality"), labels.filter("toxic = 1").select("doc_id", F.col("toxic").alias("quality"), F.lit(1).alias("seq")), "doc_id")
+
+
+@query("SELECT * FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)::INT AS rank FROM events) WHERE rank <= 5")
+def newest_notes(spark, d):
+    return sets.last_n(_t(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 5)
+
+
+@query("""WITH h AS (SELECT conv_id, text, lower(trim(text)) AS k FROM conversations WHERE role = 'user'), n AS (SELECT conv_id, min(text) AS text, lower(trim(text)) AS k FROM conversations WHERE role <> 'user' GROUP BY 1, 3)
+SELECT conv_id, text, false AS added FROM h UNION ALL SELECT conv_id, text, true FROM n ANTI JOIN h USING (conv_id, k)""")
+def question_merge(spark, d):
+    c = _t(spark, d, "conversations")
+    return sets.merge_unseen(c.filter("role = 'user'").select("conv_id", "text"), c.filter("role <> 'user'").select("conv_id", "text"), "text", "conv_id")
+
+
+@query()
+def source_identity(spark, d):
+    return identity.identify(_t(spark, d, "documents"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_STRICT.format("text")} AS k FROM conversations), p AS (SELECT a.conv_id, a.turn, a.k AS x, b.k AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, x = '' OR y = '' OR (contains(CASE WHEN length(x) >= length(y) THEN x ELSE y END, CASE WHEN length(x) >= length(y) THEN y ELSE x END) AND least(length(x), length(y)) >= 0.88 * greatest(length(x), length(y))) AS agree FROM p""")
+def title_agreement(spark, d):
+    c = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", T.titles_agree(F.col("text"), F.col("after")).alias("agree"))
+
+
+# ------------------------------------------------------------------ monitoring
+
+
+@query("SELECT user_id, count(*) AS n_events, count(DISTINCT event_type) AS n_statuses, sum(value) AS total, max(value) AS largest FROM events GROUP BY 1")
+def monitor_rollup(spark, d):
+    return monitor.rollup(_t(spark, d, "events"), "user_id", "event_type", "value")
+
+
+@query("SELECT user_id, count(*) AS n_events, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def state_latest(spark, d):
+    return monitor.latest_state(_t(spark, d, "events"), ["user_id"], "event_id", ["event_type", "value"])
+
+
+@query("""WITH t AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events), e AS (SELECT * FROM events, t WHERE event_type IN (a, b)),
+n AS (SELECT *, lead(event_type) OVER w AS end_status, lead(ts) OVER w AS end_at FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, (epoch_us(end_at) - epoch_us(ts)) / 1000000 AS seconds FROM n WHERE event_type = a AND end_status = b""")
+def call_pairing(spark, d):
+    e = _t(spark, d, "events")
+    ends = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
+    if ends.a is None:
+        return e.select("event_id", "user_id", F.lit(0.0).alias("seconds"))
+    return monitor.call_pairs(e, ["user_id"], "ts", "event_type", ends.a, [ends.b]).select("event_id", "user_id", "seconds")
+
+
+@query("""WITH n AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM n)
+SELECT user_id, session, count(*) AS n_events, epoch_us(max(ts)) - epoch_us(min(ts)) AS length_us FROM s GROUP BY 1, 2""")
+def event_sessions(spark, d):
+    s = monitor.sessions(_t(spark, d, "events"), "user_id", "ts", 1800)
+    return s.select("user_id", "session", "n_events", (monitor.micros("end_at") - monitor.micros("start_at")).alias("length_us"))
+
+
+@query("SELECT CASE WHEN contains(event_id::VARCHAR, '402') THEN 'billing' WHEN contains(event_id::VARCHAR, '401') THEN 'key' WHEN contains(event_id::VARCHAR, '429') THEN 'rate' ELSE 'other' END AS error, count(*) AS n FROM events GROUP BY 1")
+def error_rollup(spark, d):
+    return _t(spark, d, "events").groupBy(monitor.error_class(F.col("event_id").cast("string")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, CASE WHEN n < 3 THEN 1 WHEN m <= 1 THEN 100 WHEN m <= 10 THEN 10 ELSE 1 END::INT AS multiplier, med AS median FROM (SELECT user_id, count(*) AS n, max(value) AS m, median(value) AS med FROM events GROUP BY 1)")
+def score_scale(spark, d):
+    g = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("m"), F.percentile("value", 0.5).alias("median"))
+    scale = F.when(F.col("n") < 3, 1).when(F.col("m") <= 1, 100).when(F.col("m") <= 10, 10).otherwise(1)
+    return g.select("user_id", scale.alias("multiplier"), "median")
+
+
+@query("SELECT o_orderkey AS orderkey, arg_min(l_linenumber, (l_extendedprice, l_linenumber))::INT AS cheapest, count(*) AS n_lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def reference_join(spark, d):
+    li = _t(spark, d, "lineitem")
+    both = _t(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey")).join(li.select(F.col("l_orderkey").alias("orderkey"), "l_linenumber", "l_extendedprice"), "orderkey")
+    return both.groupBy("orderkey").agg(F.min_by("l_linenumber", F.struct("l_extendedprice", "l_linenumber")).cast("int").alias("cheapest"), F.count("*").alias("n_lines"))
+
+
+@query("SELECT user_id, round, least(30000, 6500 + 4500 * (round - 1))::INT AS max_chars, least(18, 5 + 3 * (round - 1))::INT AS max_chunks FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(range(1, 7))::INT AS round)")
+def round_budgets(spark, d):
+    rounds = _t(spark, d, "events").select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("round"))
+    return rounds.select("*", P.round_budget(F.lit(6500), F.col("round")).alias("max_chars"), P.round_chunks(F.lit(5), F.col("round")).alias("max_chunks"))
+
+
+# ------------------------------------------------------------------ LaTeX and registry (literal rows: the tables hold none)
+
+PAPER = [
+    ("p1", 0, "main.tex", "\\documentclass{article}\\title{A \\textbf{Method}}\\newcommand{\\loss}[1]{L_{#1}}\\begin{document}% note\n\\input{body}\\end{document}"),
+    ("p1", 1, "body.tex", "\\section{Method}\n\\begin{equation}\\loss{task}=\\frac{a}{b}\\end{equation}\n\\begin{figure}\\includegraphics{figures/model}\\caption{The {nested} model}\\end{figure}\n\\begin{table}\\caption{Scores}\\begin{tabular}{ll}A & B\\\\ \\multicolumn{2}{c}{wide}\\end{tabular}\\end{table}"),
+    ("p1", 2, "figures/model.png", None),
+]
+
+
+def _tex(spark):
+    return latex.combined(spark.createDataFrame(PAPER, "paper_id string, seq int, path string, content string").filter("content is not null"))
+
+
+@query()
+def latex_formulas(spark, d):
+    return latex.formulas(_tex(spark))
+
+
+@query()
+def latex_tables(spark, d):
+    return latex.tables(_tex(spark))
+
+
+@query()
+def latex_figures(spark, d):
+    return latex.resolve_assets(latex.figures(_tex(spark)), spark.createDataFrame(PAPER, "paper_id string, seq int, path string, content string"))
+
+
+def registry() -> Registry:
+    r = Registry()
+    for name, stage, run, types in (
+        ("latex.formulas", "extract", latex.formulas, ("arxiv",)),
+        ("latex.figures", "extract", latex.figures, ("arxiv",)),
+        ("latex.tables", "extract", latex.tables, ("arxiv",)),
+        ("context.select", "retrieve", retrieve.top_chunks, ()),
+        ("evidence.retrieve", "retrieve", retrieve.within_budget, ()),
+        ("reflection.audit", "verify", evaluate.audit, ()),
+        ("paper-type-classifier", "planning", classify.classify, ()),
+        ("evaluation.run", "evaluate", evaluate.suite, ()),
+    ):
+        r.register(Operator(name, stage, run, types))
+    return r
+
+
+@query()
+def tool_plan(spark, d):
+    return registry().plan(spark, "text")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+__all__ = ["KEYWORDS", "oracle_sql", "queries", "registry"]
