@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from .core import BYTE, SPACE, crc_mod, mix, row_blocks, runs, span_hashes, utf8
 
 BUCKETS = 1 << 18
-MAX_ROWS = 8_000
-MAX_BYTES = 65_536
+MAX_ROWS = 5_000
+MAX_BYTES = 32_768
 THRESHOLD = 0.3
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -92,9 +91,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
                 lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in ("doc_id", "label")] + lists, ["doc_id", "label", "bucket", "value"])
 
-    got: pd.DataFrame = sample.mapInArrow(vectors, "doc_id long, label int, bucket array<int>, value array<float>").toPandas()
-    got = got.assign(key=[(x * 0x9E3779B97F4A7C15) % 2**64 for x in got.doc_id.astype(object)]).sort_values(["key", "doc_id", "label"], kind="stable")
-    return ftrl([(np.asarray(b), np.asarray(v, float), y) for b, v, y in zip(got.bucket, got.value, got.label, strict=True)], buckets)
+    got = sample.mapInArrow(vectors, "doc_id long, label int, bucket array<int>, value array<float>").toArrow().combine_chunks()
+    if got.num_rows == 0:
+        return ftrl([], buckets)
+    label_of, bucket, value = (got.column(c).chunk(0) for c in ("label", "bucket", "value"))
+    ids = got.column("doc_id").to_numpy()
+    order = np.lexsort((label_of.to_numpy(), ids, mix(ids.astype(np.int64).view(np.uint64))))
+    at, buckets_flat, values_flat = bucket.offsets.to_numpy(), bucket.values.to_numpy(), value.values.to_numpy()
+    # views of two flat arrays, so the sample is held once
+    return ftrl([(buckets_flat[at[i] : at[i + 1]], values_flat[at[i] : at[i + 1]], label_of[int(i)].as_py()) for i in order], buckets)
 
 
 def probabilities(text: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
