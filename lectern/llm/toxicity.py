@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .core import BLOCK, BYTE, crc_mod, mix, row_blocks, runs, span_hashes, utf8
 
-MAX_ROWS = 3_000
-MAX_BYTES = 32_768
+MAX_ROWS = 1_500
+MAX_BYTES = 16_384
 LANDMARKS = 160
 SPAN = 6
 DECAY = 0.6
