@@ -201,12 +201,12 @@ class Forest:
         """Confirmed pairs (a, b) of nodes that connect all similar classes."""
         found, done = [], []
         here = self.signatures
-        star = None  # node and the least pivot that it is linked to
+        star = None  # node and the smallest document of a pivot that it is linked to
         for level in range(len(LEVELS)):
             rows = here.select("node", "first_doc", "signature").mapInArrow(_regions(level), "node long, first_doc long, region long")
             sized = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("first_doc").alias("first")).filter("n > 1")
-            members = rows.join(sized, "region").select("region", "node", "n", (F.col("first_doc") == F.col("first")).alias("is_first"))
-            members = members.withColumn("star", F.col("node")) if star is None else members.join(star, "node", "left").withColumn("star", F.coalesce("star", "node"))
+            members = rows.join(sized, "region").select("region", "node", "n", "first", "first_doc", (F.col("first_doc") == F.col("first")).alias("is_first"))
+            members = members.withColumn("star", F.col("first_doc")) if star is None else members.join(star, "node", "left").withColumn("star", F.coalesce("star", "first_doc"))
             members = checkpointed(members)
             small = members.filter(F.col("n") <= crowd).groupBy("region").agg(F.sort_array(F.collect_set(F.struct("node", "star"))).alias("all"))  # crowd nodes at most
             near = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: y["star"] != x["star"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
@@ -215,10 +215,11 @@ class Forest:
             if large.isEmpty():
                 break
             pivot = large.filter("is_first").groupBy("region").agg(F.min(F.struct("node", "star")).alias("p"))
-            large = checkpointed(large.join(pivot, "region").select("region", "node", "star", F.col("p.node").alias("pivot"), F.col("p.star").alias("main")))
+            large = checkpointed(large.join(pivot, "region").select("region", "node", "star", "first", F.col("p.node").alias("pivot"), F.col("p.star").alias("main")))
             linked = self.confirmed(large.filter("star <> main").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), here)
             done.append(linked)
-            ends = linked.select(F.col("a").alias("node"), F.col("b").alias("star"))
+            pivots = large.select(F.col("pivot").alias("b"), "first").distinct()
+            ends = linked.join(pivots, "b").select(F.col("a").alias("node"), F.col("first").alias("star"))
             star = checkpointed((ends if star is None else ends.unionByName(star)).groupBy("node").agg(F.min("star").alias("star")))
             told = large.filter("star <> main").join(linked.select(F.col("a").alias("node"), F.col("b").alias("pivot")), ["node", "pivot"], "left_anti").select("region", "node")
             last = level == len(LEVELS) - 1
