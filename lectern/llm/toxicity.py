@@ -310,11 +310,13 @@ def _calibrated(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    known = labels.filter((crc_mod("doc_id", folds) != held) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.filter((crc_mod("doc_id", folds) != held) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(round((1 << 20) * min(1.0, max_rows / max(1, n.get(1, 0)))))).otherwise(F.lit(round((1 << 20) * min(1.0, max_rows / max(1, n.get(0, 0))))))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
-    got: pd.DataFrame = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(known, "doc_id").select("doc_id", "text", "toxic").toPandas()
+    # about max_rows ids of either class, so they can be broadcast; an id that repeats counts once
+    sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(known), "doc_id")
+    got: pd.DataFrame = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
     got = got.sort_values(["doc_id", "text", "toxic"], kind="stable")
     raw, offsets = utf8(pa.array(got.text, pa.large_string()))
     return train(raw, offsets, got.toxic.to_numpy(np.int64))
