@@ -77,10 +77,12 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS,
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
     """Fit on about max_rows labelled rows outside the held-out fold."""
-    known = labels.filter((crc_mod("doc_id", folds) != held) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    known = labels.filter((crc_mod("doc_id", folds) != held) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     share = min(1.0, max_rows / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
-    sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(known, "doc_id")
+    # about max_rows ids, so they can be broadcast; an id that repeats counts once
+    sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
