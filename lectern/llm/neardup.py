@@ -180,7 +180,7 @@ class Forest:
     def confirmed(self, pairs: DataFrame, among: DataFrame) -> DataFrame:
         """Those pairs (a, b) of the given signatures whose full sets are similar enough."""
         pairs = checkpointed(self.likely(pairs, among))
-        full = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        full = self.sets_of(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))  # read twice there
         numerator = round(100 * self.share)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
