@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..functions import spans as S
 from ..functions import text as T
-from ..operators import classify, evaluate, ground, identity, latex, monitor, retrieve, sets
+from ..operators import classify, evaluate, geometry, ground, identity, latex, monitor, retrieve, revise, sets
 from ..operators.registry import Operator, Registry
 
 KEYWORDS = {"overview": ["that", "with"], "method": ["tion", "ing"], "results": ["ment", "ción"], "theory": ["the", "der"]}
@@ -396,6 +397,83 @@ def latex_figures(spark, d):
     return latex.resolve_assets(latex.figures(_tex(spark)), spark.createDataFrame(PAPER, "paper_id string, seq int, path string, content string"))
 
 
+# ------------------------------------------------------------------ gates, memory, export, spans
+
+_GENERAL = ", ".join(repr(w) for w in revise.GENERAL_WORDS)
+_NUMBERS_OF = "regexp_extract_all(coalesce({}, ''), '(?:^|[^A-Za-z0-9_])(\\d+(?:\\.\\d+)?%?)', 1)"
+
+
+@query(f"""WITH p AS (SELECT a.conv_id, b.turn, b.text AS c, a.text AS s FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE trim(coalesce(b.text, '')) <> ''),
+k AS (SELECT conv_id, turn, len(list_filter({_NUMBERS_OF.format("c")}, lambda x: NOT list_contains({_NUMBERS_OF.format("s")}, x))) AS lost, list_filter(list_distinct(regexp_extract_all(lower(c), '[a-z][a-z-]{{4,}}')), lambda w: w NOT IN ({_GENERAL})) AS w, {_STRICT.format("s")} AS body FROM p)
+SELECT conv_id, turn, lost = 0 AND NOT (len(w) >= 4 AND len(list_filter(w, lambda x: contains(body, x))) < ceil(len(w) * 0.2)) AS accepted FROM k""")
+def correction_gate(spark, d):
+    c = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    at = lambda shift: F.concat_ws(":", "conv_id", F.col("turn") + shift)
+    sources = c.select(at(1).alias("key"), "text")
+    return revise.gate_corrections(c.withColumn("key", at(0)).join(sources.select("key"), "key", "left_semi"), sources, "key").select("conv_id", "turn", "accepted")
+
+
+def _html_sql(c: str) -> str:
+    for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#039;")):
+        c = f"replace({c}, '{sign}', '{code}')"
+    return c
+
+
+@query(f"""SELECT doc_id, md5('<!doctype html><html><head><meta charset="utf-8"><title>Document ' || doc_id || '</title></head><body><h1>Document ' || doc_id || '</h1><section><h2>' || {_html_sql("coalesce(source, '')")} || '</h2><p>' || {_html_sql("coalesce(text, '')")} || '</p></section></body></html>') AS html_md5 FROM documents""")
+def html_export(spark, d):
+    page = revise.standalone_html(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.array(F.struct(F.col("source").alias("heading"), F.col("text").alias("text"))))
+    return _t(spark, d, "documents").select("doc_id", F.md5(page.cast("binary")).alias("html_md5"))
+
+
+@query()
+def fair_share_context(spark, d):
+    return revise.fair_shares(retrieve.top_chunks(_scores(spark, d)), retrieve.tasks(spark, KEYWORDS), 2000)
+
+
+@query()
+def memory_recall(spark, d):
+    said = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda s: s["text"])  # noqa: E731  the turns of one conversation
+    memory = _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("paper_id")).agg(said("assistant").alias("annotations"), said("user").alias("questions"))
+    return revise.recalled(memory.withColumn("sections", F.expr("cast(map() as map<string, string>)")), retrieve.tasks(spark, KEYWORDS))
+
+
+@query()
+def emphasis_spans(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.inline(S.emphasis(F.col("text"))))
+
+
+@query()
+def inline_math(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.inline(S.inline_math(F.col("text"))))
+
+
+@query()
+def split_titles(spark, d):
+    return _t(spark, d, "benchmark").select("item_id", S.split_title(F.col("text")).alias("title_lines"))
+
+
+#: Items of a page with a wrapped title, its authors and two columns.
+PAGE = (
+    [("d1", 1, 0, "A Long Study of", 100.0, 60.0, 300.0, 20.0), ("d1", 1, 1, "Sparse Attention", 100.0, 84.0, 300.0, 20.0), ("d1", 1, 2, "Ada B, Carl D, Eve F", 150.0, 112.0, 200.0, 17.5)]
+    + [("d1", 1, 3 + k, f"left {k}", 40.0, 200.0 + 20 * k, 200.0, 10.0) for k in range(4)]
+    + [("d1", 1, 7 + k, f"right {k}", 330.0, 200.0 + 20 * k, 200.0, 10.0) for k in range(4)]
+)
+
+
+def _page_lines(spark):
+    return geometry.lines(spark.createDataFrame(PAGE, "doc_id string, page int, seq int, text string, x double, y double, width double, height double"))
+
+
+@query()
+def page_lines(spark, d):
+    return geometry.reading_order(_page_lines(spark)).select("doc_id", "page", "order_no", "text")
+
+
+@query()
+def page_titles(spark, d):
+    return geometry.title_lines(_page_lines(spark))
+
+
 def registry() -> Registry:
     r = Registry()
     for name, stage, run, types in (
