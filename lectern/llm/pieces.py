@@ -30,7 +30,7 @@ from .core import BYTE, mix, row_blocks, span_hashes, utf8
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 17
 SHARPNESS = 1.0
-UNIT_BLOCK = 1 << 21
+UNIT_BLOCK = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = -1
 
