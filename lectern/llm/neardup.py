@@ -1,17 +1,16 @@
-"""MinHash near-dedup with an LSH forest: several signature orders, prefix neighbours, and a depth that
-adapts to how crowded a region is.
+"""MinHash near-dedup with a forest of trees of one depth, and an exact search where regions are crowded.
 
 1. A document's set is its distinct 4-word shingles, as 64-bit hashes. Documents of equal sets form one
    class, and only classes go on, so a group of exact copies, however large, is one node.
-2. Each class has a signature of HASHES MinHash values. A tree orders the signatures by a sequence of
-   hash values of its own; classes whose sequences agree in the first `depth` values are neighbours. The
-   first level has 25 trees of depth 5 and finds a pair of similarity 0.8 with probability 0.99995.
-3. In a region of at most CROWD neighbours all pairs are candidates. In a crowded one each member is
-   confirmed against the region's pivot, the smallest document. Members linked to one pivot need no
+2. Each class has a signature of HASHES MinHash values. A tree takes DEPTH of them, its own; classes that
+   agree in all of these share a region. TREES trees find a pair of similarity 0.8 with probability 0.99995.
+3. In a region of at most CROWD classes all pairs are candidates. In a crowded one each member is
+   confirmed against the region's pivot, the smallest document. Members that these links connect need no
    further link among themselves. If a region has few others, they are paired with all its members;
-   otherwise the members go down to the next level: deeper, so that regions are smaller, with more
-   trees, so that a similar pair is still found, and pairs only where they are not linked to one pivot
-   yet. So a group of near copies costs links in proportion to its size.
+   otherwise its members are searched exactly, by prefix filtering: with shingles in an order of rarity, two sets
+   of the wanted similarity share one that is early in both. Only pairs that aren't connected yet are made, so
+   a group of near copies costs links in proportion to its size, and one of documents that are like each
+   other but not enough hardly any, as what sets them apart is rare. How crowded a region is costs no recall.
 4. Candidates whose signatures agree too little for the threshold (by PRUNE standard errors), or whose
    sizes rule it out, are dropped; the others are confirmed on full sets: 100 * intersection >= 80 *
    union. Only documents with candidates are read again; a bitmap of fixed size keeps the others out.
@@ -41,9 +40,9 @@ HASHES = 128
 CROWD = 16
 FEW = 2
 PRUNE = 5.0
-#: Depth and number of trees of each level. Classes that agree in as many values as the last asks for are all but equal,
-#: so hardly any of them isn't linked to its pivot; there, all such are paired with their region.
-LEVELS = ((5, 25), (10, 64), (18, 96))
+DEPTH, TREES = 5, 25
+#: Counters of the exact search's order. Shingles that share one differ in their place only, not in what is found.
+COUNTERS = 1 << 20
 #: Bits of the bitmap of documents to read again: 1 MB, whatever the input.
 BITMAP = 1 << 23
 
@@ -52,15 +51,6 @@ _FACTORS = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) +
 _MASKS = _random.integers(0, 2**63, HASHES, dtype=np.uint64)
 
 
-def _orders(level: int) -> np.ndarray:
-    """The first positions of each tree's order of the hash values; those of level 0 don't overlap."""
-    depth, trees = LEVELS[level]
-    if depth * trees <= HASHES:
-        return np.arange(depth * trees).reshape(trees, depth)
-    rng = np.random.Generator(np.random.PCG64(100 + level))
-    return np.array([rng.permutation(HASHES)[:depth] for _ in range(trees)])
-
-
 def sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each distinct shingle, sorted."""
     return distinct(*shingles(*words(raw, offsets), k))
@@ -97,20 +87,26 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def _regions(level: int):
-    orders = _orders(level)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                s = _signatures(part.column("signature")).astype(np.uint64)
-                key = np.tile(np.arange(len(orders), dtype=np.uint64) * np.uint64(7919) + np.uint64(level), (len(s), 1))
-                for d in range(orders.shape[1]):
-                    key = mix(key ^ s[:, orders[:, d]]) + np.uint64(d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(c).to_numpy(), len(orders))) for c in ("node", "first_doc")] + [pa.array(key.ravel().view(np.int64))], ["node", "first_doc", "region"])
-
-    return run
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            part = batch.slice(i, 2048)
+            s = _signatures(part.column("signature")).astype(np.uint64)
+            key = np.tile(np.arange(TREES, dtype=np.uint64) * np.uint64(7919), (len(s), 1))
+            for d in range(DEPTH):
+                key = mix(key ^ s[:, d : DEPTH * TREES : DEPTH]) + np.uint64(d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(c).to_numpy(), TREES)) for c in ("node", "first_doc")] + [pa.array(key.ravel().view(np.int64))], ["node", "first_doc", "region"])
+
+
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of all sets fall on each counter; one row for each counter that has some."""
+    n = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for x in batch.column("x"):
+            np.add.at(n, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(n)
+    for i in range(0, len(at), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(n[at[i : i + (1 << 16)]])], ["counter", "n"])
 
 
 def _ordered(x: str | Column, y: str | Column) -> tuple[Column, Column]:
@@ -197,41 +193,70 @@ class Forest:
 
         return checkpointed(_both(pairs, full, "x").mapInArrow(run, "a long, b long"))
 
+    def exact(self, nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of (node, star) with different stars, all similar ones among them, by prefix filtering.
+
+        The order of the shingles is by how many of the nodes have them, as far as the counters tell. A set
+        and a larger one share a shingle that is in the first part of the smaller, which leaves 2 * share /
+        (1 + share) of it, and in that of the larger, which leaves share; and what follows it in either is
+        enough for the similarity. A shingle alone on its counter is in one set only and needs no row.
+        """
+        numerator = round(100 * self.share)
+        full = checkpointed(self.sets_of(nodes.select("node")).join(nodes, "node"))  # read twice
+        counted = full.select("x").mapInArrow(_counters, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()  # COUNTERS rows at most
+        often = np.zeros(COUNTERS, np.int64)
+        often[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+        shared = self.base.sparkSession.sparkContext.broadcast(often)
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            often = shared.value
+            for batch in batches:
+                for node, star, x in zip(batch.column("node").to_pylist(), batch.column("star").to_pylist(), batch.column("x"), strict=True):
+                    value = np.frombuffer(x.as_buffer(), np.uint64)
+                    size = len(value)
+                    seen = often[(value % np.uint64(COUNTERS)).astype(np.int64)]
+                    order = np.lexsort((value, seen))[: size + numerator * size // -100 + 1]
+                    at = np.flatnonzero(seen[order])
+                    early = at <= size + 2 * numerator * size // -(100 + numerator)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(value[order[at]].view(np.int64)), *(pa.array(np.full(len(at), v, np.int64)) for v in (node, star)), pa.array(np.full(len(at), size, np.int32)), pa.array(at.astype(np.int32)), pa.array(early)],
+                        ["shingle", "node", "star", "size", "at", "early"],
+                    )
+
+        rows = checkpointed(full.mapInArrow(prefixes, "shingle long, node long, star long, size int, at int, early boolean"))
+        # shingles of one star only can't give a pair; of the others, the join makes just the pairs that are enough
+        shared_by = rows.groupBy("shingle").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high")
+        rows = checkpointed(rows.join(shared_by, "shingle", "left_semi"))
+        less = rows.filter("early").select("shingle", "star", F.col("node").alias("a"), F.col("size").alias("na"), F.col("at").alias("ia"))
+        more = rows.select("shingle", F.col("star").alias("other"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("at").alias("ib"))
+        enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + numerator) >= numerator * (F.col("na") + F.col("nb"))
+        return less.join(more, "shingle").filter((F.col("star") != F.col("other")) & (F.struct("na", "a") < F.struct("nb", "b")) & enough).select(*_ordered("a", "b")).distinct()
+
     def links(self, crowd: int = CROWD, few: int = FEW) -> DataFrame:
         """Confirmed pairs (a, b) of nodes that connect all similar classes."""
-        found, done = [], []
-        here = self.signatures
-        star = None  # node and the smallest document of a pivot that it is linked to
-        for level in range(len(LEVELS)):
-            rows = here.select("node", "first_doc", "signature").mapInArrow(_regions(level), "node long, first_doc long, region long")
-            sized = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("first_doc").alias("first")).filter("n > 1")
-            members = rows.join(sized, "region").select("region", "node", "n", "first", "first_doc", (F.col("first_doc") == F.col("first")).alias("is_first"))
-            members = members.withColumn("star", F.col("first_doc")) if star is None else members.join(star, "node", "left").withColumn("star", F.coalesce("star", "first_doc"))
-            members = checkpointed(members)
-            small = members.filter(F.col("n") <= crowd).groupBy("region").agg(F.sort_array(F.collect_set(F.struct("node", "star"))).alias("all"))  # crowd nodes at most
-            near = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: y["star"] != x["star"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-            found.append(small.select(F.explode(near).alias("p")).select(*_ordered("p.a", "p.b")))
-            large = members.filter(F.col("n") > crowd)
-            if large.isEmpty():
-                break
-            pivot = large.filter("is_first").groupBy("region").agg(F.min(F.struct("node", "star")).alias("p"))
-            large = checkpointed(large.join(pivot, "region").select("region", "node", "star", "first", F.col("p.node").alias("pivot"), F.col("p.star").alias("main")))
-            linked = self.confirmed(large.filter("star <> main").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), here)
+        rows = self.signatures.select("node", "first_doc", "signature").mapInArrow(_regions, "node long, first_doc long, region long")
+        sized = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("first_doc").alias("first")).filter("n > 1")
+        members = checkpointed(rows.join(sized, "region").select("region", "node", "n", (F.col("first_doc") == F.col("first")).alias("is_first")))
+        small = members.filter(F.col("n") <= crowd).groupBy("region").agg(F.sort_array(F.collect_set("node")).alias("all"))  # crowd nodes at most
+        near = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        found, done = [small.select(F.explode(near).alias("p")).select(*_ordered("p.a", "p.b"))], []
+        large = members.filter(F.col("n") > crowd)
+        if not large.isEmpty():
+            pivot = large.filter("is_first").groupBy("region").agg(F.min("node").alias("pivot"))
+            large = checkpointed(large.select("region", "node").distinct().join(pivot, "region"))
+            linked = self.confirmed(large.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), self.signatures)
             done.append(linked)
-            pivots = large.select(F.col("pivot").alias("b"), "first").distinct()
-            ends = linked.join(pivots, "b").select(F.col("a").alias("node"), F.col("first").alias("star"))
-            star = checkpointed((ends if star is None else ends.unionByName(star)).groupBy("node").agg(F.min("star").alias("star")))
-            told = large.filter("star <> main").join(linked.select(F.col("a").alias("node"), F.col("b").alias("pivot")), ["node", "pivot"], "left_anti").select("region", "node")
-            last = level == len(LEVELS) - 1
+            # what these links connect has one star, and needs no further link
+            star = checkpointed(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "star"))
+            large = large.join(star, "node", "left").join(star.select(F.col("node").alias("pivot"), F.col("star").alias("main")), "pivot", "left")
+            large = checkpointed(large.select("region", "node", F.coalesce("star", "node").alias("star"), F.coalesce("main", "pivot").alias("main")))
+            told = large.filter("star <> main").select("region", F.col("node").alias("other"), F.col("star").alias("its"))
             opened = checkpointed(told.groupBy("region").agg(F.count("*").alias("n_open")))
-            rest = told if last else told.join(opened.filter(F.col("n_open") <= few), "region", "left_semi")
-            found.append(large.select("region", "node").join(rest.withColumnRenamed("node", "other"), "region").filter("node <> other").select(*_ordered("node", "other")))
-            if last:
-                break
-            crowded = large.select("region", "node").join(opened.filter(F.col("n_open") > few), "region", "left_semi").select("node").distinct()
-            here = checkpointed(self.signatures.join(crowded, "node", "left_semi"))
-            if here.isEmpty():
-                break
+            rest = told.join(opened.filter(F.col("n_open") <= few), "region", "left_semi")
+            found.append(large.join(rest, "region").filter("star <> its").select(*_ordered("node", "other")))
+            crowded = checkpointed(large.join(opened.filter(F.col("n_open") > few), "region", "left_semi").select("node", "star").distinct())
+            if not crowded.isEmpty():
+                found.append(self.exact(crowded))
         done.append(self.confirmed(reduce(DataFrame.unionByName, found).distinct(), self.signatures))
         return reduce(DataFrame.unionByName, done)
 

@@ -314,6 +314,37 @@ def test_crowded_group_of_near_copies(spark):
     assert sum(got[i] != want[i] for i in got) <= 1
 
 
+def template_group(n, size, change, pairs, seed):
+    """Documents of one template that differ in so many words, and for each of some a copy of similarity 0.8 or a little more."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{i}" for i in range(size + 3)]
+    rows, links = [], []
+    for i in range(n):
+        w = list(base)
+        for p in rng.choice(np.arange(3, size, 4), change, replace=False):
+            w[p] = f"x{i}_{p}"
+        rows.append((i, " ".join(w)))
+        if i < pairs:
+            # a changed word away from the others costs each set four shingles
+            v = list(w)
+            for p in rng.choice(np.arange(3, size, 4), size // 36, replace=False):
+                v[p] = f"y{i}_{p}"
+            if len(shingle_set(" ".join(v), 4) & shingle_set(" ".join(w), 4)) * 100 >= 80 * len(shingle_set(" ".join(v), 4) | shingle_set(" ".join(w), 4)):
+                rows.append((n + i, " ".join(v)))
+                links.append((i, n + i))
+    return rows, links
+
+
+def test_similar_pairs_in_a_crowded_template_group(spark):
+    rows, links = template_group(600, 396, 8, 150, 4)
+    sets = [shingle_set(t, 4) for i, t in rows if i < 20]
+    like = [len(a & b) / len(a | b) for k, a in enumerate(sets) for b in sets[:k] if a is not b]
+    assert len(links) > 100 and 0.7 < np.mean(like) < 0.75
+    want = brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- 9 fingerprints
 
 
