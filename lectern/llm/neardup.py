@@ -1,54 +1,61 @@
-"""MinHash near-dedup with a forest of trees of one depth, and an exact search where regions are crowded.
+"""MinHash near-dedup with an LSH forest of sorted signature orders, and an exact search where it is crowded.
 
 1. A document's set is its distinct 4-word shingles, as 64-bit hashes. Documents of equal sets form one
    class, and only classes go on, so a group of exact copies, however large, is one node.
-2. Each class has a signature of HASHES MinHash values. A tree takes DEPTH of them, its own; classes that
-   agree in all of these share a region. TREES trees find a pair of similarity 0.8 with probability 0.99995.
-3. In a region of at most CROWD classes all pairs are candidates. In a crowded one each member is
-   confirmed against the region's pivot, the smallest document. Members that these links connect need no
-   further link among themselves. If a region has few others, they are paired with all its members;
-   otherwise its members are searched exactly, by prefix filtering: with shingles in an order of rarity, two sets
-   of the wanted similarity share one that is early in both. Only pairs that aren't connected yet are made, so
-   a group of near copies costs links in proportion to its size, and one of documents that are like each
-   other but not enough hardly any, as what sets them apart is rare. How crowded a region is costs no recall.
-4. Candidates whose signatures agree too little for the threshold (by PRUNE standard errors), or whose
-   sizes rule it out, are dropped; the others are confirmed on full sets: 100 * intersection >= 80 *
-   union. Only documents with candidates are read again; a bitmap of fixed size keeps the others out.
-5. Components by alternating large-star and small-star steps, each cut by a checkpoint.
+2. Each class has a signature of HASHES MinHash values. Each of TREES trees puts LENGTH of them into an order of
+   its own, the first ones in no other tree, and all classes are sorted by it: range partitions over (tree, label),
+   sorted, so that classes with a long common prefix are neighbours. Ranges are of equal size, as the class
+   itself ends the key; what a cut between two ranges parts is handled like a crowded region.
+3. The depth of a region depends on how many classes it holds. Where at most CROWD share the first SHALLOW values, all pairs
+   are candidates; where more do, those that share DEEP values, if they are CROWD at most (a pair of similarity
+   0.8 is missed by all trees with 0.00005 at DEEP, 0.000002 at SHALLOW). In a region more crowded yet, the neighbours in
+   the sorted order, which have the longest common prefix, are confirmed first, in FIRST trees. Classes that
+   these links connect have one star, and need no further link among themselves.
+4. Crowded regions that hold several stars still are searched exactly, by prefix filtering: with shingles
+   in an order of rarity, two sets of the wanted similarity share one that is early in both. So how crowded
+   a region is costs no recall, and a group of near copies costs links in proportion to its size.
+5. Candidates of different stars whose signatures agree too little for the threshold (by PRUNE standard errors), or
+   whose sizes rule it out, are dropped; the others are confirmed on full sets: 100 * intersection >= 80 *
+   union. Only documents with candidates are read again; a bitmap of fixed size keeps most others out.
+6. Components by alternating large-star and small-star steps, each cut by a checkpoint.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing. Fewer
-than four words make one shingle. Rows that share a doc_id are one document. A null doc_id is linked
-through its equal texts only, and belongs to the smallest id of their component (null without one).
-Extra columns are ignored. An empty table gives no rows.
+than four words make one shingle. Rows are linked by their texts, whatever their ids; a component's id is the
+smallest doc_id in it, and null if it has none. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import BLOCK, checkpointed, distinct, mix, row_blocks, shingles, utf8, words
+from .core import BLOCK, checkpointed, distinct, mix, row_blocks, shingles, shuffle_parts, utf8, words
 
 SHINGLE = 4
 SHARE = 0.8
 HASHES = 128
 CROWD = 16
-FEW = 2
-PRUNE = 5.0
-DEPTH, TREES = 5, 25
+PRUNE = 8.0
+TREES, SHALLOW, DEEP, LENGTH = 25, 4, 5, 12
+FIRST = 4
+#: Rows of one range of the sorted orders, about.
+RANGE = 1 << 20
+SALT = 16
 #: Counters of the exact search's order. Shingles that share one differ in their place only, not in what is found.
 COUNTERS = 1 << 20
-#: Bits of the bitmap of documents to read again: 1 MB, whatever the input.
-BITMAP = 1 << 23
+#: Bits of the bitmap of documents to read again: 4 MB, whatever the input.
+BITMAP = 1 << 25
 
 _random = np.random.Generator(np.random.PCG64(5))
 _FACTORS = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _random.integers(0, 2**63, HASHES, dtype=np.uint64)
+#: Which values make a tree's label, in order.
+_ORDERS = np.array([[*range(DEEP * t, DEEP * t + DEEP), *(h for h in _random.permutation(HASHES) if not DEEP * t <= h < DEEP * t + DEEP)][:LENGTH] for t in range(TREES)])
+_KEY = 1 + 2 * LENGTH + 8  # bytes: tree, label, node
 
 
 def sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +85,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 least = np.minimum.reduceat(((value ^ _MASKS[h]) * _FACTORS[h]) >> np.uint64(16), cut)
                 signature[some, h] = mix(least).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(digest), pa.array([x.tobytes() if m else None for x, m in zip(signature, n, strict=True)], pa.binary())],
-                ["doc_id", "n_shingles", "node", "signature"],
+                [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "text_key")), pa.array(n), pa.array(digest), pa.array([x.tobytes() if m else None for x, m in zip(signature, n, strict=True)], pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "node", "signature"],
             )
 
 
@@ -87,15 +94,72 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class and tree the bytes to sort by: tree, label, node."""
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
-            s = _signatures(part.column("signature")).astype(np.uint64)
-            key = np.tile(np.arange(TREES, dtype=np.uint64) * np.uint64(7919), (len(s), 1))
-            for d in range(DEPTH):
-                key = mix(key ^ s[:, d : DEPTH * TREES : DEPTH]) + np.uint64(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(c).to_numpy(), TREES)) for c in ("node", "first_doc")] + [pa.array(key.ravel().view(np.int64))], ["node", "first_doc", "region"])
+            signature = _signatures(part.column("signature"))
+            out = np.empty((len(signature), TREES, _KEY), np.uint8)
+            out[:, :, 0] = np.arange(TREES)
+            out[:, :, 1:-8] = np.ascontiguousarray(signature[:, _ORDERS].astype(">u2")).view(np.uint8)
+            out[:, :, -8:] = np.ascontiguousarray(part.column("node").to_numpy().astype(">i8")).view(np.uint8).reshape(-1, 1, 8)
+            at = pa.array(np.arange(len(signature) * TREES + 1, dtype=np.int32) * _KEY)
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(signature) * TREES, [None, at.buffers()[1], pa.py_buffer(out)])], ["key"])
+
+
+def _all_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within runs of a bounded size."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        at = start[size == n][:, None]
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What one sorted range tells, as (kind, a, b): pairs of a small region, pairs of neighbours in a crowded one, and its members (node, region)."""
+    held = []
+    for batch in batches:
+        column = batch.column("key")
+        held.append(np.frombuffer(column.buffers()[2], np.uint8)[column.offset * _KEY : (column.offset + len(column)) * _KEY].reshape(-1, _KEY))
+    if not held or not sum(map(len, held)):
+        return
+    key = np.concatenate(held)
+    n = len(key)
+    same = np.minimum.accumulate(key[1:, :-8] == key[:-1, :-8], axis=1).sum(axis=1)
+    depth = np.r_[0, (same - 1) // 2]  # values that a key shares with the one before it
+    node = np.ascontiguousarray(key[:, -8:]).view(">i8").ravel().astype(np.int64)
+
+    def runs(least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start = np.flatnonzero(np.r_[True, depth[1:] < least])
+        size = np.diff(np.r_[start, n])
+        cut = np.zeros(len(start), bool)
+        cut[[0, -1]] = True  # may go on in another range
+        return start, size, (size <= CROWD) & ~cut
+
+    start, size, few = runs(SHALLOW)
+    pairs = [_all_pairs(start[few], size[few])]
+    done = np.repeat(few, size)
+    start, size, few = runs(DEEP)
+    rest = ~done[start]
+    pairs.append(_all_pairs(start[rest & few], size[rest & few]))
+    crowded = np.repeat(rest & ~few, size)
+    left, right = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    next_to = np.flatnonzero(crowded & (depth >= DEEP) & (key[:, 0] < FIRST))
+    at = np.flatnonzero(crowded)
+    prefix = np.zeros((len(at), 16), np.uint8)
+    prefix[:, : 1 + 2 * DEEP] = key[at, : 1 + 2 * DEEP]
+    prefix = prefix.view(np.uint64)
+    region = mix(prefix[:, 0] ^ mix(prefix[:, 1] + np.uint64(1))).view(np.int64)
+    for kind, a, b in ((0, node[left], node[right]), (1, node[next_to - 1], node[next_to]), (2, node[at], region)):
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            if kind < 2:
+                x, y = np.minimum(x, y), np.maximum(x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y)], ["kind", "a", "b"])
 
 
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,17 +189,17 @@ class Forest:
     def __init__(self, docs: DataFrame, share: float = SHARE):
         self.base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.share = share
-        self.rows = checkpointed(self.base.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, signature binary"))
-        self.classes = checkpointed(self.rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n")).filter("first_doc is not null"))
-        own = self.rows.filter("n_shingles > 0").select("node", F.col("doc_id").alias("first_doc"), "signature")
-        # one row for each class, but where a document's row is repeated
-        self.signatures = checkpointed(own.join(self.classes, ["node", "first_doc"]).select("node", "first_doc", "n", "signature"))
-
-    def likely(self, pairs: DataFrame, among: DataFrame) -> DataFrame:
-        """Those pairs of the given signatures whose sizes and hash values allow a link."""
+        text_key = F.xxhash64("text").alias("text_key")
+        self.rows = checkpointed(self.base.select("*", text_key).mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, node long, signature binary"))
+        # equal sets have equal signatures
+        own = self.rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature"))
+        self.classes = checkpointed(own)
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs whose sizes and hash values allow a link."""
         least = (self.share - PRUNE * (self.share * (1 - self.share) / HASHES) ** 0.5) * HASHES
         near = F.least("xa.n", "xb.n") * 100 >= F.greatest("xa.n", "xb.n") * round(100 * self.share)
-        both = _both(pairs, among.select("node", F.struct("n", "signature").alias("x")), "x").filter(near).select("a", "b", F.col("xa.signature").alias("sa"), F.col("xb.signature").alias("sb"))
+        both = _both(pairs, self.classes.select("node", F.struct("n", "signature").alias("x")), "x").filter(near).select("a", "b", F.col("xa.signature").alias("sa"), F.col("xb.signature").alias("sb"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -173,10 +237,13 @@ class Forest:
         found = self.base.select(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("bit"), "text").mapInArrow(full, "node long, x binary")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    def confirmed(self, pairs: DataFrame, among: DataFrame) -> DataFrame:
-        """Those pairs (a, b) of the given signatures whose full sets are similar enough."""
-        pairs = checkpointed(self.likely(pairs, among))
-        full = self.sets_of(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))  # read twice there
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose full sets are similar enough."""
+        pairs = checkpointed(self.likely(pairs))
+        if pairs.isEmpty():
+            return pairs
+        ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+        full = self.sets_of(checkpointed(ends))  # read twice there
         numerator = round(100 * self.share)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,41 +291,33 @@ class Forest:
                     )
 
         rows = checkpointed(full.mapInArrow(prefixes, "shingle long, node long, star long, size int, at int, early boolean"))
-        # shingles of one star only can't give a pair; of the others, the join makes just the pairs that are enough
-        shared_by = rows.groupBy("shingle").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high")
-        rows = checkpointed(rows.join(shared_by, "shingle", "left_semi"))
-        less = rows.filter("early").select("shingle", "star", F.col("node").alias("a"), F.col("size").alias("na"), F.col("at").alias("ia"))
-        more = rows.select("shingle", F.col("star").alias("other"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("at").alias("ib"))
+        # Shingles of one star only can't give a pair. Of the others, the star with most of a shingle's rows is compared with the
+        # other stars' rows, and these with each other, so that rows of a large star don't meet; the join makes just the pairs that are enough
+        by_star = rows.groupBy("shingle", "star").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("star", F.struct("n", "star")).alias("most"), F.count("*").alias("n")).filter("n > 1")
+        rows = checkpointed(rows.join(by_star.select("shingle", "most"), "shingle").withColumn("main", F.col("star") == F.col("most")).drop("most"))
+        against = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+        less = rows.filter("early").select("shingle", F.explode(against).alias("main"), "star", F.col("node").alias("a"), F.col("size").alias("na"), F.col("at").alias("ia"))
+        more = rows.select("shingle", "main", F.col("star").alias("other"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("at").alias("ib"))
         enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + numerator) >= numerator * (F.col("na") + F.col("nb"))
-        return less.join(more, "shingle").filter((F.col("star") != F.col("other")) & (F.struct("na", "a") < F.struct("nb", "b")) & enough).select(*_ordered("a", "b")).distinct()
+        return less.join(more, ["shingle", "main"]).filter((F.col("star") != F.col("other")) & (F.struct("na", "a") < F.struct("nb", "b")) & enough).select(*_ordered("a", "b")).distinct()
 
-    def links(self, crowd: int = CROWD, few: int = FEW) -> DataFrame:
+    def links(self) -> DataFrame:
         """Confirmed pairs (a, b) of nodes that connect all similar classes."""
-        rows = self.signatures.select("node", "first_doc", "signature").mapInArrow(_regions, "node long, first_doc long, region long")
-        sized = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("first_doc").alias("first")).filter("n > 1")
-        members = checkpointed(rows.join(sized, "region").select("region", "node", "n", (F.col("first_doc") == F.col("first")).alias("is_first")))
-        small = members.filter(F.col("n") <= crowd).groupBy("region").agg(F.sort_array(F.collect_set("node")).alias("all"))  # crowd nodes at most
-        near = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        found, done = [small.select(F.explode(near).alias("p")).select(*_ordered("p.a", "p.b"))], []
-        large = members.filter(F.col("n") > crowd)
-        if not large.isEmpty():
-            pivot = large.filter("is_first").groupBy("region").agg(F.min("node").alias("pivot"))
-            large = checkpointed(large.select("region", "node").distinct().join(pivot, "region"))
-            linked = self.confirmed(large.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), self.signatures)
-            done.append(linked)
-            # what these links connect has one star, and needs no further link
-            star = checkpointed(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "star"))
-            large = large.join(star, "node", "left").join(star.select(F.col("node").alias("pivot"), F.col("star").alias("main")), "pivot", "left")
-            large = checkpointed(large.select("region", "node", F.coalesce("star", "node").alias("star"), F.coalesce("main", "pivot").alias("main")))
-            told = large.filter("star <> main").select("region", F.col("node").alias("other"), F.col("star").alias("its"))
-            opened = checkpointed(told.groupBy("region").agg(F.count("*").alias("n_open")))
-            rest = told.join(opened.filter(F.col("n_open") <= few), "region", "left_semi")
-            found.append(large.join(rest, "region").filter("star <> its").select(*_ordered("node", "other")))
-            crowded = checkpointed(large.join(opened.filter(F.col("n_open") > few), "region", "left_semi").select("node", "star").distinct())
-            if not crowded.isEmpty():
-                found.append(self.exact(crowded))
-        done.append(self.confirmed(reduce(DataFrame.unionByName, found).distinct(), self.signatures))
-        return reduce(DataFrame.unionByName, done)
+        parts = max(shuffle_parts(self.base.sparkSession), -(-self.classes.count() * TREES // RANGE))
+        keys = self.classes.select("node", "signature").mapInArrow(_keys, "key binary")
+        told = checkpointed(keys.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(_neighbours, "kind byte, a long, b long"))
+        linked = self.confirmed(told.filter("kind = 1").select("a", "b").distinct())
+        # what these links connect has one star, and needs no further link
+        star = checkpointed(components(linked.toDF("u", "v")).withColumnRenamed("component", "star"))
+        of = lambda end: star.select(F.col("node").alias(end), F.col("star").alias(f"star_{end}"))
+        near = told.filter("kind = 0").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+        near = near.filter(F.coalesce("star_a", "a") != F.coalesce("star_b", "b")).select("a", "b")
+        members = checkpointed(told.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("region")).join(star, "node", "left").withColumn("star", F.coalesce("star", "node")))
+        mixed = members.groupBy("region").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high")
+        # a region may hold a large share of all classes, so its members are dealt out by a salt
+        salted = mixed.select("region", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        crowded = checkpointed(members.withColumn("salt", F.pmod("node", F.lit(SALT)).cast("int")).join(salted, ["region", "salt"], "left_semi").select("node", "star").distinct())
+        return linked.unionByName(self.confirmed(near if crowded.isEmpty() else near.unionByName(self.exact(crowded)).distinct()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -280,21 +339,44 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpointed(small.filter("u <> v").distinct())
 
 
+def _named(forest: Forest) -> DataFrame:
+    """All rows of the forest with their class's first_doc, whether the class is its component's first one, and the component's first doc_id."""
+    label = components(forest.links().toDF("u", "v"))
+    parts = checkpointed(label.unionByName(label.select(F.col("component").alias("node"), "component").distinct()))
+    first = parts.join(forest.classes.select("node", "first_doc"), "node").groupBy("component").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "node")).alias("first"))
+    leads = parts.join(first, "component").select("node", F.col("first.first_doc").alias("component_id"), (F.col("node") == F.col("first.node")).alias("leads"), F.lit(True).alias("linked"))
+    # of classes without links only those of several rows say more than the rows do
+    classes = forest.classes.select("node", "first_doc").join(leads, "node", "left")
+    classes = classes.select("node", "first_doc", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_doc")).alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
+    return forest.rows.select("doc_id", "text_key", "n_shingles", "node").join(classes, "node", "left")
+
+
 def near_duplicates(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs."""
-    forest = Forest(docs, share)
-    first = forest.classes.select("node", "first_doc")
-    ends = (first.select(F.col("node").alias(c), F.col("first_doc").alias(d)) for c, d in (("a", "u"), ("b", "v")))
-    edges = reduce(lambda x, y: x.join(y[0], y[1]), zip(ends, ("a", "b"), strict=True), forest.links()).filter("u <> v").select("u", "v")
-    label = components(edges)
-    named = forest.rows.select("doc_id", "n_shingles", "node").join(first, "node", "left").join(label.withColumnRenamed("node", "first_doc"), "first_doc", "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "first_doc", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = _named(Forest(docs, share)).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def representatives(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of docs, with all their columns, that stay: of each component the document with the smallest id."""
-    gone = near_duplicates(docs, share).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")), "left_anti")
+    """The rows of docs, with all their columns, that stay: of each component the document with the smallest id.
+
+    Each row is decided by its own id and text, so rows that share an id with one that goes may stay. Where no row of a
+    component has an id, one text of it stays, once. Rows without words stay.
+    """
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    named = _named(Forest(docs, share)).filter("n_shingles > 0")
+    least = named.filter("first_doc is null and leads").groupBy("node").agg(F.min("text_key").alias("least_key"))
+    named = named.join(least, "node", "left")
+    stays = F.col("leads") & F.when(F.col("first_doc").isNull(), F.col("text_key") == F.col("least_key")).otherwise(F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False)))
+    gone = named.filter(~stays).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    own = own.withColumn("text_key", F.xxhash64(text))
+    left = own.join(gone, doc_id.cast("long").eqNullSafe(F.col("gone_id")) & F.col("text_key").eqNullSafe(F.col("gone_key")), "left_anti")
+    worded = F.coalesce(text.rlike("[^ \\t-\\r]"), F.lit(False))
+    # equal rows without an id have nothing to tell them apart; the scan for them skips what has ids
+    once = left.filter(doc_id.isNull() & worded).dropDuplicates(["text_key"])
+    return left.filter(doc_id.isNotNull() | ~worded).unionByName(once).drop("text_key").toDF(*names)
 
 
 ORACLE = """

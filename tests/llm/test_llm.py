@@ -311,7 +311,69 @@ def test_crowded_group_of_near_copies(spark):
         rows.append((1000 - i, " ".join(w)))
     want = brute_components(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i] != want[i] for i in got) <= 1
+    assert got == want
+
+
+def test_one_region_in_many_ranges(spark, monkeypatch):
+    """Cuts between the sorted ranges lose no link, however small the ranges."""
+    monkeypatch.setattr(neardup, "RANGE", 60)
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}_{i}" for i in range(60)]
+        for i in range(5):
+            w = list(base)
+            for p in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+                w[p] = f"x{g}_{i}_{p}"
+            rows.append((g * 10 + i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_sorted_neighbours_by_brute_force():
+    """Regions, candidates and members of one sorted range, from the labels themselves."""
+    rng = np.random.default_rng(1)
+    signature = rng.integers(0, 3, (200, neardup.HASHES), dtype=np.uint16)
+    signature[50:90] = signature[50]  # one crowded region in each tree
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(200)), pa.array([x.tobytes() for x in signature])], ["node", "signature"])
+    keys = sorted(k for b in neardup._keys(iter([batch])) for k in b.column("key").to_pylist())
+    got = {0: set(), 1: set(), 2: set()}
+    for b in neardup._neighbours(iter([pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])])):
+        for kind, x, y in zip(*(b.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
+            got[kind].add((x, y))
+    pairs, next_to, members = set(), set(), {}
+    node = lambda k: int.from_bytes(k[-8:], "big", signed=True)
+    by = lambda depth, some: [[k for k in some if k[: 1 + 2 * depth] == p] for p in sorted({k[: 1 + 2 * depth] for k in some})]
+    edge = lambda part: keys[0] in part or keys[-1] in part
+    both = lambda part: {tuple(sorted((node(x), node(y)))) for i, x in enumerate(part) for y in part[:i]}
+    for shallow in by(neardup.SHALLOW, keys):
+        if len(shallow) <= neardup.CROWD and not edge(shallow):
+            pairs |= both(shallow)
+            continue
+        for deep in by(neardup.DEEP, shallow):
+            if len(deep) <= neardup.CROWD and not edge(deep):
+                pairs |= both(deep)
+            else:
+                members.update({(node(k), deep[0][:11]): 0 for k in deep})
+                next_to |= {tuple(sorted((node(x), node(y)))) for x, y in zip(deep, deep[1:], strict=False) if x[0] < neardup.FIRST}
+    assert got[0] == pairs and got[1] == next_to and len(pairs) > 20 and len(next_to) >= 39
+    assert sorted(x for x, _ in got[2]) == sorted(x for x, _ in members) and len({r for _, r in got[2]}) == len({r for _, r in members})
+
+
+def test_rows_without_ids_and_clashing_names(spark):
+    """Each row is decided by itself: null ids, repeated ids, and columns that are called like the operator's own."""
+    t, u = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    v, near = " ".join(f"c{i}" for i in range(40)), " ".join([f"c{i}" for i in range(39)] + ["x"])
+    rows = [(1, t), (None, t), (None, u), (None, v), (None, near), (None, v), (4, None), (None, ""), (None, None), (7, t), (7, "seven alone it is"), (9, "seven alone it is")]
+    df = spark.createDataFrame([(*r, 1, 2, "n") for r in rows], "doc_id long, text string, gone_id long, text_key long, node string")
+    got = neardup.representatives(df)
+    assert got.columns == df.columns
+    left = sorted(((r.doc_id or 0, r.text or "") for r in got.collect()))
+    one_of = [x for x in left if x[1] in (v, near)]
+    assert len(one_of) == 1 and [x for x in left if x not in one_of] == sorted([(1, t), (0, u), (4, ""), (0, ""), (0, ""), (7, "seven alone it is")])
+    every = neardup.near_duplicates(df).collect()
+    assert len(every) == len(rows) and {r.component_id for r in every if r.doc_id == 9} == {7}
+    assert sorted(r.component_id or 0 for r in every if r.doc_id is None) == [0, 0, 0, 0, 0, 0, 1]
 
 
 def template_group(n, size, change, pairs, seed):
