@@ -16,10 +16,13 @@ minimum: their candidates are exact.
 
 Words are runs of characters other than white space, A-Z in lower case. Items shorter than the shingle
 are one shingle of all their words, matched against runs of as many words. The benchmark is cut into
-blocks of BLOCK_SHINGLES; each block is broadcast in turn, so what is broadcast has a bound.
+blocks of BLOCK_SHINGLES at most (a longer item stands alone); if there are several, each is broadcast, searched and
+removed in turn, so what is broadcast has a bound.
 
 Defined results: null texts, and items or documents without words, match nothing. Repeated rows of
-documents or items give repeated results. Extra columns are ignored.
+documents or items give repeated results. A null doc_id is reported as null; `clean` decides each row by its
+text, so null and repeated ids don't matter. Extra columns are ignored by `contaminated` and kept by `clean`,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import BLOCK, distinct, mix, row_blocks, shingles, utf8, words
+from .core import BLOCK, checkpointed, distinct, mix, row_blocks, shingles, utf8, words
 
 SHINGLE = 5
 SHARE = 0.8
@@ -146,54 +150,100 @@ def item_shingles(ids: list[int], texts: list[str], k: int = SHINGLE) -> list[tu
     return out
 
 
+def _blocks(benchmark: DataFrame, k: int, bins: int) -> Iterator[Block]:
+    """The items in blocks of BLOCK_SHINGLES at most, unless a single item has more."""
+
+    def items() -> Iterator[tuple[int, np.ndarray, int]]:
+        chunk: list = []
+        size = 0
+        for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():  # one partition at a time
+            chunk.append(r)
+            size += len(r.text or "") + 1
+            if size > BLOCK:
+                yield from item_shingles([c[0] for c in chunk], [c[1] for c in chunk], k)
+                chunk, size = [], 0
+        yield from item_shingles([c[0] for c in chunk], [c[1] for c in chunk], k)
+
+    held: list[tuple[int, np.ndarray, int]] = []
+    size = 0
+    for item in items():
+        if held and size + len(item[1]) > BLOCK_SHINGLES:
+            yield Block(held, bins)
+            held, size = [], 0
+        held.append(item)
+        size += len(item[1])
+    if held:
+        yield Block(held, bins)
+
+
+def _held(block: Block, raw: np.ndarray, offsets: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, item, its size and what was found of it, for each row of the texts that holds an item."""
+    for i, j in row_blocks(offsets, BLOCK):
+        for row, item, n in block.find(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+            size = block.sizes[item]
+            keep = n >= share * size - 1e-9
+            yield row[keep] + i, item[keep], size[keep], n[keep]
+
+
+def _searched(docs: DataFrame, shared, share: float) -> DataFrame:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        for batch in batches:
+            for row, item, size, n in _held(block, *utf8(batch.column("text")), share):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("text_key").take(at), batch.column("doc_id").take(at), pa.array([block.ids[x] for x in item], pa.int64()), pa.array(size.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(n / size)],
+                    ["text_key", "doc_id", "item_id", "n_item_shingles", "n_found", "containment"],
+                )
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return keyed.mapInArrow(of, f"text_key long, {_SCHEMA}")
+
+
+def _found(docs: DataFrame, blocks: Iterator[Block], share: float) -> DataFrame:
+    """What all blocks find. A single block is searched lazily; of several each is searched at once, and its broadcast removed."""
+    found: list[DataFrame] = []
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        found.append(_searched(docs, shared, share))
+        if after is not None or len(found) > 1:
+            found[-1] = checkpointed(found[-1])
+            shared.destroy()
+        block = after
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], f"text_key long, {_SCHEMA}")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, k: int = SHINGLE, bins: int = BINS) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_found, containment: a row for each document that holds an item."""
-    spark = docs.sparkSession
+    return _found(docs, _blocks(benchmark, k, bins), share).drop("text_key")
 
-    def search(shared):
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shared.value
+
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, k: int = SHINGLE, bins: int = BINS) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns. Each row is decided by its own text, whatever its id."""
+    blocks = _blocks(benchmark, k, bins)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    names = docs.columns
+    place = names.index("text")
+    if second is None:  # nothing is joined
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw, offsets = utf8(batch.column("text"))
-                ids = batch.column("doc_id")
-                for i, j in row_blocks(offsets, BLOCK):
-                    for row, item, n in block.find(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                        size = block.sizes[item]
-                        keep = n >= share * size - 1e-9
-                        row, item, n, size = row[keep], item[keep], n[keep], size[keep]
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(row + i)), pa.array([block.ids[x] for x in item], pa.int64()), pa.array(size.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(n / size)],
-                            ["doc_id", "item_id", "n_item_shingles", "n_found", "containment"],
-                        )
-
-        return of
-
-    found = []
-    held: list[tuple[int, np.ndarray, int]] = []
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator()  # one partition at a time
-    chunk: list = []
-
-    def flush():
-        if held:
-            found.append(docs.select("doc_id", "text").mapInArrow(search(spark.sparkContext.broadcast(Block(held, bins))), _SCHEMA))
-
-    for r in rows:
-        chunk.append(r)
-        if len(chunk) == 10_000:
-            held += item_shingles([c[0] for c in chunk], [c[1] for c in chunk], k)
-            chunk = []
-            if sum(len(s) for _, s, _ in held) >= BLOCK_SHINGLES:
-                flush()
-                held = []
-    held += item_shingles([c[0] for c in chunk], [c[1] for c in chunk], k)
-    flush()
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _SCHEMA)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, k: int = SHINGLE) -> DataFrame:
-    """The rows of docs that hold no item."""
-    bad = contaminated(docs, benchmark, share, k).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+                stays = np.ones(batch.num_rows, bool)
+                for row, *_ in _held(shared.value, *utf8(batch.column(place)), share):
+                    stays[row] = False
+                yield batch.filter(pa.array(stays))
+
+        return docs.mapInArrow(keep, docs.schema)
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    bad = _found(own.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), chain((first, second), blocks), share)
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    return own.join(bad, F.col(doc_id).cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(text) == F.col("bad_key")), "left_anti").toDF(*names)
 
 
 ORACLE = """

@@ -213,6 +213,20 @@ def test_decontamination(spark, docs, benchmark, hard, none):
     assert decontam.contaminated(hard, some.limit(0)).count() == 0
 
 
+def test_clean_decides_each_row_by_its_text(spark, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(30))) for i in range(6)], "item_id long, text string")
+    own = lambda i: "before " + " ".join(f"i{i}w{k}" for k in range(30)) + " after"
+    rows = [(None, own(0)), (None, own(1)), (None, "clean text without any item in it"), (1, own(2)), (1, "clean as well, by the same id"), (2, None), (3, ""), (4, own(5))]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, bad_id long, text_key string")
+    want = sorted(((r[0] or 0, r[1] or "") for r in rows if "w29" not in (r[1] or "")))
+    for block in (decontam.BLOCK_SHINGLES, 60):  # one block of items, and three
+        monkeypatch.setattr(decontam, "BLOCK_SHINGLES", block)
+        assert len(list(decontam._blocks(items, 5, 256))) == (1 if block > 60 else 3)
+        got = decontam.clean(df, items)
+        assert got.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == want
+        assert sorted((r.doc_id or 0, r.item_id) for r in decontam.contaminated(df, items).collect()) == [(0, 0), (0, 1), (1, 2), (4, 5)]
+
+
 # ---------------------------------------------------------------- 6 secrets
 
 
@@ -233,6 +247,63 @@ def test_secrets(spark, hard, none):
     assert secrets.secrets(hard).count() == 9 and secrets.secrets(none).count() == 0
 
 
+def brute_random(texts):
+    """Spans by the definitions: exact binomial tails, the three tests from their formulas, step-up control in each stratum."""
+    from fractions import Fraction
+    from math import comb, erfc, log10, sqrt
+
+    kind = lambda c: 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4
+    found, steps, changed = [], 0, 0
+    for d, text in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+            t = sum(kind(x) != kind(y) for x, y in zip(m[0], m[0][1:], strict=False))
+            steps, changed = steps + len(m[0]) - 1, changed + t
+            if len(m[0]) >= 20:
+                found.append((d, m.start(), m.end(), t, m[0]))
+    q = Fraction(changed, steps)
+    judged = {}
+    for d, s, e, t, x in found:
+        n = e - s
+        nature = float(sum(comb(n - 1, i) * q**i * (1 - q) ** (n - 1 - i) for i in range(t, n))) if t > (n - 1) * q else 1.0
+        alphabet = next((a for _, a in secrets._ALPHABETS if not set(x) - set(a)), None)
+        p = 0.0
+        if alphabet and t:
+            k = len(alphabet)
+            chi = sum((x.count(a) - n / k) ** 2 / (n / k) for a in alphabet)
+            tests = [0.5 * erfc((chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) / sqrt(2))]
+            shares = [sum(kind(a) == c for a in alphabet) / k for c in (1, 2, 3, 4)]
+            rate = 1 - sum(v * v for v in shares)
+            if 0 < rate < 1:
+                var = (n - 1) * rate * (1 - rate) + 2 * (n - 2) * (sum(v * (1 - v) ** 2 for v in shares) - rate**2)
+                tests.append(erfc(abs(t - (n - 1) * rate) / sqrt(var) / sqrt(2)))
+            c = [alphabet.index(a) - (k - 1) / 2 for a in x]
+            tests.append(erfc(abs(sum(a * b for a, b in zip(c, c[1:], strict=False)) / ((k * k - 1) / 12) / sqrt(n - 1)) / sqrt(2)))
+            p = min(1.0, len(tests) * min(tests))
+        up = lambda p: 10 ** (-min(3200, int(-8 * log10(p))) / 8) if p > 0 else 1e-400
+        judged[d, s, e] = (max(b for b in secrets.STRATA if b <= n), up(p), up(nature), t > 0)
+    def rejected(which, level, stratum):
+        ps = sorted(v[which] for v in judged.values() if v[0] == stratum and (v[3] or which == 2))
+        return max((p for i, p in enumerate(ps, 1) if p <= level * sum(y <= p for y in ps) / len(ps)), default=-1.0)
+    return sorted(k for k, (b, p, nature, some) in judged.items() if some and p > rejected(1, secrets.ALPHA, b) and nature <= rejected(2, secrets.FDR, b))
+
+
+def test_random_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pick = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    base64, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for i in range(120):
+        some = [pick(lower, int(rng.integers(2, 30))) for _ in range(40)] + ["path/to/some_file_name-v2/long", "HelloWorldCamelCaseNames", "x" * 25 + "1"]
+        some += [pick(base64, int(rng.integers(20, 700))), "é" * 3 + " " + pick("0123456789abcdef", 40), pick("ab", 30) + "Z9"] if i % 4 == 0 else []
+        texts.append(" ".join(rng.permutation(some)))
+    got = secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = sorted((r.doc_id, *map(int, x.split(":")[1:])) for r in got for x in r.spans.split(",") if x.startswith("random"))
+    assert spans == brute_random(texts) and len(spans) > 40
+    long = pick(base64, 100_000)  # far longer than any stratum of words, and judged by all of it
+    r = secrets.secrets(spark.createDataFrame([(1, f"{texts[1]} {long}"), (2, " ".join(texts[5:20]))], "doc_id long, text string")).filter("doc_id = 1").first()
+    assert f"random:{len(texts[1]) + 1}:{len(texts[1]) + 1 + len(long)}" in r.spans
+
+
 # ---------------------------------------------------------------- 7 toxicity
 
 
@@ -426,6 +497,51 @@ def test_fingerprints(docs, hard, none):
     assert fingerprint.fingerprints(hard).count() == 9 and fingerprint.fingerprints(none).count() == 0
 
 
+def brute_signature(text):
+    """Order MinHash by its definition: numbered k-mers, the least of each bin, pairs in text order."""
+    import xxhash
+
+    x64 = lambda values, seed=42: [seed := xxhash.xxh64_intdigest(v, seed & (2**64 - 1)) for v in values][-1]
+    long = lambda v: int(v % 2**64).to_bytes(8, "little")
+    signed = lambda v: v - 2**64 if v >> 63 else v
+    k, tuples, bits = fingerprint.K, fingerprint.TUPLES, fingerprint._PLACE
+    tokens = [long(x64([w.encode()])) for w in re.findall(f"[^\\x09-\\x0D\\x20]{{1,{fingerprint.LONGEST}}}", text)]
+    mark = [long(fingerprint._MARK)] * (k - 1)
+    padded = mark + tokens + mark
+    grams = [signed(x64(padded[i : i + k])) >> bits for i in range(len(tokens) + k - 1)] if tokens else []
+    seen, least = {}, {}
+    for place, g in enumerate(grams):
+        seen[g] = seen.get(g, -1) + 1
+        h = (x64([long(g), seen[g].to_bytes(4, "little")]) & (2**63 - 1)) >> bits
+        bin_ = h >> (63 - bits - (2 * tuples).bit_length() + 1)
+        least[bin_] = min(least.get(bin_, (h, place)), (h, place))
+    out = []
+    for j in range(tuples):
+        pair = sorted((least[b] for b in (2 * j, 2 * j + 1) if b in least), key=lambda v: v[1])
+        out.append(signed(x64([long(h) for h, _ in pair])) if pair else None)
+    return out
+
+
+def test_signature_and_likeness_equal_brute_force(spark, docs):
+    some = [r.text for r in docs.limit(30).collect()] + ["", "one", "a b", "a a a a", "x" * 100, "1 2 3 4 5 6 7", "1 2 3 4 5 6 7 8", "1 2 3 4 5 6 7 8 9"]
+    df = spark.createDataFrame([(i, t, some[i - 1]) for i, t in enumerate(some)], "i int, t string, u string")
+    got = df.select("t", "u", fingerprint.signature(df.t).alias("s"), fingerprint.likeness(fingerprint.signature(df.t), fingerprint.signature(df.u)).alias("x")).collect()
+    for r in got:
+        s, v = brute_signature(r.t), brute_signature(r.u)
+        assert r.s == s
+        either = [(a, b) for a, b in zip(s, v, strict=True) if a is not None or b is not None]
+        assert r.x == (sum(a == b for a, b in either) / len(either) if either else 1.0)
+    # one word more changes little, at any number of words
+    assert all(got[-i].x > 0.3 for i in (1, 2))
+
+
+def test_next_over_ranges(spark):
+    rows = [(i, "long words " * 2000 if i % 100 < 5 else "short") for i in range(2000)]
+    got = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {"text": fingerprint.F.col("text")}, 4).collect()
+    after = {r.doc_id: r.next_text for r in got}
+    assert len(got) == 2000 and all(after[i] == rows[(i - 1) % 2000][1] for i in range(2000))
+
+
 def test_fingerprint_depends_on_order(spark):
     w = [f"w{i}" for i in range(400)]
     blocks = w[300:] + w[200:300] + w[100:200] + w[:100]
