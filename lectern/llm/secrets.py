@@ -4,16 +4,19 @@ Candidates are maximal runs of at least SHORTEST characters of [A-Za-z0-9+/_-].
 
 1. Could it be random? The encoding is inferred from the characters (decimal, hex, base32, base64), and
    three tests are made under uniform draws from its alphabet: chi-squared of the symbol counts, the
-   number of runs of one character class, and the serial correlation of the symbols' values. A candidate
-   stays if no test rejects it at ALPHA after Bonferroni.
+   number of runs of one character class, and the serial correlation of the symbols' values. Their smallest
+   p-value, times their number, is the battery's.
 2. Could it be a natural word, path or name? There, the character class (lower, upper, digit, other)
    seldom changes. The rate q of changes is measured over all runs of whatever length in the corpus; the
-   p-value is the binomial tail of the changes seen. Benjamini-Hochberg at FDR holds false discoveries in each
-   stratum of length, over all runs tested; longer runs need not pay for the many short ones.
+   p-value is the binomial tail of the changes seen.
 
-The corpus is read once: the first pass emits spans, and counts by (length, changes), which are few; the
-driver turns the counts into the smallest number of changes for each length; the second step is a
-projection of the checkpointed spans.
+Both p-values go through Benjamini-Hochberg in each stratum of length, over all runs of the corpus in it: a run is
+reported if the battery doesn't reject randomness at ALPHA and the tail rejects nature at FDR. So longer runs need
+not pay for the many short ones. p-values enter as classes of an eighth of a decade, by their upper ends, so
+that what the driver gets is a count for each stratum and class, whatever the corpus; lengths are the true ones.
+
+The texts are read once: the first pass emits spans and candidates, and counts; the second adds the tails to the
+checkpointed candidates; the last step is a projection.
 
 Defined results: a null text has no spans. Offsets are code points, ends exclusive. Rows repeat as in
 the input; extra columns are ignored. An empty table gives no rows.
@@ -21,6 +24,7 @@ the input; extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -33,9 +37,12 @@ from pyspark.sql import functions as F
 
 from .core import checkpointed, row_blocks, runs, utf8
 
-SHORTEST, LONGEST = 20, 256
-STRATA = (20, 28, 40, 64, 128)
+SHORTEST = 20
+#: Least lengths of the strata, doubling to what a text can hold.
+STRATA = (20, 28, 40, *(1 << b for b in range(6, 32)))
 ALPHA, FDR = 0.001, 0.01
+#: Classes of p-values: CLASSES a decade, down to 10 ** -DECADES.
+CLASSES, DECADES = 8, 400
 # Fixed patterns of the contract.
 _ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -62,22 +69,34 @@ def _tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def battery(token: str) -> tuple[str, float]:
-    """Inferred encoding, and the Bonferroni-adjusted smallest p-value of the three tests under randomness."""
+def _tables() -> list[tuple[str, np.ndarray, int]]:
+    out = []
     for name, alphabet in _ALPHABETS:
-        if not set(token) - set(alphabet):
+        place = np.full(256, -1, np.int16)
+        place[list(alphabet.encode())] = np.arange(len(alphabet))
+        out.append((name, place, len(alphabet)))
+    return out
+
+
+_TABLES = _tables()
+
+
+def battery(token: np.ndarray) -> tuple[str, float]:
+    """Inferred encoding of a run of bytes, and the Bonferroni-adjusted smallest p-value of the three tests under randomness."""
+    present = np.flatnonzero(np.bincount(token, minlength=256))
+    for name, place, k in _TABLES:
+        if (place[present] >= 0).all():
             break
     else:
         return "none", 0.0
-    k, n = len(alphabet), len(token)
-    x = np.array([alphabet.index(c) for c in token])
+    x, n = place[token].astype(np.int64), len(token)
     # chi-squared, standardised by its exact mean and variance under the multinomial
-    chi = k / n * float((np.bincount(x, minlength=k) ** 2).sum()) - n
+    chi = k / n * float((np.bincount(x, minlength=k).astype(float) ** 2).sum()) - n
     p = [0.5 * math.erfc((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n) / math.sqrt(2))]
-    classes = CLASS[np.frombuffer(token.encode(), np.uint8)]
-    shares = np.bincount(CLASS[np.frombuffer(alphabet.encode(), np.uint8)], minlength=5) / k
+    shares = np.bincount(CLASS[np.flatnonzero(place >= 0)], minlength=5) / k
     change = 1 - float((shares**2).sum())
     if 0 < change < 1:
+        classes = CLASS[token]
         seen = int((classes[1:] != classes[:-1]).sum())
         # variance of the number of changes in independent draws
         var = (n - 1) * change * (1 - change) + 2 * (n - 2) * (float((shares * (1 - shares) ** 2).sum()) - change**2)
@@ -87,34 +106,35 @@ def battery(token: str) -> tuple[str, float]:
     return name, min(1.0, len(p) * min(p))
 
 
-def natural_p(n: int, changes: int, q: float) -> float:
-    """Probability of as many class changes, or more, in n - 1 steps at rate q."""
-    if changes <= 0:
-        return 1.0
-    logs = [math.lgamma(n) - math.lgamma(i + 1) - math.lgamma(n - i) + i * math.log(q) + (n - 1 - i) * math.log1p(-q) for i in range(changes, n)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
-
-
-def least_changes(counts: dict[tuple[int, int], int], fdr: float = FDR) -> list[int]:
-    """For each length to LONGEST the changes from which a run counts as no natural word.
-
-    counts: of the runs of SHORTEST characters or more by (length, changes); at (0, 0) and (0, 1) the steps
-    without and with a change, over all runs.
-    """
-    changed = counts.get((0, 1), 0)
-    q = min(0.5, max(1e-4, changed / max(1, changed + counts.get((0, 0), 0))))
-    out = [LONGEST + 1] * (LONGEST + 1)
-    for lo, hi in zip(STRATA, (*STRATA[1:], LONGEST + 1), strict=True):
-        mine = sorted((natural_p(n, t, q), n, t, c) for (n, t), c in counts.items() if lo <= n < hi)
-        total, rank, cut = sum(x[3] for x in mine), 0, 0.0
-        for p, _, _, c in mine:
-            rank += c
-            if p <= fdr * rank / total:
-                cut = p
-        for n in range(lo, hi):
-            out[n] = next((t for t in range(1, n) if natural_p(n, t, q) <= cut), LONGEST + 1)
-    return out
+def natural_log_p(n: int, changes: int, q: float) -> float:
+    """Log of the probability of as many class changes, or more, in n - 1 steps at rate q; 0 up to the mean."""
+    if changes <= (n - 1) * q or changes <= 0:
+        return 0.0
+    term, total, i = 1.0, 1.0, changes
+    while i < n - 1 and term > 1e-17 * total:  # beyond the mean the terms fall
+        term *= (n - 1 - i) / (i + 1) * q / (1 - q)
+        total += term
+        i += 1
+    return min(0.0, math.lgamma(n) - math.lgamma(changes + 1) - math.lgamma(n - changes) + changes * math.log(q) + (n - 1 - changes) * math.log1p(-q) + math.log(total))
+
+
+def p_class(log_p: float) -> int:
+    """The class of a p-value; its upper end is 10 ** (-class / CLASSES)."""
+    return int(min(CLASSES * DECADES, -log_p / math.log(10) * CLASSES))
+
+
+def rejected_from(counts: dict[int, int], fdr: float) -> int:
+    """Benjamini-Hochberg: the first class that is rejected, by the number of hypotheses in each class."""
+    total, rank, cut = sum(counts.values()), 0, CLASSES * DECADES + 1
+    for c in sorted(counts, reverse=True):
+        rank += counts[c]
+        if 10.0 ** (-c / CLASSES) <= fdr * rank / total:
+            cut = c
+    return cut
+
+
+def _stratum(n: int) -> int:
+    return bisect.bisect_right(STRATA, n) - 1
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +151,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = (kind[1:] > 0) & (kind[:-1] > 0)
             step[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(raw))] - 1] = False
             changed = int((step & (kind[1:] != kind[:-1])).sum())
-            counts: dict[tuple[int, int], int] = {(0, 0): int(step.sum()) - changed, (0, 1): changed}
+            # by stratum the runs without a change, which are natural for sure; at -1 and -2 the steps without and with a change
+            counts: dict[int, int] = {-1: int(step.sum()) - changed, -2: changed}
             random: dict[int, list] = {}
+            changes = np.r_[0, np.cumsum(kind[1:] != kind[:-1])] if len(kind) else kind
+            points = np.cumsum((raw & 0xC0) != 0x80) if len(starts) else starts  # code points up to each byte
             for s, e, r in zip(starts.tolist(), ends.tolist(), rows.tolist(), strict=True):
-                c = CLASS[raw[s:e]]
-                changes, n = int((c[1:] != c[:-1]).sum()), e - s
-                if n > LONGEST:  # as many changes in the share that is tested
-                    changes, n = changes * (LONGEST - 1) // (n - 1), LONGEST
-                counts[n, changes] = counts.get((n, changes), 0) + 1
-                if changes and battery(blob[s:e].decode("ascii"))[1] >= ALPHA:
-                    a = int(offsets[r])
-                    at = len(blob[a:s].decode("utf-8"))
-                    random.setdefault(r, []).append({"start": at, "end": at + e - s, "n": n, "changes": changes})
+                t = int(changes[e - 1] - changes[s])
+                if t == 0:
+                    counts[_stratum(e - s)] = counts.get(_stratum(e - s), 0) + 1
+                    continue
+                p = battery(raw[s:e])[1]
+                at = int(points[s] - points[offsets[r]])
+                random.setdefault(r, []).append({"start": at, "end": at + e - s, "changes": t, "stratum": _stratum(e - s), "battery": p_class(math.log(p) if p > 0 else -math.inf)})
             low = blob.lower()
             hexed = runs(raw, offsets, _HEX_BYTE)
             some = set((np.searchsorted(offsets, hexed[0][hexed[1] - hexed[0] >= 24], "right") - 1).tolist())
@@ -154,7 +175,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = low.find(word, max(at + 1, int(offsets[r + 1]) - len(word) + 1))
             base = [base_spans(blob[offsets[r] : offsets[r + 1]].decode("utf-8")) if r in some else [] for r in range(j - i)]
             sha = [hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in b).encode()).hexdigest() for b in base]
-            tested = [[{"n": n, "changes": t, "runs": c} for (n, t), c in counts.items()]] + [[]] * (j - i - 1)
+            tested = [[{"stratum": n, "runs": c} for n, c in counts.items()]] + [[]] * (j - i - 1)
             spans = [[{"start": s, "kind": k, "end": e} for s, k, e in b] for b in base]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(i, j - i), pa.array(sha), pa.array(spans, _SPANS), pa.array([random.get(r, []) for r in range(j - i)], _RANDOM), pa.array(tested, _TESTED)],
@@ -166,21 +187,42 @@ _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[[*range(48, 58), *range(97, 103)]] = True
 _INT = pa.int32()
 _SPANS = pa.list_(pa.struct([("start", _INT), ("kind", _INT), ("end", _INT)]))
-_RANDOM = pa.list_(pa.struct([("start", _INT), ("end", _INT), ("n", _INT), ("changes", _INT)]))
-_TESTED = pa.list_(pa.struct([("n", _INT), ("changes", _INT), ("runs", pa.int64())]))
-_SCHEMA = "doc_id long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,n:int,changes:int>>, tested array<struct<n:int,changes:int,runs:long>>"
+_RANDOM = pa.list_(pa.struct([(c, _INT) for c in ("start", "end", "changes", "stratum", "battery")]))
+_TESTED = pa.list_(pa.struct([("stratum", _INT), ("runs", pa.int64())]))
+_SCHEMA = "doc_id long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,changes:int,stratum:int,battery:int>>, tested array<struct<stratum:int,runs:long>>"
 
 
-def secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
+def secrets(docs: DataFrame, fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans; one row for each row of docs."""
-    seen = checkpointed(docs.select("doc_id", "text").mapInArrow(_scan, _SCHEMA))
-    tested = seen.select(F.explode("tested").alias("t")).groupBy("t.n", "t.changes").agg(F.sum("t.runs").alias("runs"))
-    least = least_changes({(r.n, r.changes): r.runs for r in tested.collect()}, fdr)  # LONGEST squared rows at most
-    limit = F.array(*[F.lit(x) for x in least])
-    random = F.transform(F.filter("candidates", lambda c: c["changes"] >= F.get(limit, c["n"])), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    seen = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _SCHEMA))
+    tested = {r.stratum: r.runs for r in seen.select(F.explode("tested").alias("t")).groupBy("t.stratum").agg(F.sum("t.runs").alias("runs")).collect()}  # a row for each stratum
+    changed = tested.get(-2, 0)
+    q = min(0.5, max(1e-4, changed / max(1, changed + tested.get(-1, 0))))
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("candidates").to_pylist()
+            nature = [[p_class(natural_log_p(c["end"] - c["start"], c["changes"], q)) for c in x] for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nature, pa.list_(_INT))], [*batch.schema.names, "nature"])
+
+    kept = seen.drop("tested")
+    judged = checkpointed(kept.mapInArrow(tails, _SCHEMA.rpartition(", tested")[0] + ", nature array<int>"))
+    each = judged.filter(F.size("candidates") > 0).select(F.explode(F.arrays_zip("candidates", "nature")).alias("c")).select("c.candidates.stratum", "c.candidates.battery", "c.nature")
+    held: dict[str, dict[int, dict[int, int]]] = {"battery": {}, "nature": {}}
+    for r in each.groupBy("stratum", "battery", "nature").count().collect():  # rows for strata and classes
+        for of in held:
+            by = held[of].setdefault(r.stratum, {})
+            by[r[of]] = by.get(r[of], 0) + r["count"]
+    for stratum, runs in tested.items():
+        if stratum >= 0:
+            by = held["nature"].setdefault(stratum, {})
+            by[0] = by.get(0, 0) + runs
+    limit = {of: F.array(*[F.lit(rejected_from(by[x], level) if x in by else CLASSES * DECADES + 1) for x in range(len(STRATA))]) for of, by, level in (("battery", held["battery"], alpha), ("nature", held["nature"], fdr))}
+    chosen = F.filter(F.arrays_zip("candidates", "nature"), lambda c: (c["candidates"]["battery"] < F.get(limit["battery"], c["candidates"]["stratum"])) & (c["nature"] >= F.get(limit["nature"], c["candidates"]["stratum"])))
+    random = F.transform(chosen, lambda c: F.struct(c["candidates"]["start"].alias("start"), F.lit(3).alias("kind"), c["candidates"]["end"].alias("end")))
     names = F.array(*[F.lit(k) for k in KINDS])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return seen.withColumn("random", random).select(
+    return judged.withColumn("random", random).select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
