@@ -1,7 +1,8 @@
 """Order MinHash fingerprints, whose likeness follows the edit distance and not the shared set alone.
 
-A text's tokens are its words, or its characters if it has fewer than FEW_WORDS words. Its k-mers (K tokens)
-are numbered by occurrence, so repeats count. Each numbered k-mer's hash falls into one of 2 * TUPLES bins;
+A text's tokens are its words, of whatever number; a run of more than LONGEST characters without white space is cut into
+words of as many. Its k-mers (K tokens, with K - 1 marks put before and after the text, so that each edit changes K of them at
+most) are numbered by occurrence, so repeats count. Each numbered k-mer's hash falls into one of 2 * TUPLES bins;
 the smallest of each bin is selected (one permutation instead of many), and the minima of two
 bins, put in the order of their places in the text, are hashed to one component of the signature. Two
 texts share a component if they share both k-mers and their order.
@@ -11,7 +12,8 @@ is exploded. The next document's text comes from a window over id ranges with cu
 each range also gets a copy of the row that follows its last one, so only one row a range is sent twice.
 
 Defined results: a null text is an empty one. An empty text has no components; it has likeness 1 to an
-empty text and 0 to others. Ids that repeat are put in order of a hash of the text; null ids come last.
+empty text and 0 to others; texts of one word are like others only if equal. Places have 30 bits, which no text exceeds
+(a string's bytes are fewer than 2^31, and a word needs two). Ids that repeat are put in order of a hash of the text; null ids come last.
 The only document of a table is its own next one. Extra columns are ignored.
 """
 
@@ -24,8 +26,9 @@ from .core import shuffle_parts
 
 K = 3
 TUPLES = 32
-FEW_WORDS = 8
-_PLACE = 26  # bits of a place
+LONGEST = 16
+_PLACE = 30  # bits of a place
+_MARK = 0x6D61726B
 
 
 def _bound(x: Column, f) -> Column:
@@ -64,13 +67,12 @@ def signature(text: Column, k: int = K, tuples: int = TUPLES) -> Column:
 
     def kmers(tokens: Column) -> Column:
         hashes = F.transform(tokens, lambda x: F.xxhash64(x))
-        n = lambda h: F.greatest(F.size(h) - F.lit(k - 1), F.when(F.size(h) > 0, F.lit(1)).otherwise(F.lit(0)))
-        pack = lambda h: F.transform(F.slice(h, F.lit(1), n(h)), lambda x, i: F.xxhash64(x, *[F.get(h, i + F.lit(j)) for j in range(1, k)]).bitwiseAND(high).bitwiseOR(i.cast("long")))
+        at = lambda h, i: F.coalesce(F.get(h, i), F.lit(_MARK).cast("long"))
+        ends = lambda h: F.when(F.size(h) > 0, F.sequence(F.lit(1 - k), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+        pack = lambda h: F.transform(ends(h), lambda i: F.xxhash64(*[at(h, i + F.lit(j)) for j in range(k)]).bitwiseAND(high).bitwiseOR((i + F.lit(k - 1)).cast("long")))
         return _bound(hashes, pack)
 
-    words = F.filter(F.split(text, "[\\x09-\\x0D\\x20]+"), lambda x: x != "")
-    letters = F.filter(F.split(text, ""), lambda x: x != "")
-    tokens = _bound(words, lambda w: F.when(F.size(w) >= FEW_WORDS, w).otherwise(letters))
+    tokens = F.regexp_extract_all(text, F.lit(f"[^\\x09-\\x0D\\x20]{{1,{LONGEST}}}"), F.lit(0))
     least = _bound(F.sort_array(_bound(F.sort_array(kmers(tokens)), numbered)), minima)
     of = lambda m: F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)), lambda j: _bound(F.filter(m, lambda v: F.shiftright(v, 64 - bits) == j), component))
     return _bound(least, of)
