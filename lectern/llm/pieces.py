@@ -5,7 +5,8 @@ space. No piece of the vocabulary crosses units, so sampling unit by unit is exa
 unit of a block the lattice of pieces is built by walking a byte trie from all positions at once;
 forward filtering sums the probability of all segmentations up to each position; backward sampling then
 draws, for every occurrence, a piece that ends where the last drawn one starts, until the unit's start.
-All steps are over arrays. The draw at a position is a hash of the seed, the row's key and the position,
+All steps are over arrays; a unit is also cut where no piece of its lattice passes over, and one longer than LONG, which has
+no spaces in it, is gone through in windows, byte by byte, with the same draws. The draw at a position is a hash of the seed, the row's key and the position,
 so it doesn't depend on how rows are batched, and equal rows are segmented alike.
 
 The model file holds merge ranks and no probabilities; rank r is read as 1 / (r + 2) (Zipf's law),
@@ -17,6 +18,7 @@ the input, whatever other columns there are. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +33,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 17
 SHARPNESS = 1.0
 UNIT_BLOCK = 1 << 18
+#: Units of more bytes go through windows of so many.
+LONG, WINDOW = 1 << 16, 1 << 14
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = -1
 
@@ -48,6 +52,10 @@ class Vocabulary:
     blob: np.ndarray  # the bytes of all pieces
     at: np.ndarray
 
+    @property
+    def longest(self) -> int:
+        return max(4, int(np.diff(self.at).max()))
+
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """Next node, or -1."""
         want = node.astype(np.int64) * 256 + byte
@@ -150,12 +158,19 @@ def _lattice(v: Vocabulary, raw: np.ndarray, start: np.ndarray, length: np.ndarr
 
 
 def _filtered(first: np.ndarray, last: np.ndarray, piece: np.ndarray, log_p: np.ndarray, node_at: np.ndarray):
-    """Edges by last node, longer pieces first, each with the cumulated probability of being drawn there; and where a node's start."""
+    """Edges by last node, longer pieces first, each with the cumulated probability of being drawn there; and where a node's start.
+
+    A node that no edge passes over lies on every path, so what stands before it doesn't matter for what follows. Units
+    are cut there, and all parts are filtered side by side, one byte further at a time.
+    """
     first, last, piece, log_p = (x[::-1] for x in (first, last, piece, log_p))
-    alpha = np.full(int(node_at[-1]), -np.inf)
-    alpha[node_at[:-1]] = 0.0
-    depth = last - node_at[np.searchsorted(node_at, last, "right") - 1]
-    order = np.argsort(depth * np.int64(node_at[-1]) + last, kind="stable")  # of equal ones the longer piece first
+    n = int(node_at[-1])
+    over = np.bincount(first + 1, minlength=n + 1)[: n + 1] - np.bincount(last, minlength=n + 1)[: n + 1]
+    start = np.cumsum(over)[:n] == 0
+    since = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    alpha = np.zeros(n)  # of a node that starts a part it is 0, whatever comes before
+    depth = last - since[first]
+    order = np.argsort(depth * np.int64(n) + last, kind="stable")  # of equal ones the longer piece first
     first, last, piece, log_p, depth = (x[order] for x in (first, last, piece, log_p, depth))
     share = np.empty(len(first))
     cuts = np.r_[np.flatnonzero(np.r_[True, depth[1:] != depth[:-1]]), len(depth)]
@@ -167,14 +182,84 @@ def _filtered(first: np.ndarray, last: np.ndarray, piece: np.ndarray, log_p: np.
         sizes = np.diff(np.r_[group, j - i])
         e = np.exp(score - np.repeat(np.where(np.isfinite(top), top, 0.0), sizes))
         total = np.add.reduceat(e, group)
-        alpha[to[group]] = np.where(total > 0, top + np.log(np.maximum(total, 1e-300)), -np.inf)
+        at = to[group]
+        alpha[at] = np.where(start[at], 0.0, np.where(total > 0, top + np.log(np.maximum(total, 1e-300)), -np.inf))
         c = np.cumsum(e)
         base = np.r_[0.0, c[group[1:] - 1]]
         part = (c - np.repeat(base, sizes)) / np.repeat(np.maximum(total, 1e-300), sizes)
         part[np.r_[group[1:] - 1, j - i - 1]] = 1.0
         share[i:j] = part
     order = np.argsort(last, kind="stable")
-    return first[order], last[order], piece[order], share[order], np.r_[0, np.cumsum(np.bincount(last, minlength=int(node_at[-1])))[:-1]]
+    return first[order], last[order], piece[order], share[order], np.r_[0, np.cumsum(np.bincount(last, minlength=n))[:-1]]
+
+
+def _window(v: Vocabulary, raw: np.ndarray, lo: int, hi: int, reach: int) -> tuple[list, ...]:
+    """Edges of one unit that end in lo + 1..hi (both at characters), by their end: first byte, piece, log p; and where those of each end start."""
+    begin = max(0, lo - reach)
+    while (raw[begin] & 0xC0) == 0x80:
+        begin += 1
+    first, last, piece, log_p, _ = _lattice(v, raw, np.array([begin]), np.array([hi - begin]))
+    first, last, piece, log_p = (x[::-1][last[::-1] > lo - begin] for x in (first, last, piece, log_p))
+    order = np.lexsort((first, last))  # longer pieces first, as in short units
+    first, last, piece, log_p = (x[order] for x in (first, last, piece, log_p))
+    at = np.searchsorted(last + begin, np.arange(lo + 1, hi + 2))
+    return (first + begin).tolist(), piece.tolist(), log_p.tolist(), at.tolist()
+
+
+def _long_unit(v: Vocabulary, raw: np.ndarray, seed: int, place: int) -> list[tuple[int, int, int]]:
+    """(first byte, last byte, piece) of the pieces drawn for one unit, which starts at a place of its row; in text order.
+
+    The unit is gone through in windows, so besides one number a byte only a window's edges are held. Probabilities are
+    multiplied as they are, and scaled from time to time.
+    """
+    n, reach = len(raw), v.longest
+    inside = np.flatnonzero((raw & 0xC0) != 0x80)
+    cuts = [0, *inside[np.searchsorted(inside, np.arange(WINDOW, n, WINDOW))[: (n - 1) // WINDOW].clip(max=len(inside) - 1)].tolist(), n]
+    cuts = sorted(set(cuts))
+    log_alpha = np.full(n + 1, -np.inf)
+    log_alpha[0] = 0.0
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        begin = max(0, lo - reach)
+        scale = float(log_alpha[lo])
+        alpha = np.exp(log_alpha[begin : lo + 1] - scale).tolist()
+        shifts = []
+        first, _, log_p, at = _window(v, raw, lo, hi, reach)
+        p = np.exp(log_p).tolist()
+        shift = scale
+        for j in range(hi - lo):
+            total = 0.0
+            for e in range(at[j], at[j + 1]):
+                total += alpha[first[e] - begin] * p[e]
+            alpha.append(total)
+            shifts.append(shift)
+            if 0.0 < total < 1e-100:
+                alpha[-reach:] = [x / total for x in alpha[-reach:]]
+                shifts[-1] = shift = shift + math.log(total)
+                for k in range(max(0, len(shifts) - reach), len(shifts)):
+                    shifts[k] = shift
+        with np.errstate(divide="ignore"):
+            log_alpha[lo + 1 : hi + 1] = np.log(alpha[lo + 1 - begin :]) + shifts
+    out = []
+    end = n
+    for lo, hi in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+        if end <= lo:
+            continue
+        first, piece, log_p, at = _window(v, raw, lo, hi, reach)
+        ends = np.arange(lo + 1, hi + 1)
+        draws = ((mix(np.uint64(seed) + (ends + place).astype(np.uint64) * _GOLD) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+        while end > lo:
+            i, j = at[end - lo - 1], at[end - lo]
+            weight = [float(log_alpha[first[e]]) + log_p[e] for e in range(i, j)]
+            top = max(weight)
+            weight = [math.exp(w - top) for w in weight]
+            left = draws[end - lo - 1] * sum(weight)
+            k = 0
+            while k < len(weight) - 1 and weight[k] <= left:
+                left -= weight[k]
+                k += 1
+            out.append((first[i + k], end, piece[i + k]))
+            end = first[i + k]
+    return out[::-1]
 
 
 def encode(v: Vocabulary, raw: np.ndarray, offsets: np.ndarray, row_seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +276,18 @@ def encode(v: Vocabulary, raw: np.ndarray, offsets: np.ndarray, row_seed: np.nda
     ends = np.r_[starts[1:], n]
     row = np.searchsorted(offsets, starts, "right") - 1
     out = []
+    long = np.r_[np.flatnonzero(ends - starts > LONG), len(starts)]
     i = 0
     while i < len(starts):
+        if ends[i] - starts[i] > LONG:
+            drawn = _long_unit(v, raw[starts[i] : ends[i]], int(row_seed[row[i]]), int(starts[i] - offsets[row[i]]))
+            ids = [x for a, b, p in drawn for x in ((p,) if p >= 0 else v.byte_ids[raw[starts[i] + a : starts[i] + b]].tolist())]
+            count[row[i]] += len(ids)
+            out.append(np.array(ids, np.int32))
+            i += 1
+            continue
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + UNIT_BLOCK, "right")))
+        j = min(j, int(long[np.searchsorted(long, i)]))
         out.append(_sampled(v, raw, starts[i:j], ends[i:j], row[i:j], offsets, row_seed, count))
         i = j
     return np.concatenate(out), np.cumsum(np.r_[0, count[:-1]])
@@ -241,9 +335,12 @@ def _sampled(v, raw, starts, ends, row, offsets, row_seed, count) -> np.ndarray:
 def decode(v: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts: the pieces' bytes, without the space put before."""
     size = np.diff(v.at)[ids]
-    where = np.cumsum(size) - size
-    raw = v.blob[np.repeat(v.at[ids] - where, size) + np.arange(size.sum())] if len(ids) else np.zeros(0, np.uint8)
     ends = np.r_[0, np.cumsum(size)][at]
+    parts = [np.zeros(0, np.uint8)]
+    for i in range(0, len(ids), UNIT_BLOCK):
+        n = size[i : i + UNIT_BLOCK]
+        parts.append(v.blob[np.repeat(v.at[ids[i : i + UNIT_BLOCK]] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    raw = np.concatenate(parts)
     some = np.diff(ends) > 0
     keep = np.ones(len(raw), bool)
     keep[ends[:-1][some]] = False
