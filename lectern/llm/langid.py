@@ -124,8 +124,10 @@ def profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counted = labelled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", "gram", (F.row_number().over(order) - 1).alias("rank")).filter(F.col("rank") < size)
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram")  # as unsigned, like a document's own
+    # the limit goes below the exchange, so each task sends its own first ones of a language
+    ranked = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+    return ranked.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def identify(docs: DataFrame, model: list[tuple[str, int, int]], size: int = PROFILE) -> DataFrame:
