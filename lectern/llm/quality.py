@@ -5,8 +5,8 @@ tokens and of pairs of adjacent tokens (a token that repeats gives one common fe
 buckets. A document's vector has 1 + ln(count) for each feature and length 1. A score is the logistic
 function of a sparse dot product.
 
-The model is fitted on the driver from a bounded sample: about MAX_ROWS labelled rows, taken by the hash
-of the id, of texts up to MAX_BYTES bytes. Scoring reads every whole text, in blocks of rows, without a
+The model is fitted on the driver from a bounded sample of the labelled rows, taken by the hash of the id: about MAX_ROWS,
+with MAX_FEATURES features at most, of whole texts. Scoring reads every whole text, in blocks of rows, without a
 shuffle. The driver sends one array of BUCKETS weights.
 
 Defined results: null and empty texts are scored by the bias alone. Without labelled rows each score is
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import BYTE, SPACE, crc_mod, mix, row_blocks, runs, span_hashes, utf8
+from .core import BYTE, SPACE, checkpointed, crc_mod, mix, row_blocks, runs, span_hashes, utf8
 
 BUCKETS = 1 << 18
+#: Labelled rows in the fit, and features of all of them; beyond either a uniform sample of the rows is taken.
 MAX_ROWS = 5_000
-MAX_BYTES = 32_768
+MAX_FEATURES = 8_000_000
 THRESHOLD = 0.3
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -75,13 +76,13 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS,
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
     """Fit on about max_rows labelled rows outside the held-out fold."""
     known = labels.filter((crc_mod("doc_id", folds) != held) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     share = min(1.0, max_rows / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
     # about max_rows ids, so they can be broadcast; an id that repeats counts once
-    sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(known), "doc_id")
+    sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id")
     sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
                 lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in ("doc_id", "label")] + lists, ["doc_id", "label", "bucket", "value"])
 
-    got = sample.mapInArrow(vectors, "doc_id long, label int, bucket array<int>, value array<float>").toArrow().combine_chunks()
+    made = checkpointed(sample.mapInArrow(vectors, "doc_id long, label int, bucket array<int>, value array<float>"))
+    total = made.agg(F.sum(F.size("bucket"))).first()[0] or 0
+    got = made.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < round((1 << 20) * min(1.0, max_features / max(1, total)))).toArrow().combine_chunks()
     if got.num_rows == 0:
         return ftrl([], buckets)
     label_of, bucket, value = (got.column(c).chunk(0) for c in ("label", "bucket", "value"))
