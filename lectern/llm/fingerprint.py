@@ -8,8 +8,9 @@ bins, put in the order of their places in the text, are hashed to one component
 texts share a component if they share both k-mers and their order.
 
 All is done within a row by array functions, sorting packed integers (hash above, place below); nothing
-is exploded. The next document's text comes from a window over id ranges with cuts at sampled quantiles;
-each range also gets a copy of the row that follows its last one, so only one row a range is sent twice.
+is exploded. The next document's text comes from a window over id ranges with cuts at sampled quantiles, FINER for
+each shuffle partition; each range also gets a copy of the row that follows its last one, so only one row a range is
+sent twice.
 
 Defined results: a null text is an empty one. An empty text has no components; it has likeness 1 to an
 empty text and 0 to others; texts of one word are like others only if equal. Places have 30 bits, which no text exceeds
@@ -19,6 +20,8 @@ The only document of a table is its own next one. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from .core import shuffle_parts
 K = 3
 TUPLES = 32
 LONGEST = 16
+#: Ranges for each shuffle partition, so that few of them get much more than others; and of all.
+FINER, MOST_RANGES = 16, 1 << 15
 _PLACE = 30  # bits of a place
 _MARK = 0x6D61726B
 
@@ -92,19 +97,32 @@ def likeness(a: Column, b: Column) -> Column:
     return _bound(pairs, share)
 
 
+def _constants(values: list, kind: str) -> Column:
+    """A literal array, however long, as one value in the plan."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _place(cuts: list[int], x: Column) -> Column:
+    """How many of the sorted cuts are less than x, by halving; 0 for a null."""
+    if not cuts:
+        return F.lit(0)
+    array = _constants(cuts, "long")
+    steps = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(array, at + step - F.lit(1)) < x), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, cols: dict[str, Column], parts: int) -> DataFrame:
     """doc_id, the given columns of (doc_id, text), and next_<name> of each from the next row by descending doc_id."""
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    quantiles = base.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first().q or []
-    cuts = F.array(*[F.lit(x).cast("long") for x in sorted(set(quantiles))]) if quantiles else F.array().cast("array<long>")
-    base = base.select("*", F.size(F.filter(cuts, lambda c: c < F.col("doc_id"))).alias("part"), F.xxhash64("text").alias("tie"))
+    quantiles = base.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts)).alias("q")).first().q or []
+    base = base.select("*", _place(sorted(set(quantiles)), F.col("doc_id")).alias("part"), F.xxhash64("text").alias("tie"))
     # the first row of each range, in the order of ids falling; a row a range
     tops = base.groupBy("part").agg(F.max(F.struct(F.col("doc_id"), (-F.shiftright(F.col("tie"), 1)).alias("low"))).alias("top")).orderBy(F.desc("part")).collect()
     if not tops:
         return base.select("doc_id", *[x.alias(n) for n, x in cols.items()], *[x.alias(f"next_{n}") for n, x in cols.items()])
     at = {r.part: (r.top.doc_id, r.top.low, tops[i - 1].part) for i, r in enumerate(tops)}  # the last wraps round to the first
     size = max(at) + 1
-    lookup = lambda i, kind: F.get(F.array(*[F.lit(at[p][i] if p in at else None).cast(kind) for p in range(size)]), F.col("part"))
+    lookup = lambda i, kind: F.get(_constants([at[p][i] if p in at else None for p in range(size)], kind), F.col("part"))
     is_top = F.col("doc_id").eqNullSafe(lookup(0, "long")) & (-F.shiftright(F.col("tie"), 1) == lookup(1, "long"))
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("copy"))
     copy = F.struct(lookup(2, "int").alias("part"), F.lit(True).alias("copy"))
@@ -116,7 +134,7 @@ def with_next(docs: DataFrame, cols: dict[str, Column], parts: int) -> DataFrame
 
 def fingerprints(docs: DataFrame, k: int = K, tuples: int = TUPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs."""
-    both = with_next(docs, {"text": F.col("text"), "own": signature(F.col("text"), k, tuples)}, shuffle_parts(docs.sparkSession))
+    both = with_next(docs, {"text": F.col("text"), "own": signature(F.col("text"), k, tuples)}, min(MOST_RANGES, FINER * shuffle_parts(docs.sparkSession)))
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - third), F.substr("next_text", F.lit(1), third))
