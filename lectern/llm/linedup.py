@@ -5,13 +5,13 @@ boundaries depend on the lines near them only, and text put in before a passage
 it. Chunks of two lines or more are grouped by digest over the whole corpus; the first occurrence, by
 doc_id and place, stays. The others go if their bytes equal those of the first.
 
-Only (doc_id, place, digest) of the chunks is shuffled to find the repeated ones; then the texts of these
-alone are brought together for the comparison, and each document takes back the list of what it loses,
-which is no longer than its chunks. Digests are counted with map-side sums, so a chunk that a third of all
-documents share is one row from each task; the joins on it are plain ones that Spark can split.
+Digests are counted with map-side sums, so a chunk that a third of all documents share is one row from
+each task. All chunks are shuffled once, by digest and a salt, to meet the first occurrence; those that repeat
+are compared with its text, by digest and salt again, and each document takes back the list of what it loses,
+which is no longer than its chunks.
 
 Defined results: a null text stays null, and an empty text empty. Rows with the same doc_id count as one
-document: where they hold the first occurrence, all keep it. Chunks of white space only stay. A text
+document, and so do those without one: where they hold the first occurrence, all keep it. Chunks of white space only stay. A text
 with nothing removed is unchanged, byte for byte. Extra columns are carried along; any that are called
 like the two counts are replaced.
 """
@@ -25,6 +25,8 @@ from .core import checkpointed
 
 WINDOW = 2
 DIVISOR = 3
+#: A chunk that many documents share is joined in so many parts.
+SALT = 8
 _BASE = 131
 
 
@@ -53,13 +55,15 @@ def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column
 
 def repeated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, place (of a chunk in its document) and digest of each chunk that goes."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
     cut = docs.select("doc_id", F.posexplode(chunks(F.col("text"), window, divisor)).alias("place", "lines")).filter(F.size("lines") >= 2)
     chunk = F.array_join("lines", "\n")
     occurs = cut.select("doc_id", "place", chunk.alias("chunk")).filter(F.trim(F.regexp_replace("chunk", "[\\x09-\\x0D]", " ")) != "").withColumn("digest", F.md5(F.col("chunk").cast("binary")))
-    first = occurs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter(F.col("n") > 1).select("digest", "first")
-    again = checkpointed(occurs.join(first, "digest").select("doc_id", "place", "digest", "chunk", (F.col("first") == F.struct("doc_id", "place")).alias("kept")))
-    kept = again.filter("kept").groupBy("digest").agg(F.min("chunk").alias("kept_chunk"))
-    return again.filter(~F.col("kept")).join(kept, "digest").filter(F.col("chunk") == F.col("kept_chunk")).select("doc_id", "place", "digest")
+    first = occurs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter(F.col("n") > 1).select("digest", "first", salts)
+    salted = occurs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALT)).cast("int"))
+    again = checkpointed(salted.join(first, ["digest", "salt"]).select("doc_id", "place", "digest", "salt", "chunk", F.col("first").eqNullSafe(F.struct("doc_id", "place")).alias("kept")))
+    kept = again.filter("kept").groupBy("digest").agg(F.min("chunk").alias("kept_chunk")).select("digest", "kept_chunk", salts)
+    return again.filter(~F.col("kept")).join(kept, ["digest", "salt"]).filter(F.col("chunk") == F.col("kept_chunk")).select("doc_id", "place", "digest")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
