@@ -3,7 +3,8 @@
 The rows are put into id order over range partitions. Only the totals of the partitions are summed up
 in order (one row a partition); each row then adds what lies before it in its own partition. A row goes
 to the shard in whose share of the bytes its middle lies, so no shard differs from the target by more
-than one row's size. Texts are read once for their length and checksum, and are never shuffled.
+than one row's size. Texts are read once, for their length and checksum, which are kept in the shared folder; they are
+never shuffled.
 
 Defined results: a null text counts 0 bytes (plus the overhead) and has the checksum of the empty text.
 Null ids come first. Rows of equal id, checksum and size are interchangeable. An empty table gives no
@@ -21,7 +22,7 @@ from .core import checkpointed, shuffle_parts
 def byte_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id, size, text_crc32, law, shard, slot, grown_shard; one row for each row of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
     order = ["doc_id", "text_crc32", "size"]
     ranged = checkpointed(sized.repartitionByRange(shuffle_parts(docs.sparkSession), *order).withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"))
@@ -38,6 +39,7 @@ def byte_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col:
         .join(F.broadcast(parts), "part")
         .select(*order, (F.col("rows_before") + F.col("row_here") - 1).alias("at"), F.expr(f"(2 * (bytes_before + to_here) - size) * {n_shards} div (2 * all_bytes)").cast("int").alias("shard"))
     )
+    placed = checkpointed(placed)  # read twice
     first = placed.groupBy("shard").agg(F.min("at").alias("first_at"))  # n_shards rows at most
     return placed.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("first_at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
