@@ -6,18 +6,19 @@
    its own, the first ones in no other tree, and all classes are sorted by it: range partitions over (tree, label),
    sorted, so that classes with a long common prefix are neighbours. Ranges are of equal size, as the class
    itself ends the key; what a cut between two ranges parts is handled like a crowded region.
-3. The depth of a region depends on how many classes it holds. Where at most CROWD share the first SHALLOW values, all pairs
-   are candidates; where more do, those that share DEEP values, if they are CROWD at most (a pair of similarity
-   0.8 is missed by all trees with 0.00005 at DEEP, 0.000002 at SHALLOW). In a region more crowded yet, the neighbours in
-   the sorted order, which have the longest common prefix, are confirmed first, in FIRST trees. Classes that
-   these links connect have one star, and need no further link among themselves.
+3. Neighbours in the sorted orders, which have the longest common prefixes, are confirmed first, in FIRST trees, and so are
+   the members of each crowded region with its pivot, the member whose labels agree most with what is most frequent. Classes
+   that these links connect have one star, and need no further link among themselves.
+   The depth of a region depends on how many classes it holds. Where at most CROWD share the first SHALLOW values, all their
+   pairs of different stars are candidates; where more do, those that share DEEP values, if they are CROWD at most (a pair of
+   similarity 0.8 is missed by all trees with 0.00005 at DEEP, 0.000002 at SHALLOW). Those more crowded yet are left to 4.
 4. Crowded regions that hold several stars still are searched exactly, by prefix filtering: with shingles
    in an order of rarity, two sets of the wanted similarity share one that is early in both. So how crowded
    a region is costs no recall, and a group of near copies costs links in proportion to its size.
 5. Candidates of different stars whose signatures agree too little for the threshold (by PRUNE standard errors), or
    whose sizes rule it out, are dropped; the others are confirmed on full sets: 100 * intersection >= 80 *
    union. Only documents with candidates are read again; a bitmap of fixed size keeps most others out.
-6. Components by alternating large-star and small-star steps, each cut by a checkpoint.
+6. Components by stars within partitions of links, and alternating large-star and small-star steps between them.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing. Fewer
 than four words make one shingle. Rows are linked by their texts, whatever their ids; a component's id is the
@@ -40,11 +41,15 @@ SHARE = 0.8
 HASHES = 128
 CROWD = 16
 PRUNE = 8.0
-TREES, SHALLOW, DEEP, LENGTH = 25, 4, 5, 12
+TREES, SHALLOW, DEEP, LENGTH = 25, 4, 5, 8
 FIRST = 4
 #: Rows of one range of the sorted orders, about.
 RANGE = 1 << 20
 SALT = 16
+#: Links of one partition, about.
+EDGES = 1 << 19
+#: What is told of sorted ranges.
+SOME, NEXT, MANY = range(3)
 #: Counters of the exact search's order. Shingles that share one differ in their place only, not in what is found.
 COUNTERS = 1 << 20
 #: Bits of the bitmap of documents to read again: 4 MB, whatever the input.
@@ -108,19 +113,23 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(signature) * TREES, [None, at.buffers()[1], pa.py_buffer(out)])], ["key"])
 
 
-def _all_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs within runs of a bounded size."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for n in np.unique(size[size > 1]).tolist():
-        i, j = np.triu_indices(n, 1)
-        at = start[size == n][:, None]
-        left.append((at + i).ravel())
-        right.append((at + j).ravel())
-    return np.concatenate(left), np.concatenate(right)
+def _fit(key: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """How many values of each key's label are the most frequent ones at their places in its region."""
+    fit = np.zeros(len(key), np.int16)
+    value = np.ascontiguousarray(key[:, 1:-8]).view(">u2").astype(np.int64)
+    for j in range(LENGTH if len(key) else 0):
+        order = np.lexsort((value[:, j], region))
+        r, v = region[order], value[order, j]
+        start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (v[1:] != v[:-1])])
+        count = np.diff(np.r_[start, len(r)])
+        first = np.flatnonzero(np.r_[True, r[start][1:] != r[start][:-1]])
+        most = np.repeat(np.maximum.reduceat(count, first), np.diff(np.r_[first, len(start)]))
+        fit[order] += np.repeat(count == most, count)
+    return fit
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What one sorted range tells, as (kind, a, b): pairs of a small region, pairs of neighbours in a crowded one, and its members (node, region)."""
+    """What one sorted range tells, as (kind, a, b, fit): members (node, region) of regions of a few classes and of crowded ones, and pairs of neighbours."""
     held = []
     for batch in batches:
         column = batch.column("key")
@@ -140,26 +149,31 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut[[0, -1]] = True  # may go on in another range
         return start, size, (size <= CROWD) & ~cut
 
+    def regions(at: np.ndarray, values: int) -> np.ndarray:
+        prefix = np.zeros((len(at), 16), np.uint8)
+        prefix[:, : 1 + 2 * values] = key[at, : 1 + 2 * values]
+        prefix = prefix.view(np.uint64)
+        return mix(prefix[:, 0] ^ mix(prefix[:, 1] + np.uint64(values << 32))).view(np.int64)
+
     start, size, few = runs(SHALLOW)
-    pairs = [_all_pairs(start[few], size[few])]
     done = np.repeat(few, size)
+    shallow = np.flatnonzero(np.repeat(few & (size > 1), size))
     start, size, few = runs(DEEP)
     rest = ~done[start]
-    pairs.append(_all_pairs(start[rest & few], size[rest & few]))
-    crowded = np.repeat(rest & ~few, size)
-    left, right = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-    next_to = np.flatnonzero(crowded & (depth >= DEEP) & (key[:, 0] < FIRST))
-    at = np.flatnonzero(crowded)
-    prefix = np.zeros((len(at), 16), np.uint8)
-    prefix[:, : 1 + 2 * DEEP] = key[at, : 1 + 2 * DEEP]
-    prefix = prefix.view(np.uint64)
-    region = mix(prefix[:, 0] ^ mix(prefix[:, 1] + np.uint64(1))).view(np.int64)
-    for kind, a, b in ((0, node[left], node[right]), (1, node[next_to - 1], node[next_to]), (2, node[at], region)):
-        for i in range(0, len(a), 1 << 16):
-            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            if kind < 2:
-                x, y = np.minimum(x, y), np.maximum(x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y)], ["kind", "a", "b"])
+    deep = np.flatnonzero(np.repeat(rest & few & (size > 1), size))
+    crowded = np.flatnonzero(np.repeat(rest & ~few, size))
+    next_to = np.flatnonzero((depth >= SHALLOW) & (key[:, 0] < FIRST))
+    some = np.r_[shallow, deep]
+    fit = _fit(key[crowded], np.repeat(np.arange(len(start)), size)[crowded])
+    told = (
+        (SOME, node[some], np.r_[regions(shallow, SHALLOW), regions(deep, DEEP)], np.zeros(len(some), np.int16)),
+        (NEXT, np.minimum(node[next_to - 1], node[next_to]), np.maximum(node[next_to - 1], node[next_to]), np.zeros(len(next_to), np.int16)),
+        (MANY, node[crowded], regions(crowded, DEEP), fit),
+    )
+    for kind, *columns in told:
+        for i in range(0, len(columns[0]), 1 << 16):
+            x = [c[i : i + (1 << 16)] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), kind, np.int8)), *map(pa.array, x)], ["kind", "a", "b", "fit"])
 
 
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +257,7 @@ class Forest:
         if pairs.isEmpty():
             return pairs
         ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
-        full = self.sets_of(checkpointed(ends))  # read twice there
+        full = checkpointed(self.sets_of(checkpointed(ends)))  # so that the joins can split a node with many pairs
         numerator = round(100 * self.share)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,32 +317,69 @@ class Forest:
 
     def links(self) -> DataFrame:
         """Confirmed pairs (a, b) of nodes that connect all similar classes."""
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
         parts = max(shuffle_parts(self.base.sparkSession), -(-self.classes.count() * TREES // RANGE))
         keys = self.classes.select("node", "signature").mapInArrow(_keys, "key binary")
-        told = checkpointed(keys.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(_neighbours, "kind byte, a long, b long"))
-        linked = self.confirmed(told.filter("kind = 1").select("a", "b").distinct())
+        told = checkpointed(keys.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(_neighbours, "kind byte, a long, b long, fit short"))
+        # the member that is most like all others, by its labels in all crowded regions, is each region's pivot
+        many = told.filter(F.col("kind") == MANY).select(F.col("a").alias("node"), F.col("b").alias("region"), "fit")
+        central = many.groupBy("node").agg(F.sum("fit").alias("fit"))
+        pivots = many.drop("fit").join(central, "node").groupBy("region").agg(F.max_by("node", F.struct("fit", "node")).alias("pivot")).select("region", "pivot", salts)
+        by_pivot = many.withColumn("salt", F.pmod("node", F.lit(SALT)).cast("int")).join(pivots, ["region", "salt"]).filter("node <> pivot").select(*_ordered("node", "pivot"))
+        linked = self.confirmed(told.filter(F.col("kind") == NEXT).select("a", "b").unionByName(by_pivot).distinct())
         # what these links connect has one star, and needs no further link
         star = checkpointed(components(linked.toDF("u", "v")).withColumnRenamed("component", "star"))
-        of = lambda end: star.select(F.col("node").alias(end), F.col("star").alias(f"star_{end}"))
-        near = told.filter("kind = 0").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-        near = near.filter(F.coalesce("star_a", "a") != F.coalesce("star_b", "b")).select("a", "b")
-        members = checkpointed(told.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("region")).join(star, "node", "left").withColumn("star", F.coalesce("star", "node")))
-        mixed = members.groupBy("region").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high")
+        members = told.filter(F.col("kind") != NEXT).select("kind", F.col("a").alias("node"), F.col("b").alias("region"))
+        members = checkpointed(members.join(star, "node", "left").withColumn("star", F.coalesce("star", "node")))
+        some = members.filter(F.col("kind") == SOME).groupBy("region").agg(F.min("star").alias("low"), F.max("star").alias("high"), F.sort_array(F.collect_set(F.struct("node", "star"))).alias("all"))  # CROWD at most
+        pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: y["star"] != x["star"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+        near = some.filter("low <> high").select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+        many = members.filter(F.col("kind") == MANY)
+        mixed = many.groupBy("region").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high")
         # a region may hold a large share of all classes, so its members are dealt out by a salt
-        salted = mixed.select("region", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-        crowded = checkpointed(members.withColumn("salt", F.pmod("node", F.lit(SALT)).cast("int")).join(salted, ["region", "salt"], "left_semi").select("node", "star").distinct())
+        salted = mixed.select("region", salts)
+        crowded = checkpointed(many.withColumn("salt", F.pmod("node", F.lit(SALT)).cast("int")).join(salted, ["region", "salt"], "left_semi").select("node", "star").distinct())
         return linked.unionByName(self.confirmed(near if crowded.isEmpty() else near.unionByName(self.exact(crowded)).distinct()))
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of one partition as stars: each node with the smallest that it reaches by them."""
+    held = [np.stack([batch.column(c).to_numpy() for c in ("u", "v")]) for batch in batches]
+    node, ends = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1), return_inverse=True)
+    u, v = ends.reshape(2, -1)
+    least = np.arange(len(node))
+    while True:
+        low = np.minimum(least[u], least[v])
+        new = least.copy()
+        for end in (least[u], least[v], u, v):  # the roots of both ends, and the ends themselves
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if np.array_equal(new, least):
+            break
+        least = new
+    own = np.flatnonzero(least < np.arange(len(node)))
+    for i in range(0, len(own), 1 << 16):
+        at = own[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[least[at]])], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of each node of (u, v) that isn't the smallest of its own."""
+    """node, component (the smallest node reachable) of each node of (u, v) that isn't the smallest of its own.
+
+    Edges are put into partitions of about EDGES, each of which is made into stars by itself; where there are several, alternating
+    large-star and small-star steps connect them, and it begins again, until nothing changes.
+    """
     last = None
     edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == last:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         last = state
+        parts = -(-state.n // EDGES)
+        edges = edges.coalesce(max(1, parts)).mapInArrow(_contracted, "u long, v long")
+        if parts <= 1:  # all of them met
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         # large star: neighbours above a node go to the least of its neighbours and itself
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.functions import lit
 
 from lectern.llm import decontam, fingerprint, langid, linedup, neardup, pieces, quality, secrets, sharding, toxicity
 from lectern.llm.core import checkpointed, distinct, mix, row_blocks, shingles, utf8, words
@@ -72,24 +73,43 @@ def test_words_and_shingles():
 def brute_profile(texts, size):
     counts = {}
     for t in texts:
-        word = "".join(c if c.isalpha() else " " for c in t.lower())
-        p = " " + word + " "
+        p = " " + "".join(c if c.isalpha() else " " for c in t.lower()) + " "
         for i in range(len(p)):
             for n in (1, 2, 3):
                 g = p[i : i + n]
                 if len(g) == n and not (n == 1 and g == " ") and not (n == 2 and g == "  ") and not (n == 3 and g[1] == " "):
                     counts[g] = counts.get(g, 0) + 1
-    order = sorted(counts, key=lambda g: (-counts[g], len(g), g.replace(" ", "\0")))
-    return {g: r for r, g in enumerate(sorted(order, key=lambda g: -counts[g])[:size])}, counts
+    order = sorted(counts, key=lambda g: (-counts[g], -len(g), g.replace(" ", "\0")))
+    return {g: r for r, g in enumerate(order[:size])}, counts
 
 
-def test_profile_counts_equal_brute_force(spark):
-    texts = ["Hello wörld, hello!", "élan vital 12 élan"]
+def packed(gram):
+    code = [0 if c == " " else ord(c) for c in gram]
+    v = sum(c << 21 * i for i, c in enumerate(reversed(code))) | {3: 0, 2: 1 << 63, 1: 3 << 62}[len(gram)]
+    return v - (1 << 64) if v >> 63 else v
+
+
+def test_profiles_and_predictions_equal_brute_force(spark, docs):
+    texts = ["Hello wörld, hello!", "élan vital 12 élan", "一二 三", "a", "b a"]
     df = spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string")
-    _, counts = brute_profile(texts, 10)
-    assert langid.profiles(df, 10_000).count() == len(counts)
-    codes, _, alphabet = langid._coded(["hello"])
-    assert sum(langid._counts(codes, 3)[1]) == 5 + 6 + 5
+    ranks, counts = brute_profile(texts, 40)
+    assert langid.profiles(df, 10_000).count() == len(counts) and len(ranks) == 40
+    assert {r.gram: r["rank"] for r in langid.profiles(df, 40).collect()} == {packed(g): r for g, r in ranks.items()}
+    # one language's n-grams aren't all sorted in one task
+    assert "WindowGroupLimit" in langid.profiles(df, 40)._jdf.queryExecution().executedPlan().toString()
+    some = [(r.doc_id, r.text, r.lang) for r in docs.orderBy("doc_id").limit(90).collect()] + [(10_000 + i, t, None) for i, t in enumerate([*texts, "", None, "12 34"])]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    size = 120
+    model = {lang: brute_profile([t for i, t, x in some if x == lang and t is not None and not held(i)], size)[0] for lang in {x for i, t, x in some if x and t is not None and not held(i)}}
+    got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(some, "doc_id long, text string, lang string"), size=size).collect()}
+    for i, t, _ in some:
+        own, _ = brute_profile([t or ""], size)
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        apart = {x: sum(abs(p[g] - r) if g in p else size for g, r in own.items()) for x, p in model.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 - apart[best] / (size * len(own))) and got[i].held_out == held(i)
 
 
 def test_language_accuracy_and_hard_rows(docs, hard, none):
@@ -119,6 +139,73 @@ def test_quality(spark, hard, none):
     assert kept.columns == hard.columns and kept.count() == 9
 
 
+def brute_hash(data):
+    """mix of the sum of the bytes' random values times powers of the base."""
+    from lectern.llm import core
+
+    return brute_mix(sum(int(core.BYTE[b]) * pow(core._BASE, i, 2**64) for i, b in enumerate(data)))
+
+
+def brute_mix(x):
+    x %= 2**64
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> 33)) * factor % 2**64
+    return x ^ (x >> 33)
+
+
+def brute_features(text, buckets):
+    tokens = [brute_hash(m[0]) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff \t-\r]+", text.encode())]
+    keys = [t % buckets for t in tokens] + [(7 if a == b else brute_mix(b * 31 + a)) % buckets for a, b in zip(tokens, tokens[1:], strict=False)]
+    value = {k: 1 + np.log(keys.count(k)) for k in set(keys)}
+    norm = sum(v * v for v in value.values()) ** 0.5
+    return {k: v / norm for k, v in value.items()}
+
+
+def test_quality_features_and_weights_equal_brute_force():
+    from math import copysign, exp
+
+    texts = ["Good words, good words here. Étude!", "bad bad bad --- ###", "", "one", "good words of note, here"]
+    buckets, alpha, beta, l1, l2 = 1 << 12, 2.0, 1.0, 0.02, 0.05
+    raw, offsets = utf8(pa.array(texts))
+    row, bucket, value = quality.features(raw, offsets, buckets)
+    got = [{int(b): v for b, v in zip(bucket[row == i], value[row == i], strict=True)} for i in range(len(texts))]
+    want = [brute_features(t, buckets) for t in texts]
+    assert all(g.keys() == w.keys() and all(g[k] == pytest.approx(w[k]) for k in w) for g, w in zip(got, want, strict=True))
+    labels = [1, 0, 0, 1, 1]
+    z, n = {}, {}
+
+    def weight(k):
+        if k != "bias" and abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        shrink = 0.0 if k == "bias" else copysign(l1, z[k])
+        return -(z.get(k, 0.0) - shrink) / ((beta + n.get(k, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(5):
+        for x, y in zip(want, labels, strict=True):
+            x = {**x, "bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / alpha * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    rows = [(np.array(sorted(w), np.int64), np.array([w[k] for k in sorted(w)]), y) for w, y in zip(want, labels, strict=True)]
+    weights, bias = quality.ftrl(rows, buckets)
+    assert bias == pytest.approx(weight("bias")) and all(weights[k] == pytest.approx(weight(k), abs=1e-6) for k in z if k != "bias")
+    scores = quality.probabilities(pa.array(texts), weights, bias)
+    assert all(s == pytest.approx(1 / (1 + exp(-bias - sum(weight(k) * v for k, v in w.items()))), abs=1e-6) for s, w in zip(scores, want, strict=True))
+
+
+def test_quality_learns_from_long_texts(spark):
+    """A labelled text of any length takes part in the fit, and the bound on features is a sample of rows."""
+    long = "sound prose of some length. " * 20_000
+    docs = spark.createDataFrame([(i, long if i % 2 else "@@ ## junk " * 9) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], LABELS)
+    assert all(r.predicted == r.doc_id % 2 for r in quality.quality(docs, labels).collect())
+    weights, _ = quality.fit(docs, labels, max_features=200)
+    assert 0 < np.count_nonzero(weights) < np.count_nonzero(quality.fit(docs, labels)[0]) + 1
+
+
 # ---------------------------------------------------------------- 3 pieces
 
 
@@ -154,6 +241,36 @@ def test_pieces_round_trip_and_distribution(spark, hard, none):
     assert again.tolist() == ids[: at[1]].tolist()
 
 
+def test_long_units_are_drawn_alike(spark, monkeypatch):
+    """Windows, and cuts at nodes that every path takes, draw what one lattice draws; and the text comes back."""
+    rng = np.random.default_rng(4)
+    v = pieces.load()
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3000)), "a" * 2500, "漢字かな" * 400 + "é😀" * 100, "x" * 70 + "=" * 900, "Straße" * 300]
+    raw, offsets = pieces.spaced(*utf8(pa.array(texts)))
+    seeds = mix(np.arange(len(texts), dtype=np.uint64))
+    want = pieces.encode(v, raw, offsets, seeds)
+    for long, window in ((200, 64), (1000, 333), (100, 5000)):
+        monkeypatch.setattr(pieces, "LONG", long)
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        got = pieces.encode(v, raw, offsets, seeds)
+        assert all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+    assert pieces.decode(v, *got)[0].tobytes().decode() == "".join(texts)
+
+
+def test_text_without_spaces_takes_linear_time(spark):
+    import time
+
+    v = pieces.load()
+    took = []
+    for n in (200_000, 800_000):
+        raw, offsets = pieces.spaced(*utf8(pa.array(["ab" * (n // 2)])))
+        began = time.process_time()
+        ids, at = pieces.encode(v, raw, offsets, mix(np.arange(1, dtype=np.uint64)))
+        took.append(time.process_time() - began)
+        assert pieces.decode(v, ids, at)[0].tobytes() == b"ab" * (n // 2)
+    assert took[1] < 8 * max(took[0], 0.2)
+
+
 # ---------------------------------------------------------------- 4 lines
 
 
@@ -325,18 +442,79 @@ def test_toxicity(spark, hard, none):
     assert all(r.predicted == r.toxic for r in got if r.held_out)
     model = toxicity.fit(docs, labels)
     raw, offsets = utf8(pa.array(["the oran worthless reti", "the oran w.o.r.t.h.l.e.s.s reti", "the oran worth-less reti", "the oran worthlless reti", "the oran reti"]))
-    f = model.margins(raw, offsets)
-    assert (1 / (1 + np.exp(-(model.slope * f + model.shift))) >= 0.5).tolist() == [True, True, True, True, False]
+    assert (model.scores(raw, offsets) >= 0.5).tolist() == [True, True, True, True, False]
     assert toxicity.toxicity(hard, spark.createDataFrame([], LABELS)).count() == 9 and toxicity.toxicity(none, labels).count() == 0
 
 
-def test_kernel_bound_holds():
-    model = toxicity.Model([b"idiot", b"worthless"], 2, np.zeros(2), 0.0, 1.0, 0.0)
+def brute_kernel(a, b):
+    """Sum over all triples of places in either word, by enumeration."""
+    from itertools import combinations
+
+    def triples(w):
+        return [((w[i], w[j], w[k]), toxicity.DECAY ** (k - i - 2)) for i, j, k in combinations(range(len(w)), 3) if k - i < toxicity.SPAN]
+
+    both = lambda x, y: sum(p * q for u, p in triples(x) for v, q in triples(y) if u == v)
+    return both(a, b) / (both(a, a) * both(b, b)) ** 0.5
+
+
+def test_kernel_by_enumeration_and_its_bound():
+    marks = [b"idiot", b"worthless", b"plainwords"]
+    floors, specific = np.array([0.45, toxicity.FLOOR, toxicity.FLOOR]), np.array([True, False, False])
+    model = toxicity.Model(marks, 2, np.zeros(3), 0.0, (0.0, 0.0, 0.0), 0.0, floors, specific)
+    model.prepare()
+    seen = 0
+    for w in (b"idiot", b"idioot", b"idxiot", b"iidot", b"wortless", b"wxortxhless", b"plainword", b"wordless", b"aaa", b"ab", b"worthlessly"):
+        near, values = model.near(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+        k = np.array([brute_kernel(w, m) for m in marks]) if len(w) > 2 else np.zeros(3)
+        assert len(near) == bool((k >= floors)[:2].any()), w
+        if len(near):
+            rise = np.clip((k[0] - floors[0]) / toxicity.RISE + 0.1, 0, 1) if k[0] >= floors[0] else 0.0
+            assert values[0] == pytest.approx([rise, *(x**toxicity.POWER if x >= toxicity.FLOOR else 0.0 for x in k[1:])])
+            seen += 1
+    assert seen >= 5
+
+
+def test_score_equals_its_definition(spark):
+    """A model's score of a text, from enumerated kernels of all its words."""
+    marks, weights = [b"idiot", b"worthless", b"clean"], np.array([1.4, 1.1, -0.3])
+    model = toxicity.Model(marks, 2, weights, -0.5, (1.5, 0.7, 2.0), -1.2, np.array([0.45, 0.5, 0.5]), np.array([True, False, False]))
     model.prepare()
-    for w in (b"idiot", b"idioot", b"wortless", b"plainword"):
-        z = np.array([toxicity.kernel(p, toxicity.subsequences(w)) for p in model.phi]) / model.norms / toxicity.kernel(toxicity.subsequences(w), toxicity.subsequences(w)) ** 0.5
-        near, _ = model.near(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
-        assert (len(near) == 1) == (z.max() >= toxicity.FLOOR)
+    texts = ["An idiot. You worthless, worthles thing! clean clan idxiot\nplain", "nothing here", "", "i d i o t and W.O.R.T.H.L.E.S.S words."]
+    raw, offsets = utf8(pa.array(texts))
+    got = model.scores(raw, offsets)
+    sentences = [[["an", "idiot"], ["you", "worthless", "worthles", "thing"], ["clean", "clan", "idxiot"], ["plain"]], [["nothing", "here"]], []]
+    for text, score in zip(sentences, got, strict=False):
+        worst, tells, sure = -0.5, 0.0, 0.0
+        for words_of in text:
+            z = np.zeros(3)
+            for w in words_of:
+                k = np.array([brute_kernel(w.encode(), m) for m in marks]) if len(w) > 2 else np.zeros(3)
+                if k[0] >= 0.45 or k[1] >= 0.5:
+                    z = np.maximum(z, [np.clip((k[0] - 0.45) / toxicity.RISE + 0.1, 0, 1) if k[0] >= 0.45 else 0.0, *(x**toxicity.POWER if x >= 0.5 else 0.0 for x in k[1:])])
+            if z.any():
+                f = min(1.0, float(z @ weights) - 0.5)
+                worst, tells, sure = max(worst, f), tells + max(0.0, f), max(sure, z[0] if f > 0 else 0.0)
+        x = 1.5 * worst + 0.7 * np.log1p(tells) + 2.0 * sure - 1.2
+        assert score == pytest.approx(1 / (1 + np.exp(-x)))
+    assert got[3] > got[1]
+
+
+def test_altered_insults_and_clean_words_near_them(spark):
+    """Labelled documents with plain insults only; then one or two characters put in or dropped, and clean words like them."""
+    rng = np.random.default_rng(6)
+    base = ["".join(rng.choice(["an", "the", "or", "ti", "re", "sh", "ea", "wor", "less"], 3)) for _ in range(300)] + ["worth", "pathos", "idiom", "stumped"]
+    insults = ["worthless", "idiot", "pathetic", "stupid"]
+    texts = [" ".join([*rng.choice(base, 30), *(rng.choice(insults, 3) if i % 4 == 0 else [])]) for i in range(800)]
+    raw, offsets = utf8(pa.array(texts))
+    model = toxicity.train(raw, offsets, np.array([i % 4 == 0 for i in range(800)], np.int64))
+    said = lambda w: float(model.scores(*utf8(pa.array([f"the oran {w} reti"])))[0])
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    put = lambda w: (lambda i: w[:i] + str(rng.choice(letters)) + w[i:])(int(rng.integers(1, len(w))))
+    drop = lambda w: (lambda i: w[:i] + w[i + 1 :])(int(rng.integers(1, len(w) - 1)))
+    once = [f(w) for w in insults for f in (put, drop) for _ in range(10)]
+    assert all(said(w) >= 0.5 for w in insults) and np.mean([said(w) >= 0.5 for w in once]) > 0.85
+    assert np.mean([said(put(put(w))) >= 0.5 for w in insults for _ in range(10)]) > 0.4
+    assert not any(said(w) >= 0.5 for w in base)
 
 
 # ---------------------------------------------------------------- 8 near duplicates
@@ -408,27 +586,54 @@ def test_sorted_neighbours_by_brute_force():
     signature[50:90] = signature[50]  # one crowded region in each tree
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(200)), pa.array([x.tobytes() for x in signature])], ["node", "signature"])
     keys = sorted(k for b in neardup._keys(iter([batch])) for k in b.column("key").to_pylist())
-    got = {0: set(), 1: set(), 2: set()}
+    got, fits = {0: set(), 1: set(), 2: set()}, {}
     for b in neardup._neighbours(iter([pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])])):
-        for kind, x, y in zip(*(b.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
+        for kind, x, y, fit in zip(*(b.column(c).to_pylist() for c in ("kind", "a", "b", "fit")), strict=True):
             got[kind].add((x, y))
-    pairs, next_to, members = set(), set(), {}
+            fits[x, y] = fit
     node = lambda k: int.from_bytes(k[-8:], "big", signed=True)
     by = lambda depth, some: [[k for k in some if k[: 1 + 2 * depth] == p] for p in sorted({k[: 1 + 2 * depth] for k in some})]
     edge = lambda part: keys[0] in part or keys[-1] in part
-    both = lambda part: {tuple(sorted((node(x), node(y)))) for i, x in enumerate(part) for y in part[:i]}
+    some, many = [], []
     for shallow in by(neardup.SHALLOW, keys):
         if len(shallow) <= neardup.CROWD and not edge(shallow):
-            pairs |= both(shallow)
+            some.append(shallow)
             continue
         for deep in by(neardup.DEEP, shallow):
-            if len(deep) <= neardup.CROWD and not edge(deep):
-                pairs |= both(deep)
-            else:
-                members.update({(node(k), deep[0][:11]): 0 for k in deep})
-                next_to |= {tuple(sorted((node(x), node(y)))) for x, y in zip(deep, deep[1:], strict=False) if x[0] < neardup.FIRST}
-    assert got[0] == pairs and got[1] == next_to and len(pairs) > 20 and len(next_to) >= 39
-    assert sorted(x for x, _ in got[2]) == sorted(x for x, _ in members) and len({r for _, r in got[2]}) == len({r for _, r in members})
+            (some if len(deep) <= neardup.CROWD and not edge(deep) else many).append(deep)
+    next_to = {tuple(sorted((node(x), node(y)))) for x, y in zip(keys, keys[1:], strict=False) if x[0] < neardup.FIRST and x[: 1 + 2 * neardup.SHALLOW] == y[: 1 + 2 * neardup.SHALLOW]}
+    groups = lambda told: sorted(sorted(n for n, r in told if r == region) for region in {r for _, r in told})
+    assert got[neardup.NEXT] == next_to and len(next_to) >= 39
+    assert groups(got[neardup.SOME]) == sorted(sorted(map(node, p)) for p in some if len(p) > 1)
+    assert groups(got[neardup.MANY]) == sorted(sorted(map(node, p)) for p in many)
+    for part in many:  # how many of a label's values are the most frequent ones of the region
+        at = [[k[1 + 2 * j : 3 + 2 * j] for j in range(neardup.LENGTH)] for k in part]
+        most = [max(column.count(v) for v in column) for column in zip(*at, strict=True)]
+        want = sorted((node(k), sum([row[j] for row in at].count(label[j]) == most[j] for j in range(neardup.LENGTH))) for k, label in zip(part, at, strict=True))
+        regions = [r for r in {r for _, r in got[neardup.MANY]} if sorted(n for n, q in got[neardup.MANY] if q == r) == sorted(map(node, part))]
+        assert any(sorted((n, fits[n, r]) for n, q in got[neardup.MANY] if q == r) == want for r in regions)
+
+
+def test_components_in_one_partition_and_in_many(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [tuple(map(int, rng.integers(2000, 2200, 2))) for _ in range(120)]
+    edges = [(int(a), int(b)) for a, b in edges if a != b]
+    rank = {}
+
+    def find(x):
+        rank.setdefault(x, x)
+        while rank[x] != x:
+            x = rank[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        rank[y] = x
+    want = {n: find(n) for e in edges for n in e if find(n) != n}
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    for size in (neardup.EDGES, 16):
+        monkeypatch.setattr(neardup, "EDGES", size)
+        assert {r.node: r.component for r in neardup.components(df).collect()} == want
 
 
 def test_rows_without_ids_and_clashing_names(spark):
@@ -589,3 +794,68 @@ def test_pipeline_stages(spark, docs, benchmark):
             assert {r.doc_id for r in now.collect()} == {i for i, (_, comp) in want.items() if comp == i}
     assert now.filter("not lossless").count() == 0
     assert sorted(r.doc_id for r in c.run(spark, SF).select("doc_id").collect()) == sorted(r.doc_id for r in now.select("doc_id").collect())
+
+
+def test_stages_on_hard_tables(spark, hard, none, monkeypatch):
+    """Nulls in any column, empty and long texts, repeats, an empty table, and columns called like the stages' own: each row by brute force."""
+    import corpus_pipeline as c
+
+    item = "w5 w6 w7 w8 w9 w10 w11"
+    line = "a first line of it\nand a second line\nand a third one here\nthe fourth line ends it"
+    rows = [(None, line, "x"), (20, "new start\n" + line, None), (None, f"has {item} inside", "x"), (21, "clean words that stand alone here", "x"), (21, "clean words that stand alone here", "x"), (None, None, None)]
+    extra = spark.createDataFrame([(i, t, "en", s, None, 7.0, 8, "r") for i, t, s in rows], SCHEMA)
+    both = hard.unionByName(extra)
+    clash = both.withColumnsRenamed({"score": "n_chunks_removed", "part": "gone", "row": "text_key"}).withColumn("node", lit(5))
+    tables = {"labels": spark.createDataFrame([], LABELS), "benchmark": spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")}
+    monkeypatch.setattr(c, "table", lambda spark, d, name: tables[name])
+    told = lambda df: sorted((str(r.doc_id), r.text or "", r.n_chunks_removed, r.text_key) for r in df.collect())
+    start = clash.collect()
+    for name, stage in c.STAGES:
+        empty = stage(spark, none.withColumnsRenamed({"score": "n_chunks_removed", "row": "text_key"}), "")
+        assert empty.count() == 0
+        if name == "pieces":
+            got = stage(spark, clash, "")
+            assert got.count() == len(start) and got.filter("not lossless").count() == 0
+            continue
+        got = stage(spark, clash, "")
+        assert got.columns == clash.columns
+        texts = [(r.doc_id, r.text) for r in start]
+        if name == "quality":  # without labels all score 0.5, which is accepted
+            assert told(got) == told(clash)
+        if name == "linedup":
+            assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect())[:3] == sorted((i is None, i or 0, t or "") for i, t in texts)[:3]
+            assert all(r.n_chunks_removed in (0.5, 7.0) and r.n_chars == (None if r.text is None else len(r.text)) for r in got.collect())
+        if name == "neardup":
+            order = sorted(texts, key=lambda x: (x[0] is None, x[0] or 0))
+            first = brute_components([(k, t) for k, (_, t) in enumerate(order)])
+            same = lambda k, j: order[k][0] is not None and order[k][0] == order[j][0] and shingle_set(order[k][1], 4) == shingle_set(order[j][1], 4)
+            want = [(i, shingle_set(t, 4)) for k, (i, t) in enumerate(order) if first[k][1] == k or same(k, first[k][1])]
+            got_sets = sorted((str(r.doc_id), len(shingle_set(r.text, 4))) for r in got.collect())
+            assert got_sets == sorted((str(i), len(k)) for i, k in want)
+        if name == "decontam":
+            words_of = shingle_set(item, 5)
+            assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted((str(i), t or "") for i, t in texts if len(words_of & shingle_set(t, 5)) < 0.8 * len(words_of))
+
+
+def test_quality_and_decontamination_stages_by_rows(spark, docs, labels, benchmark):
+    import corpus_pipeline as c
+
+    kept = {r.doc_id for r in c.good_quality(spark, docs, SF).collect()}
+    scores = quality.score(docs.withColumn("held_out", lit(False)), quality.fit(docs, labels)).collect()
+    assert kept == {r.doc_id for r in scores if r.score >= quality.THRESHOLD}
+    items = [shingle_set(r.text, 5) for r in benchmark.collect()]
+    want = {r.doc_id for r in docs.collect() if not any(s and len(s & shingle_set(r.text, 5)) >= 0.8 * len(s) for s in items)}
+    assert {r.doc_id for r in c.decontaminated(spark, docs, SF).collect()} == want
+
+
+def test_run_leaves_one_table_behind(spark):
+    import os
+
+    import corpus_pipeline as c
+    from lectern.llm.core import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert c.run(spark, SF).count() > 0
+    new = [f for f in set(os.listdir(folder)) - before if f.startswith("pipeline-")]
+    assert len(new) == 1 and sum(not f.startswith(".") for f in os.listdir(f"{folder}/{new[0]}")) == 1
