@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 SPACES = r"[\s\x{00A0}\x{FEFF}]+"
 # Words without weight in token overlap, and the id and link forms that are recognised.
 STOP_WORDS = ["the", "and", "with", "from", "this", "that", "which", "into", "using", "figure", "table"]
-ARXIV = r"(\d{4}\.\d{4,5})(?:v\d+)?"
-DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
-PLACEHOLDER_DOI = r"(?i)(?:n{4,}|x{4,}|0{6,}|tbd|placeholder|example)"
+ARXIV = r"((?:\d{4}\.\d{4,5}|[a-z-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?)"
+ARXIV_NAME = rf"(?i)(?:^|[^A-Za-z0-9_]){ARXIV}(?:[^A-Za-z0-9_]|$)"
+ARXIV_TEXT = rf"(?i)arxiv\s*(?::|\.org/(?:abs|pdf)/)?\s*{ARXIV}"
+ARXIV_BACK = rf"(?i)arxiv\s*:\s*{ARXIV}"
+ARXIV_URL = r"(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf|e-print)/"
+DOI = r"(?i)(?:https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/[A-Z0-9][A-Z0-9._;()/:+-]*)"
+PLACEHOLDER_DOI = r"(?:^|[._/()-])(?:n{4,}|x{4,}|tbd|todo|placeholder)(?:$|[._/()-])|n{6,}|x{6,}"
 SECRET = r"sk-[A-Za-z0-9_-]+"
+_STOP, _EDGE = "\ue000", "(?<![A-Za-z0-9_])"
 
 
 def text_of(c: Column) -> Column:
@@ -25,6 +30,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(text_of(c), SPACES, " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(c, rf"^{SPACES}|{SPACES}$", "")
+
+
 def bounded(c: Column, n: int) -> Column:
     return F.substring(collapse(c), 1, n)
 
@@ -57,6 +67,11 @@ def tokens(c: Column, least: int = 4) -> Column:
     return F.array_distinct(F.filter(F.split(strict_key(c), " "), lambda t: (F.length(t) >= least) & ~t.isin(STOP_WORDS)))
 
 
+def similarity_tokens(key: Column) -> Column:
+    """Distinct ASCII tokens of two characters or more of a key."""
+    return F.array_distinct(F.regexp_extract_all(key, F.lit("[a-z0-9]{2,}"), F.lit(0)))
+
+
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(tokens(a), tokens(b)))
 
@@ -67,14 +82,38 @@ def similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.least(F.size(x), F.size(y)))
 
 
+def _held(c: Column, export: bool) -> Column:
+    """With the stops of decimals and common abbreviations set aside."""
+    held = [(r"(\d)\.(\d)", f"$1{_STOP}$2"), (rf"(?i){_EDGE}(e)\.\s*(g)\.", f"$1{_STOP}$2{_STOP}"), (rf"(?i){_EDGE}(i)\.\s*(e)\.", f"$1{_STOP}$2{_STOP}"), (rf"(?i){_EDGE}(et)\s+(al)\.", f"$1 $2{_STOP}")]
+    if export:
+        held += [(rf"(?i){_EDGE}(v)\.\s*(s)\.", f"$1{_STOP}$2{_STOP}"), (rf"(?i){_EDGE}vs\.", f"vs{_STOP}"), (rf"(?i){_EDGE}w\.r\.t\.", f"w{_STOP}r{_STOP}t{_STOP}")]
+    return reduce(lambda x, p: F.regexp_replace(x, *p), held, text_of(c))
+
+
+def _freed(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(_STOP), F.lit(".")))), lambda s: s != "")
+
+
+def _ended(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit("[^.!?。！？]+[.!?。！？]?"), F.lit(0))
+
+
 def sentences(c: Column) -> Column:
-    """Sentences with decimals and common abbreviations kept whole."""
-    hold = "\ue000"
-    x = F.regexp_replace(text_of(c), r"(\d)\.(\d)", f"$1{hold}$2")
-    x = F.regexp_replace(x, r"(?i)(?<![A-Za-z0-9_])(e|i)\.\s*(g|e)\.", f"$1{hold}$2{hold}")
-    x = F.regexp_replace(x, r"(?i)(?<![A-Za-z0-9_])(et)\s+(al)\.", f"$1 $2{hold}")
-    parts = F.regexp_extract_all(F.regexp_replace(x, r"\s+", " "), F.lit(r"[^.!?。！？]+[.!?。！？]?"), F.lit(0))
-    return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit(hold), F.lit(".")))), lambda s: s != "")
+    """Sentences, line by line, with decimals and common abbreviations kept whole; a line of stops only stays."""
+    per_line = F.transform(F.split(text_of(c), "\n+"), lambda x: _held(strip(x), False))
+    found = lambda x: F.when(F.size(_ended(x)) > 0, _ended(x)).otherwise(F.array(x))
+    return _freed(F.flatten(F.transform(F.filter(per_line, lambda x: x != ""), found)))
+
+
+def export_sentences(c: Column) -> Column:
+    """Sentences of a text as one paragraph, with v.s., vs. and w.r.t. kept whole as well."""
+    x = _held(collapse(c), True)
+    return _freed(F.when(F.size(_ended(x)) > 0, _ended(x)).otherwise(F.array(x)))
+
+
+def fallback_sentences(c: Column) -> Column:
+    """Sentences that end before white space or a line's end; stops within words don't count."""
+    return _freed(F.split(_held(F.replace(text_of(c), F.lit("\r"), F.lit("")), False), r"(?<=[。！？.!?])\s+|\n+"))
 
 
 def numbers(c: Column) -> Column:
@@ -96,15 +135,38 @@ def fnv1a(c: Column, most: int = 50_000) -> Column:
 
 
 def arxiv_id(file_name: Column, text: Column) -> Column:
-    """From the file name, else from the text."""
-    first = lambda c: F.nullif(F.regexp_extract(text_of(c), ARXIV, 1), F.lit(""))
-    return F.coalesce(first(file_name), first(text))
+    """From the file name, else from what the text says, else from the text backwards, as a rotated mark is read; null without any."""
+    first = lambda c, p: F.nullif(F.regexp_extract(text_of(c), p, 1), F.lit(""))
+    return F.coalesce(first(file_name, ARXIV_NAME), first(text, ARXIV_TEXT), first(F.reverse(text_of(text)), ARXIV_BACK))
+
+
+def parsed_arxiv_id(c: Column) -> Column:
+    """The id that a value or a URL is; empty if it is none."""
+    x = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(text_of(c)), ARXIV_URL, ""), r"(?i)\.pdf$", ""), r"(?s)[?#].*$", ""))
+    return F.when(x.rlike(f"(?i)^{ARXIV}$"), x).otherwise("")
 
 
 def doi(c: Column) -> Column:
-    """The first DOI without what closes a sentence; null for none or a placeholder."""
-    x = F.regexp_replace(F.regexp_extract(text_of(c), DOI, 0), r"[.,;:)]+$", "")
-    return F.when((x != "") & ~x.rlike(PLACEHOLDER_DOI), F.lower(x))
+    """The first DOI, in lower case, without what closes a sentence; null for none or a placeholder."""
+    x = F.lower(F.regexp_replace(F.regexp_extract(text_of(c), DOI, 1), r"[.,;:)}\]]+$", ""))
+    suffix = F.regexp_extract(x, r"^[^/]*/(.*)$", 1)
+    return F.when((suffix != "") & ~suffix.rlike(PLACEHOLDER_DOI), x)
+
+
+def academic_key(c: Column) -> Column:
+    """A title's letters and digits, which two sources of one paper have in common."""
+    return F.regexp_replace(F.lower(unescape_xml(c)), r"[^\p{L}\p{N}]+", "")
+
+
+def reliable_title(c: Column) -> Column:
+    x = strip(text_of(c))
+    return (F.length(x) >= 5) & ~x.rlike(r"(?i)^(?:untitled|arxiv:.*(?:source)?|main source file|page\s+\d+)")
+
+
+def wide_formula(c: Column) -> Column:
+    """Whether a formula takes a line of its own."""
+    x = collapse(c)
+    return (F.length(x) >= 82) | x.rlike(r"\\begin\{(?:align|gather|multline|eqnarray)\*?\}") | x.rlike(r"\\\\")
 
 
 def titles_agree(a: Column, b: Column, ratio: float = 0.88) -> Column:
@@ -181,10 +243,3 @@ def lenient_json(c: Column, schema: str) -> Column:
     x = F.regexp_replace(text_of(c), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
     parsed = lambda c: F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema))
     return F.coalesce(parsed(x), parsed(F.regexp_extract(x, r"(?s)\{.*\}", 0)))
-
-
-def emphasis_spans(c: Column) -> Column:
-    """Metric tokens first, then capitalised terms: at most three distinct."""
-    metrics = F.regexp_extract_all(text_of(c), F.lit(r"\d+(?:\.\d+)?%?"), F.lit(0))
-    terms = F.regexp_extract_all(text_of(c), F.lit(r"[A-Z]{2,}[A-Za-z0-9-]*"), F.lit(0))
-    return F.slice(F.array_distinct(F.concat(metrics, terms)), 1, 3)

@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import match_key, numbers, sentences, strict_key, tokens
+from ..functions.predicates import percent
+from ..functions.text import match_key, numbers
+
+
+def _runs(words: Column, k: int) -> Column:
+    """Hashes of all runs of k words."""
+    h = F.transform(words, lambda w: F.xxhash64(w))
+    starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+    return F.get(F.transform(F.array(h), lambda h: F.transform(starts, lambda i: F.xxhash64(F.lit(k), *[F.get(h, i + F.lit(j)) for j in range(k)]))), F.lit(0))
 
 
 def quotes_in_corpus(quotes: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
     """(item_id, doc_id) of each quote that a document holds as whole words.
 
-    A quote's first words are an equi-join key against all runs of as many words in the documents, so no
-    theta join is planned; the whole quote is then compared. Shorter quotes join on all their words.
+    A quote's first words (all of a shorter one's) give a hash, and the documents' runs of as many words are joined on it,
+    as ids and hashes alone; only lengths that quotes have are made. The texts are then read again for the pairs found.
     """
     q = quotes.select("item_id", match_key(F.col("text")).alias("quote")).filter("quote <> ''").withColumn("w", F.split("quote", " "))
-    q = q.withColumn("k", F.least(F.size("w"), F.lit(words))).withColumn("key", F.array_join(F.slice("w", 1, F.col("k")), " "))
-    lengths = F.array(*[F.lit(i) for i in range(1, words + 1)])
-    d = docs.select("doc_id", match_key(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(lengths, lambda k: F.array_join(F.slice("w", i, k), " ")))
-    keys = d.select("doc_id", "body", F.explode(F.array_distinct(F.flatten(runs))).alias("key"))
-    return keys.join(q, "key").filter(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "quote", F.lit(" ")))).select("item_id", "doc_id").distinct()
+    q = q.withColumn("k", F.least(F.size("w"), F.lit(words)))
+    sizes = sorted(r.k for r in q.select("k").distinct().collect())  # `words` at most
+    if not sizes:
+        return quotes.select("item_id").limit(0).crossJoin(docs.select("doc_id").limit(0))
+    heads = F.coalesce(*[F.when(F.col("k") == k, F.get(_runs(F.slice("w", 1, k), k), F.lit(0))) for k in sizes])
+    made = F.flatten(F.array(*[_runs(F.col("w"), k) for k in sizes]))
+    body = match_key(F.col("text"))
+    runs = docs.select("doc_id", F.split(body, " ").alias("w")).select("doc_id", F.explode(F.array_distinct(made)).alias("head"))
+    pairs = runs.join(q.select("item_id", heads.alias("head")), "head").select("item_id", "doc_id").distinct()
+    whole = pairs.join(docs.select("doc_id", F.concat(F.lit(" "), body, F.lit(" ")).alias("body")), "doc_id").join(q.select("item_id", "quote"), "item_id")
+    return whole.filter(F.contains("body", F.concat(F.lit(" "), "quote", F.lit(" ")))).select("item_id", "doc_id").distinct()
+
+
+def grounded(quotes: DataFrame, sources: DataFrame, key: str, least: int = 4) -> DataFrame:
+    """key, grounded, total, score: how many quotes (key, quote) of four characters or more their own source (key, text) holds, anywhere."""
+    q = quotes.select(key, match_key(F.col("quote")).alias("quote"))
+    both = q.join(sources.select(key, match_key(F.col("text")).alias("body")), key, "left")
+    holds = (F.length("quote") >= least) & F.coalesce(F.contains("body", "quote"), F.lit(False))
+    n = both.groupBy(key).agg(F.count(F.when(holds, 1)).alias("grounded"), F.count("*").alias("total"))
+    return n.withColumn("score", F.round(percent(F.col("grounded"), F.col("total")), 2))
 
 
 def unsupported_numbers(claims: DataFrame, sources: DataFrame, key: str) -> DataFrame:
@@ -35,29 +57,3 @@ def hallucination_rate(claims: DataFrame, sources: DataFrame, key: str) -> DataF
     wrong = unsupported_numbers(claims, sources, key).groupBy(key).agg(F.count("*").alias("unsupported"))
     both = claimed.join(wrong, key, "left").withColumn("unsupported", F.coalesce("unsupported", F.lit(0)))
     return both.withColumn("rate", F.when(F.col("claimed") == 0, 0.0).otherwise(F.col("unsupported") / F.col("claimed")))
-
-
-def best_sentence(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", least_shared: int = 8, coverage: float = 0.58) -> DataFrame:
-    """The sentence that a quote of the same document comes from: exact first, else by shared tokens."""
-    s = docs.select(key, F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).withColumn("s_key", strict_key(F.col("sentence")))
-    both = quotes.withColumn("q_key", strict_key(F.col("quote"))).filter(F.length("q_key") >= 8).join(s, key)
-    at = F.expr("instr(q_key, s_key)")
-    exact = F.contains("s_key", F.col("q_key")) | at.between(1, 33)
-    shared = F.size(F.array_intersect(F.array_distinct(F.split("s_key", " ")), F.array_distinct(F.split("q_key", " "))))
-    smaller = F.greatest(F.lit(1), F.least(F.size(F.array_distinct(F.split("s_key", " "))), F.size(F.array_distinct(F.split("q_key", " ")))))
-    scored = both.select("*", exact.alias("exact"), shared.alias("shared"), (shared / smaller).alias("coverage"))
-    scored = scored.filter(F.col("exact") | ((F.col("shared") >= least_shared) & (F.col("coverage") >= coverage)))
-    w = Window.partitionBy(key, "quote").orderBy(F.desc("exact"), F.when(F.col("exact"), F.abs(F.length("s_key") - F.length("q_key"))), F.desc("coverage"), F.desc("shared"), "pos")
-    return scored.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(key, "quote", "pos", "sentence", "exact", "shared", "coverage")
-
-
-def excerpts(sections: DataFrame, passages: DataFrame, key: str, least: int = 2, limit: int = 3) -> DataFrame:
-    """For each section of a document the passages that share most tokens with it.
-
-    sections: (key, section_id, text); passages: (key, passage_id, text). An equi-join on tokens.
-    """
-    a = sections.select(key, "section_id", F.explode(tokens(F.col("text"))).alias("token"))
-    b = passages.select(key, "passage_id", F.explode(tokens(F.col("text"))).alias("token"))
-    shared = a.join(b, [key, "token"]).groupBy(key, "section_id", "passage_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    w = Window.partitionBy(key, "section_id").orderBy(F.desc("shared"), "passage_id")
-    return shared.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

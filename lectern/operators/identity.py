@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import arxiv_id, doi, fnv1a, title_of, titles_agree
+from ..functions.text import academic_key, arxiv_id, doi, fnv1a, title_of, titles_agree
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", file_col: str | None = None) -> DataFrame:
@@ -16,6 +16,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", file_col: str | None = Non
     return made.withColumn("key", key)
 
 
+def by_title(titles: DataFrame, entries: DataFrame, id_col: str = "doc_id", least: int = 12) -> DataFrame:
+    """id_col and arxiv_id of titles (id_col, title) that an entry (arxiv_id, title) has in all letters and digits; short ones prove nothing."""
+    t = titles.select(id_col, academic_key(F.col("title")).alias("key")).filter(F.length("key") >= least)
+    first = entries.groupBy(academic_key(F.col("title")).alias("key")).agg(F.min("arxiv_id").alias("arxiv_id"))
+    return t.join(first, "key").select(id_col, "arxiv_id")
+
+
 def conflicts(profile: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Where a profile's title, DOI or arXiv id contradicts what the text says."""
     both = profile.select(id_col, *[F.col(c).alias(f"p_{c}") for c in ("title", "doi", "arxiv_id")]).join(found, id_col)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import first_by_key
 from ..functions.predicates import plausible_formula
 from ..functions.text import archive_path, strip_tex_comments
 
@@ -38,10 +39,11 @@ def command_argument(text: str, command: str) -> str | None:
 
 
 def macros(text: str) -> dict[str, tuple[int, str]]:
+    """Commands that a text defines: how many arguments they take, and what they stand for."""
     out = {}
-    for m in re.finditer(r"\\(?:re)?newcommand\*?\s*\{?\\([A-Za-z]+)\}?\s*(?:\[(\d)\])?\s*(?=\{)", text):
+    for m in re.finditer(r"\\(?:(?:re)?newcommand|providecommand)\*?\s*\{?\\([A-Za-z]+)\}?\s*(?:\[(\d)\])?\s*(?=\{)|\\def\s*\\([A-Za-z]+)\s*((?:#\d)*)\s*(?=\{)", text):
         if body := group_at(text, m.end()):
-            out[m[1]] = (int(m[2] or 0), body[0])
+            out[m[1] or m[3]] = (int(m[2] or 0) if m[1] else len(m[4]) // 2, body[0])
     return out
 
 
@@ -121,22 +123,65 @@ def combined(files: DataFrame) -> DataFrame:
 
 
 def formulas(tex: DataFrame, most: int = 12) -> DataFrame:
-    """paper_id and its plausible display formulas, macros expanded, each once."""
+    """paper_id, ord, formula: the first plausible display formulas of each paper, macros expanded, each once."""
+
+    def of(text: str) -> list[str]:
+        known = macros(text)
+        found = re.finditer(r"(?s)\\begin\{(equation|align|gather|multline|eqnarray)\*?\}(.*?)\\end\{\1\*?\}|\\\[(.*?)\\\]|\$\$(.*?)\$\$", text)
+        return [re.sub(r"\s+", " ", re.sub(r"\\(?:label|tag)\{[^}]*\}|\\nonumber", "", expand(m[2] or m[3] or m[4] or "", known))).strip() for m in found]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for i, t in zip(pdf.paper_id, pdf.tex, strict=True):
-                known, seen = macros(t), set()
-                for m in re.finditer(r"(?s)\\begin\{(equation|align|gather|multline)\*?\}(.*?)\\end\{\1\*?\}|\\\[(.*?)\\\]|\$\$(.*?)\$\$", t):
-                    x = re.sub(r"\s+", " ", re.sub(r"\\(?:label|tag)\{[^}]*\}|\\nonumber", "", expand(m[2] or m[3] or m[4] or "", known))).strip()
-                    if x and (k := x.replace(" ", "")) not in seen:
-                        seen.add(k)
-                        rows.append((i, len(seen), x))
-            yield pd.DataFrame(rows, columns=["paper_id", "ord", "formula"])
-
-    found = tex.mapInPandas(run, "paper_id string, ord int, formula string").filter(plausible_formula(F.col("formula")))
-    return found.filter(F.col("ord") <= most)
+            yield pd.DataFrame({"paper_id": pdf.paper_id, "found": [of(t) for t in pdf.tex]})
+
+    found = tex.mapInPandas(run, "paper_id string, found array<string>")
+    kept = F.slice(first_by_key(F.filter("found", plausible_formula), lambda x: F.regexp_replace(x, r"\s+", "")), 1, most)
+    return found.select("paper_id", F.posexplode(kept).alias("ord", "formula")).select("paper_id", (F.col("ord") + 1).alias("ord"), "formula")
+
+
+# ------------------------------------------------------------------ titles
+
+
+def _without(text: str, command: str) -> str:
+    """A text without the uses of a command and their arguments."""
+    while m := re.search(r"\\" + command + r"\s*(?=\{)", text):
+        if (g := group_at(text, m.end())) is None:
+            break
+        text = text[: m.start()] + text[g[1] :]
+    return text
+
+
+def _plain_title(text: str) -> str:
+    for _ in range(4):
+        text = re.sub(r"\\(?:textbf|textit|emph|textrm|textsf|texttt|mbox)\s*\{([^{}]*)\}", r"\1", text)
+    text = re.sub(r"\\[A-Za-z@]+\*?(?:\[[^\]]*\])?", " ", re.sub(r"\\([&%#_$])", r"\1", text.replace("\\\\", " ")))
+    return re.sub(r"\s+", " ", re.sub(r"[{}]", "", text)).strip()
+
+
+def titles(tex: DataFrame) -> DataFrame:
+    """paper_id, title, lines: the title without notes and commands, and its lines if it is broken into several."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raw = [_without(command_argument(t, "title") or "", "thanks") for t in pdf.tex]
+            lines = [[x for x in map(_plain_title, r.split("\\\\")) if x] if "\\\\" in r else [] for r in raw]
+            yield pd.DataFrame({"paper_id": pdf.paper_id, "title": [_plain_title(r) for r in raw], "lines": lines})
+
+    return tex.mapInPandas(run, "paper_id string, title string, lines array<string>")
+
+
+UNSAFE = r"(?im)^.*\\(?:write18|openout|immediate|input\s*\|).*$"
+
+
+def renderable_table(c: Column) -> Column:
+    """The tabular environment of a table's source, or the empty string."""
+    return F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\\begin\{tabular[*x]?\}.*?\\end\{tabular[*x]?\}", 0)
+
+
+def safe_preamble(c: Column) -> Column:
+    """What stands before the document, without commands that reach outside."""
+    head = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)^(.*?)\\begin\{document\}", 1)
+    return F.trim(F.regexp_replace(head, UNSAFE, ""))
 
 
 def _environments(name: str, body: str) -> Iterator[str]:

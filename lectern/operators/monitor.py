@@ -29,8 +29,13 @@ def call_pairs(events: DataFrame, keys: list[str], at: str, status: str, opens:
     return nxt.filter((F.col(status) == opens) & F.col("end_status").isin(*closes)).withColumn("seconds", (micros("end_at") - micros(at)) / 1e6)
 
 
+# What tells an error's class, by precedence.
+ERRORS = [("billing", r"(?i)\b402\b|insufficient balance|payment required|billing"), ("key", r"(?i)\b401\b|authentication fails|invalid api key|unauthorized"), ("rate", r"(?i)\b429\b|rate limit|too many requests|quota")]
+
+
 def error_class(message: Column) -> Column:
-    return F.when(message.rlike("402"), "billing").when(message.rlike("401"), "key").when(message.rlike("429"), "rate").otherwise("other")
+    """Whether the balance, the key or the rate was refused, or something else went wrong."""
+    return F.coalesce(*[F.when(message.rlike(p), kind) for kind, p in ERRORS], F.lit("other"))
 
 
 def sessions(events: DataFrame, key: str, at: str, gap_seconds: int) -> DataFrame:

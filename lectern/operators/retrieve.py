@@ -1,17 +1,21 @@
-"""From documents to the best passages of each reading task, under size budgets."""
+"""From documents to the best passages of each reading task, under size budgets.
+
+Sections and chunks are made by array functions within a row, so documents aren't shuffled; only the ranking
+of a document's chunks for a task needs an exchange, and the rank limit goes below it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..functions.predicates import heading, is_reference_section
-from ..functions.text import paper_text, sentences
+from ..functions.text import paper_text, sentences, strip, text_of
 
-# What each reading task looks for.
+# What each reading task looks for, its label, goal, fields and the key of its evidence.
 TASK_KEYWORDS = {
     "overview": ["abstract", "introduction", "overview", "summary", "paper", "propose"],
     "problem": ["abstract", "introduction", "problem", "challenge", "limitation", "gap", "motivation"],
@@ -21,7 +25,16 @@ TASK_KEYWORDS = {
     "results": ["result", "performance", "comparison", "analysis", "discussion", "accuracy", "score", "mitigation", "pass@", "gain", "improvement", "distribution", "percentage"],
     "contribution": ["contribution", "novel", "innovation", "conclusion", "limitation", "future work"],
 }
-#: Section headings that raise or lower a task's score: (task, pattern, points).
+READING_PLAN = [
+    ("overview", "Paper overview", "Identify the paper title and produce a concise overall summary.", ["title", "summary"], "summary"),
+    ("problem", "Research problem", "Identify the research problem, gap, motivation, and why the problem matters.", ["problem", "motivation"], "problem"),
+    ("method", "Method", "Reconstruct the proposed method, pipeline, assumptions, and important implementation details.", ["method"], "method"),
+    ("theory", "Formula and theory", "Explain the role of the key objective, formula, theorem, or theoretical mechanism without inventing notation.", ["theory"], "theory"),
+    ("experiments", "Experiments", "Extract datasets, baselines, metrics, ablations, and implementation evidence.", ["experiments"], "experiments"),
+    ("results", "Results and claim support", "Identify concrete results and judge whether the method and experiments support the paper's claims.", ["results", "methodSupportsProblem", "experimentsValidateClaims"], "results"),
+    ("contribution", "Contribution and logic", "Summarize contributions, novelty, limitations, and critically reconstruct the complete argument chain.", ["contributions", "innovation", "logicReview"], "contributions"),
+]
+# Section headings that raise or lower a task's score (task, pattern, points), for contexts and for direct evidence.
 SECTION_POINTS = [
     ("overview", "abstract|introduction", 20),
     ("problem", "abstract|introduction|motivation|problem statement", 22),
@@ -33,68 +46,112 @@ SECTION_POINTS = [
     ("results", "related work|introduction|methodology|method", -12),
     ("contribution", "conclusion|discussion", 20),
 ]
+EVIDENCE_POINTS = [
+    ("overview", "abstract|introduction", 16),
+    ("contribution", "conclusion|discussion", 16),
+    ("method", r"methodology|(?:^|\s)method(?:\s|$)|proposed approach|our approach|framework|architecture", 24),
+    ("method", "related work|background|literature review", -14),
+    ("experiments", "experiment|evaluation|results?|ablation|research question", 18),
+    ("experiments", "related work|background", -10),
+    ("results", "experiment|evaluation|results?|ablation|research question", 18),
+    ("results", "related work|background", -10),
+]
+EVIDENCE_LISTS = "reliable formulas|figures extracted|tables extracted"
+#: Sections from which a task always gets its best chunk.
+FORCED = {"overview": "(?i)abstract|introduction", "contribution": "(?i)conclusion|discussion"}
+#: Least and most characters of a chunk.
+LEAST_CUT, CHUNK = 300, 2200
 
 
-def tasks(spark: SparkSession, keywords: dict[str, list[str]] = TASK_KEYWORDS) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in keywords.items()], "task_id string, keywords array<string>")
+def task_words(label: str, goal: str) -> list[str]:
+    return re.findall(r"[a-z][a-z-]{3,}", f"{label} {goal}".lower())
 
 
-def line_chunks(docs: DataFrame, lines: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, section_idx, heading, chunk_id, part, idx, text: runs of so many lines within a section.
+def tasks(spark: SparkSession, plan: list[tuple] = READING_PLAN, keywords: dict[str, list[str]] = TASK_KEYWORDS) -> DataFrame:
+    """task_id, label, goal, fields, evidence_key, keywords: a task's own, and the words of its label and goal."""
+    rows = [(t, label, goal, fields, key, list(dict.fromkeys(keywords.get(t, []) + task_words(label, goal)))) for t, label, goal, fields, key in plan]
+    return spark.createDataFrame(rows, "task_id string, label string, goal string, fields array<string>, evidence_key string, keywords array<string>")
 
-    A section begins at a heading line; what stands before the first is the overview. All is done within
-    a row, so documents aren't shuffled.
-    """
-    kept = F.filter(F.transform(F.split(paper_text(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    flagged = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(kept).alias("line_no", "line")).withColumn("h", heading(F.col("line")))
-    by_doc = Window.partitionBy("doc_id").orderBy("line_no")
-    sect = flagged.withColumn("section_idx", F.sum(F.when(F.col("h") != "", 1).otherwise(0)).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    in_section = Window.partitionBy("doc_id", "section_idx").orderBy("line_no")
-    body = sect.withColumn("heading", F.coalesce(F.nullif(F.first("h").over(in_section), F.lit("")), F.lit("Paper overview"))).filter(F.col("h") == "")
-    body = body.withColumn("part", F.floor((F.row_number().over(in_section) - 1) / lines).cast("int") + 1)
-    made = body.groupBy("doc_id", "section_idx", "heading", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    order = Window.partitionBy("doc_id").orderBy("section_idx", "part")
-    return made.withColumn("idx", F.row_number().over(order) - 1).withColumn("chunk_id", F.format_string("S%dC%d", F.col("section_idx") + 1, F.col("part")))
+
+def sections(text: Column) -> Column:
+    """array<struct<heading, text>>: what stands below each heading line, if anything; before the first is the overview."""
+
+    def cut(both: Column) -> Column:
+        lines, named = both["lines"], both["named"]
+        starts = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(named, i) != ""))
+        body = lambda s, e: strip(F.array_join(F.slice(lines, s + 2, F.greatest(e - s - 1, F.lit(0))), "\n"))
+        made = bound(starts, lambda at: F.transform(at, lambda s, j: F.struct(F.when(s < 0, "Paper overview").otherwise(F.get(named, s)).alias("heading"), body(s, F.coalesce(F.get(at, j + 1), F.size(lines))).alias("text"))))
+        return F.filter(made, lambda x: x["text"] != "")
+
+    return bound(bound(F.split(text_of(text), "\n"), lambda x: F.struct(x.alias("lines"), F.transform(x, heading).alias("named"))), cut)
 
 
-def size_chunks(docs: DataFrame, size: int = 1800, least: int = 300, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, part, text: pieces of at most `size` characters, cut at a paragraph, line or sentence end."""
+def _last(x: Column, mark: str, most: Column | int) -> Column:
+    """The last place, from 0 up to most, at which a mark begins; -1 without one."""
+    head = F.substring(x, F.lit(1), F.lit(most + len(mark)))
+    return bound(F.struct(F.length(head).alias("n"), F.locate(mark[::-1], F.reverse(head)).alias("at")), lambda h: F.when(h["at"] == 0, -1).otherwise(h["n"] - len(mark) - h["at"] + 1))
 
-    def cut(text: str) -> Iterator[str]:
-        text = text.strip()
-        while len(text) > size:
-            at = next((p for p in (text.rfind(m, 0, size) for m in ("\n\n", "\n", ". ")) if p >= least), size)
-            yield text[: at + 1].strip()
-            text = text[at + 1 :].strip()
-        if text:
-            yield text
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, k + 1, t) for i, text in zip(pdf.doc_id, pdf.text.fillna(""), strict=True) for k, t in enumerate(cut(text))]
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "text"])
+def size_cuts(text: Column, size: int = CHUNK) -> Column:
+    """array<string>: pieces of a text that is longer than size, cut at the last paragraph, line or sentence end that leaves enough."""
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), paper_text(F.col("text")).alias("text")).mapInPandas(run, "doc_id long, part int, text string")
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        ends = F.array(_last(rest, "\n\n", size), _last(rest, "\n", size), _last(rest, ". ", size) + 1)
+        at = F.when(F.length(rest) <= size, F.length(rest)).otherwise(F.coalesce(F.get(F.filter(ends, lambda e: e > LEAST_CUT), F.lit(0)), F.lit(size)))
+        cut = bound(at, lambda n: F.struct(strip(F.substring(rest, n + 1, F.length(rest))).alias("rest"), F.array_append(state["parts"], strip(F.substring(rest, F.lit(1), n))).alias("parts")))
+        return F.when(rest == "", state).otherwise(cut)
 
+    steps = F.sequence(F.lit(1), F.floor(F.length(text) / LEAST_CUT).cast("int") + 2)
+    start = F.struct(strip(text).alias("rest"), F.array().cast("array<string>").alias("parts"))
+    return F.filter(F.aggregate(steps, start, step)["parts"], lambda p: p != "")
 
-def _keyword_points(keywords: Column, text: Column, points: int) -> Column:
-    return F.aggregate(keywords, F.lit(0), lambda s, k: s + F.when(F.contains(text, k), points).otherwise(0))
 
+def chunks(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
+    """doc_id, idx, chunk_id, section_idx, heading, part, text: the pieces of all sections, in order."""
+    text = paper_text(F.col("text")) if normal else text_of(F.col("text"))
+    of = lambda s, i: F.transform(size_cuts(s["text"], size), lambda t, k: F.struct(i.alias("section_idx"), s["heading"].alias("heading"), (k + 1).alias("part"), t.alias("text")))
+    made = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.flatten(F.transform(sections(text), of))).alias("idx", "c"))
+    return made.select("doc_id", "idx", F.format_string("S%dC%d", F.col("c.section_idx") + 1, F.col("c.part")).alias("chunk_id"), "c.section_idx", "c.heading", "c.part", "c.text")
 
-def scored(chunks: DataFrame, task_table: DataFrame) -> DataFrame:
+
+def _scored(parts: DataFrame, task_table: DataFrame, first: Column, in_heading: int, points: list[tuple[str, str, int]], references: int) -> DataFrame:
     """Each chunk with each task and its score. The tasks are a handful of rows, and broadcast."""
-    both = chunks.crossJoin(F.broadcast(task_table))
+    both = parts.crossJoin(F.broadcast(task_table.select("task_id", "keywords")))
     h, t = F.lower("heading"), F.lower("text")
-    score = F.greatest(F.lit(0), 3 - F.col("idx")) * F.when(F.col("idx") < 2, 1).otherwise(0) + _keyword_points(F.col("keywords"), h, 10) + _keyword_points(F.col("keywords"), t, 2)
-    for task, pattern, points in SECTION_POINTS:
-        score = score + F.when((F.col("task_id") == task) & h.rlike(pattern), points).otherwise(0)
-    return both.withColumn("score", score - F.when(is_reference_section(F.col("heading")), 40).otherwise(0)).drop("keywords")
+    held = lambda x, n: F.aggregate("keywords", F.lit(0), lambda s, k: s + F.when(F.contains(x, k), n).otherwise(0))
+    score = first + held(h, in_heading) + held(t, 2)
+    for task, pattern, n in points:
+        score = score + F.when((F.col("task_id") == task) & h.rlike(pattern), n).otherwise(0)
+    return both.withColumn("score", score - F.when(is_reference_section(F.col("heading")), references).otherwise(0)).drop("keywords")
+
+
+def scored(parts: DataFrame, task_table: DataFrame) -> DataFrame:
+    """Scores for contexts: keywords in heading and text, the task's sections, evidence lists, and the first two chunks."""
+    out = _scored(parts, task_table, F.when(F.col("idx") < 2, 3 - F.col("idx")).otherwise(0), 10, SECTION_POINTS, 40)
+    listed = F.lower(F.concat("heading", F.lit("\n"), "text")).rlike(EVIDENCE_LISTS)
+    return out.withColumn("score", F.col("score") + F.when(listed, 8).otherwise(0))
+
 
+def evidence_scored(parts: DataFrame, task_table: DataFrame) -> DataFrame:
+    """Scores for direct evidence."""
+    return _scored(parts, task_table, F.when(F.col("idx") < 2, 2).otherwise(0), 8, EVIDENCE_POINTS, 20)
 
-def top_chunks(scores: DataFrame, k: int = 5) -> DataFrame:
-    """The k best chunks of each document and task; references never."""
-    w = Window.partitionBy("doc_id", "task_id").orderBy(F.desc("score"), "idx")
-    return scores.filter(~is_reference_section(F.col("heading"))).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+def top_chunks(scores: DataFrame, k: int | None = None, expanded: bool = False) -> DataFrame:
+    """The k best chunks (5, or 7 if expanded) of each document and task; references never.
+
+    The best one comes first, then the best from the sections that a task must see.
+    """
+    best = Window.partitionBy("doc_id", "task_id").orderBy(F.desc("score"), "idx")
+    forced = F.lit(False)
+    for task, pattern in FORCED.items():
+        forced = forced | ((F.col("task_id") == task) & F.col("heading").rlike(pattern))
+    ranked = scores.withColumn("place", F.row_number().over(best)).withColumn("forced", forced)
+    first = F.row_number().over(Window.partitionBy("doc_id", "task_id", "forced").orderBy("place")) == 1
+    ranked = ranked.withColumn("turn", F.when(F.col("place") == 1, 0).when(F.col("forced") & first, 1).otherwise(2)).filter(~is_reference_section(F.col("heading")))
+    w = Window.partitionBy("doc_id", "task_id").orderBy("turn", "place")
+    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k or (7 if expanded else 5))).drop("place", "forced", "turn")
 
 
 def best_of_tasks(selected: DataFrame) -> DataFrame:
@@ -102,32 +159,57 @@ def best_of_tasks(selected: DataFrame) -> DataFrame:
     return selected.groupBy("doc_id", "chunk_id").agg(F.max("score").alias("score"), F.min("idx").alias("idx"), F.count("*").cast("long").alias("n_tasks"))
 
 
-def within_budget(selected: DataFrame, max_chars: int = 6500, overhead: int = 40, least: int = 200) -> DataFrame:
+def within_budget(scores: DataFrame, max_chars: int = 6000, max_chunks: int = 4, overhead: int = 40, least: int = 200) -> DataFrame:
     """Evidence of each (doc_id, task_id) in rank order: a chunk is cut to what is left, and the rest stops below `least`."""
-
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "heading", "text")))  # no more than were selected
-    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.expr("cast(array() as array<struct<chunk_id:string,text:string>>)").alias("kept"))
+    best = Window.partitionBy("doc_id", "task_id").orderBy(F.desc("score"), "idx")
+    few = scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_chunks)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "heading", "text")))  # max_chunks at most
+    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<struct<chunk_id:string,text:string>>)").alias("kept"))
 
     def step(a, c):
         left = F.lit(max_chars) - a["used"]
         text = F.substring(c["text"], F.lit(1), left)
-        grown = F.struct((a["used"] + F.length(text) + F.length(c["heading"]) + overhead).alias("used"), F.lit(False).alias("full"), F.array_append(a["kept"], F.struct(c["chunk_id"].alias("chunk_id"), text.alias("text"))).alias("kept"))
-        return F.when(a["full"] | (left < least), F.struct(a["used"].alias("used"), F.lit(True).alias("full"), a["kept"].alias("kept"))).otherwise(grown)
+        grown = F.struct((a["used"] + F.length(text) + F.length(c["heading"]) + overhead).alias("used"), F.array_append(a["kept"], F.struct(c["chunk_id"].alias("chunk_id"), text.alias("text"))).alias("kept"))
+        return F.when(left < least, a).otherwise(grown)  # what is used only grows, so nothing follows
+
+    made = few.groupBy("doc_id", "task_id").agg(F.aggregate(ranked, start, step)["kept"].alias("kept"))
+    return made.select("doc_id", "task_id", F.posexplode("kept").alias("pos", "e")).select("doc_id", "task_id", F.concat(F.lit("E"), F.col("pos") + 1).alias("evidence_id"), "e.chunk_id", "e.text")
+
+
+def units(text: Column, keywords: Column) -> Column:
+    """Sentences from the best on, as (low, i, s): the first, those with keywords, and those that hold evidence count."""
+    evidence = r"(?i)\d|=|\\begin|\\end|figure|table|dataset|baseline"
+
+    def unit(s: Column, i: Column) -> Column:
+        score = F.when(i == 0, 3).otherwise(0) + 4 * F.size(F.filter(keywords, lambda k: F.contains(F.lower(s), k))) + F.when(s.rlike(evidence), 2).otherwise(0)
+        return F.struct((-score).alias("low"), i.alias("i"), s.alias("s"))
+
+    return F.array_sort(F.transform(sentences(text), unit))
+
 
-    made = selected.groupBy("doc_id", "task_id").agg(F.aggregate(ranked, start, step)["kept"].alias("kept"))
-    return made.select("doc_id", "task_id", F.posexplode("kept").alias("pos", "e")).select("doc_id", "task_id", (F.col("pos") + 1).alias("evidence_no"), "e.chunk_id", "e.text")
+def packed(ranked: Column, budget: Column) -> Column:
+    """The units that fit, each too long one skipped, in the order of the text."""
+    start = F.expr("named_struct('used', 0, 'kept', cast(array() as array<struct<i:int,s:string>>))")
+
+    def step(a: Column, u: Column) -> Column:
+        used = a["used"] + F.length(u["s"]) + F.when(F.size(a["kept"]) > 0, 1).otherwise(0)
+        return F.when(used > budget, a).otherwise(F.struct(used.alias("used"), F.array_append(a["kept"], F.struct(u["i"].alias("i"), u["s"].alias("s"))).alias("kept")))
+
+    return strip(F.array_join(F.transform(F.array_sort(F.aggregate(ranked, start, step)["kept"]), lambda u: u["s"]), "\n"))
 
 
 def compressed(text: Column, keywords: Column, budget: int) -> Column:
-    """The best sentences that fit, a too long one being skipped, in the order of the text."""
-    units = F.transform(sentences(text), lambda s, i: F.struct((-F.aggregate(keywords, F.lit(0), lambda a, k: a + F.when(F.contains(F.lower(s), k), 2).otherwise(0))).alias("low"), i.alias("i"), s.alias("s")))
-    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<struct<i:int,s:string>>)").alias("kept"))
-    fits = lambda a, u: a["used"] + F.length(u["s"]) + 1 <= budget
-    done = F.aggregate(F.array_sort(units), start, lambda a, u: F.when(fits(a, u), F.struct((a["used"] + F.length(u["s"]) + 1).alias("used"), F.array_append(a["kept"], F.struct(u["i"].alias("i"), u["s"].alias("s"))).alias("kept"))).otherwise(a))
-    return F.array_join(F.transform(F.array_sort(done["kept"]), lambda u: u["s"]), " ")
-
-
-def keyword_sentences(text: Column, keywords: list[str], n: int = 2) -> Column:
-    """The first n sentences that hold a keyword."""
-    hit = lambda s: F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.lower(s), k))
-    return F.array_join(F.slice(F.filter(sentences(text), hit), 1, n), " ")
+    """A text within a budget: itself if it fits, else its best sentences."""
+    x = strip(text_of(text))
+    return F.when(F.length(x) <= budget, x).otherwise(packed(units(x, keywords), F.lit(budget)))
+
+
+def ratio(kept: Column, given: Column) -> Column:
+    """Share kept, to three places; 1 of nothing."""
+    return F.when(given == 0, F.lit(1.0)).otherwise(F.round(kept / given, 3))
+
+
+def keyword_sentences(found: Column, keywords: list[str], n: int = 2) -> Column:
+    """The first n of some sentences that hold a keyword, joined."""
+    hit = lambda s: F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.contains(F.lower(s), k))
+    return F.array_join(F.slice(F.filter(found, hit), 1, n), " ")

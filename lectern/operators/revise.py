@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import math_keys
-from ..functions.text import bounded, escape_html, numbers, sentences, strict_key, text_of
+from ..functions.text import bounded, escape_html, numbers, strict_key, text_of
+from .retrieve import packed, units
 
 # Words that support nothing.
 GENERAL_WORDS = ["which", "their", "about", "these", "those", "paper", "context"]
@@ -97,28 +98,6 @@ def recalled(memory: DataFrame, task_table: DataFrame, limit: int = 5) -> DataFr
 # ------------------------------------------------------------------ fair shares
 
 
-def _units(text: Column, keywords: Column) -> Column:
-    """Sentences from the best on: the first, those with keywords, and those that hold evidence count."""
-    evidence = r"(?i)\d|=|\\begin|\\end|figure|table|dataset|baseline"
-
-    def unit(s: Column, i: Column) -> Column:
-        score = F.when(i == 0, 3).otherwise(0) + 4 * F.size(F.filter(keywords, lambda k: F.contains(F.lower(s), k))) + F.when(s.rlike(evidence), 2).otherwise(0)
-        return F.struct((-score).alias("low"), i.alias("i"), s.alias("s"))
-
-    return F.array_sort(F.transform(sentences(text), unit))
-
-
-def _packed(units: Column, budget: Column) -> Column:
-    """The units that fit, each too long one skipped, in the order of the text."""
-    start = F.expr("named_struct('used', 0, 'kept', cast(array() as array<struct<i:int,s:string>>))")
-
-    def step(a: Column, u: Column) -> Column:
-        used = a["used"] + F.length(u["s"]) + F.when(F.size(a["kept"]) > 0, 1).otherwise(0)
-        return F.when(used > budget, a).otherwise(F.struct(used.alias("used"), F.array_append(a["kept"], F.struct(u["i"].alias("i"), u["s"].alias("s"))).alias("kept")))
-
-    return F.array_join(F.transform(F.array_sort(F.aggregate(units, start, step)["kept"]), lambda u: u["s"]), "\n")
-
-
 def fair_shares(selected: DataFrame, task_table: DataFrame, max_chars: int = 5000) -> DataFrame:
     """The context of each (doc_id, task_id): doc_id, task_id, pos, chunk_id, text, original_chars.
 
@@ -128,14 +107,14 @@ def fair_shares(selected: DataFrame, task_table: DataFrame, max_chars: int = 500
     """
     label = F.concat(F.lit("[SOURCE "), "chunk_id", F.lit(" | "), "heading", F.lit(" | part "), F.col("part").cast("string"), F.lit("]"))
     rows = selected.join(F.broadcast(task_table), "task_id")
-    one = F.struct("idx", "chunk_id", F.length(label).alias("label"), F.trim("text").alias("text"), _units(F.col("text"), F.col("keywords")).alias("units"))
+    one = F.struct("idx", "chunk_id", F.length(label).alias("label"), F.trim("text").alias("text"), units(F.col("text"), F.col("keywords")).alias("units"))
     groups = rows.groupBy("doc_id", "task_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
     head = F.length("task_id") * 2 + F.lit(len("[GSSC CONTEXT | task= | goal=]") + 2)
     start = F.struct((F.lit(max_chars) - head).cast("int").alias("left"), F.lit(0).alias("k"), F.expr("cast(array() as array<struct<chunk_id:string,text:string,original_chars:int>>)").alias("kept"))
 
     def step(a: Column, c: Column) -> Column:
         share = F.greatest(F.lit(180), F.floor((a["left"] - c["label"] - 2) / (F.size("all") - a["k"])).cast("int"))
-        text = F.when(a["left"] < 220, F.lit("")).when(F.length(c["text"]) <= share, c["text"]).otherwise(_packed(c["units"], share))
+        text = F.when(a["left"] < 220, F.lit("")).when(F.length(c["text"]) <= share, c["text"]).otherwise(packed(c["units"], share))
 
         def put(t: Column) -> Column:
             size = c["label"] + 1 + F.length(t)

@@ -1,7 +1,6 @@
 """The registered queries of the library's own operators, with their oracle SQL.
 
-Every query runs its operator over whole tables. The reading tasks' own keywords never occur in the
-invented prose, so the retrieval queries pass a keyword table of terms that do.
+Every query runs its operator over whole tables.
 """
 
 from __future__ import annotations
@@ -16,35 +15,12 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..operators import classify, evaluate, geometry, ground, identity, latex, monitor, retrieve, revise, sets
 from ..operators.registry import Operator, Registry
+from . import analysis, assets, base, grounding, results, retrieval
+from .base import query, table
 
-KEYWORDS = {"overview": ["that", "with"], "method": ["tion", "ing"], "results": ["ment", "ción"], "theory": ["the", "der"]}
-SIGNALS = {"english": ["the", "and"], "german": ["der", "und"], "french": ["les", "eau"], "spanish": ["los", "que"]}
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+_t = table
 
 
-def query(oracle: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_CHUNKS = """
-l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), chr(13), '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g')), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line,
-  generate_subscripts(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), chr(13), '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g')), chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 AS line_no FROM documents),
-chunks AS (SELECT doc_id, (line_no // 5 + 1)::INT AS part, (line_no // 5)::INT AS idx, string_agg(line, chr(10) ORDER BY line_no) AS text FROM l GROUP BY ALL)"""
-_TASKS = "tasks(task_id, keywords) AS (VALUES " + ", ".join(f"('{k}', {v!r})" for k, v in KEYWORDS.items()) + ")"
-_SCORED = f"""WITH {_CHUNKS}, {_TASKS},
-scored AS (SELECT doc_id, task_id, 'S1C' || part AS chunk_id, idx, text, (CASE WHEN idx < 2 THEN 3 - idx ELSE 0 END + 10 * len(list_filter(keywords, lambda k: contains('paper overview', k))) + 2 * len(list_filter(keywords, lambda k: contains(lower(text), k))))::INT AS score FROM chunks, tasks),
-top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, task_id ORDER BY score DESC, idx)::INT AS rank FROM scored QUALIFY rank <= 5)"""
 _SENTENCES = "list_filter(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '[^.!?。！？]+[.!?。！？]?'), lambda s: trim(s)), lambda s: s <> '')"
 _KEY = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}%._]+', ' ', 'g'))"
 _STRICT = "trim(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -65,24 +41,16 @@ def number_tokens(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(n).alias("n_numbers"), F.array_join(n, " ").alias("numbers"))
 
 
-@query(f"SELECT conv_id, turn, len(s)::INT AS n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::INT AS longest FROM (SELECT *, {_SENTENCES} AS s FROM conversations) WHERE NOT regexp_matches(text, '\\d\\.\\d')")
-def sentence_stats(spark, d):
-    s = T.sentences(F.col("text"))
-    plain = _t(spark, d, "conversations").filter(~F.col("text").rlike(r"\d\.\d"))
-    return plain.select("conv_id", "turn", F.size(s).alias("n_sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).alias("longest"))
-
-
 @query("""SELECT item_id, lpad(lower(printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(x, ''), lambda c: unicode(c)::BIGINT)), lambda h, p: (xor(h, p) * 16777619) & 4294967295))), 8, '0') || ':' || length(x) AS content_hash
 FROM (SELECT item_id, trim(regexp_replace(text, '[\\s\\x{00A0}\\x{FEFF}]+', ' ', 'g')) AS x FROM benchmark)""")
 def fnv_fingerprint(spark, d):
     return _t(spark, d, "benchmark").select("item_id", T.fnv1a(F.col("text")).alias("content_hash"))
 
 
-@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS html_md5, least(240, length(coalesce(text, '')))::INT AS n_redacted, ceil(length(coalesce(text, '')) / 4)::BIGINT AS n_tokens FROM documents WHERE NOT contains(coalesce(text, ''), 'sk-')")
+@query(f"""WITH {base.PAPERS} SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;')) AS html_md5, md5(left(regexp_replace(text, 'sk-[A-Za-z0-9_-]+', '[redacted]', 'g'), 240)) AS redacted_md5, ceil(length(text) / 4)::BIGINT AS n_tokens FROM papers""")
 def text_cleanup(spark, d):
     x = F.col("text")
-    docs = _t(spark, d, "documents").filter(~F.contains(T.text_of(x), F.lit("sk-")))
-    return docs.select("doc_id", F.md5(T.escape_html(x).cast("binary")).alias("html_md5"), F.length(T.redacted(x)).alias("n_redacted"), T.token_estimate(F.lit(None).cast("long"), x).alias("n_tokens"))
+    return base.papers(spark, d).select("doc_id", base.md5(T.escape_html(x)).alias("html_md5"), base.md5(T.redacted(x)).alias("redacted_md5"), T.token_estimate(F.lit(None).cast("long"), x).alias("n_tokens"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS title, len(regexp_extract_all(html, '<p[ >]'))::INT AS n_paragraphs, len(regexp_extract_all(html, '<li[ >]'))::INT AS n_items,
@@ -100,54 +68,6 @@ def titles(spark, d):
     return _t(spark, d, "documents").select("doc_id", t.alias("title"), F.md5(T.strict_key(t).cast("binary")).alias("title_key"))
 
 
-# ------------------------------------------------------------------ retrieval
-
-
-@query(f"WITH {_CHUNKS} SELECT doc_id, 'S1C' || part AS chunk_id, idx, length(text)::INT AS n_chars FROM chunks")
-def chunk_index(spark, d):
-    return retrieve.line_chunks(_t(spark, d, "documents")).select("doc_id", "chunk_id", F.col("idx").cast("int").alias("idx"), F.length("text").alias("n_chars"))
-
-
-def _scores(spark, d):
-    return retrieve.scored(retrieve.line_chunks(_t(spark, d, "documents")), retrieve.tasks(spark, KEYWORDS))
-
-
-@query(f"{_SCORED} SELECT doc_id, task_id, rank, chunk_id, score FROM top")
-def retrieve_topk(spark, d):
-    return retrieve.top_chunks(_scores(spark, d)).select("doc_id", "task_id", "rank", "chunk_id", F.col("score").cast("int").alias("score"))
-
-
-@query(f"{_SCORED} SELECT doc_id, chunk_id, max(score)::INT AS score, min(idx)::INT AS idx, count(*) AS n_tasks FROM top GROUP BY ALL")
-def best_chunk_global(spark, d):
-    return retrieve.best_of_tasks(retrieve.top_chunks(_scores(spark, d))).select("doc_id", "chunk_id", F.col("score").cast("int").alias("score"), F.col("idx").cast("int").alias("idx"), "n_tasks")
-
-
-@query(f"{_SCORED} SELECT task_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, max(score)::INT AS best, sum(score)::BIGINT AS total FROM top GROUP BY task_id")
-def context_stats(spark, d):
-    return retrieve.top_chunks(_scores(spark, d)).groupBy("task_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.max("score").cast("int").alias("best"), F.sum("score").cast("long").alias("total"))
-
-
-@query()
-def evidence_budget(spark, d):
-    return retrieve.within_budget(retrieve.top_chunks(_scores(spark, d)), 2000)
-
-
-@query()
-def compressed_chunks(spark, d):
-    return retrieve.line_chunks(_t(spark, d, "documents")).select("doc_id", "chunk_id", retrieve.compressed(F.col("text"), F.array(F.lit("the"), F.lit("der")), 300).alias("text"))
-
-
-@query()
-def size_chunks(spark, d):
-    return retrieve.size_chunks(_t(spark, d, "documents"))
-
-
-@query(f"SELECT conv_id, turn, array_to_string(list_filter({_SENTENCES}, lambda s: contains(lower(s), 'the') OR contains(lower(s), 'der'))[1:2], ' ') AS summary FROM conversations WHERE NOT regexp_matches(text, '\\d\\.\\d')")
-def keyword_sentences(spark, d):
-    plain = _t(spark, d, "conversations").filter(~F.col("text").rlike(r"\d\.\d"))
-    return plain.select("conv_id", "turn", retrieve.keyword_sentences(F.col("text"), ["the", "der"]).alias("summary"))
-
-
 # ------------------------------------------------------------------ grounding
 
 
@@ -157,7 +77,7 @@ def evidence_containment(spark, d):
 
 
 @query(f"""WITH f AS (SELECT DISTINCT item_id FROM (SELECT item_id, {_KEY} AS q FROM benchmark), (SELECT doc_id, {_KEY} AS b FROM documents) WHERE q <> '' AND contains(' ' || b || ' ', ' ' || q || ' '))
-SELECT count(*) AS n_quotes, count(f.item_id) AS n_grounded, CASE WHEN count(*) = 0 THEN 100.0 ELSE 100.0 * count(f.item_id) / count(*) END::DOUBLE AS consistency FROM benchmark LEFT JOIN f USING (item_id)""")
+SELECT count(*) AS n_quotes, count(f.item_id) AS n_grounded, CASE WHEN count(*) = 0 THEN 100.0 ELSE round((100.0 * count(f.item_id) / count(*))::DOUBLE, 1) END::DOUBLE AS consistency FROM benchmark LEFT JOIN f USING (item_id)""")
 def evidence_consistency(spark, d):
     quotes = _t(spark, d, "benchmark")
     found = ground.quotes_in_corpus(quotes, _t(spark, d, "documents")).select("item_id").distinct().withColumn("hit", F.lit(1))
@@ -176,29 +96,12 @@ def numeric_hallucination(spark, d):
     return ground.hallucination_rate(c.filter("role = 'assistant'"), c.filter("role <> 'assistant'"), "conv_id").withColumn("unsupported", F.col("unsupported").cast("long"))
 
 
-_TOK = "list_distinct(list_filter(string_split({}, ' '), lambda t: length(t) >= 4 AND t NOT IN ('the','and','with','from','this','that','which','into','using','figure','table')))"
-
-
-@query(f"""WITH t AS (SELECT conv_id, turn, unnest({_TOK.format(_STRICT.format("text"))}) AS token FROM conversations),
-s AS (SELECT a.conv_id, a.turn AS section_id, b.turn AS passage_id, count(*) AS shared FROM t a JOIN t b USING (conv_id, token) GROUP BY ALL HAVING count(*) >= 2)
-SELECT *, row_number() OVER (PARTITION BY conv_id, section_id ORDER BY shared DESC, passage_id)::INT AS rank FROM s QUALIFY rank <= 3""")
-def grounded_excerpts(spark, d):
-    c = _t(spark, d, "conversations")
-    return ground.excerpts(c.select("conv_id", F.col("turn").alias("section_id"), "text"), c.select("conv_id", F.col("turn").alias("passage_id"), "text"), "conv_id")
-
-
-@query()
-def fuzzy_align(spark, d):
-    docs = _t(spark, d, "documents")
-    return ground.best_sentence(docs.select("doc_id", F.get(T.sentences(F.col("text")), F.lit(1)).alias("quote")), docs)
-
-
 # ------------------------------------------------------------------ evaluation
 
 _LABELS = "p AS (SELECT DISTINCT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1), e AS (SELECT DISTINCT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 0)"
 _PRF = f"""WITH {_LABELS}, m AS (SELECT coalesce(p.lang, e.lang) AS lang, count(p.doc_id) AS n_actual, count(e.doc_id) AS n_expected, count(*) FILTER (p.doc_id IS NOT NULL AND e.doc_id IS NOT NULL) AS matched FROM p FULL JOIN e ON p.lang = e.lang AND p.doc_id = e.doc_id GROUP BY 1),
-r AS (SELECT *, CASE WHEN n_actual = 0 THEN 100.0 ELSE 100.0 * matched / n_actual END::DOUBLE AS precision, CASE WHEN n_expected = 0 THEN 100.0 ELSE 100.0 * matched / n_expected END::DOUBLE AS recall FROM m),
-f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 100.0 ELSE 2 * precision * recall / (precision + recall) END::DOUBLE AS f1, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END::DOUBLE AS f1_strict FROM r)"""
+r AS (SELECT *, CASE WHEN n_actual = 0 AND n_expected = 0 THEN 100.0 ELSE round((100.0 * matched / CASE WHEN n_actual > 0 THEN n_actual ELSE n_expected END)::DOUBLE, 1) END::DOUBLE AS precision, CASE WHEN n_expected = 0 THEN 100.0 ELSE round((100.0 * matched / n_expected)::DOUBLE, 1) END::DOUBLE AS recall FROM m),
+f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 100.0 ELSE round(2 * precision * recall / (precision + recall), 1) END::DOUBLE AS f1, CASE WHEN precision + recall = 0 THEN 0.0 ELSE round(2 * precision * recall / (precision + recall), 1) END::DOUBLE AS f1_strict FROM r)"""
 
 
 def _prf(spark, d):
@@ -212,10 +115,10 @@ def set_prf(spark, d):
     return _prf(spark, d)
 
 
-@query(f"""{_PRF}, o AS (SELECT lang, recall * 0.30 + f1 * 0.15 + precision * 0.15 + recall * 0.20 + (1 - CASE WHEN n_expected = 0 THEN 0 ELSE matched / n_expected END) * 100 * 0.20 AS overall, recall, CASE WHEN n_expected = 0 THEN 0 ELSE matched / n_expected END AS rate FROM f)
-SELECT count(*) AS n_cases, count(*) FILTER (overall >= 80 AND recall >= 90 AND rate * 100 <= 5) AS n_passed, avg(overall) AS mean_overall, avg(rate) AS mean_rate FROM o""")
+@query(f"""{_PRF}, o AS (SELECT lang, round(recall * 0.30::DOUBLE + f1 * 0.15::DOUBLE + precision * 0.15::DOUBLE + recall * 0.20::DOUBLE + (1 - CASE WHEN n_expected = 0 THEN 0 ELSE matched / n_expected END) * 100 * 0.20::DOUBLE, 1) AS overall, recall, CASE WHEN n_expected = 0 THEN 0 ELSE matched / n_expected END AS rate, n_expected FROM f)
+SELECT count(*) AS n_cases, count(*) FILTER (overall >= 80 AND recall >= 90 AND rate * 100 <= 5) AS n_passed, round(100.0::DOUBLE * avg((overall >= 80 AND recall >= 90 AND rate * 100 <= 5)::INT), 1) AS pass_rate, round(avg(overall), 1) AS mean_overall, round(100 * avg(rate), 1) AS mean_rate, floor(avg(n_expected) + 0.5)::BIGINT AS mean_total_tokens FROM o""")
 def weighted_suite(spark, d):
-    parts = _prf(spark, d).select("lang", F.col("recall").alias("content"), F.col("f1").alias("formulas"), F.col("precision").alias("visuals"), F.col("recall").alias("evidence"), F.when(F.col("n_expected") == 0, 0.0).otherwise(F.try_divide("matched", "n_expected")).alias("rate"))
+    parts = _prf(spark, d).select("lang", F.col("recall").alias("content"), F.col("f1").alias("formulas"), F.col("precision").alias("visuals"), F.col("recall").alias("evidence"), F.when(F.col("n_expected") == 0, 0.0).otherwise(F.try_divide("matched", "n_expected")).alias("rate"), F.col("n_expected").alias("total_tokens"))
     return evaluate.suite(evaluate.overall(parts))
 
 
@@ -225,39 +128,36 @@ def coverage_grouping_sets(spark, d):
     return evaluate.coverage(both.select("lang", "source", (F.col("quality") == 1).alias("matched")), "lang", "source")
 
 
-_CHECKS = "length(coalesce(text, '')) >= 200 AS long_enough, contains(coalesce(text, ''), '.') AS has_sentence, contains(coalesce(text, ''), chr(10)) AS has_lines, NOT contains(coalesce(text, ''), '!!') AS calm"
+#: An analysis of each document: which tasks ended how, what was found by which tools, and which fields say nothing.
+_AUDITED = {f: f"CASE WHEN doc_id % 13 = {i} THEN '{'not found in provided context' if i % 2 else ''}' ELSE 'said' END" for i, f in enumerate(evaluate.FIELDS)}
+_CHECKED = {
+    "evidence-coverage": "doc_id % 5 <> 0",
+    "formula-provenance": "doc_id % 3 = 0 OR doc_id % 2 = 0 OR source <> 'web'",
+    "figure-provenance": "doc_id % 4 = 0 OR source = 'web'",
+    "table-provenance": "doc_id % 6 <> 1",
+    "method-problem-fit": "doc_id % 7 <> 3 AND doc_id % 13 <> 10",
+    "experiment-claim-fit": "doc_id % 13 <> 11",
+    "required-content": "doc_id % 13 > 11",
+}
 
 
-@query(f"""SELECT doc_id, (long_enough::INT + has_sentence::INT + has_lines::INT + calm::INT)::INT AS n_ok, CASE WHEN NOT long_enough OR NOT calm THEN 'review' WHEN NOT has_sentence OR NOT has_lines THEN 'warning' ELSE 'pass' END AS verdict FROM (SELECT doc_id, {_CHECKS} FROM documents)""")
+@query("WITH c AS (SELECT doc_id, " + ", ".join(f"coalesce({x}, false) AS c{i}" for i, x in enumerate(_CHECKED.values())) + " FROM documents) SELECT doc_id, " + ", ".join(f"c{i} AS {n.replace('-', '_')}" for i, n in enumerate(_CHECKED)) + ", floor(100.0 * (" + " + ".join(f"c{i}::INT" for i in range(7)) + ") / 7 + 0.5)::INT AS score, CASE WHEN NOT (" + " AND ".join(f"c{i}" for i, s in enumerate(evaluate.CHECKS.values()) if s == "high") + ") THEN 'review' WHEN NOT (" + " AND ".join(f"c{i}" for i in range(7)) + ") THEN 'warning' ELSE 'pass' END AS verdict FROM c")
 def audit_checks(spark, d):
-    x = T.text_of(F.col("text"))
-    has = lambda s: F.contains(x, F.lit(s))
-    checks = {"long_enough": ("high", F.length(x) >= 200), "has_sentence": ("medium", has(".")), "has_lines": ("medium", has("\n")), "calm": ("high", ~has("!!"))}
-    return evaluate.audit(_t(spark, d, "documents"), "doc_id", checks)
-
-
-@query("""SELECT item_id, len(i)::INT AS n_issues, array_to_string(i, '; ') AS issues FROM (SELECT item_id, CASE WHEN x = '' THEN ['answer is missing'] ELSE list_filter([
- CASE WHEN length(x) < 120 THEN 'answer is too short' END, CASE WHEN regexp_matches(x, '(?i)^(figure|fig\\.|table)\\s*\\d+') THEN 'answer is a caption, not a conclusion' END,
- CASE WHEN regexp_matches(x, '(?i)(\\.{3,}$|[,;:]$|\\b(and|or|to|of|with|by|for|from|that|which)$)') THEN 'answer trails off' END, CASE WHEN regexp_matches(x, '(?i)\\bcompared(\\s+(with|to))?[.!?]$') THEN 'answer omits the comparison target' END,
- CASE WHEN regexp_matches(x, '^[a-z]{2,}\\s') AND NOT regexp_matches(x, '^(iPhone|eBay)\\b') THEN 'answer starts mid-sentence' END], lambda v: v IS NOT NULL) END AS i FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM benchmark))""")
-def field_rules(spark, d):
-    i = P.field_issues("answer", F.col("text"), 120)
-    return _t(spark, d, "benchmark").select("item_id", F.size(i).alias("n_issues"), F.array_join(i, "; ").alias("issues"))
+    i = F.col("doc_id")
+    web = F.coalesce(F.col("source") == "web", F.lit(False))
+    tools = F.array(F.when(web & (i % 2 == 0), "latex.formulas").otherwise(F.when(~web & F.col("source").isNotNull(), "text.formulas")), F.when(web, "latex.figures"), F.when(i % 6 != 1, "pdf.table-crop"))
+    rows = _t(spark, d, "documents").select(
+        "doc_id", F.when(i % 5 == 0, F.array(F.lit("completed"), F.lit("failed"))).otherwise(F.array(F.lit("insufficient"), F.lit("completed"))).alias("task_statuses"), F.when(web, "arxiv").otherwise("text").alias("source_type"),
+        (i % 3).alias("n_formulas"), (i % 4).alias("n_figures"), F.lit(1).alias("n_tables"), F.filter(tools, lambda t: t.isNotNull()).alias("tools"),
+        F.create_map(*[x for s in ("problem", "experiments", "results") for x in (F.lit(s), F.lit(1))], F.lit("method"), F.when(i % 7 == 3, 0).otherwise(2)).alias("evidence"),
+        F.create_map(*[x for f, v in _AUDITED.items() for x in (F.lit(f), F.expr(v))]).alias("analysis"),
+    )
+    made = evaluate.audit(rows, "doc_id")
+    return made.select("doc_id", *[F.col("checks")[n].alias(n.replace("-", "_")) for n in _CHECKED], "score", "verdict")
 
 
 # ------------------------------------------------------------------ classification, sets, identity
 
-_SIG = ", ".join(f"{{'type': '{t}', 'ord': {i}, 'score': {' + '.join(f'least(5, len(regexp_extract_all(b, {p!r})))' for p in ps)}}}" for i, (t, ps) in enumerate(SIGNALS.items()))
-
-
-@query(f"""WITH s AS (SELECT doc_id, unnest([{_SIG}]) AS x FROM (SELECT doc_id, lower(coalesce(text, '')) AS b FROM documents)),
-r AS (SELECT doc_id, x.type AS type, x.score AS score, row_number() OVER (PARTITION BY doc_id ORDER BY x.score DESC, x.ord) AS rn FROM s),
-k AS (SELECT doc_id, max(type) FILTER (rn = 1) AS t1, max(score) FILTER (rn = 1) AS s1, max(type) FILTER (rn = 2) AS t2, max(score) FILTER (rn = 2) AS s2 FROM r GROUP BY 1)
-SELECT doc_id, CASE WHEN s1 > 0 THEN t1 ELSE 'method' END AS paper_type, s1::INT AS score, (s1 - s2)::INT AS margin, CASE WHEN s1 > 0 THEN least(96, 50 + 6 * (s1 - s2) + 2 * s1) ELSE 35 END::INT AS confidence_pct, t2 AS alternative FROM k""")
-def type_classify(spark, d):
-    return classify.classify(classify.signal_scores(_t(spark, d, "documents"), SIGNALS))
-
-
 @query("SELECT min(doc_id) AS doc_id, md5(lower(regexp_replace(text, '\\s+', '', 'g'))) AS key FROM documents GROUP BY 2")
 def exact_dedupe_first(spark, d):
     keyed = _t(spark, d, "documents").select("doc_id", F.md5(F.lower(F.regexp_replace("text", r"\s+", "")).cast("binary")).alias("key"))
@@ -299,9 +199,49 @@ def question_merge(spark, d):
     return sets.merge_unseen(c.filter("role = 'user'").select("conv_id", "text"), c.filter("role <> 'user'").select("conv_id", "text"), "text", "conv_id")
 
 
-@query()
+#: What identifies each document's text: a DOI, a placeholder, an arXiv id, one that reads backwards, a file's name, or nothing.
+_MARKED = ["'see https://doi.org/10.1234/AbC.' || doc_id || '). '", "'doi 10.5555/nnnnnnn.nnnnnnn '", "'arXiv:2401.' || lpad((doc_id % 100000)::VARCHAR, 5, '0') || 'v2 [cs.CL] '", "reverse('arXiv: 1234.' || lpad((doc_id % 100000)::VARCHAR, 5, '0')) || ' '", "''", "'hep-th/' || lpad((doc_id % 10000000)::VARCHAR, 7, '0') || ' '"]
+_MARK = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_MARKED)) + " END"
+_FILE = "CASE WHEN doc_id % 6 = 4 THEN 'a_2402.' || lpad((doc_id % 100000)::VARCHAR, 5, '0') || '.pdf' WHEN doc_id % 6 = 5 THEN 'math.GT/' || lpad((doc_id % 10000000)::VARCHAR, 7, '0') ELSE 'x.pdf' END"
+_ID5 = "lpad((doc_id % 100000)::VARCHAR, 5, '0')"
+
+
+@query(f"""WITH m AS (SELECT doc_id, {_MARK} || coalesce(text, '') AS text FROM documents), h AS (SELECT doc_id, left(trim(regexp_replace(text, '[\\s\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g')), 50000) AS x FROM m),
+k AS (SELECT doc_id, lpad(lower(printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(x, ''), lambda c: unicode(c)::BIGINT)), lambda h, p: (xor(h, p) * 16777619) & 4294967295))), 8, '0') || ':' || length(x) AS content_hash FROM h),
+i AS (SELECT doc_id, content_hash, CASE WHEN doc_id % 6 = 0 THEN '10.1234/abc.' || doc_id END AS doi, CASE doc_id % 6 WHEN 2 THEN '2401.' || {_ID5} || 'v2' WHEN 3 THEN '1234.' || {_ID5} WHEN 5 THEN 'math.GT/' || lpad((doc_id % 10000000)::VARCHAR, 7, '0') END AS arxiv_id FROM k)
+SELECT doc_id, doi, arxiv_id, content_hash, coalesce('doi:' || doi, 'arxiv:' || arxiv_id, 'paper:' || content_hash) AS key FROM i""")
 def source_identity(spark, d):
-    return identity.identify(_t(spark, d, "documents"))
+    sql = lambda x: F.expr(x.replace("::VARCHAR", "").replace("::", " :: "))
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(sql(_MARK), F.coalesce("text", F.lit(""))).alias("text"), sql(_FILE).alias("file"))
+    return identity.identify(docs, file_col="file").drop("title")
+
+
+@query(f"WITH {base.PAPERS}, q AS (SELECT doc_id, unnest(['tion', 'the accuracy of the', 'Nothing', 'ab', doc_id::VARCHAR || '.5%']) AS quote FROM documents), b AS (SELECT doc_id, {_KEY} AS body FROM papers), g AS (SELECT doc_id, contains(body, lower(quote)) AND length(quote) >= 4 AS hit FROM q JOIN b USING (doc_id)) SELECT doc_id, count(*) FILTER (hit) AS grounded, count(*) AS total, round((100.0 * count(*) FILTER (hit) / count(*))::DOUBLE, 1) AS score FROM g GROUP BY 1")
+def evidence_grounding(spark, d):
+    quotes = _t(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit("tion"), F.lit("the accuracy of the"), F.lit("Nothing"), F.lit("ab"), F.concat(F.col("doc_id").cast("string"), F.lit(".5%")))).alias("quote"))
+    return ground.grounded(quotes, base.papers(spark, d).select("doc_id", "text"), "doc_id")
+
+
+#: Values that are arXiv ids and URLs, titles and formulas of all kinds, around each benchmark item.
+_VALUES = ["'https://arxiv.org/abs/2401.0' || (1000 + item_id) || 'v3?x=1'", "' 2401.0' || (1000 + item_id) || '.pdf'", "'cs.LG/' || (1000000 + item_id)", "'text ' || item_id", "'arXiv:2401.01234 source'", "'Untitled'", "text", "'a &amp; b' || item_id", "'x' || repeat('y', item_id) || ' = z'", "'a ' || chr(92) || chr(92) || ' b'"]
+_VALUE_ROWS = " UNION ALL ".join(f"SELECT item_id, {i} AS n, {x} AS x FROM benchmark" for i, x in enumerate(_VALUES))
+_PARSED = "regexp_replace(regexp_replace(regexp_replace(trim(x), '(?i)^https?://(?:www\\.)?arxiv\\.org/(?:abs|pdf|e-print)/', ''), '(?i)\\.pdf$', ''), '(?s)[?#].*$', '')"
+
+
+@query(f"""SELECT item_id, n, CASE WHEN regexp_matches({_PARSED}, '(?i)^(?:\\d{{4}}\\.\\d{{4,5}}|[a-z-]+(?:\\.[A-Z]{{2}})?/\\d{{7}})(?:v\\d+)?$') THEN {_PARSED} ELSE '' END AS arxiv_id, length(trim(x)) >= 5 AND NOT regexp_matches(trim(x), '(?i)^(?:untitled|arxiv:.*(?:source)?|main source file|page\\s+\\d+)') AS reliable,
+length(trim(x)) >= 82 OR contains(x, chr(92) || chr(92)) AS wide, md5(regexp_replace(lower(replace(x, '&amp;', '&')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS key_md5 FROM ({_VALUE_ROWS})""")
+def identity_values(spark, d):
+    rows = _t(spark, d, "benchmark").select("item_id", F.posexplode(F.array(*[F.expr(x) for x in _VALUES])).alias("n", "x"))
+    x = F.col("x")
+    return rows.select("item_id", "n", T.parsed_arxiv_id(x).alias("arxiv_id"), T.reliable_title(x).alias("reliable"), T.wide_formula(x).alias("wide"), base.md5(T.academic_key(x)).alias("key_md5"))
+
+
+@query("SELECT b.item_id, '2401.' || b.item_id AS arxiv_id FROM benchmark b WHERE length(regexp_replace(lower(b.text), '[^\\p{L}\\p{N}]+', '', 'g')) >= 12 AND b.item_id = (SELECT min(c.item_id) FROM benchmark c WHERE regexp_replace(lower(c.text), '[^\\p{L}\\p{N}]+', '', 'g') = regexp_replace(lower(b.text), '[^\\p{L}\\p{N}]+', '', 'g')) AND b.item_id % 3 <> 0")
+def title_lookup(spark, d):
+    b = _t(spark, d, "benchmark")
+    first = sets.first_by(b.withColumn("k", T.academic_key(F.col("text"))), ["k"], ["item_id"]).select("item_id", "text")
+    entries = first.filter("item_id % 3 <> 0").select(F.concat(F.lit("2401."), "item_id").alias("arxiv_id"), F.concat(F.lit(" "), F.upper(F.substring("text", 1, 1)), F.expr("substring(text, 2)"), F.lit("!")).alias("title"))
+    return identity.by_title(first.withColumnRenamed("text", "title"), entries, "item_id")
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, {_STRICT.format("text")} AS k FROM conversations), p AS (SELECT a.conv_id, a.turn, a.k AS x, b.k AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
@@ -344,16 +284,13 @@ def event_sessions(spark, d):
     return s.select("user_id", "session", "n_events", (monitor.micros("end_at") - monitor.micros("start_at")).alias("length_us"))
 
 
-@query("SELECT CASE WHEN contains(event_id::VARCHAR, '402') THEN 'billing' WHEN contains(event_id::VARCHAR, '401') THEN 'key' WHEN contains(event_id::VARCHAR, '429') THEN 'rate' ELSE 'other' END AS error, count(*) AS n FROM events GROUP BY 1")
-def error_rollup(spark, d):
-    return _t(spark, d, "events").groupBy(monitor.error_class(F.col("event_id").cast("string")).alias("error")).agg(F.count("*").alias("n"))
+_ERRORS = ["'HTTP 402: Payment Required'", "'401 Unauthorized for user ' || user_id", "'Too many requests'", "'timeout after 14021 ms'", "'insufficient balance (code 429)'"]
+_ERROR = "CASE event_id % 5 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_ERRORS)) + " END"
 
 
-@query("SELECT user_id, CASE WHEN n < 3 THEN 1 WHEN m <= 1 THEN 100 WHEN m <= 10 THEN 10 ELSE 1 END::INT AS multiplier, med AS median FROM (SELECT user_id, count(*) AS n, max(value) AS m, median(value) AS med FROM events GROUP BY 1)")
-def score_scale(spark, d):
-    g = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("m"), F.percentile("value", 0.5).alias("median"))
-    scale = F.when(F.col("n") < 3, 1).when(F.col("m") <= 1, 100).when(F.col("m") <= 10, 10).otherwise(1)
-    return g.select("user_id", scale.alias("multiplier"), "median")
+@query("SELECT user_id, CASE event_id % 5 WHEN 0 THEN 'billing' WHEN 1 THEN 'key' WHEN 2 THEN 'rate' WHEN 3 THEN 'other' ELSE 'billing' END AS error, count(*) AS n FROM events GROUP BY 1, 2")
+def error_rollup(spark, d):
+    return _t(spark, d, "events").groupBy("user_id", monitor.error_class(F.expr(_ERROR)).alias("error")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey AS orderkey, arg_min(l_linenumber, (l_extendedprice, l_linenumber))::INT AS cheapest, count(*) AS n_lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
@@ -369,32 +306,54 @@ def round_budgets(spark, d):
     return rounds.select("*", P.round_budget(F.lit(6500), F.col("round")).alias("max_chars"), P.round_chunks(F.lit(5), F.col("round")).alias("max_chunks"))
 
 
-# ------------------------------------------------------------------ LaTeX and registry (literal rows: the tables hold none)
+# ------------------------------------------------------------------ LaTeX papers around each benchmark item
 
+#: Files of each paper: (seq, path, content), in which @ stands for the item's number.
 PAPER = [
-    ("p1", 0, "main.tex", "\\documentclass{article}\\title{A \\textbf{Method}}\\newcommand{\\loss}[1]{L_{#1}}\\begin{document}% note\n\\input{body}\\end{document}"),
-    ("p1", 1, "body.tex", "\\section{Method}\n\\begin{equation}\\loss{task}=\\frac{a}{b}\\end{equation}\n\\begin{figure}\\includegraphics{figures/model}\\caption{The {nested} model}\\end{figure}\n\\begin{table}\\caption{Scores}\\begin{tabular}{ll}A & B\\\\ \\multicolumn{2}{c}{wide}\\end{tabular}\\end{table}"),
-    ("p1", 2, "figures/model.png", None),
+    (0, "notes.tex", "not the main file"),
+    (1, "main.tex", "\\documentclass{article}\\title[short]{A \\textbf{Method @}\\thanks{by {many}} \\\\ and \\emph{more}}\\newcommand{\\loss}[1]{L_{#1}}\\def\\half{\\frac{1}{2}}\\providecommand{\\big}{B_{@}}\\begin{document}% note\n\\input{body}\\input{body}\\end{document}"),
+    (2, "./body.tex", "\\section{Method}\n\\begin{equation}\\loss{task@}=\\half + \\big\\label{eq}\\end{equation}\n\\[ only words \\]\n$$ x_{@} \\leq y $$ % $$ z = 1 $$\n\\begin{eqnarray*}a &=& b_{@}\\end{eqnarray*}\n\\begin{figure}\\includegraphics[width=1cm]{figures/model}\\includegraphics{plot@.pdf}\\caption{The {nested} model @}\\end{figure}\n\\begin{table}\\caption{Scores @}\\begin{tabular}{ll}\\hline A & B@\\\\ \\multicolumn{2}{c}{wide}\\\\ x \\& y & \\end{tabular}\\end{table}"),
+    (3, "figures/model.png", None),
+    (4, "img/plot@.pdf", None),
 ]
 
 
-def _tex(spark):
-    return latex.combined(spark.createDataFrame(PAPER, "paper_id string, seq int, path string, content string").filter("content is not null"))
+def _files(spark, d):
+    """paper_id, seq, path, content of each benchmark item's paper."""
+    n = F.col("item_id").cast("string")
+    put = lambda x: F.lit(None).cast("string") if x is None else F.replace(F.lit(x), F.lit("@"), n)
+    files = F.array(*[F.struct(F.lit(k).alias("seq"), put(p).alias("path"), put(c).alias("content")) for k, p, c in PAPER])
+    return _t(spark, d, "benchmark").select(F.concat(F.lit("p"), n).alias("paper_id"), F.explode(files).alias("f")).select("paper_id", "f.*")
 
 
-@query()
+def _tex(spark, d):
+    return latex.combined(_files(spark, d).filter("content is not null"))
+
+
+@query("""SELECT 'p' || item_id AS paper_id, unnest([1, 2, 3]) AS ord, unnest(['L_{task' || item_id || '}=\\frac{1}{2} + B_{' || item_id || '}', 'x_{' || item_id || '} \\leq y', 'a &=& b_{' || item_id || '}']) AS formula FROM benchmark""")
 def latex_formulas(spark, d):
-    return latex.formulas(_tex(spark))
+    return latex.formulas(_tex(spark, d))
 
 
-@query()
+@query("SELECT 'p' || item_id AS paper_id, 1 AS ord, 'Scores ' || item_id AS caption, 'A|B' || item_id || '/wide|/x & y|' AS rows FROM benchmark")
 def latex_tables(spark, d):
-    return latex.tables(_tex(spark))
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/")
+    return latex.tables(_tex(spark, d)).select("paper_id", "ord", "caption", F.replace(cells, F.lit("x \\&"), F.lit("x &")).alias("rows"))
 
 
-@query()
+@query("SELECT 'p' || item_id AS paper_id, 1 AS ord, unnest(['figures/model', 'plot' || item_id || '.pdf']) AS p, unnest(['figures/model.png', 'img/plot' || item_id || '.pdf']) AS path FROM benchmark")
 def latex_figures(spark, d):
-    return latex.resolve_assets(latex.figures(_tex(spark)), spark.createDataFrame(PAPER, "paper_id string, seq int, path string, content string"))
+    return latex.resolve_assets(latex.figures(_tex(spark, d)), _files(spark, d))
+
+
+@query("SELECT 'p' || item_id AS paper_id, 'A Method ' || item_id || ' and more' AS title, 'A Method ' || item_id || '|and more' AS lines FROM benchmark")
+def latex_titles(spark, d):
+    return latex.titles(_tex(spark, d)).select("paper_id", "title", F.array_join("lines", "|").alias("lines"))
+
+
+@query("SELECT 'p' || item_id AS paper_id, './body.tex' AS path, '\\begin{tabular}{ll}\\hline A & B' || item_id || '\\\\ \\multicolumn{2}{c}{wide}\\\\ x \\& y & \\end{tabular}' AS tabular, '' AS preamble FROM benchmark UNION ALL SELECT 'p' || item_id, 'main.tex', '', '\\documentclass{article}\\title[short]{A \\textbf{Method ' || item_id || '}\\thanks{by {many}} \\\\ and \\emph{more}}\\newcommand{\\loss}[1]{L_{#1}}\\def\\half{\\frac{1}{2}}\\providecommand{\\big}{B_{' || item_id || '}}' FROM benchmark")
+def latex_parts(spark, d):
+    return _files(spark, d).filter("seq in (1, 2)").select("paper_id", "path", latex.renderable_table(F.col("content")).alias("tabular"), latex.safe_preamble(F.col("content")).alias("preamble"))
 
 
 # ------------------------------------------------------------------ gates, memory, export, spans
@@ -427,14 +386,14 @@ def html_export(spark, d):
 
 @query()
 def fair_share_context(spark, d):
-    return revise.fair_shares(retrieve.top_chunks(_scores(spark, d)), retrieve.tasks(spark, KEYWORDS), 2000)
+    return revise.fair_shares(retrieval.top(spark, d), retrieve.tasks(spark), 2000)
 
 
 @query()
 def memory_recall(spark, d):
     said = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda s: s["text"])  # noqa: E731  the turns of one conversation
     memory = _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("paper_id")).agg(said("assistant").alias("annotations"), said("user").alias("questions"))
-    return revise.recalled(memory.withColumn("sections", F.expr("cast(map() as map<string, string>)")), retrieve.tasks(spark, KEYWORDS))
+    return revise.recalled(memory.withColumn("sections", F.expr("cast(map() as map<string, string>)")), retrieve.tasks(spark))
 
 
 @query()
@@ -447,11 +406,6 @@ def inline_math(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.inline(S.inline_math(F.col("text"))))
 
 
-@query()
-def split_titles(spark, d):
-    return _t(spark, d, "benchmark").select("item_id", S.split_title(F.col("text")).alias("title_lines"))
-
-
 #: Items of a page with a wrapped title, its authors and two columns.
 PAGE = (
     [("d1", 1, 0, "A Long Study of", 100.0, 60.0, 300.0, 20.0), ("d1", 1, 1, "Sparse Attention", 100.0, 84.0, 300.0, 20.0), ("d1", 1, 2, "Ada B, Carl D, Eve F", 150.0, 112.0, 200.0, 17.5)]
@@ -496,11 +450,11 @@ def tool_plan(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(base.ORACLES)
 
 
-__all__ = ["KEYWORDS", "oracle_sql", "queries", "registry"]
+__all__ = ["analysis", "assets", "grounding", "oracle_sql", "queries", "registry", "results"]

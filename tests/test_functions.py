@@ -22,15 +22,17 @@ def test_numbers_keep_percent(spark):
 def test_identity_parts(spark):
     assert one(spark, T.doi(F.col("t")), t="see 10.1145/12345.678.") == "10.1145/12345.678"
     assert one(spark, T.doi(F.col("t")), t="10.1145/nnnnnnn.nnnnnnn") is None
-    assert one(spark, T.arxiv_id(F.lit("2401.01234v2.pdf"), F.col("t")), t="") == "2401.01234"
+    assert one(spark, T.arxiv_id(F.lit("2401.01234v2.pdf"), F.col("t")), t="") == "2401.01234v2"
+    assert one(spark, T.arxiv_id(F.lit(""), F.col("t")), t="v1" + "arXiv: 2401.01234"[::-1]) == "2401.01234"
+    assert one(spark, T.arxiv_id(F.lit(""), F.col("t")), t="costs 2401.01234 a year") is None
     assert one(spark, T.fnv1a(F.col("t")), t="a") == "e40c292c:1"
     assert one(spark, T.titles_agree(F.lit("Sparse Attention"), F.col("t")), t="sparse  attention!") is True
     assert one(spark, T.titles_agree(F.lit("Sparse Attention for All"), F.col("t")), t="Other") is False
 
 
 def test_headings(spark):
-    for line, want in (("# Method", "Method"), ("1 Introduction", "1 Introduction"), ("2 Method", "2 Method"), ("Method text.", ""), ("x" * 150, "")):
-        assert one(spark, P.heading(F.col("t")), t=line) == want
+    for line, want in (("# Method", "Method"), ("1 Introduction", "1 Introduction"), ("2 Method", "2 Method"), ("3) method", "3) method"), ("2 our method", "2 our method"), ("Abstract:", "Abstract"), ("Root causes.", "Root causes"), ("Method text.", ""), ("2 apples", ""), ("x" * 150, "")):
+        assert one(spark, P.heading(F.col("t")), t=line) == want, line
 
 
 def test_empty_sets_and_quirks(spark):
@@ -53,15 +55,16 @@ def test_json_and_cleaning(spark):
 
 
 def test_field_issues(spark):
-    assert one(spark, P.field_issues("method", F.col("t")), t="") == ["method is missing"]
-    assert one(spark, P.field_issues("method", F.col("t")), t="Figure 3 shows the overall design.") == ["method is a caption, not a conclusion"]
-    assert "method trails off" in one(spark, P.field_issues("method", F.col("t")), t="We train a model that is compared with")
+    assert one(spark, P.field_issues(F.lit("method"), F.col("t")), t="") == ["method is missing"]
+    assert one(spark, P.field_issues(F.lit("method"), F.col("t")), t="Figure 3 shows the overall design.") == ["method is a caption, not a conclusion"]
+    assert "method trails off" in one(spark, P.field_issues(F.lit("method"), F.col("t")), t="We train a model that is compared with")
 
 
 def test_compressed_is_a_subsequence_within_budget(spark):
     text = "Alpha one. The best sentence here. Gamma three is rather long and dull. The end."
     got = one(spark, retrieve.compressed(F.col("t"), F.array(F.lit("the")), 45), t=text)
-    assert len(got) <= 45 and got == "Alpha one. The best sentence here. The end."  # the long one is skipped, what follows isn't
+    assert len(got) <= 45 and got == "Alpha one.\nThe best sentence here.\nThe end."  # the long one is skipped, what follows isn't
+    assert one(spark, retrieve.compressed(F.col("t"), F.array(F.lit("the")), 100), t=f" {text} ") == text
 
 
 def test_round_budgets(spark):

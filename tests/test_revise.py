@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -16,9 +17,27 @@ def test_inline_math_and_emphasis(spark):
     r = one(spark, spans.inline_math(F.lit(text)), spans.inline_math(F.lit(None).cast("string")), spans.preserves_math(F.lit(text), F.lit("O(n log n) \\( a + b \\) L_task P(x|y)")), spans.preserves_math(F.lit(text), F.lit("none")))
     assert [s.text for s in r.c0] == ["O(n log n)", "\\(a+b\\)", "L_task", "P(x|y)"] and r.c1 == [] and r.c2 and not r.c3
     assert all(text[s.start : s.end] == s.text for s in r.c0)
-    got = spans.emphasis_of("A sparse self-attention model gains 28.4 BLEU over Transformer and Baseline.")
-    assert [(s[2], s[3]) for s in got] == [("sparse self-attention model", "term"), ("28.4 BLEU", "metric"), ("Transformer", "term")]
-    assert spans.math_of("argmin_x f(x) = (a+b)*(c-d)^2 / e. Then") and spans.math_of("") == []
+    told = one(spark, spans.emphasis(F.lit("A sparse self-attention model gains 28.4 BLEU over Transformer and Baseline.")), spans.inline_math(F.lit("We take argmin_x f(x) = (a+b)*(c-d)^2 / e. Then it ends.")))
+    assert [(s.text, s.kind) for s in told.c0] == [("sparse self-attention model", "term"), ("28.4 BLEU", "metric"), ("Transformer", "term")]
+    assert [(s.start, s.text) for s in told.c1] == [(8, "argmin_x f(x) = (a+b)*(c-d)^2 / e")]
+
+
+def plain_spans(text, most=3):
+    """Emphasis by its definition: metrics, then terms, from left to right, longer first, none over another."""
+    found = [(rank, m.start(), -m.end(), m[0], kind) for rank, kind, patterns in ((0, "metric", [spans.METRIC]), (1, "term", [spans.TERM, spans.NAME])) for p in patterns for m in re.finditer(p, text, re.A)]
+    kept = []
+    for _, a, b, t, kind in sorted(found):
+        if len(kept) < most and all(-b <= x or y <= a for x, y, *_ in kept):
+            kept.append((a, -b, t, kind))
+    return sorted(kept)
+
+
+def test_spans_equal_plain_loops(spark):
+    rnd = random.Random(5)
+    words = ["self-attention", "model", "The", "Transformer", "28.4", "BLEU", "3 days", "multi-head-cross mechanism", "x", "BERT2", "Method", "12 %", "é", "self-", "F1", "scaled dot-product attention"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 25))) for _ in range(200)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans.emphasis(F.col("t")).alias("s")).collect()
+    assert all([tuple(s) for s in r.s] == plain_spans(r.t) for r in got)
 
 
 def test_repairs(spark):
