@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..functions.text import arxiv_id, collapse, doi, text_of
 
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
@@ -206,9 +207,76 @@ def selected_regions(regions: DataFrame, limit: int, kind: str) -> DataFrame:
     return ranked.filter(F.col("_rank") <= limit).drop("_late", "_rank")
 
 
-def normal_box(box: Column) -> Column:
-    """A box (left, top, right, bottom) within the unit square; the whole square for one that is all but empty."""
-    side = lambda c, d: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(d))))
-    left, top, right, bottom = side(box["left"], 0.0), side(box["top"], 0.0), side(box["right"], 1.0), side(box["bottom"], 1.0)
-    whole = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(1.0).alias("right"), F.lit(1.0).alias("bottom"))
-    return F.when((right - left < 0.02) | (bottom - top < 0.02), whole).otherwise(F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+def normal_box(box: Column, fallback: Column | None = None) -> Column:
+    """A box (left, top, right, bottom) within the unit square; the fallback, or the whole square, for one that is all but empty."""
+    names = ("left", "top", "right", "bottom")
+    whole = fallback if fallback is not None else F.struct(*[F.lit(0.0 if n in names[:2] else 1.0).alias(n) for n in names])
+    held = F.struct(*[F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(box[n], whole[n]))).alias(n) for n in names])
+    return bound(held, lambda b: F.when((b["right"] - b["left"] < 0.02) | (b["bottom"] - b["top"] < 0.02), whole).otherwise(b))
+
+
+# ------------------------------------------------------------------ crops
+
+# How sure a crop must be, how large, and how it may be shaped: (least width, least height, most width for a height) by kind.
+LEAST_CONFIDENCE, LEAST_AREA, LEAST_OVERLAP, SURER = 0.55, 0.01, 0.18, 0.02
+SHAPES = {"formula": (0.08, 0.025, 24.0), "table": (0.18, 0.08, 10.0), "figure": (0.12, 0.08, 8.0)}
+EDGES = ["top", "right", "bottom", "left"]
+
+
+def box_area(box: Column) -> Column:
+    return F.greatest(F.lit(0.0), box["right"] - box["left"]) * F.greatest(F.lit(0.0), box["bottom"] - box["top"])
+
+
+def boxes_meet(a: Column, b: Column, share: float = LEAST_OVERLAP) -> Column:
+    """Whether two boxes (left, top, right, bottom) share that part of the smaller one."""
+    w = F.greatest(F.lit(0.0), F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"]))
+    h = F.greatest(F.lit(0.0), F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"]))
+    return w * h >= F.least(box_area(a), box_area(b)) * share
+
+
+def plausible_shape(box: Column, kind: Column) -> Column:
+    w, h = F.greatest(F.lit(0.0), box["right"] - box["left"]), F.greatest(F.lit(0.0), box["bottom"] - box["top"])
+    fits = lambda s: (w >= s[0]) & (h >= s[1]) & (w / F.greatest(h, F.lit(0.001)) <= s[2])
+    return F.when(kind == "formula", fits(SHAPES["formula"])).when(kind == "table", fits(SHAPES["table"])).otherwise(fits(SHAPES["figure"]))
+
+
+def accepted_crop(found: Column, complete: Column, confidence: Column, clipped: Column, box: Column, fallback: Column, kind: Column) -> Column:
+    """struct<applied, box, confidence> of an inspected crop: its box if it is whole, sure, plausible and lies over the candidate, else the candidate."""
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(confidence, F.lit(0.0))))
+    cut = F.size(F.array_intersect(F.coalesce(clipped, F.array().cast("array<string>")), F.array(*[F.lit(e) for e in EDGES]))) > 0
+    told = F.coalesce(found & complete, F.lit(False)) & ~cut & (sure >= LEAST_CONFIDENCE)
+
+    def judged(old: Column, new: Column) -> Column:
+        ok = told & (box_area(new) >= LEAST_AREA) & plausible_shape(new, kind) & boxes_meet(new, old)
+        return F.struct(ok.alias("applied"), F.when(ok, new).otherwise(old).alias("box"), sure.alias("confidence"))
+
+    return bound(normal_box(fallback), lambda old: bound(normal_box(box, old), lambda new: judged(old, new)))
+
+
+def best_crop(tries: Column) -> Column:
+    """Of tries (attempt, confidence, area) in order the one to take: a surer one by a margin, or a smaller one as sure; null without any."""
+    none = F.expr("cast(null as struct<attempt:int,confidence:double,area:double>)")
+    one = lambda t: F.struct(t["attempt"].cast("int").alias("attempt"), t["confidence"].cast("double").alias("confidence"), t["area"].cast("double").alias("area"))
+    better = lambda b, t: b.isNull() | (t["confidence"] > b["confidence"] + SURER) | ((F.abs(t["confidence"] - b["confidence"]) <= SURER) & (t["area"] < b["area"]))
+    return F.aggregate(F.array_sort(tries), none, lambda b, t: F.when(better(b, t), one(t)).otherwise(b))
+
+
+def crop_quota(regions: DataFrame, most: int = 6, tries: int = 3) -> DataFrame:
+    """Regions (doc_id, kind, ord, …) with how often each may be inspected: three times, six for all of a kind."""
+    before = (F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("ord")) - 1) * tries
+    return regions.withColumn("tries", F.greatest(F.lit(0), F.least(F.lit(tries), F.lit(most) - before)))
+
+
+def table_markers(lines_of: DataFrame, number: Column) -> DataFrame:
+    """The lines (doc_id, page, line_no, text) that begin a numbered table's caption, alone or with the three that follow."""
+    follows = Window.partitionBy("doc_id", "page").orderBy("line_no")
+    near = F.concat_ws(" ", *[F.trim(F.coalesce(F.lead("text", k).over(follows) if k else F.col("text"), F.lit(""))) for k in range(4)])
+    opens = F.concat(F.lit(r"(?i)^Table\s*"), number.cast("string"), F.lit(r"\s*[:.\-]"))
+    told = lines_of.withColumns({"_near": near, "_opens": opens})
+    return told.filter(F.expr("trim(text) rlike _opens or (trim(text) rlike '(?i)^Table$' and _near rlike _opens)")).drop("_near", "_opens")
+
+
+def with_crops(tables: DataFrame, url: Column) -> DataFrame:
+    """Tables (doc_id, idx, name, crop_url, …) with the page's file to crop from, what stands in for it, and the table's number."""
+    named = F.regexp_extract(F.coalesce("name", F.lit("")), r"(?i)Table\s*(\d+)", 1).try_cast("int")
+    return tables.withColumns({"fallback_url": F.when(F.col("crop_url").isNotNull(), url).otherwise(F.lit("")), "table_number": F.coalesce(named, F.col("idx") + 1), "crop_url": F.coalesce("crop_url", url)})

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import spans as S
 from ..functions import text as T
-from ..operators import classify, evaluate, geometry, ground, identity, latex, monitor, retrieve, revise, sets
+from ..operators import classify, evaluate, ground, identity, latex, monitor, retrieve, revise, sets
 from ..operators.registry import Operator, Registry
-from . import analysis, assets, base, grounding, results, retrieval
+from . import agents, analysis, assets, base, grounding, layout, results, retrieval
 from .base import query, table
 
 _t = table
@@ -389,13 +389,6 @@ def fair_share_context(spark, d):
     return revise.fair_shares(retrieval.top(spark, d), retrieve.tasks(spark), 2000)
 
 
-@query()
-def memory_recall(spark, d):
-    said = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda s: s["text"])  # noqa: E731  the turns of one conversation
-    memory = _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("paper_id")).agg(said("assistant").alias("annotations"), said("user").alias("questions"))
-    return revise.recalled(memory.withColumn("sections", F.expr("cast(map() as map<string, string>)")), retrieve.tasks(spark))
-
-
 @query()
 def emphasis_spans(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.inline(S.emphasis(F.col("text"))))
@@ -406,28 +399,6 @@ def inline_math(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.inline(S.inline_math(F.col("text"))))
 
 
-#: Items of a page with a wrapped title, its authors and two columns.
-PAGE = (
-    [("d1", 1, 0, "A Long Study of", 100.0, 60.0, 300.0, 20.0), ("d1", 1, 1, "Sparse Attention", 100.0, 84.0, 300.0, 20.0), ("d1", 1, 2, "Ada B, Carl D, Eve F", 150.0, 112.0, 200.0, 17.5)]
-    + [("d1", 1, 3 + k, f"left {k}", 40.0, 200.0 + 20 * k, 200.0, 10.0) for k in range(4)]
-    + [("d1", 1, 7 + k, f"right {k}", 330.0, 200.0 + 20 * k, 200.0, 10.0) for k in range(4)]
-)
-
-
-def _page_lines(spark):
-    return geometry.lines(spark.createDataFrame(PAGE, "doc_id string, page int, seq int, text string, x double, y double, width double, height double"))
-
-
-@query()
-def page_lines(spark, d):
-    return geometry.reading_order(_page_lines(spark)).select("doc_id", "page", "order_no", "text")
-
-
-@query()
-def page_titles(spark, d):
-    return geometry.title_lines(_page_lines(spark))
-
-
 def registry() -> Registry:
     r = Registry()
     for name, stage, run, types in (
@@ -444,7 +415,10 @@ def registry() -> Registry:
     return r
 
 
-@query()
+_PLANNED = ", ".join(f"('{o.name}', '{o.stage}', {str(not o.input_types or 'text' in o.input_types).lower()}, {'NULL' if not o.input_types or 'text' in o.input_types else repr('not for text')})" for o in registry().operators.values())
+
+
+@query(f"SELECT * FROM (VALUES {_PLANNED}) t(name, stage, selected, reason)")
 def tool_plan(spark, d):
     return registry().plan(spark, "text")
 
@@ -457,4 +431,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(base.ORACLES)
 
 
-__all__ = ["analysis", "assets", "grounding", "oracle_sql", "queries", "registry", "results"]
+__all__ = ["agents", "analysis", "assets", "grounding", "layout", "oracle_sql", "queries", "registry", "results"]

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import spans
 from lectern.operators import geometry, revise
-from lectern.plans import catalogue
 
 
 def one(spark, *columns):
@@ -111,9 +110,6 @@ def test_fair_shares_equal_a_plain_loop(spark):
 
 
 def test_pages(spark):
-    told = {r.order_no: r.text for r in catalogue.page_lines(spark, "").collect()}
-    assert [told[k] for k in sorted(told)] == ["A Long Study of", "Sparse Attention", "Ada B, Carl D, Eve F", *[f"left {k}" for k in range(4)], *[f"right {k}" for k in range(4)]]
-    assert catalogue.page_titles(spark, "").first().title_lines == ["A Long Study of", "Sparse Attention"]
     items = [("d", 1, 0, "Sm", 10.0, 50.0, 20.0, 10.0), ("d", 1, 1, "all", 30.5, 51.0, 20.0, 10.0), ("d", 1, 2, "caps", 55.0, 50.0, 20.0, 10.0), ("d", 1, 3, "far", 200.0, 50.0, 20.0, 10.0), ("d", 1, 4, " ", 1.0, 50.0, 2.0, 10.0)]
     got = geometry.lines(spark.createDataFrame(items, "doc_id string, page int, seq int, text string, x double, y double, width double, height double")).orderBy("line_no").collect()
     assert [r.text for r in got] == ["Small caps", "far"]
