@@ -286,8 +286,8 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w[:-1], float(w[-1])
 
 
-def train(raw: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Model:
-    """A model of labelled rows (toxic: 0 or 1)."""
+def train(raw: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, common: float | None = None) -> Model:
+    """A model of labelled rows (toxic: 0 or 1). common: how many clean rows there are for a toxic one, where the rows are a sample by class."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     constant = Model([], 0, np.zeros(0), 0.0, (0.0, 0.0, 0.0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), np.zeros(0), np.zeros(0, bool))
     bad_words, clean_words, floors, specific = landmarks(raw, offsets, toxic) if 0 < share < 1 else ([], [], None, None)
@@ -326,7 +326,7 @@ def train(raw: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Model:
     f = np.minimum(virtual @ model.weights + model.bias, 1.0)
     alone = np.c_[f, np.log1p(np.maximum(0.0, f)), np.where(f > 0, virtual[:, model.specific].max(axis=1, initial=0.0), 0.0)]
     real = np.concatenate([model.evidence(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in row_blocks(offsets, BLOCK)])
-    weight = np.r_[np.where(toxic == 1, CATCH, 1.0), np.full(len(alone), CATCH * VIRTUAL * toxic.sum() / max(1, len(alone)))]
+    weight = np.r_[np.where(toxic == 1, CATCH, 1.0 if common is None else common * toxic.sum() / (1 - toxic).sum()), np.full(len(alone), CATCH * VIRTUAL * toxic.sum() / max(1, len(alone)))]
     *slopes, model.shift = _calibrated(np.r_[real, alone], np.r_[toxic, np.ones(len(alone))], weight)
     model.slopes = tuple(slopes)
     return model
@@ -374,7 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_r
     got: pd.DataFrame = sample.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < round((1 << 20) * min(1.0, max_total / max(1, total)))).toPandas()
     got = got.sort_values(["doc_id", "text", "toxic"], kind="stable")
     raw, offsets = utf8(pa.array(got.text, pa.large_string()))
-    return train(raw, offsets, got.toxic.to_numpy(np.int64))
+    return train(raw, offsets, got.toxic.to_numpy(np.int64), n[0] / n[1] if n.get(0) and n.get(1) else None)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
