@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import BYTE, SPACE, checkpointed, crc_mod, mix, row_blocks, runs, span_hashes, utf8
+from .core import BLOCK, BYTE, SPACE, checkpointed, crc_mod, mix, row_blocks, runs, span_hashes, utf8
 
 BUCKETS = 1 << 18
 #: Labelled rows in the fit, and features of all of them; beyond either a uniform sample of the rows is taken.
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
-            for i, j in row_blocks(offsets):
+            for i, j in row_blocks(offsets, BLOCK):
                 row, bucket, value = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], buckets)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
@@ -111,7 +111,7 @@ def probabilities(text: pa.Array, weights: np.ndarray, bias: float) -> np.ndarra
     """The score of each text of a column."""
     raw, offsets = utf8(text)
     total = np.zeros(len(offsets) - 1)
-    for i, j in row_blocks(offsets):
+    for i, j in row_blocks(offsets, BLOCK):
         row, bucket, value = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], len(weights))
         total[i:j] = np.bincount(row, weights[bucket] * value, j - i)
     return 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
