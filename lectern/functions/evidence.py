@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .arrays import first_by_key
+from .arrays import bound, first_by_key
 from .text import collapse, export_sentences, page_of, similarity_tokens, strict_key, strip, text_of, tokens
 
 # Page marks, what leaks into quotes from page headers, fragments that aren't evidence, and sections that ran together.
@@ -122,33 +122,33 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def find_sentence(quote_key: Column, sentences: Column) -> Column:
-    """struct<page, sentence> of the sentence (page, sentence, key) that a quote comes from, or null.
+    """struct<page, sentence> of the sentence (page, sentence, key, tokens) that a quote comes from, or null.
 
     One that holds the quote, or stands at its beginning, with the least difference in length; else the one most alike: eight
-    shared tokens, and 58 % of the smaller set or a common beginning of 64 characters.
+    shared tokens, and 58 % of the smaller set or a common beginning of 64 characters. The second is looked for only without the first.
     """
-    at = lambda s: F.instr(quote_key, s["key"])
-    holds = lambda s: F.contains(s["key"], quote_key) | at(s).between(1, 33)
-    exact = F.array_min(F.transform(sentences, lambda s, i: F.when(holds(s), F.struct(F.abs(F.length(s["key"]) - F.length(quote_key)).alias("off"), i.alias("i"), s.alias("s")))))
-    mine = similarity_tokens(quote_key)
+    holds = lambda s: F.contains(s["key"], quote_key) | F.instr(quote_key, s["key"]).between(1, 33)
+    exact = F.array_min(F.transform(sentences, lambda s, i: F.when(holds(s), F.struct(F.abs(F.length(s["key"]) - F.length(quote_key)).alias("off"), i.alias("i")))))
 
-    def alike(s: Column, i: Column) -> Column:
-        theirs = similarity_tokens(s["key"])
-        shared = F.size(F.array_intersect(theirs, mine))
-        cover = shared / F.greatest(F.lit(1), F.least(F.size(theirs), F.size(mine)))
-        prefix = _alike(s["key"], quote_key)
-        score = cover * 100 + F.least(F.lit(20.0), prefix / 6)
-        return F.when((shared >= 8) & ((cover >= 0.58) | (prefix >= 64)), F.struct((-score).alias("low"), (-shared).alias("few"), i.alias("i"), s.alias("s")))
+    def alike(mine: Column) -> Column:
+        sharing = F.filter(F.transform(sentences, lambda s, i: F.struct(F.size(F.array_intersect(s["tokens"], mine)).alias("shared"), i.alias("i"))), lambda x: x["shared"] >= 8)
 
-    fuzzy = F.array_min(F.transform(sentences, alike))
-    found = F.when(exact.isNotNull(), exact["s"]).otherwise(fuzzy["s"])
-    return F.when((F.length(quote_key) >= 8) & found.isNotNull(), F.struct(found["page"].alias("page"), found["sentence"].alias("sentence")))
+        def judged(x: Column) -> Column:
+            s = F.get(sentences, x["i"])
+            cover = x["shared"] / F.greatest(F.lit(1), F.least(F.size(s["tokens"]), F.size(mine)))
+            of = lambda p: F.when((cover >= 0.58) | (p >= 64), F.struct((-(cover * 100 + F.least(F.lit(20.0), p / 6))).alias("low"), (-x["shared"]).alias("few"), x["i"].alias("i")))
+            return bound(_alike(s["key"], quote_key), of)
+
+        return F.array_min(F.transform(sharing, judged))["i"]
+
+    place = bound(exact, lambda e: F.when(e.isNotNull(), e["i"]).otherwise(bound(similarity_tokens(quote_key), alike)))
+    return F.when(F.length(quote_key) >= 8, bound(place, lambda i: F.when(i.isNotNull(), F.struct(F.get(sentences, i)["page"].alias("page"), F.get(sentences, i)["sentence"].alias("sentence")))))
 
 
 def keyed_sentences(c: Column) -> Column:
-    """array<struct<page, sentence, key>> of a paged text."""
-    of = lambda p: F.transform(export_sentences(p["text"]), lambda s: F.struct(p["page"].alias("page"), s.alias("sentence"), strict_key(s).alias("key")))
-    return F.filter(F.flatten(F.transform(pages(c), of)), lambda s: s["key"] != "")
+    """array<struct<page, sentence, key, tokens>> of a paged text."""
+    made = lambda p, s: bound(strict_key(s), lambda k: F.struct(p["page"].alias("page"), s.alias("sentence"), k.alias("key"), similarity_tokens(k).alias("tokens")))
+    return F.filter(F.flatten(F.transform(pages(c), lambda p: F.transform(export_sentences(p["text"]), lambda s: made(p, s)))), lambda s: s["key"] != "")
 
 
 def located(quote: Column, location: Column, found: Column) -> Column:

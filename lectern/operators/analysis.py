@@ -124,17 +124,18 @@ def goal_words(goal: str, required: list[str] = ()) -> list[str]:
 
 
 def evidence_sentences(c: Column) -> Column:
-    """Sentences that can stand as evidence."""
+    """array<struct<s, lower, key, signal>> of the sentences that can stand as evidence, with what tasks ask of them."""
     found = F.transform(sentences(c), lambda s: collapse(F.regexp_replace(s, r"^#+\s*", "")))
-    return F.filter(found, lambda s: F.length(s).between(32, 420) & ~s.rlike(NOT_EVIDENCE) & ~s.rlike(r"^[a-z]{2,}\s") & ~s.rlike(CUT_OFF) & (strict_key(s) != ""))
+    fit = F.filter(found, lambda s: F.length(s).between(32, 420) & ~s.rlike(NOT_EVIDENCE) & ~s.rlike(r"^[a-z]{2,}\s") & ~s.rlike(CUT_OFF))
+    told = F.transform(fit, lambda s: F.struct(s.alias("s"), F.lower(s).alias("lower"), strict_key(s).alias("key"), F.when(s.rlike(SIGNAL), 2).otherwise(0).alias("signal")))
+    return F.filter(told, lambda x: x["key"] != "")
 
 
 def extractive_evidence(fit: Column, words: Column, limit: Column) -> Column:
     """Of such sentences those that speak most for a task: five points a word of its goal, two for a sign of evidence; longer ones first among equals."""
-    held = lambda s: F.size(F.filter(words, lambda w: F.contains(F.lower(s), w)))
-    scored = F.transform(fit, lambda s, i: F.struct((-(held(s) * 5 + F.when(s.rlike(SIGNAL), 2).otherwise(0))).alias("low"), (-F.length(s)).alias("n"), i.alias("i"), s.alias("s")))
-    ranked = F.transform(F.array_sort(F.filter(scored, lambda x: x["low"] <= -2)), lambda x: x["s"])
-    return F.slice(first_by_key(ranked, strict_key), F.lit(1), limit)
+    held = lambda x: F.size(F.filter(words, lambda w: F.contains(x["lower"], w)))
+    scored = F.transform(fit, lambda x, i: F.struct((-(held(x) * 5 + x["signal"])).alias("low"), (-F.length(x["s"])).alias("n"), i.alias("i"), x["key"].alias("key"), x["s"].alias("s")))
+    return F.transform(F.slice(first_by_key(F.array_sort(F.filter(scored, lambda x: x["low"] <= -2)), lambda x: x["key"]), F.lit(1), limit), lambda x: x["s"])
 
 
 def source_title(c: Column) -> Column:
@@ -157,7 +158,8 @@ def extractive_answers(papers: DataFrame, plan: list[tuple] = READING_PLAN) -> D
 
     asked = F.array(*[F.struct(F.lit(t).alias("task_id"), F.array(*[F.lit(w) for w in goal_words(goal)]).alias("words"), F.lit(max(6, 3 * len(fields))).alias("limit")) for t, _, goal, fields, _ in plan])
     # one row a task from here on, and its sentences are made once
-    rows = papers.select("doc_id", source_title(F.col("text")).alias("title"), evidence_sentences(F.col("text")).alias("fit"), F.explode(asked).alias("t"))
-    found = rows.select("doc_id", "title", "t.task_id", F.explode(F.array(extractive_evidence(F.col("fit"), F.col("t.words"), F.col("t.limit")))).alias("best")).filter(F.size("best") > 0)
+    rows = papers.select("doc_id", source_title(F.col("text")).alias("title"), evidence_sentences(F.col("text")).alias("fit")).select("*", F.explode(asked).alias("t"))
+    told = rows.select("doc_id", "title", "t.task_id", extractive_evidence(F.col("fit"), F.col("t.words"), F.col("t.limit")).alias("best"))
+    found = told.select("doc_id", "title", "task_id", F.explode(F.array("best")).alias("best")).filter(F.size("best") > 0)
     fields = F.coalesce(*[F.when(F.col("task_id") == t, fields_of(names, F.col("best"), F.col("title"))) for t, _, _, names, _ in plan])
     return found.select("doc_id", "task_id", fields.alias("fields"), F.slice("best", 1, 3).alias("evidence"))

@@ -44,3 +44,52 @@ def sessions(events: DataFrame, key: str, at: str, gap_seconds: int) -> DataFram
     new = F.coalesce(micros(at) - F.lag(micros(at)).over(w) > gap_seconds * 1_000_000, F.lit(True)).cast("int")
     numbered = events.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "session").agg(F.count("*").alias("n_events"), F.min(at).alias("start_at"), F.max(at).alias("end_at"))
+
+
+# ------------------------------------------------------------------ runs as they go
+
+
+def task_progress(events: DataFrame, run: str = "run_id") -> DataFrame:
+    """run, task_id, status, attempts, retries, memory_hits of events (run, seq, task, react, memory): the last of each, and most rounds of reflection.
+
+    task: struct<id, status, attempts>; react: struct<taskId, round, phase>; memory: struct<taskId, recalledItems>.
+    """
+    e = events.withColumn("task_id", F.coalesce("task.id", "react.taskId", "memory.taskId")).filter("task_id is not null")
+    last = lambda c, when: F.max_by(F.when(when, c), F.when(when, F.col("seq")))
+    reflected = F.when(F.col("react.phase") == "reflection", F.greatest(F.lit(1), F.coalesce("react.round", F.lit(1))))
+    return e.groupBy(run, "task_id").agg(
+        F.coalesce(last(F.col("task.status"), F.col("task.status").isNotNull()), F.lit("pending")).alias("status"),
+        F.coalesce(last(F.col("task.attempts"), F.col("task.attempts").isNotNull()), F.lit(0)).alias("attempts"),
+        F.coalesce(F.max(reflected), F.lit(0)).alias("retries"),
+        F.coalesce(last(F.col("memory.recalledItems"), F.col("memory.taskId").isNotNull()), F.lit(0)).alias("memory_hits"),
+    )
+
+
+def tool_progress(events: DataFrame, run: str = "run_id") -> DataFrame:
+    """run, call_id, name, status, started_at, duration_ms, tokens, estimated of each call, whose events share its id.
+
+    tool: struct<callId, name, status, durationMs, totalTokens, tokenEstimate>; what a later event doesn't say, an earlier one does.
+    """
+    e = events.filter("tool.callId is not null").select(run, "seq", "at_ms", "tool.*")
+    last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("seq")))
+    at = lambda done: F.min(F.when((F.col("status") == "running") != F.lit(done), F.col("at_ms")))
+    made = e.groupBy(run, F.col("callId").alias("call_id")).agg(last("name").alias("name"), last("status").alias("status"), at(False).alias("started_at"), F.greatest(F.lit(0), F.coalesce(last("durationMs"), at(True) - at(False), F.lit(0))).alias("duration_ms"), F.coalesce(last("totalTokens"), F.lit(0)).alias("tokens"), F.coalesce(last("tokenEstimate"), F.lit(False)).alias("estimated"))
+    return made
+
+
+def run_summary(events: DataFrame, finals: DataFrame | None = None, run: str = "run_id") -> DataFrame:
+    """One row a run: its stage, tasks by status, retries, memory hits, calls, tokens and time; final figures override what was seen.
+
+    finals: (run, retries, tool_calls, total_tokens, token_estimate, duration_ms, cost), any of them null.
+    """
+    count = lambda cond: F.count(F.when(cond, 1))
+    runs = events.groupBy(run).agg(F.max_by("stage", F.when(F.col("stage").isNotNull(), F.col("seq"))).alias("stage"), F.coalesce(F.max("at_ms"), F.lit(0)).alias("_elapsed"))
+    t = task_progress(events, run).groupBy(run).agg(count(F.col("status") == "completed").alias("completed"), count(F.col("status").isin("failed", "insufficient")).alias("failed"), F.count("*").alias("tasks"), F.sum(F.greatest("retries", F.col("attempts") - 1)).alias("_retries"), F.sum("memory_hits").alias("memory_hits"))
+    done = F.col("status") != "running"
+    u = tool_progress(events, run).groupBy(run).agg(count(done).alias("_calls"), F.sum(F.when(done, F.col("tokens")).otherwise(0)).alias("_tokens"), F.bool_or(done & F.col("estimated")).alias("_estimated"))
+    both = runs.join(t, run, "left").join(u, run, "left").fillna(0, ["completed", "failed", "tasks", "_retries", "memory_hits", "_calls", "_tokens"]).fillna(False, ["_estimated"])
+    given = {"retries": "_retries", "tool_calls": "_calls", "total_tokens": "_tokens", "token_estimate": "_estimated", "duration_ms": "_elapsed"}
+    if finals is None:
+        return both.withColumnsRenamed({v: k for k, v in given.items()}).withColumn("cost", F.lit(None).cast("double"))
+    both = both.join(finals, run, "left")
+    return both.withColumns({k: F.coalesce(k, v) for k, v in given.items()}).drop(*given.values())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import bound
 from ..functions.predicates import heading, is_reference_section
 from ..functions.text import paper_text, sentences, strip, text_of
+from .sets import few
 
 # What each reading task looks for, its label, goal, fields and the key of its evidence.
 TASK_KEYWORDS = {
@@ -116,8 +117,8 @@ def chunks(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: b
 
 
 def _scored(parts: DataFrame, task_table: DataFrame, first: Column, in_heading: int, points: list[tuple[str, str, int]], references: int) -> DataFrame:
-    """Each chunk with each task and its score. The tasks are a handful of rows, and broadcast."""
-    both = parts.crossJoin(F.broadcast(task_table.select("task_id", "keywords")))
+    """Each chunk with each task and its score. The tasks are broadcast if they are few."""
+    both = parts.crossJoin(few(task_table.select("task_id", "keywords")))
     h, t = F.lower("heading"), F.lower("text")
     held = lambda x, n: F.aggregate("keywords", F.lit(0), lambda s, k: s + F.when(F.contains(x, k), n).otherwise(0))
     score = first + held(h, in_heading) + held(t, 2)

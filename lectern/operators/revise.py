@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import math_keys
 from ..functions.text import bounded, escape_html, numbers, strict_key, text_of
 from .retrieve import packed, units
+from .sets import few
 
 # Words that support nothing.
 GENERAL_WORDS = ["which", "their", "about", "these", "those", "paper", "context"]
@@ -84,10 +85,10 @@ def _ranked(items: Column, keywords: Column, limit: int) -> Column:
 def recalled(memory: DataFrame, task_table: DataFrame, limit: int = 5) -> DataFrame:
     """paper_id, task_id, prior_section, annotations, questions, recalled_items for each memory and task.
 
-    memory: (paper_id, sections map<string, string>, annotations, questions array<string>); the tasks are a
-    handful of rows, and broadcast.
+    memory: (paper_id, sections map<string, string>, annotations, questions array<string>); the tasks are
+    broadcast if they are few.
     """
-    both = memory.crossJoin(F.broadcast(task_table))
+    both = memory.crossJoin(few(task_table))
     notes, asked = _latest(F.col("annotations"), 20, 2000), _latest(F.col("questions"), 20, 1000)
     prior = F.nullif(bounded(F.try_element_at("sections", F.col("task_id")), 1800), F.lit(""))
     words = F.array_distinct(F.concat("keywords", _plain_words(prior), _plain_words(F.array_join(asked, " "))))
@@ -106,7 +107,7 @@ def fair_shares(selected: DataFrame, task_table: DataFrame, max_chars: int = 500
     selected: rows of retrieve.top_chunks. Gathered are the selected chunks of one document and task only.
     """
     label = F.concat(F.lit("[SOURCE "), "chunk_id", F.lit(" | "), "heading", F.lit(" | part "), F.col("part").cast("string"), F.lit("]"))
-    rows = selected.join(F.broadcast(task_table), "task_id")
+    rows = selected.join(few(task_table), "task_id")
     one = F.struct("idx", "chunk_id", F.length(label).alias("label"), F.trim("text").alias("text"), units(F.col("text"), F.col("keywords")).alias("units"))
     groups = rows.groupBy("doc_id", "task_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
     head = F.length("task_id") * 2 + F.lit(len("[GSSC CONTEXT | task= | goal=]") + 2)

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def few(df: DataFrame, most: int = 1_000) -> DataFrame:
+    """A table to be broadcast if it has so few rows, which is looked at first; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def first_by(df: DataFrame, key: list[Column | str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_rn = 1").drop("_rn")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agent, retrieve, revise
+from ..operators import agent, monitor, retrieve, revise
 from .base import collapse_sql, md5, papers, query, table
 from .retrieval import _TASKS, _score_sql, chunks_sql
 
@@ -83,3 +83,45 @@ def distinct_notes(spark, d):
     turns = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("t")))), lambda s: s["t"]))
     notes = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("n"))
     return notes.select("conv_id", md5(F.array_join(agent.distinct_notes(F.col("n")), "|")).alias("notes_md5"))
+
+
+# Each event is one of a run's: of a task, of its reflection, of its memory, or of a call that begins and later ends.
+_TASK = "event_id // 8 % 5"
+_RUN_EVENTS = f"""x AS (SELECT user_id AS run_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN event_type END AS stage, event_id * 10 AS at_ms, {_TASK} AS k, event_id % 8 AS w, event_id FROM events)"""
+
+
+def _run_events(spark, d):
+    i = F.col("event_id")
+    k = F.concat(F.lit("t"), F.expr("event_id div 8 % 5").cast("string"))
+    w = i % 8
+    none = lambda kind: F.lit(None).cast(kind)
+    task = F.when(w < 2, F.struct(k.alias("id"), F.when(i % 3 == 0, "completed").when(i % 3 == 1, "failed").alias("status"), (i % 5).cast("int").alias("attempts")))
+    react = F.when(w == 2, F.struct(k.alias("taskId"), (i % 4).cast("int").alias("round"), F.when(i % 16 < 8, "reflection").otherwise("act").alias("phase")))
+    memory = F.when(w == 3, F.struct(k.alias("taskId"), (i % 6).cast("int").alias("recalledItems")))
+    call = F.concat(F.lit("c"), F.expr("event_id div 16").cast("string"))
+    tool = F.when(w >= 4, F.struct(call.alias("callId"), F.when(w == 4, "search").alias("name"), F.when(w == 4, "running").when(w == 5, "completed").alias("status"), none("int").alias("durationMs"), F.when(w == 6, (i % 100).cast("int")).alias("totalTokens"), F.when(w == 7, i % 64 == 7).alias("tokenEstimate")))
+    return table(spark, d, "events").select(F.col("user_id").alias("run_id"), i.alias("seq"), F.when(i % 3 == 0, F.col("event_type")).alias("stage"), (i * 10).alias("at_ms"), task.alias("task"), react.alias("react"), memory.alias("memory"), tool.alias("tool"))
+
+
+_PROGRESS = f"""{_RUN_EVENTS}, t AS (SELECT run_id, 't' || k AS task_id, coalesce(arg_max(CASE seq % 3 WHEN 0 THEN 'completed' ELSE 'failed' END, seq) FILTER (w < 2 AND seq % 3 < 2), 'pending') AS status, coalesce(arg_max(seq % 5, seq) FILTER (w < 2), 0)::INT AS attempts, coalesce(max(greatest(1, seq % 4)) FILTER (w = 2 AND seq % 16 < 8), 0)::INT AS retries, coalesce(arg_max(seq % 6, seq) FILTER (w = 3), 0)::INT AS memory_hits FROM x WHERE w < 4 GROUP BY 1, 2),
+u AS (SELECT run_id, 'c' || seq // 16 AS call_id, max(CASE WHEN w = 4 THEN 'search' END) AS name, arg_max(CASE w WHEN 4 THEN 'running' ELSE 'completed' END, seq) FILTER (w IN (4, 5)) AS status, min(at_ms) FILTER (w = 4) AS started_at, greatest(0, coalesce(min(at_ms) FILTER (w = 5) - min(at_ms) FILTER (w = 4), 0)) AS duration_ms, coalesce(arg_max(seq % 100, seq) FILTER (w = 6), 0)::INT AS tokens, coalesce(arg_max(seq % 64 = 7, seq) FILTER (w = 7), false) AS estimated FROM x WHERE w >= 4 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PROGRESS} SELECT * FROM t")
+def task_progress(spark, d):
+    return monitor.task_progress(_run_events(spark, d))
+
+
+@query(f"WITH {_PROGRESS} SELECT * FROM u")
+def tool_progress(spark, d):
+    return monitor.tool_progress(_run_events(spark, d))
+
+
+@query(f"""WITH {_PROGRESS}, r AS (SELECT run_id, arg_max(stage, seq) FILTER (stage IS NOT NULL) AS stage, max(at_ms) AS elapsed FROM x GROUP BY 1),
+a AS (SELECT run_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) AS tasks, sum(greatest(retries, attempts - 1)) AS retries, sum(memory_hits) AS memory_hits FROM t GROUP BY 1),
+b AS (SELECT run_id, count(*) FILTER (status <> 'running') AS calls, coalesce(sum(tokens) FILTER (status <> 'running'), 0) AS tokens, coalesce(bool_or(status <> 'running' AND estimated), false) AS estimated FROM u GROUP BY 1)
+SELECT run_id, stage, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, coalesce(tasks, 0) AS tasks, coalesce(memory_hits, 0)::BIGINT AS memory_hits, coalesce(CASE WHEN run_id % 3 = 0 THEN 7 END, a.retries, 0)::BIGINT AS retries, coalesce(calls, 0) AS tool_calls, coalesce(CASE WHEN run_id % 3 = 0 THEN 400 END, b.tokens, 0)::BIGINT AS total_tokens, coalesce(estimated, false) AS token_estimate, coalesce(CASE WHEN run_id % 3 = 0 THEN 2500 END, elapsed)::BIGINT AS duration_ms, CASE WHEN run_id % 3 = 0 THEN 0.5 END::DOUBLE AS cost FROM r LEFT JOIN a USING (run_id) LEFT JOIN b USING (run_id)""")
+def run_summaries(spark, d):
+    e = _run_events(spark, d)
+    finals = e.select("run_id").distinct().filter("run_id % 3 = 0").select("run_id", F.lit(7).cast("long").alias("retries"), F.lit(None).cast("long").alias("tool_calls"), F.lit(400).cast("long").alias("total_tokens"), F.lit(None).cast("boolean").alias("token_estimate"), F.lit(2500).cast("long").alias("duration_ms"), F.lit(0.5).alias("cost"))
+    return monitor.run_summary(e, finals)

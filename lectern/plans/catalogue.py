@@ -15,6 +15,7 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..operators import classify, evaluate, ground, identity, latex, monitor, retrieve, revise, sets
 from ..operators.registry import Operator, Registry
+from ..sources import files
 from . import agents, analysis, assets, base, grounding, layout, results, retrieval
 from .base import query, table
 
@@ -356,6 +357,18 @@ def latex_parts(spark, d):
     return _files(spark, d).filter("seq in (1, 2)").select("paper_id", "path", latex.renderable_table(F.col("content")).alias("tabular"), latex.safe_preamble(F.col("content")).alias("preamble"))
 
 
+_STORED = [("a.PNG", 5), ("b.txt", 1), ("c.pdf", 30), ("d.svg", 8), ("e.webp", 4), ("f.jpeg", 9)]
+
+
+@query("SELECT item_id AS paper_id, unnest(['a.png', 'd.svg', 'e.webp']) AS key, unnest(['image/png', 'image/svg+xml', 'image/webp']) AS mime, unnest([5, 8, 4]) AS size, false AS pdf FROM benchmark")
+def stored_assets(spark, d):
+    one = F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(p).alias("path"), F.expr(f"cast(repeat('x', {n}) as binary)").alias("data")) for k, (p, n) in enumerate(_STORED)])
+    rows = _t(spark, d, "benchmark").select(F.col("item_id").alias("paper_id"), F.explode(one).alias("f")).select("paper_id", "f.*")
+    kept = files.assets(rows, max_file=20, max_all=20)
+    asked = rows.filter("seq <> 5").select("paper_id", F.upper("path").alias("path"))
+    return files.asset(kept, asked).select("paper_id", "key", "mime", F.octet_length("data").alias("size"), files.is_pdf("data").alias("pdf"))
+
+
 # ------------------------------------------------------------------ gates, memory, export, spans
 
 _GENERAL = ", ".join(repr(w) for w in revise.GENERAL_WORDS)

@@ -9,6 +9,7 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..operators import planning as G
 from ..operators import results as R
+from ..operators.retrieve import READING_PLAN
 from .base import PAPERS, collapse_sql, export_sentences_sql, key_sql, md5, papers, query, strip_sql, table
 
 
@@ -127,13 +128,14 @@ def _typed(spark, d):
     return papers(spark, d).select("doc_id", F.expr(_TYPE).alias("paper_type"), F.when(F.col("doc_id") % 3 == 0, F.coalesce("lang", F.lit(""))).otherwise(F.col("text")).alias("text"))
 
 
-_PLAN_ROWS = ", ".join(f"('{k}', '{task}', {i + 1}, {order.index(task) + 1}, '{'high' if task in high else 'supporting'}', {len(G.TARGETS.get(k, G.TARGETS['any'])[task])}, {2 if task == 'overview' else 3}, {_lit(G.SECTION_LABELS[task])})" for k, (high, order) in G.FOCUS.items() for i, task in enumerate(G.SECTION_LABELS))
+_PLAN_GOALS = {t: goal for t, _, goal, *_ in READING_PLAN}
+_PLAN_ROWS = ", ".join(f"('{k}', '{task}', {i + 1}, {order.index(task) + 1}, '{'high' if task in high else 'supporting'}', {len(G.TARGETS.get(k, G.TARGETS['any'])[task])}, {2 if task == 'overview' else 3}, {_lit(G.SECTION_LABELS[task])}, {_lit(G.GOALS.get(k, {}).get(task, _PLAN_GOALS[task]) + ' ' + G.FOCUS_GOAL % k)})" for k, (high, order) in G.FOCUS.items() for i, task in enumerate(G.SECTION_LABELS))
 
 
-@query(f"""WITH p(paper_type, task_id, task_order, section_order, priority, n_evidence, max_sentences, label) AS (VALUES {_PLAN_ROWS}), t AS (SELECT doc_id, CASE WHEN {_TYPE} = 'other' THEN 'method' ELSE {_TYPE} END AS paper_type FROM documents)
-SELECT doc_id, task_id, task_order, section_order, priority, n_evidence, max_sentences, label, CASE WHEN priority = 'high' OR task_id IN ('method', 'theory', 'results') THEN 'wide' ELSE 'standard' END AS span FROM t JOIN p USING (paper_type)""")
+@query(f"""WITH p(paper_type, task_id, task_order, section_order, priority, n_evidence, max_sentences, label, goal) AS (VALUES {_PLAN_ROWS}), t AS (SELECT doc_id, CASE WHEN {_TYPE} = 'other' THEN 'method' ELSE {_TYPE} END AS paper_type FROM documents)
+SELECT doc_id, task_id, task_order, section_order, priority, n_evidence, max_sentences, label, md5(goal) AS goal_md5, CASE WHEN priority = 'high' OR task_id IN ('method', 'theory', 'results') THEN 'wide' ELSE 'standard' END AS span FROM t JOIN p USING (paper_type)""")
 def reading_plans(spark, d):
-    return G.sections(G.planned(_typed(spark, d).select("doc_id", "paper_type"))).select("doc_id", "task_id", "task_order", "section_order", "priority", F.size("required_evidence").alias("n_evidence"), "max_sentences", "label", "span")
+    return G.sections(G.planned(_typed(spark, d).select("doc_id", "paper_type"))).select("doc_id", "task_id", "task_order", "section_order", "priority", F.size("required_evidence").alias("n_evidence"), "max_sentences", "label", md5(F.col("goal")).alias("goal_md5"), "span")
 
 
 _TYPED = f"{PAPERS}, t AS (SELECT doc_id, {_TYPE} AS paper_type, CASE WHEN doc_id % 3 = 0 THEN coalesce(lang, '') ELSE text END AS text FROM papers)"
@@ -162,6 +164,30 @@ def poster_density(spark, d):
     return G.density(G.visual_slots(_typed(spark, d)), _typed(spark, d))
 
 
+_TOLD = {"title": "CASE doc_id % 5 WHEN 0 THEN 'A survey of models' ELSE 'A study' END", "summary": "CASE doc_id % 3 WHEN 0 THEN 'This work presents a unified framework for it' WHEN 1 THEN 'The model of the network is trained' ELSE 'We look into research questions' END", "method": "CASE doc_id % 7 WHEN 0 THEN 'A theorem' WHEN 1 THEN 'a taxonomy of root causes' WHEN 2 THEN 'mitigation by retrieval' ELSE 'words' END"}
+_ALL = " || ' ' || ".join(f"({v})" for v in _TOLD.values())
+
+
+def _has(p: str, x: str = "x") -> str:
+    return f"regexp_matches({x}, {_lit(p)})"
+
+
+_HEADING_SQL = {p: "CASE paper_type " + " ".join(f"WHEN '{t}' THEN {_lit(names[p])}" for t, names in G.TYPE_HEADINGS.items() if p in names and not (t == "empirical" and p in ("method", "theory", "results")) and not (t == "theory" and p == "method")) for p in G.HEADINGS}
+_HEADING_SQL["method"] += f" WHEN 'theory' THEN CASE WHEN {_has(G.EXPLAINS_METHOD, 'method')} THEN 'Method Overview' ELSE 'Definitions and Assumptions' END WHEN 'empirical' THEN CASE WHEN {_has(G.TAXONOMY_WORDS, 'method')} THEN 'Study Design & Taxonomy' ELSE 'Study Design' END"
+_HEADING_SQL["theory"] += f" WHEN 'empirical' THEN CASE WHEN {_has(G.TAXONOMY_WORDS, 'method')} THEN 'Mechanism & Root Causes' ELSE 'Variables and Measures' END"
+_HEADING_SQL["results"] += f" WHEN 'empirical' THEN CASE WHEN {_has(G.MITIGATION_WORDS, 'method')} THEN 'Mitigation Results' ELSE 'Results and Validity' END"
+_HEADINGS_OF = ", ".join(f"{_HEADING_SQL[p]} WHEN '' THEN '' ELSE {'CASE WHEN doc_id % 2 = 0 THEN ' + _lit(G.FORMULA_HEADING) + ' ELSE ' + _lit(G.HEADINGS[p]) + ' END' if p == 'theory' else _lit(G.HEADINGS[p])} END AS {p}" for p in G.HEADINGS)
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TYPE} AS paper_type, {_TOLD["method"]} AS method, {_ALL} AS x FROM documents)
+SELECT doc_id, CASE WHEN paper_type = 'theory' AND len(regexp_extract_all(x, {_lit(G.METHOD_WORDS)})) >= 2 AND NOT {_has(G.THEORY_WORDS)} OR paper_type = 'empirical' AND ({_has(G.FRAMEWORK[0])} OR {_has(G.FRAMEWORK[1])}) AND NOT {_has(G.STUDY)} OR paper_type = 'survey' AND ({_has(G.PROPOSED[0])} OR {_has(G.PROPOSED[1])}) AND NOT {_has(G.SURVEY_WORDS)} THEN 'method' ELSE paper_type END AS resolved, {_HEADINGS_OF} FROM t""")
+def panel_headings(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_TYPE).alias("paper_type"), *[F.expr(v).alias(k) for k, v in _TOLD.items()])
+    kind, method = F.col("paper_type"), F.col("method")
+    made = docs.select("doc_id", G.resolved_type(kind, F.col("title"), F.col("summary"), method).alias("resolved"), G.panel_headings(kind, F.col("doc_id") % 2 == 0, method, F.lit(""), F.lit(None).cast("string")).alias("h"))
+    return made.select("doc_id", "resolved", "h.*")
+
+
 # ------------------------------------------------------------------ results
 
 

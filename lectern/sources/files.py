@@ -8,7 +8,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIXTURE = """id string, title string, paperText string,
@@ -80,3 +80,33 @@ def paper_document(papers: DataFrame) -> DataFrame:
     listed = lambda head, items: F.when(F.size(items) > 0, F.concat(F.lit(f"## {head}\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")))
     parts = [F.concat(F.lit("# "), F.col("title")), listed("Reliable formulas", F.col("formulas")), listed("Figures extracted", F.col("figures")), listed("Tables extracted", F.col("tables")), F.col("body")]
     return papers.select("paper_id", F.concat_ws("\n\n", *parts).alias("text"))
+
+
+# Kinds of figure files by their extension, and what a PDF begins with.
+MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "svg": "image/svg+xml", "pdf": "application/pdf"}
+PDF_MAGIC, PDF_MOST = b"%PDF-", 80_000_000
+
+
+def assets(files: DataFrame, max_file: int = 30_000_000, max_all: int = 120_000_000) -> DataFrame:
+    """paper_id, key, path, mime, data of the files (paper_id, seq, path, data) that are figures, by lower-case path.
+
+    A file over max_file, or that would take its paper beyond max_all, is skipped, and what follows isn't.
+    """
+    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    mime = F.coalesce(*[F.when(extension == e, m) for e, m in MIME.items()])
+    sized = files.withColumns({"mime": mime, "size": F.octet_length("data")}).filter(F.col("mime").isNotNull() & (F.col("size") <= max_file))
+    one = F.array_sort(F.collect_list(F.struct("seq", "size")))  # the files of one paper, without their bytes
+    start = F.expr("named_struct('used', 0L, 'kept', cast(array() as array<int>))")
+    step = lambda a, f: F.when(a["used"] + f["size"] > max_all, a).otherwise(F.struct((a["used"] + f["size"]).alias("used"), F.array_append(a["kept"], f["seq"]).alias("kept")))
+    kept = sized.groupBy("paper_id").agg(F.aggregate(one, start, step)["kept"].alias("kept")).select("paper_id", F.explode("kept").alias("seq"))
+    return sized.join(kept, ["paper_id", "seq"], "left_semi").select("paper_id", "seq", F.lower("path").alias("key"), "path", "mime", "data")
+
+
+def asset(cached: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The assets that wanted (paper_id, path) asks for, whatever the case of the path."""
+    return wanted.select("paper_id", F.lower("path").alias("key")).distinct().join(cached, ["paper_id", "key"])
+
+
+def is_pdf(data: str = "content") -> Column:
+    """Whether bytes are a PDF of a size that is taken."""
+    return (F.substring(F.col(data), 1, len(PDF_MAGIC)) == F.lit(PDF_MAGIC)) & (F.octet_length(data) <= PDF_MOST)

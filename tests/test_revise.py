@@ -49,6 +49,12 @@ def test_repairs(spark):
     assert r.c2 == "A three-phase method. The pipeline runs in three phases: Collect data, Train, and Evaluate it."
 
 
+def test_formulas_for_display(spark):
+    given = ["argmin_x f(x) ~ p_data", "min_{theta} E_{x|y} log p_g", "\\begin{align*} a &= \\bm{b} \\end{align*}", "\\begin{equation}x \\in \\dmodel\\end{equation}", "$ \\bmx + \\dkey $"]
+    want = ["\\argmin_{x} f(x) \\sim  p_{\\mathrm{data}}", "\\min_{theta} \\mathbb{E}_{x\\mid y} \\log p_{g}", "\\begin{aligned}\na &= \\mathbf{b}\n\\end{aligned}", "x \\in {d_{\\mathrm{model}}}", "\\mathbf{x} + {d_k}"]
+    assert list(one(spark, *[spans.block_display(F.lit(g)) for g in given])) == want
+
+
 def test_split_title(spark):
     r = one(spark, *[spans.split_title(F.lit(t)) for t in ("Short", "", "Sparse attention for long inputs: a study of memory and cost in practice")])
     assert r.c0 == ["Short"] and r.c1 == [] and r.c2 == ["Sparse attention for long inputs:", "a study of memory and cost in practice"]
