@@ -308,7 +308,9 @@ class Forest:
         # Shingles of one star only can't give a pair. Of the others, the star with most of a shingle's rows is compared with the
         # other stars' rows, and these with each other, so that rows of a large star don't meet; the join makes just the pairs that are enough
         by_star = rows.groupBy("shingle", "star").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("star", F.struct("n", "star")).alias("most"), F.count("*").alias("n")).filter("n > 1")
-        rows = checkpointed(rows.join(by_star.select("shingle", "most"), "shingle").withColumn("main", F.col("star") == F.col("most")).drop("most"))
+        told = by_star.select("shingle", "most", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))  # a shingle may be in a large share of all sets
+        rows = rows.withColumn("salt", F.pmod("node", F.lit(SALT)).cast("int")).join(told, ["shingle", "salt"])
+        rows = checkpointed(rows.withColumn("main", F.col("star") == F.col("most")).drop("most", "salt"))
         against = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
         less = rows.filter("early").select("shingle", F.explode(against).alias("main"), "star", F.col("node").alias("a"), F.col("size").alias("na"), F.col("at").alias("ia"))
         more = rows.select("shingle", "main", F.col("star").alias("other"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("at").alias("ib"))
