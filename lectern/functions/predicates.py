@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bound
 from .text import collapse, strip, text_of
 
 # Words of section headings, whole headings, and what counts as a missing answer.
@@ -20,15 +21,18 @@ def heading(line: Column) -> Column:
     Marked lines are headings; so are whole headings, numbered or not, whose last colon or stop is dropped, and numbered
     lines with a word of headings.
     """
-    x = strip(text_of(line))
-    numbered = F.regexp_extract(x, f"^{_NUMBER}(.+)$", 1)
-    return (
-        F.when(F.length(x) > 140, "")
-        .when(x.rlike(r"^#{1,6}\s+."), strip(F.regexp_extract(x, r"^#{1,6}\s+(.+)", 1)))
-        .when(x.rlike(rf"(?i)^(?:{_NUMBER})?(?:{HEADINGS})\s*[:.]?$"), F.regexp_replace(x, "[:.]$", ""))
-        .when((numbered != "") & numbered.rlike(f"(?i){HEADING_TERMS}"), x)
-        .otherwise("")
-    )
+
+    def stated(x: Column) -> Column:
+        numbered = F.regexp_extract(x, f"^{_NUMBER}(.+)$", 1)
+        return (
+            F.when(F.length(x) > 140, "")
+            .when(x.rlike(r"^#{1,6}\s+."), strip(F.regexp_extract(x, r"^#{1,6}\s+(.+)", 1)))
+            .when(x.rlike(rf"(?i)^(?:{_NUMBER})?(?:{HEADINGS})\s*[:.]?$"), F.regexp_replace(x, "[:.]$", ""))
+            .when(x.rlike(f"(?i)^{_NUMBER}.*(?:{HEADING_TERMS})") & (numbered != "") & numbered.rlike(f"(?i){HEADING_TERMS}"), x)
+            .otherwise("")
+        )
+
+    return bound(strip(text_of(line)), stated)
 
 
 def is_reference_section(h: Column) -> Column:

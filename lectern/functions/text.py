@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"[\s\x{00A0}\x{FEFF}]+"
+BLANKS = " \t\n\x0b\f\r\u00a0\ufeff"
 # Words without weight in token overlap, and the id and link forms that are recognised.
 STOP_WORDS = ["the", "and", "with", "from", "this", "that", "which", "into", "using", "figure", "table"]
 ARXIV = r"((?:\d{4}\.\d{4,5}|[a-z-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?)"
@@ -32,7 +33,7 @@ def collapse(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, rf"^{SPACES}|{SPACES}$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def bounded(c: Column, n: int) -> Column:

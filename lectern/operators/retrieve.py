@@ -105,7 +105,8 @@ def size_cuts(text: Column, size: int = CHUNK) -> Column:
 
     steps = F.sequence(F.lit(1), F.floor(F.length(text) / LEAST_CUT).cast("int") + 2)
     start = F.struct(strip(text).alias("rest"), F.array().cast("array<string>").alias("parts"))
-    return F.filter(F.aggregate(steps, start, step)["parts"], lambda p: p != "")
+    cut = F.filter(F.aggregate(steps, start, step)["parts"], lambda p: p != "")
+    return F.when(F.length(text) > size, cut).otherwise(F.filter(F.array(strip(text)), lambda p: p != ""))
 
 
 def chunks(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
@@ -118,13 +119,14 @@ def chunks(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: b
 
 def _scored(parts: DataFrame, task_table: DataFrame, first: Column, in_heading: int, points: list[tuple[str, str, int]], references: int) -> DataFrame:
     """Each chunk with each task and its score. The tasks are broadcast if they are few."""
-    both = parts.crossJoin(few(task_table.select("task_id", "keywords")))
-    h, t = F.lower("heading"), F.lower("text")
+    lower = parts.withColumns({"_heading": F.lower("heading"), "_text": F.lower("text")})  # once a chunk, not for each task and keyword
+    both = lower.crossJoin(few(task_table.select("task_id", "keywords")))
+    h, t = F.col("_heading"), F.col("_text")
     held = lambda x, n: F.aggregate("keywords", F.lit(0), lambda s, k: s + F.when(F.contains(x, k), n).otherwise(0))
     score = first + held(h, in_heading) + held(t, 2)
     for task, pattern, n in points:
         score = score + F.when((F.col("task_id") == task) & h.rlike(pattern), n).otherwise(0)
-    return both.withColumn("score", score - F.when(is_reference_section(F.col("heading")), references).otherwise(0)).drop("keywords")
+    return both.withColumn("score", score - F.when(is_reference_section(F.col("heading")), references).otherwise(0)).drop("keywords", "_heading", "_text")
 
 
 def scored(parts: DataFrame, task_table: DataFrame) -> DataFrame:
