@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, linedup, neardup, pieces, quality, secrets, sharding, toxicity
+from . import decontam, erasure, fingerprint, langid, linedup, neardup, pieces, quality, secrets, sharding, toxicity
 from .core import table
 
 
@@ -50,8 +50,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.erasure(spark, {name: table(spark, sf_dir, name) for name in erasure.AMOUNTS})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_quality, op3_pieces, op4_linedup, op5_decontam, op6_secrets, op7_toxicity, op8_neardup, op9_fingerprint, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op3_pieces, op4_linedup, op5_decontam, op6_secrets, op7_toxicity, op8_neardup, op9_fingerprint, op10_sharding, op11_erasure)}
 
 
 def oracle_sql() -> dict[str, str]:
