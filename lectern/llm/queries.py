@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, erasure, fingerprint, langid, linedup, neardup, pieces, quality, secrets, sharding, toxicity
+from . import collocation, decontam, erasure, fingerprint, langid, linedup, neardup, pieces, quality, secrets, sharding, toxicity
 from .core import table
 
 
@@ -54,9 +54,13 @@ def op11_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return erasure.erasure(spark, {name: table(spark, sf_dir, name) for name in erasure.AMOUNTS})
 
 
+def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_quality, op3_pieces, op4_linedup, op5_decontam, op6_secrets, op7_toxicity, op8_neardup, op9_fingerprint, op10_sharding, op11_erasure)}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op3_pieces, op4_linedup, op5_decontam, op6_secrets, op7_toxicity, op8_neardup, op9_fingerprint, op10_sharding, op11_erasure, op12_collocation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_linedup": linedup.ORACLE, "op5_decontam": decontam.ORACLE, "op8_neardup": neardup.ORACLE, "op10_sharding": sharding.ORACLE}
+    return {"op4_linedup": linedup.ORACLE, "op5_decontam": decontam.ORACLE, "op8_neardup": neardup.ORACLE, "op10_sharding": sharding.ORACLE, "op12_collocation": collocation.ORACLE}
