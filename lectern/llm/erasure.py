@@ -218,7 +218,7 @@ def erasure(spark: SparkSession, tables: dict[str, DataFrame], n_files: int = N_
     clients, clicks, sales = files["clients"].by_name("client_id", "master_id"), files["clicks"].by_name("client_id"), files["sales"].by_name("sale_id", "client_id")
     masters = checkpointed(victim_masters(clients, clicks, divisor))
     found = checkpointed(clients.join(masters, "master_id", "left_semi").select("client_id", "file_no", "path", "row_index"))
-    gone = found.select("client_id").dropna().distinct()
+    gone = found.select("client_id").dropna()  # not made distinct, so that Spark can split a hot client of the joins below
     sold = checkpointed(sales.join(gone, "client_id", "left_semi").select("sale_id", "file_no", "path", "row_index"))
     victims = {
         "clients": found.select("file_no", "path", "row_index"),
