@@ -286,9 +286,13 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
 
 
 ORACLE = """
-WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
-words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
-grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 4) t(k))),
+WITH texts AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+  regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+pieces AS (SELECT d, lang, unnest(p) AS piece, generate_subscripts(p, 1) AS pn FROM texts),
+split AS (SELECT d, lang, pn, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+words AS (SELECT d, lang, pn, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM split),
+led AS (SELECT lang, w, lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM words WINDOW x AS (PARTITION BY d, pn ORDER BY i)),
+grams AS (SELECT lang, 1 AS k, w AS phrase FROM led UNION ALL SELECT lang, 2, w || ' ' || w2 FROM led WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM led WHERE w3 IS NOT NULL),
 counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k > 1 AND f >= 10),
