@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocation, decontam, erasure, fingerprint, langid, linedup, neardup, pieces, quality, secrets, sharding, toxicity
+from . import collocation, decontam, erasure, fingerprint, langid, linedup, mainhtml, neardup, pieces, quality, secrets, sharding, toxicity
 from .core import table
 
 
@@ -58,8 +58,12 @@ def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_mainhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_quality, op3_pieces, op4_linedup, op5_decontam, op6_secrets, op7_toxicity, op8_neardup, op9_fingerprint, op10_sharding, op11_erasure, op12_collocation)}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op3_pieces, op4_linedup, op5_decontam, op6_secrets, op7_toxicity, op8_neardup, op9_fingerprint, op10_sharding, op11_erasure, op12_collocation, op13_mainhtml)}
 
 
 def oracle_sql() -> dict[str, str]:
