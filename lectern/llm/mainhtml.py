@@ -28,7 +28,7 @@ _BLOCKS = frozenset(
 )
 _SKIPPED = "script|style|template|noscript|noembed|noframes|iframe|object|svg|canvas|math|head|title|select|textarea|button|audio|video|map"
 _AWAY = frozenset("nav footer aside menu dialog search".split())
-_WEAK = frozenset("form header fieldset".split())
+_WEAK = frozenset("form header fieldset".split())  # undone by an article inside; a header may be an article's own
 _MAIN = frozenset("article main".split())
 _ROLES_AWAY = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _WORDS_AWAY = frozenset(
@@ -56,7 +56,7 @@ def _place(tag: str, attrs: str, outer: int, strong: bool) -> tuple[int, bool]:
     if strong and tag != "main":
         return outer, True
     away = tag in _AWAY
-    weak = tag in _WEAK and outer != MAIN
+    weak = tag in _WEAK and (outer != MAIN or tag != "header")
     main = tag in _MAIN
     if attrs and tag not in ("html", "body"):
         for name, a, b, c in _ATTR.findall(attrs):
@@ -179,6 +179,11 @@ LABELLED: list[tuple[int, int, int, int, int, float, float, float, int]] = [
     (0, 2, 1, 1, 1, 1.0, 1.0, 1.0, 0), (0, 2, 0, 2, 2, 0.0, 1.0, 1.0, 0), (0, 0, 2, 4, 3, 1.0, 1.0, 1.0, 0), (0, 0, 3, 10, 8, 0.9, 0.8, 1.0, 0),
     (0, 0, 50, 5, 2, 0.0, 1.0, 1.0, 0), (0, 0, 3, 3, 60, 1.0, 1.0, 0.0, 0), (0, 0, 0, 4, 1, 0.0, 0.0, 1.0, 0), (0, 0, 2, 5, 0, 1.0, 0.0, 0.0, 0),
     (0, 0, 3, 6, 4, 1.0, 0.2, 1.0, 0), (0, 1, 2, 2, 3, 1.0, 0.0, 1.0, 0), (0, 1, 45, 2, 4, 0.0, 0.0, 1.0, 0), (0, 1, 0, 3, 2, 0.0, 1.0, 1.0, 0),
+    (0, 0, 0, 3, 40, 0.0, 1.0, 0.0, 0), (0, 0, 1, 1, 1, 0.0, 1.0, 1.0, 0), (0, 2, 60, 3, 3, 0.0, 1.0, 1.0, 0), (0, 0, 0, 6, 12, 0.0, 0.9, 0.0, 0),
+    (0, 2, 1, 2, 40, 1.0, 1.0, 0.0, 0), (0, 0, 1, 8, 1, 1.0, 0.7, 1.0, 0), (0, 0, 1, 20, 1, 0.0, 0.9, 0.0, 0), (0, 0, 12, 9, 25, 0.0, 0.7, 0.0, 0),
+    (0, 2, 30, 7, 26, 0.0, 0.9, 0.0, 0), (0, 0, 60, 11, 0, 0.0, 0.8, 0.0, 0), (0, 0, 1, 2, 2, 0.0, 0.0, 0.0, 0), (0, 0, 0, 3, 4, 0.0, 0.0, 0.0, 0),
+    (0, 0, 1, 12, 50, 0.0, 0.0, 0.0, 1), (0, 0, 0, 40, 0, 0.0, 0.0, 0.0, 1), (0, 0, 1, 25, 1, 0.0, 0.1, 0.0, 1), (0, 0, 60, 5, 0, 0.0, 0.0, 0.0, 1),
+    (0, 0, 2, 18, 30, 0.0, 0.2, 0.0, 1), (0, 2, 2, 16, 14, 0.0, 0.3, 0.0, 1), (0, 1, 1, 3, 30, 0.0, 0.0, 0.0, 1), (0, 0, 0, 23, 0, 0.0, 0.0, 0.0, 1),
     (0, 2, 4, 4, 5, 1.0, 1.0, 0.9, 0), (0, 0, 30, 40, 20, 0.9, 0.8, 1.0, 0), (0, 0, 5, 25, 6, 1.0, 0.7, 1.0, 0), (0, 0, 2, 7, 3, 0.0, 0.0, 0.0, 0),
 ]
 
