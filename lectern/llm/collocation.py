@@ -134,7 +134,7 @@ def _pass(k: int, longest: int, least: int, bits: int, buckets, frequent):
         rows = 0
 
         def added(x: list[pa.Table]) -> pa.Table:
-            return pa.concat_tables(x).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"])
+            return pa.concat_tables(x).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
 
         def out(x: pa.Table) -> Iterator[pa.RecordBatch]:
             none = [pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())]
