@@ -128,11 +128,10 @@ def formula_key(c: Column) -> Column:
 
 
 def fnv1a(c: Column, most: int = 50_000) -> Column:
-    """32-bit FNV-1a of the collapsed text's code points (the first `most`), with its length."""
-    x = F.substring(collapse(c), 1, most)
-    points = F.transform(F.filter(F.split(x, ""), lambda s: s != ""), lambda s: F.ascii(s).cast("long"))
-    h = F.aggregate(points, F.lit(2166136261).cast("long"), lambda a, p: (a.bitwiseXOR(p) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
-    return F.concat(F.lower(F.lpad(F.hex(h), 8, "0")), F.lit(":"), F.length(x).cast("string"))
+    """32-bit FNV-1a of the collapsed text's UTF-16 units (the first `most`), with their number."""
+    units = F.slice(F.regexp_extract_all(F.hex(F.encode(F.substring(collapse(c), 1, most), "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0)), 1, most)
+    h = F.aggregate(units, F.lit(2166136261).cast("long"), lambda a, u: (a.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    return F.concat(F.lower(F.lpad(F.hex(h), 8, "0")), F.lit(":"), F.size(units).cast("string"))
 
 
 def arxiv_id(file_name: Column, text: Column) -> Column:
