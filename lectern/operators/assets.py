@@ -259,9 +259,14 @@ def needs_backfill(text: Column, numbers: Column, without_artwork: Column) -> Co
 
 
 def page_map(captions: DataFrame) -> DataFrame:
-    """doc_id, type, number, page, caption of captions (doc_id, seq, type, number, page, caption): the last of each number holds."""
-    last = F.max_by(F.struct("page", "caption"), "seq").alias("c")
-    return captions.groupBy("doc_id", "type", F.lower("number").alias("number")).agg(last).select("doc_id", "type", "number", "c.page", "c.caption")
+    """doc_id, type, number, page, caption of captions (doc_id, seq, type, number, page, caption).
+
+    The last page above 0 and the last caption that isn't blank hold, each by itself: a later row that lacks one doesn't erase it.
+    """
+    caption = collapse(F.col("caption"))
+    last = lambda x, held: F.max_by(x, F.when(held, F.col("seq")))
+    found = captions.filter(text_of(F.col("number")) != "").groupBy("doc_id", "type", F.lower("number").alias("number"))
+    return found.agg(last(F.when(F.col("page") > 0, F.col("page")), F.col("page") > 0).alias("page"), last(caption, caption != "").alias("caption"))
 
 
 def whole_caption(primary: Column, other: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..functions.text import strict_key, text_of
 
 # Signals of the paper types, in the order that decides ties; what raises a type's score beyond them; and where references begin.
@@ -43,8 +46,16 @@ BONUSES = [
     ("method", 5, METHOD_SECTION),
 ]
 TITLE_CHARS, OPENING_CHARS = 1200, 7000
-# Words that place a figure.
-PLACEMENT_TERMS = {"theory": ["theorem", "proof", "formula", "mechanism"], "results": ["result", "accuracy", "comparison", "ablation", "performance"], "method": ["architecture", "framework", "pipeline", "overview", "model"]}
+# Words that place a figure, by the part of a poster.
+METHOD_TERMS = [
+    "method", "overview", "architecture", "framework", "pipeline", "workflow", "algorithm", "model", "mechanism", "design", "system", "component", "module", "training", "inference", "方法", "架构", "框架", "流程", "模型", "机制", "系统",
+]
+RESULT_TERMS = [
+    "result", "experiment", "performance", "comparison", "ablation", "evaluation", "benchmark", "accuracy", "bleu", "latency", "throughput", "scaling", "analysis", "finding", "curve", "plot", "bitrate", "rate-distortion", "psnr", "ssim",
+    "结果", "实验", "性能", "对比", "消融", "评估", "指标", "曲线",
+]
+THEORY_TERMS = ["key idea", "principle", "concept", "theory", "objective", "attention map", "feature alignment", "representation alignment", "latent space", "encoding principle", "核心思想", "原理", "理论", "目标函数", "特征对齐", "表征对齐"]
+PARTS = ("method", "theory", "results")
 
 
 def type_scores(docs: DataFrame, signals: dict[str, list[str]] = TYPE_SIGNALS, most: int = 5, id_col: str = "doc_id", source_type: Column | None = None) -> DataFrame:
@@ -78,15 +89,17 @@ def classify(scores: DataFrame, fallback: str = "method") -> DataFrame:
     return r.select("doc_id", F.when(best > 0, at(0)["type"]).otherwise(fallback).alias("paper_type"), best.alias("score"), margin.alias("margin"), sure.alias("confidence"), at(1)["type"].alias("second"), at(2)["type"].alias("third"))
 
 
-def placement(text: Column, kind: Column, terms: dict[str, list[str]] = PLACEMENT_TERMS) -> Column:
-    """Where an asset goes: tables to the results, figures by their words."""
-    x = strict_key(text)
-    n = {p: sum((F.contains(x, F.lit(t)).cast("int") for t in ts), F.lit(0)) for p, ts in terms.items()}
-    return F.when(kind == "table", "results").when((n["theory"] > n["method"]) & (n["theory"] > n["results"]), "theory").when(n["results"] > n["method"], "results").otherwise("method")
+def placement(text: Column, kind: Column, told: Column | None = None) -> Column:
+    """Where an asset goes: tables to the results, others where an analysis told, else by how many terms of each part occur in their words."""
+    terms = lambda ts: F.array(*[F.lit(re.sub(r"[^\w]+|_", " ", t)) for t in ts])
+    hits = lambda x, ts: F.size(F.filter(terms(ts), lambda t: F.contains(x, t)))
+    counted = bound(strict_key(text), lambda x: F.struct(hits(x, METHOD_TERMS).alias("method"), hits(x, THEORY_TERMS).alias("theory"), hits(x, RESULT_TERMS).alias("results")))
+    by_words = bound(counted, lambda n: F.when((n["theory"] > n["method"]) & (n["theory"] > n["results"]), "theory").when(n["results"] > n["method"], "results").otherwise("method"))
+    said = F.lower(text_of(told if told is not None else F.lit("")))
+    return F.when(kind == "table", "results").when(said.isin(*PARTS), said).otherwise(by_words)
 
 
-def rank_assets(assets: DataFrame, key: str, terms: dict[str, Column], limit: int) -> DataFrame:
-    """Each key's best assets by the sum of the terms, which stay as columns."""
-    scored = assets.select("*", *[c.alias(n) for n, c in terms.items()]).withColumn("score", sum((F.col(n) for n in terms), F.lit(0)))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "idx")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+def placed(assets: DataFrame) -> DataFrame:
+    """Assets (doc_id, type, name, caption, source, purpose, insight, told) with their part of the poster."""
+    words = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("name", "caption", "source", "purpose", "insight")])
+    return assets.withColumn("part", placement(words, F.col("type"), F.col("told")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.evidence import nfkc
 from ..functions.predicates import percent
-from ..functions.text import match_key, numbers
+from ..functions.text import match_key, numbers, quote_variants
 
 
 def _runs(words: Column, k: int) -> Column:
@@ -45,6 +46,57 @@ def grounded(quotes: DataFrame, sources: DataFrame, key: str, least: int = 4) ->
     return n.withColumn("score", F.round(percent(F.col("grounded"), F.col("total")), 2))
 
 
+def _variants(df: DataFrame, text: str) -> DataFrame:
+    """df with v, the forms in which a text is compared: composed alike, with and without hyphens at line ends, none of them empty."""
+    forms = F.filter(quote_variants(nfkc(F.col(text))), lambda x: x != "")
+    return df.select("*", F.explode(F.array(forms)).alias("v"))  # a generator, so that it is computed once
+
+
+def validated(quotes: DataFrame, sources: DataFrame, key: str, least: int = 4) -> DataFrame:
+    """quotes (key, quote, ...) with `held`: whether any form of four characters or more stands anywhere in any form of its own source (key, text).
+
+    The forms of a source are made once for all of its quotes, of which there are as many as one paper's evidence has.
+    """
+    mine = _variants(quotes.withColumn("_id", F.monotonically_increasing_id()), "quote")
+    asked = mine.groupBy(key).agg(F.collect_list(F.struct(*[F.col(c) for c in quotes.columns if c != key], F.filter("v", lambda x: F.length(x) >= least).alias("v"))).alias("q"))
+    both = asked.join(_variants(sources.select(key, "text"), "text").select(key, F.col("v").alias("forms")), key, "left")
+    holds = lambda q: F.exists(q["v"], lambda x: F.exists(F.coalesce("forms", F.array().cast("array<string>")), lambda s: F.contains(s, x)))
+    told = both.select(key, F.explode(F.transform("q", lambda q: F.struct(q.alias("q"), holds(q).alias("held")))).alias("x"))
+    return told.select(key, *[F.col(f"x.q.{c}").alias(c) for c in quotes.columns if c != key], F.col("x.held").alias("held"))
+
+
+def _inner(words: Column) -> Column:
+    """The words that are whole whatever stands around: all but the first and last."""
+    return F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
+
+
+def found_anywhere(quotes: DataFrame, docs: DataFrame, words: int = 4, least: int = 4, most: int = 8) -> DataFrame:
+    """(item_id, doc_id) of each quote (item_id, text) that a document holds in any form of both, within words too.
+
+    A quote with two inner words or more is looked up by these (up to `words` of them), which any document that holds it has whole; others by their first characters
+    (`least` to `most` of them), among a document's distinct runs of as many. Only lengths that quotes have are made, only hashes are joined, and texts are read again for the pairs alone.
+    """
+    q = _variants(quotes.select("item_id", F.col("text").alias("quote")), "quote").select("item_id", F.explode("v").alias("form")).filter(F.length("form") >= least)
+    inner = F.size(_inner(F.split("form", " ")))
+    q = q.withColumn("k", F.when(inner >= 2, F.least(inner, F.lit(words))).otherwise(-F.least(F.length("form"), F.lit(most))))
+    sizes = sorted(r.k for r in q.select("k").distinct().collect())  # words + most at most
+    if not sizes:
+        return quotes.select("item_id").limit(0).crossJoin(docs.select("doc_id").limit(0))
+    head = lambda k: F.get(_runs(F.slice(_inner(F.split("form", " ")), 1, k), k), F.lit(0)) if k > 0 else F.xxhash64(F.lit(k), F.substring("form", 1, -k))
+    wanted = q.select("item_id", "form", F.coalesce(*[F.when(F.col("k") == k, head(k)) for k in sizes]).alias("head"))
+    forms = _variants(docs.select("doc_id", "text"), "text").select("doc_id", F.explode("v").alias("body"))
+
+    def chars(n: int) -> Column:
+        # all overlapping runs in one pass, by a match of no width at each character
+        return F.transform(F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))), lambda x: F.xxhash64(F.lit(-n), x))
+
+    made = F.flatten(F.array(*[_runs(F.split("body", " "), k) if k > 0 else chars(-k) for k in sizes]))
+    runs = forms.select("doc_id", F.explode(F.array_distinct(made)).alias("head"))
+    pairs = runs.join(wanted.select("item_id", "head").distinct(), "head").select("item_id", "doc_id").distinct()
+    both = pairs.join(forms, "doc_id").join(wanted.select("item_id", "form"), "item_id")
+    return both.filter(F.contains("body", F.col("form"))).select("item_id", "doc_id").distinct()
+
+
 def unsupported_numbers(claims: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """key and each distinct number of its claims that its sources don't have. Both tables: (key, text)."""
     of = lambda df: df.select(key, F.explode(numbers(F.col("text"))).alias("number")).distinct()

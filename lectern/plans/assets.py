@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import FORMULA_SIGNS, METADATA, WORDS_ONLY
 from ..operators import assets as A
+from ..operators import classify
 from .base import collapse_sql, key_sql, query, strip_sql, table
 
 
@@ -180,3 +181,32 @@ def figure_fallback(spark, d):
     mine = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("idx")).select("doc_id", "idx", F.concat(F.lit("Figure "), F.col("idx") + 1).alias("name"), F.concat(F.lit("caption "), "idx").alias("caption"), F.lit("").alias("source"), F.when((F.col("doc_id") + F.col("idx")) % 2 == 0, F.array(F.concat(F.lit("a"), "idx"))).otherwise(none).alias("assets"))
     crops = docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("idx")).select("doc_id", "idx", F.concat(F.lit("Fig. "), F.col("idx") * 2).alias("name"), F.lit("").alias("caption"), F.when(F.col("idx") == 1, "scan").otherwise("").alias("source"), F.when(F.col("doc_id") % 3 == 0, none).otherwise(F.array(F.concat(F.lit("b"), "idx"))).alias("assets"))
     return A.with_artwork(mine, crops, True).select("doc_id", "idx", "name", "source", F.array_join("assets", ",").alias("assets"))
+
+
+@query("""SELECT doc_id, 'figure' AS type, '2' AS number, CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END AS page, 'A later caption' AS caption FROM documents UNION ALL SELECT doc_id, 'figure', '1a', 9, 'First caption' FROM documents
+UNION ALL SELECT doc_id, 'table', '1', NULL, CASE WHEN doc_id % 3 = 0 THEN 'Only a caption' END FROM documents""")
+def page_map_rules(spark, d):
+    """Pages and captions of numbered figures and tables, each from the last row that has one."""
+    told = [
+        (1, "'figure'", "'2'", "3", "'A caption'"), (2, "'figure'", "'2'", "case when doc_id % 2 = 0 then 4 end", "concat(' A  later', chr(10), 'caption')"), (3, "'figure'", "'2'", "0", "'  '"), (4, "'figure'", "'1A'", "9", "'First caption'"),
+        (5, "'figure'", "'1a'", "-1", "null"), (6, "'table'", "'1'", "0", "case when doc_id % 3 = 0 then 'Only a caption' end"), (7, "'table'", "''", "5", "'No number'"), (8, "'table'", "null", "5", "'No number'"),
+    ]
+    rows = F.array(*[F.struct(F.lit(s).alias("seq"), F.expr(t).cast("string").alias("type"), F.expr(n).cast("string").alias("number"), F.expr(p).cast("int").alias("page"), F.expr(c).cast("string").alias("caption")) for s, t, n, p, c in told])
+    return A.page_map(table(spark, d, "documents").select("doc_id", F.inline(rows)))
+
+
+#: Assets by doc_id % 10: type, name, caption, what an analysis told, and where they belong.
+_PLACED = [
+    ("table", "Overview of the method", "architecture", "theory", "results"), ("figure", "Figure 1", "Rate-Distortion curve", "", "results"), ("figure", "Figure 2", "Attention Map and latent-space", "", "theory"), ("figure", "Figure 3", "nothing said", "", "method"),
+    ("figure", "Results", "of the model", "", "method"), ("figure", "\u7ed3\u679c", "\u66f2\u7ebf", "", "results"), ("figure", "BLEU scaling", "of training", "Theory", "theory"), ("figure", "Key idea", "objective of a module", "other", "theory"),
+    ("figure", "principle and performance", "", "", "results"), ("figure", "PSNR, SSIM: findings", "of the workflow design", "", "results"),
+]
+
+
+@query("SELECT doc_id, CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{x[4]}'" for i, x in enumerate(_PLACED)) + " END AS part FROM documents")
+def asset_placement(spark, d):
+    """The part of the poster for one asset a document."""
+    pick = lambda j: F.element_at(F.array(*[F.lit(x[j]) for x in _PLACED]), (F.col("doc_id") % 10 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    made = table(spark, d, "documents").select("doc_id", pick(0).alias("type"), pick(1).alias("name"), pick(2).alias("caption"), none.alias("source"), F.lit("").alias("purpose"), none.alias("insight"), pick(3).alias("told"))
+    return classify.placed(made).select("doc_id", "part")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..functions import text as T
+from ..operators import ground
 from .base import PAPERS, collapse_sql, export_sentences_sql, key_sql, md5, papers, query, strip_sql, table
 
 _X = "replace(text, chr(13), '')"
@@ -151,3 +152,32 @@ def located_evidence(spark, d):
 def section_queries(spark, d):
     c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", md5(E.section_query(F.col("text"), F.array("text", "role"))).alias("query_md5"))
+
+
+#: Broken words, wide and joined letters after each document's text; and quotes of all kinds with whether they are held.
+_BROKEN = "concat(coalesce(text, ''), chr(10), 'The atten-', chr(10), 'tion mecha- nism of doc', doc_id, ' has \uff46\uff55\uff4c\uff4c \ufb01ne forms, co-', chr(10), 'Author notes.')"
+_CHECKED = [
+    ("'attention mechanism of'", True), ("'Atten- tion mecha-'", True), ("'ion mechanism of doc'", True), ("'full fine forms'", True), ("'\uff26ull'", True), ("'coauthor notes'", False), ("'co author'", True), ("concat('doc', doc_id, ' has')", True),
+    ("concat('doc', doc_id + 1, ' has')", False), ("'atten mechanism'", False), ("'of'", False), ("null", False), ("'\u201cforms\u201d'", True),
+]
+
+
+@query("SELECT doc_id, n, CASE n " + " ".join(f"WHEN {i} THEN {str(held).lower()}" for i, (_, held) in enumerate(_CHECKED)) + f" END AS held FROM documents, range({len(_CHECKED)}) r(n)")
+def evidence_validated(spark, d):
+    """Quotes against their own paper, in all forms of both."""
+    docs = table(spark, d, "documents")
+    quotes = docs.select("doc_id", F.posexplode(F.array(*[F.expr(x).cast("string") for x, _ in _CHECKED])).alias("n", "quote"))
+    got = ground.validated(quotes, docs.select("doc_id", F.expr(_BROKEN.replace("doc_id", "cast(doc_id as string)")).alias("text")), "doc_id")
+    return got.select("doc_id", F.col("n").cast("long").alias("n"), "held")
+
+
+_WHERE = ["concat('ion mechanism of doc', doc_id, ' h')", "concat('doc', doc_id)", "concat('of doc', doc_id, ' ha')", "concat('octo', doc_id, ' has full fine for')"]
+
+
+@query("""WITH q AS (SELECT doc_id * 4 + n AS item_id, doc_id, n FROM documents, range(4) r(n) WHERE doc_id % 100 = 0)
+SELECT q.item_id, d.doc_id FROM q JOIN documents d ON d.doc_id = q.doc_id OR n = 1 AND starts_with(d.doc_id::VARCHAR, q.doc_id::VARCHAR) WHERE n < 3""")
+def evidence_anywhere(spark, d):
+    """Quotes of every hundredth paper looked for in all papers, broken words and parts of words included."""
+    docs = table(spark, d, "documents")
+    asked = docs.filter("doc_id % 100 = 0").select("doc_id", F.posexplode(F.array(*[F.expr(x.replace("doc_id", "cast(doc_id as string)")) for x in _WHERE])).alias("n", "text")).select((F.col("doc_id") * 4 + F.col("n")).alias("item_id"), "text")
+    return ground.found_anywhere(asked, docs.select("doc_id", F.expr(_BROKEN.replace("doc_id", "cast(doc_id as string)")).alias("text")))
