@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,11 @@ def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later ones can use without computing it again: a generator is never merged into them."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def first_by_key(items: Column, key: Callable[[Column], Column]) -> Column:
     """The first item of each key, in order; by sorting, so long arrays aren't compared pair by pair."""
     keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))

@@ -97,22 +97,30 @@ def section_query(primary: Column, fields: Column) -> Column:
     return F.substring(F.when(F.length(core) >= 80, core).otherwise(F.array_join(F.transform(fields, text_of), " ")), 1, 900)
 
 
-def excerpts(sentences: Column, query: Column, limit: int = 3) -> Column:
-    """array<struct<score, quote, page>>: the sentences (page, quote) that share most tokens of weight with a query, each text once.
+def with_tokens(sentences: Column) -> Column:
+    """array<struct<page, quote, key, tokens>> of sentences (page, quote): what every query compares, made once."""
+    return F.transform(sentences, lambda s: bound(strict_key(s["quote"]), lambda k: F.struct(s["page"].alias("page"), s["quote"].alias("quote"), k.alias("key"), tokens(k).alias("tokens"))))
+
+
+def excerpts(sentences: Column, wanted: Column, limit: int = 3) -> Column:
+    """array<struct<score, quote, page>>: the sentences (of with_tokens) that share most tokens of weight with a query's, each text once.
 
     Three points a shared token, and two if a long one of the query occurs; two tokens and six points are asked for.
     """
-    wanted = tokens(query)
-    long = F.filter(wanted, lambda t: F.length(t) >= 8)
 
-    def judged(s: Column, i: Column) -> Column:
-        key = strict_key(s["quote"])
-        shared = F.size(F.array_intersect(wanted, tokens(s["quote"])))
-        score = 3 * shared + F.when(F.exists(long, lambda t: F.contains(key, t)), 2).otherwise(0)
-        return F.when((shared >= 2) & (score >= 6), F.struct((-score).alias("low"), F.length(s["quote"]).alias("n"), i.alias("i"), key.alias("key"), s.alias("s")))
+    def ranked(mine: Column) -> Column:
+        long = F.filter(mine, lambda t: F.length(t) >= 8)
+
+        def judged(s: Column, i: Column) -> Column:
+            def points(shared: Column) -> Column:
+                score = 3 * shared + F.when(F.exists(long, lambda t: F.contains(s["key"], t)), 2).otherwise(0)
+                return F.when((shared >= 2) & (score >= 6), F.struct((-score).alias("low"), F.length(s["quote"]).alias("n"), i.alias("i"), s["key"].alias("key"), s.alias("s")))
+
+            return bound(F.size(F.array_intersect(mine, s["tokens"])), points)
+
+        return F.array_sort(F.filter(F.transform(sentences, judged), lambda x: x.isNotNull()))
 
-    ranked = F.array_sort(F.filter(F.transform(sentences, judged), lambda x: x.isNotNull()))
-    return F.transform(F.slice(first_by_key(ranked, lambda x: x["key"]), 1, limit), lambda x: F.struct((-x["low"]).alias("score"), x["s"]["quote"].alias("quote"), x["s"]["page"].alias("page")))
+    return F.transform(F.slice(first_by_key(bound(wanted, ranked), lambda x: x["key"]), 1, limit), lambda x: F.struct((-x["low"]).alias("score"), x["s"]["quote"].alias("quote"), x["s"]["page"].alias("page")))
 
 
 def _alike(a: Column, b: Column) -> Column:

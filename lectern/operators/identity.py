@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..functions.evidence import nfkc
 from ..functions.text import academic_key, arxiv_id, collapse, doi, fnv1a, strip, text_of, title_of, titles_agree
 
@@ -97,14 +98,9 @@ def created(p: Column, said: Column) -> Column:
     )
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """A column that later ones can use without computing it again: a generator is never merged into them."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _first_pass(papers: DataFrame, id_col: str) -> DataFrame:
-    said = _once(papers.select(id_col, "profile", "text"), "said", facts(F.col("text"))).drop("text")
-    return _once(said, "first", created(F.col("profile"), F.col("said")))
+    said = once(papers.select(id_col, "profile", "text"), "said", facts(F.col("text"))).drop("text")
+    return once(said, "first", created(F.col("profile"), F.col("said")))
 
 
 def create(papers: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -128,7 +124,7 @@ def reconcile(papers: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.when(hit("doi"), F.concat(F.lit("https://doi.org/"), said["doi"])).otherwise(p["paper_url"]).alias("paper_url"),
         *[p[n].alias(n) for n in ("arxiv_id", "detected_arxiv_id", "file_name")],
     )
-    second = _once(_once(first, "mended", mended), "second", created(F.col("mended"), F.col("said")))
+    second = once(once(first, "mended", mended), "second", created(F.col("mended"), F.col("said")))
     fields = F.col("first.conflicts")
     return second.select(id_col, "second.*", (F.col("second.consistent") & (F.size(fields) > 0)).alias("repaired"), fields.alias("repaired_fields"))
 

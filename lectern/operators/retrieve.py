@@ -1,7 +1,8 @@
 """From documents to the best passages of each reading task, under size budgets.
 
-Sections and chunks are made by array functions within a row, so documents aren't shuffled; only the ranking
-of a document's chunks for a task needs an exchange, and the rank limit goes below it.
+Sections and chunks are made by array functions within a row, and `top_in_rows` also scores, ranks and selects them there: each keyword is looked for once a chunk,
+whatever number of tasks has it, tasks share what was found, and a text leaves its row only where it is selected. Nothing is shuffled.
+`scored`, `top_chunks` and `within_budget` do the same over rows of chunks and tables of tasks of any size, by a window for each document and task.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bound
+from ..functions.arrays import bound, once
 from ..functions.predicates import heading, is_reference_section
-from ..functions.text import paper_text, sentences, strip, text_of
+from ..functions.text import BLANKS, paper_text, sentences, strip, text_of
 from .sets import few
 
 # What each reading task looks for, its label, goal, fields and the key of its evidence.
@@ -68,9 +69,15 @@ def task_words(label: str, goal: str) -> list[str]:
     return re.findall(r"[a-z][a-z-]{3,}", f"{label} {goal}".lower())
 
 
+def task_list(plan: list[tuple] = READING_PLAN, keywords: dict[str, list[str]] = TASK_KEYWORDS) -> list[tuple[str, list[str]]]:
+    """Each task's keywords: its own, and the words of its label and goal."""
+    return [(t, list(dict.fromkeys(keywords.get(t, []) + task_words(label, goal)))) for t, label, goal, *_ in plan]
+
+
 def tasks(spark: SparkSession, plan: list[tuple] = READING_PLAN, keywords: dict[str, list[str]] = TASK_KEYWORDS) -> DataFrame:
     """task_id, label, goal, fields, evidence_key, keywords: a task's own, and the words of its label and goal."""
-    rows = [(t, label, goal, fields, key, list(dict.fromkeys(keywords.get(t, []) + task_words(label, goal)))) for t, label, goal, fields, key in plan]
+    words = dict(task_list(plan, keywords))
+    rows = [(t, label, goal, fields, key, words[t]) for t, label, goal, fields, key in plan]
     return spark.createDataFrame(rows, "task_id string, label string, goal string, fields array<string>, evidence_key string, keywords array<string>")
 
 
@@ -94,26 +101,41 @@ def _last(x: Column, mark: str, most: Column | int) -> Column:
 
 
 def size_cuts(text: Column, size: int = CHUNK) -> Column:
-    """array<string>: pieces of a text that is longer than size, cut at the last paragraph, line or sentence end that leaves enough."""
-
-    def step(state: Column, _: Column) -> Column:
-        rest = state["rest"]
-        ends = F.array(_last(rest, "\n\n", size), _last(rest, "\n", size), _last(rest, ". ", size) + 1)
-        at = F.when(F.length(rest) <= size, F.length(rest)).otherwise(F.coalesce(F.get(F.filter(ends, lambda e: e > LEAST_CUT), F.lit(0)), F.lit(size)))
-        cut = bound(at, lambda n: F.struct(strip(F.substring(rest, n + 1, F.length(rest))).alias("rest"), F.array_append(state["parts"], strip(F.substring(rest, F.lit(1), n))).alias("parts")))
-        return F.when(rest == "", state).otherwise(cut)
-
-    steps = F.sequence(F.lit(1), F.floor(F.length(text) / LEAST_CUT).cast("int") + 2)
-    start = F.struct(strip(text).alias("rest"), F.array().cast("array<string>").alias("parts"))
-    cut = F.filter(F.aggregate(steps, start, step)["parts"], lambda p: p != "")
+    """array<string>: pieces of a text that is longer than size, cut at the last paragraph, line or sentence end that leaves enough.
+
+    A place moves along the text, of which no more than a piece is looked at in each step.
+    """
+
+    def pieces(x: Column) -> Column:
+        n = F.length(x)
+
+        def step(state: Column, _: Column) -> Column:
+            at = state["at"]
+
+            def cut(head: Column) -> Column:
+                ends = F.array(_last(head, "\n\n", size), _last(head, "\n", size), _last(head, ". ", size) + 1)
+                long = F.when(n - at <= size, n - at).otherwise(F.coalesce(F.get(F.filter(ends, lambda e: e > LEAST_CUT), F.lit(0)), F.lit(size)))
+                return bound(long, lambda k: bound(F.substring(x, at + k + 1, F.lit(size)), lambda after: F.struct((at + k + F.length(after) - F.length(F.ltrim(after, F.lit(BLANKS)))).alias("at"), F.array_append(state["parts"], strip(F.substring(head, F.lit(1), k))).alias("parts"))))
+
+            return F.when(at >= n, state).otherwise(bound(F.substring(x, at + 1, F.lit(size + 2)), cut))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+        return F.aggregate(F.sequence(F.lit(1), F.floor(n / LEAST_CUT).cast("int") + 2), start, step)["parts"]
+
+    cut = F.filter(bound(strip(text), pieces), lambda p: p != "")
     return F.when(F.length(text) > size, cut).otherwise(F.filter(F.array(strip(text)), lambda p: p != ""))
 
 
-def chunks(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
-    """doc_id, idx, chunk_id, section_idx, heading, part, text: the pieces of all sections, in order."""
+def chunks_in_rows(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
+    """doc_id and chunks, array<struct<section_idx, heading, part, text>>: the pieces of all sections, in order."""
     text = paper_text(F.col("text")) if normal else text_of(F.col("text"))
     of = lambda s, i: F.transform(size_cuts(s["text"], size), lambda t, k: F.struct(i.alias("section_idx"), s["heading"].alias("heading"), (k + 1).alias("part"), t.alias("text")))
-    made = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.flatten(F.transform(sections(text), of))).alias("idx", "c"))
+    return once(docs.select(F.col(id_col).alias("doc_id"), "text"), "chunks", F.flatten(F.transform(sections(text), of))).select("doc_id", "chunks")
+
+
+def chunks(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
+    """doc_id, idx, chunk_id, section_idx, heading, part, text: the pieces of all sections, in order."""
+    made = chunks_in_rows(docs, size, id_col, normal).select("doc_id", F.posexplode("chunks").alias("idx", "c"))
     return made.select("doc_id", "idx", F.format_string("S%dC%d", F.col("c.section_idx") + 1, F.col("c.part")).alias("chunk_id"), "c.section_idx", "c.heading", "c.part", "c.text")
 
 
@@ -157,6 +179,56 @@ def top_chunks(scores: DataFrame, k: int | None = None, expanded: bool = False)
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k or (7 if expanded else 5))).drop("place", "forced", "turn")
 
 
+def _found(rows: DataFrame, plan: list[tuple[str, list[str]]]) -> DataFrame:
+    """rows with `found`: of each chunk the keywords in its heading and its text, each looked for once, and what its heading and lists tell."""
+    every = F.array(*[F.lit(k) for k in dict.fromkeys(k for _, ks in plan for k in ks)])
+    held = lambda x: bound(F.lower(x), lambda t: F.filter(every, lambda k: F.contains(t, k)))
+    told = lambda c: F.struct(
+        held(c["heading"]).alias("heading"), held(c["text"]).alias("text"), F.lower(F.concat(c["heading"], F.lit("\n"), c["text"])).rlike(EVIDENCE_LISTS).alias("listed"), is_reference_section(c["heading"]).alias("reference")
+    )
+    return once(rows, "found", F.transform("chunks", told))
+
+
+def _task_scores(task: str, keywords: list[str], in_heading: int, points: list[tuple[str, str, int]], references: int, first: int, listed: int) -> Column:
+    """array<int>: the scores of a row's chunks for a task."""
+    own = F.array(*[F.lit(k) for k in keywords])
+
+    def score(f: Column, i: Column) -> Column:
+        title = F.lower(F.get("chunks", i)["heading"])
+        said = sum((F.when(title.rlike(p), n).otherwise(0) for t, p, n in points if t == task), F.lit(0))
+        opening = F.when(i < 2, first - i).otherwise(0) if first > 2 else F.when(i < 2, first).otherwise(0)
+        shared = lambda x: F.size(F.array_intersect(x, own))
+        return in_heading * shared(f["heading"]) + 2 * shared(f["text"]) + said + opening + F.when(f["listed"], listed).otherwise(0) - F.when(f["reference"], references).otherwise(0)
+
+    return F.transform("found", score)
+
+
+def selected_in_rows(docs: DataFrame, size: int = CHUNK, k: int = 5, plan: list[tuple[str, list[str]]] | None = None, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
+    """doc_id, chunks and picked, array<struct<task_id, rank, idx, score>>: the k best chunks of each task, as top_chunks has them."""
+    plan = plan or task_list()
+    rows = _found(chunks_in_rows(docs, size, id_col, normal), plan)
+
+    def picks(task: str, keywords: list[str]) -> Column:
+        def of(scores: Column) -> Column:
+            order = F.transform(F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("low"), i.alias("i")))), lambda x: x["i"])
+            forced = lambda o: F.slice(F.filter(o, lambda i: F.get("chunks", i)["heading"].rlike(FORCED[task])), 1, 1) if task in FORCED else F.slice(o, 1, 0)
+            turns = bound(order, lambda o: F.array_distinct(F.concat(F.slice(o, 1, 1), forced(o), o)))
+            kept = F.slice(F.filter(turns, lambda i: ~F.get("found", i)["reference"]), 1, k)
+            return F.transform(kept, lambda i, r: F.struct(F.lit(task).alias("task_id"), (r + 1).alias("rank"), i.alias("idx"), F.get(scores, i).alias("score")))
+
+        return bound(_task_scores(task, keywords, 10, SECTION_POINTS, 40, 3, 8), of)
+
+    return once(rows, "picked", F.concat(*[picks(t, ks) for t, ks in plan])).select("doc_id", "chunks", "picked")
+
+
+def top_in_rows(docs: DataFrame, size: int = CHUNK, expanded: bool = False, **more) -> DataFrame:
+    """doc_id, task_id, rank, idx, score and the chunk's columns: what top_chunks gives for the reading plan, without a shuffle."""
+    picked = selected_in_rows(docs, size, 7 if expanded else 5, **more).select("doc_id", "chunks", F.inline("picked"))
+    c = F.get("chunks", F.col("idx"))
+    made = picked.select("doc_id", "task_id", "rank", "idx", "score", c.alias("c"))
+    return made.select("doc_id", "task_id", "rank", "idx", "score", F.format_string("S%dC%d", F.col("c.section_idx") + 1, F.col("c.part")).alias("chunk_id"), "c.section_idx", "c.heading", "c.part", "c.text")
+
+
 def best_of_tasks(selected: DataFrame) -> DataFrame:
     """Each selected chunk once, with its best score."""
     return selected.groupBy("doc_id", "chunk_id").agg(F.max("score").alias("score"), F.min("idx").alias("idx"), F.count("*").cast("long").alias("n_tasks"))

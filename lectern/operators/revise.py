@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..functions.spans import math_keys
 from ..functions.text import bounded, escape_html, numbers, strict_key, text_of
 from .retrieve import packed, units
@@ -99,6 +100,33 @@ def recalled(memory: DataFrame, task_table: DataFrame, limit: int = 5) -> DataFr
 # ------------------------------------------------------------------ fair shares
 
 
+def _source(idx: Column, c: Column, keywords: Column) -> Column:
+    """A chunk (section_idx, heading, part, text) as an entry of a context: its id, its label's length, and its units from the best on."""
+    name = F.format_string("S%dC%d", c["section_idx"] + 1, c["part"])
+    label = F.length(F.concat(F.lit("[SOURCE "), name, F.lit(" | "), c["heading"], F.lit(" | part "), c["part"].cast("string"), F.lit("]")))
+    return F.struct(idx.alias("idx"), name.alias("chunk_id"), label.alias("label"), F.trim(c["text"]).alias("text"), units(c["text"], keywords).alias("units"))
+
+
+def _shares(entries: Column, task: Column, max_chars: int) -> Column:
+    """array<struct<chunk_id, text, original_chars>>: what of some entries, in order, goes into a context."""
+    head = F.length(task) * 2 + F.lit(len("[GSSC CONTEXT | task= | goal=]") + 2)
+    start = F.struct((F.lit(max_chars) - head).cast("int").alias("left"), F.lit(0).alias("k"), F.expr("cast(array() as array<struct<chunk_id:string,text:string,original_chars:int>>)").alias("kept"))
+
+    def step(a: Column, c: Column) -> Column:
+        share = F.greatest(F.lit(180), F.floor((a["left"] - c["label"] - 2) / (F.size(entries) - a["k"])).cast("int"))
+        text = F.when(a["left"] < 220, F.lit("")).when(F.length(c["text"]) <= share, c["text"]).otherwise(packed(c["units"], share))
+
+        def put(t: Column) -> Column:
+            size = c["label"] + 1 + F.length(t)
+            entry = F.struct(c["chunk_id"].alias("chunk_id"), t.alias("text"), F.length(c["text"]).alias("original_chars"))
+            fits = (t != "") & (size <= a["left"])
+            return F.struct(F.when(fits, a["left"] - size - 2).otherwise(a["left"]).alias("left"), (a["k"] + 1).alias("k"), F.when(fits, F.array_append(a["kept"], entry)).otherwise(a["kept"]).alias("kept"))
+
+        return bound(text, put)
+
+    return F.aggregate(entries, start, step)["kept"]
+
+
 def fair_shares(selected: DataFrame, task_table: DataFrame, max_chars: int = 5000) -> DataFrame:
     """The context of each (doc_id, task_id): doc_id, task_id, pos, chunk_id, text, original_chars.
 
@@ -110,23 +138,21 @@ def fair_shares(selected: DataFrame, task_table: DataFrame, max_chars: int = 500
     rows = selected.join(few(task_table), "task_id")
     one = F.struct("idx", "chunk_id", F.length(label).alias("label"), F.trim("text").alias("text"), units(F.col("text"), F.col("keywords")).alias("units"))
     groups = rows.groupBy("doc_id", "task_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    head = F.length("task_id") * 2 + F.lit(len("[GSSC CONTEXT | task= | goal=]") + 2)
-    start = F.struct((F.lit(max_chars) - head).cast("int").alias("left"), F.lit(0).alias("k"), F.expr("cast(array() as array<struct<chunk_id:string,text:string,original_chars:int>>)").alias("kept"))
+    made = groups.select("doc_id", "task_id", F.posexplode(_shares(F.col("all"), F.col("task_id"), max_chars)).alias("pos", "e"))
+    return made.select("doc_id", "task_id", (F.col("pos") + 1).alias("pos"), "e.chunk_id", "e.text", "e.original_chars")
 
-    def step(a: Column, c: Column) -> Column:
-        share = F.greatest(F.lit(180), F.floor((a["left"] - c["label"] - 2) / (F.size("all") - a["k"])).cast("int"))
-        text = F.when(a["left"] < 220, F.lit("")).when(F.length(c["text"]) <= share, c["text"]).otherwise(packed(c["units"], share))
 
-        def put(t: Column) -> Column:
-            size = c["label"] + 1 + F.length(t)
-            entry = F.struct(c["chunk_id"].alias("chunk_id"), t.alias("text"), F.length(c["text"]).alias("original_chars"))
-            fits = (t != "") & (size <= a["left"])
-            return F.struct(F.when(fits, a["left"] - size - 2).otherwise(a["left"]).alias("left"), (a["k"] + 1).alias("k"), F.when(fits, F.array_append(a["kept"], entry)).otherwise(a["kept"]).alias("kept"))
+def fair_shares_in_rows(selected: DataFrame, plan: list[tuple[str, list[str]]], max_chars: int = 5000) -> DataFrame:
+    """As fair_shares, from the rows of retrieve.selected_in_rows and the tasks they were selected for; nothing is shuffled."""
 
-        return F.element_at(F.transform(F.array(text), put), 1)  # binds the compressed text, so that it's made once
+    def of(task: str, keywords: list[str]) -> Column:
+        words = F.array(*[F.lit(k) for k in keywords])
+        places = F.array_sort(F.transform(F.filter("picked", lambda p: p["task_id"] == task), lambda p: p["idx"]))
+        entries = F.transform(places, lambda i: bound(F.get("chunks", i), lambda c: _source(i, c, words)))
+        kept = bound(entries, lambda e: _shares(e, F.lit(task), max_chars))
+        return F.transform(kept, lambda e, k: F.struct(F.lit(task).alias("task_id"), (k + 1).alias("pos"), e["chunk_id"].alias("chunk_id"), e["text"].alias("text"), e["original_chars"].alias("original_chars")))
 
-    made = groups.select("doc_id", "task_id", F.posexplode(F.aggregate("all", start, step)["kept"]).alias("pos", "e"))
-    return made.select("doc_id", "task_id", (F.col("pos") + 1).alias("pos"), "e.chunk_id", "e.text", "e.original_chars")
+    return selected.select("doc_id", F.inline(F.concat(*[of(t, ks) for t, ks in plan])))
 
 
 # ------------------------------------------------------------------ export

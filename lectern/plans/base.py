@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files have fewer parts than these; larger inputs are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: A paper around each document, in parts that are text or (column, text after it): headings of all forms, pages, decimals,
 #: abbreviations, keys, formulas, figures, tables and references, which the invented prose lacks. Each line is a list of parts.
 _PAPER: list[list[str | tuple[str]]] = [
@@ -65,7 +71,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, text of all documents' papers."""
     part = lambda p: F.coalesce(F.col(p[0]).cast("string"), F.lit("")) if isinstance(p, tuple) else F.lit(p)
     line = lambda parts: F.concat(*[part(p) for p in parts])
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.concat_ws("\n", *[line(x) for x in _PAPER]).alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars", F.concat_ws("\n", *[line(x) for x in _PAPER]).alias("text"))
 
 
 # ------------------------------------------------------------------ SQL of what several oracles need

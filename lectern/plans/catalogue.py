@@ -399,7 +399,7 @@ def html_export(spark, d):
 
 @query()
 def fair_share_context(spark, d):
-    return revise.fair_shares(retrieval.top(spark, d), retrieve.tasks(spark), 2000)
+    return revise.fair_shares_in_rows(retrieve.selected_in_rows(base.papers(spark, d), retrieval.SIZE), retrieve.task_list(), 2000)
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..functions import text as T
+from ..functions.arrays import once
 from ..operators import ground
 from .base import PAPERS, collapse_sql, export_sentences_sql, key_sql, md5, papers, query, strip_sql, table
 
@@ -104,8 +105,10 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, q, key ORDER BY score DE
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, q ORDER BY score DESC, length(quote), pos) AS rank FROM f WHERE first = 1)
 SELECT doc_id, q, rank::INT AS rank, score::INT AS score, page, md5(quote) AS quote_md5 FROM r WHERE rank <= 3""")
 def grounded_excerpts(spark, d):
-    s = papers(spark, d).withColumn("s", E.source_sentences(F.col("text"))).withColumn("asked", F.array(*[F.expr(a) for a in _ASKED]))
-    found = s.select("doc_id", F.posexplode("asked").alias("q", "query"), "s").select("doc_id", "q", F.posexplode(E.excerpts(F.col("s"), F.col("query"))).alias("rank", "e"))
+    s = once(papers(spark, d), "s", E.with_tokens(E.source_sentences(F.col("text"))))
+    asked = F.array(*[E.tokens(F.expr(a)) for a in _ASKED])
+    found = once(s, "found", F.transform(asked, lambda wanted: E.excerpts(F.col("s"), wanted))).select("doc_id", F.posexplode("found").alias("q", "e"))
+    found = found.select("doc_id", "q", F.posexplode("e").alias("rank", "e"))
     return found.select("doc_id", "q", (F.col("rank") + 1).alias("rank"), "e.score", "e.page", md5(F.col("e.quote")).alias("quote_md5"))
 
 
@@ -130,10 +133,11 @@ found AS (SELECT g.doc_id, g.n, g.quote, g.location, o.page, o.sentence FROM g L
 
 def _found(spark, d):
     """All quotes of each paper with the sentence found, within the row."""
-    made = papers(spark, d).select("doc_id", F.array(*[F.struct(F.lit(i).alias("n"), F.expr(q).alias("quote"), F.expr(w).alias("location")) for i, (q, w) in enumerate(_ITEMS)]).alias("items"), E.keyed_sentences(F.col("text")).alias("s"))
-    one = made.select("doc_id", F.explode("items").alias("i"), "s").select("doc_id", "i.n", E.clean_quote(F.col("i.quote")).alias("quote"), "i.location", "s")
-    keyed = one.withColumn("q_key", E.evidence_key(F.col("quote")))  # an Arrow function, so outside of what goes through the sentences
-    return keyed.select("doc_id", "n", "quote", "location", E.find_sentence(F.col("q_key"), F.col("s")).alias("found"))
+    # the keys need an Arrow function, so they are made before anything goes through the sentences
+    item = lambda i, q, w: F.struct(F.lit(i).alias("n"), E.clean_quote(F.expr(q)).alias("quote"), F.expr(w).alias("location"), E.evidence_key(E.clean_quote(F.expr(q))).alias("key"))
+    made = once(papers(spark, d).withColumn("items", F.array(*[item(i, q, w) for i, (q, w) in enumerate(_ITEMS)])), "s", E.keyed_sentences(F.col("text")))
+    told = lambda i: F.struct(i["n"].alias("n"), i["quote"].alias("quote"), i["location"].alias("location"), E.find_sentence(i["key"], F.col("s")).alias("found"))
+    return made.select("doc_id", F.inline(F.transform("items", told)))
 
 
 @query(f"WITH {_KEYED}, {_FOUND} SELECT doc_id, n, page, md5(sentence) AS sentence_md5 FROM found WHERE sentence IS NOT NULL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import identity
-from .base import query, table
+from .base import query, spread, table
 
 # parts of the profiles and texts, in words that Spark and DuckDB share
 _TITLE = "concat('Study of ', coalesce(source, 'no source'), ' part ', doc_id)"
@@ -36,7 +36,7 @@ def _case(of: list[str]) -> str:
 def papers(spark, d):
     """doc_id, profile, text."""
     fields = [F.expr(_case(_CASES[n])).cast("string").alias(n) if n in _CASES else F.lit(None).cast("array<string>" if n == "title_lines" else "string").alias(n) for n in identity.PROFILE]
-    return table(spark, d, "documents").select("doc_id", F.struct(*fields).alias("profile"), F.expr(_case(_TEXTS)).alias("text"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.struct(*fields).alias("profile"), F.expr(_case(_TEXTS)).alias("text"))
 
 
 #: What must come out, case by case; only the hash is computed.

@@ -74,7 +74,7 @@ def chunk_index(spark, d):
 
 
 def top(spark, d, expanded: bool = False):
-    return retrieve.top_chunks(retrieve.scored(retrieve.chunks(papers(spark, d), SIZE), retrieve.tasks(spark)), expanded=expanded)
+    return retrieve.top_in_rows(papers(spark, d), SIZE, expanded)
 
 
 @query(f"{TOP} SELECT doc_id, task_id, rank, chunk_id, score FROM top")
