@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bound
+from ..functions.arrays import bound, once
 from ..functions.text import arxiv_id, collapse, doi, text_of
 
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
@@ -94,6 +94,115 @@ def is_formula_line(text: Column, width: Column, numbered: bool = True, page_wid
     return good & x.rlike(r"(?i)[(\[]\d+[a-z]?[)\]]\s*$") if numbered else good
 
 
+# ------------------------------------------------------------------ formulas
+
+# Signs that make a line an equation, marks that make it a part of one, its number, and words that introduce a definition.
+EQUALS = "[=≈≃≤≥∑∏√∂∇]"
+PART_OF_EQUATION = r"[=+\-*/^_(){}\[\]∑∏√∂∇≤≥]"
+EQUATION_NUMBER = r"(?i)[(\[](\d+[a-z]?)[)\]]\s*$"
+CORE_SIGN, CORE_SHAPE = "[=≈≃∝≤≥]", r"(?i)[()|∑∏]|\b(?:log|exp|arg|min|max|softmax)\b"
+CORE_PART = r"[=≈≃∝+\-*/^_(){}\[\]|∑∏√∂∇≤≥]"
+FORMAL_CUE = r"(?i)\b(?:formally|we define|concretely|marginali[sz]|probability|likelihood|objective|distribution|latent variable|transition probability)\b"
+
+
+def _right(line: Column) -> Column:
+    return line["x"] + line["width"]
+
+
+def _center(line: Column) -> Column:
+    return line["x"] + line["width"] / 2
+
+
+def _words(line: Column, least: int) -> Column:
+    return F.regexp_count(line["text"], F.lit(f"[A-Za-z]{{{least},}}"))
+
+
+def _joined(lines: Column) -> Column:
+    return collapse(F.array_join(F.transform(lines, lambda l: l["text"]), " "))
+
+
+def _by(lines: Column, *keys) -> Column:
+    """Lines in the order of some keys; equal ones stay as they are."""
+    keyed = F.array_sort(F.transform(lines, lambda l, i: F.struct(*[k(l).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i"), l.alias("l"))))
+    return F.transform(keyed, lambda x: x["l"])
+
+
+def _candidate(text: Column, chosen: Column, number: Column, confidence: str, numbered: bool, page_width: float) -> Column:
+    """The box around some lines with their text, if that is a formula; else null."""
+    edge = lambda f, of: f(F.transform(chosen, of))
+    box = F.struct(edge(F.array_min, lambda l: l["x"]).alias("x"), edge(F.array_min, lambda l: l["y"]).alias("y"), edge(F.array_max, _right).alias("right"), edge(F.array_max, lambda l: l["y"] + l["height"]).alias("bottom"))
+
+    def made(b: Column) -> Column:
+        width = b["right"] - b["x"]
+        out = F.struct(text.alias("text"), number.alias("equation_number"), F.lit(confidence).alias("confidence"), b["x"].alias("x"), b["y"].alias("y"), width.alias("width"), (b["bottom"] - b["y"]).alias("height"))
+        return F.when(is_formula_line(text, width, numbered, page_width), out)
+
+    return bound(box, made)
+
+
+def _numbered(lines: Column, m: Column, page_width: float) -> Column:
+    """The equation that a line with a number at its end closes: its own row, else the equation before it, and the parts around both."""
+    far = lambda l, least, factor: F.abs(l["y"] - m["y"]) <= F.greatest(F.lit(least), m["height"] * factor)
+    over_gutter = lambda l: (m["x"] > page_width * 0.8) & (l["x"] < page_width * 0.5) & (_right(l) > page_width * 0.42)
+    beside = lambda l: (l["no"] != m["no"]) & ((m["width"] >= page_width * 0.58) | (F.abs(_center(l) - _center(m)) < page_width * 0.42) | over_gutter(l))
+    row = _by(F.concat(F.array(m), F.filter(lines, lambda l: beside(l) & (l["x"] < m["x"]) & far(l, 5.0, 0.8))), lambda l: l["x"])
+
+    def with_previous(row: Column) -> Column:
+        before = F.filter(lines, lambda l: beside(l) & (l["y"] < m["y"]) & (m["y"] - l["y"] <= F.greatest(F.lit(30.0), m["height"] * 3)) & l["text"].rlike(EQUALS))
+        return F.when(_joined(row).rlike(EQUALS) | (F.size(before) == 0), row).otherwise(F.concat(F.slice(before, -1, 1), F.array(m)))
+
+    def with_parts(chosen: Column) -> Column:
+        left, right = F.array_min(F.transform(chosen, lambda l: l["x"])), F.array_max(F.transform(chosen, _right))
+
+        def is_part(l: Column) -> Column:
+            marked = l["text"].rlike(PART_OF_EQUATION) | (l["text"].rlike(r"\d") & (F.length(l["text"]) <= 36))
+            near = (l["x"] < m["x"]) & (_right(l) >= left - 24) & (l["x"] <= right + 24)
+            return beside(l) & ~F.exists(chosen, lambda c: c["no"] == l["no"]) & far(l, 28.0, 2.8) & marked & near & (_words(l, 4) <= 4) & ~l["text"].rlike(r"[.!?]$")
+
+        grown = F.concat(chosen, F.filter(lines, is_part))
+        in_order = lambda g: F.concat(_by(F.filter(g, lambda l: l["no"] != m["no"]), lambda l: l["y"], lambda l: l["x"]), F.array(m))
+        return F.when(_joined(chosen).rlike(EQUALS), bound(grown, in_order)).otherwise(chosen)
+
+    number = F.regexp_extract(m["text"], EQUATION_NUMBER, 1)
+    chosen = bound(bound(row, with_previous), with_parts)
+    return F.when(number != "", bound(chosen, lambda c: _candidate(_joined(c), c, number, "numbered-equation", True, page_width)))
+
+
+def _core(lines: Column, a: Column, page_width: float) -> Column:
+    """An equation without a number that the lines before it introduce formally, with the parts that follow it in its column."""
+    wanted = (a["text"] != "") & ~a["text"].rlike(EQUATION_NUMBER) & a["text"].rlike(CORE_SIGN) & a["text"].rlike(CORE_SHAPE)
+
+    def in_column(b: Column) -> Column:
+        inside = lambda l: _center(l).between(b["left"], b["right"])
+        before = F.filter(lines, lambda l: (l["y"] < a["y"]) & (a["y"] - (l["y"] + l["height"]) <= 88) & inside(l))
+        cue = _joined(F.slice(_by(before, lambda l: -l["y"]), 1, 4)).rlike(FORMAL_CUE)
+        after = _by(F.filter(lines, lambda l: l["y"] > a["y"]), lambda l: l["y"], lambda l: l["x"])
+        start = F.struct((a["y"] + a["height"]).alias("bottom"), F.lit(False).alias("over"), F.array(a).alias("chosen"))
+
+        def step(s: Column, l: Column) -> Column:
+            part = (l["text"].rlike(CORE_PART) | l["text"].rlike(r"^\d{1,3}$")) & (_words(l, 4) <= 5) & ~l["text"].rlike(r"[.!?]$")
+            stopped = F.struct(s["bottom"].alias("bottom"), F.lit(True).alias("over"), s["chosen"].alias("chosen"))
+            grown = F.struct(F.greatest(s["bottom"], l["y"] + l["height"]).alias("bottom"), F.lit(False).alias("over"), F.array_append(s["chosen"], l).alias("chosen"))
+            far = l["y"] - s["bottom"] > F.greatest(F.lit(20.0), a["height"] * 2.2)
+            return F.when(s["over"] | far, stopped).when(~inside(l), s).when(part, grown).otherwise(stopped)
+
+        return F.when(cue, bound(F.aggregate(after, start, step)["chosen"], lambda c: _candidate(_joined(c), c, F.lit(""), "core-unnumbered-equation", False, page_width)))
+
+    return F.when(wanted, bound(column_bounds(a["x"], a["width"], page_width), in_column))
+
+
+def formula_candidates(pages: DataFrame, page_width: float = PAGE_WIDTH) -> DataFrame:
+    """The display formulas of pages (doc_id, page, lines array<struct<text, x, y, width, height>>), from the lines that number or begin them.
+
+    doc_id, page, line_no, text, equation_number, confidence, x, y, width, height. All within a page's row.
+    """
+    clean = F.transform("lines", lambda l, i: F.struct(i.alias("no"), collapse(l["text"]).alias("text"), *[l[n].cast("double").alias(n) for n in ("x", "y", "width", "height")]))
+    rows = once(pages.select("doc_id", "page", "lines"), "l", clean)
+    of = lambda m: F.struct(m["no"].alias("line_no"), F.coalesce(_numbered(F.col("l"), m, page_width), _core(F.col("l"), m, page_width)).alias("c"))
+    found = once(rows, "found", F.filter(F.transform("l", of), lambda x: x["c"].isNotNull()))
+    return found.select("doc_id", "page", F.explode("found").alias("f")).select("doc_id", "page", "f.line_no", "f.c.*")
+
+
 # ------------------------------------------------------------------ tables
 
 

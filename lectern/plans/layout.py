@@ -103,3 +103,37 @@ def image_shapes(spark, d):
     i = F.col("event_id")
     url = F.when(i % 4 == 0, "https://a").when(i % 4 == 1, "/api/x").when(i % 4 == 2, "javascript:x").otherwise("HTTP://b")
     return table(spark, d, "events").select("event_id", P.image_shape((1 + i % 50).cast("double"), (1 + i % 9).cast("double")).alias("shape"), P.safe_url(url).alias("safe"))
+
+
+#: Lines of a page by doc_id % 7 (text, x, y, width, height; @ stands for the document's number), and the formulas there: line, text, number, confidence, x, y, width, height.
+_FORMULA_PAGES = [
+    [("x@ = y + z", 80, 120, 100, 10), ("w_i = exp(s_i) / sum_j exp(s_j) + @ (4)", 80, 160, 210, 10)],
+    [("We treat the retrieved document @ as a latent variable and marginalize it to define the probability.", 42, 120, 245, 10), ("p_RAG(y|x) ≈ sum_z p_@(z|x) p_theta(y|x,z)", 65, 152, 220, 11), ("The generator then produces the complete sequence.", 42, 181, 235, 10)],
+    [("w_i = exp(s_i) / sum_j exp(s_@)", 55, 160, 195, 10), ("(4)", 270, 160, 16, 10)],
+    [("The transmittance T(t) = O + td is formulated as a sigmoid function while the grids @ use three planes", 42, 210, 510, 10), ("Figure 2 = (a) + (b) (1)", 42, 240, 200, 10)],
+    [("E = a^2 + b_@", 100, 300, 120, 12), ("+ c^2 - d", 110, 318, 90, 12), ("[12a]", 390, 318, 25, 12), ("other column = x + y", 330, 600, 90, 10)],
+    [("Formally, the objective of @ is", 42, 400, 240, 10), ("L = sum log p(x)", 60, 420, 150, 10), ("+ lambda R(x)", 70, 434, 120, 10), ("7", 75, 446, 6, 8), ("where x is a sample of the data @.", 42, 470, 240, 10)],
+    [],
+]
+_FORMULAS = [
+    [(1, "w_i = exp(s_i) / sum_j exp(s_j) + @ (4)", "4", "numbered-equation", 80, 160, 210, 10)],
+    [(1, "p_RAG(y|x) ≈ sum_z p_@(z|x) p_theta(y|x,z)", "", "core-unnumbered-equation", 65, 152, 220, 11)],
+    [(1, "w_i = exp(s_i) / sum_j exp(s_@) (4)", "4", "numbered-equation", 55, 160, 231, 10)],
+    [],
+    [(2, "E = a^2 + b_@ + c^2 - d [12a]", "12a", "numbered-equation", 100, 300, 315, 30)],
+    [(1, "L = sum log p(x) + lambda R(x) 7", "", "core-unnumbered-equation", 60, 420, 150, 34)],
+    [],
+]
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS line_no, replace('{t}', '@', doc_id::VARCHAR) AS text, '{e}' AS equation_number, '{c}' AS confidence, {x}::DOUBLE AS x, {y}::DOUBLE AS y, {w}::DOUBLE AS width, {h}::DOUBLE AS height FROM documents WHERE doc_id % 7 = {k}"
+    for k, page in enumerate(_FORMULAS) for n, t, e, c, x, y, w, h in page
+)
+
+
+@query(_FOUND)
+def formula_candidates(spark, d):
+    """Numbered and core formulas of a page a document, merged from their parts."""
+    line = lambda t, *box: F.struct(F.replace(F.lit(t), F.lit("@"), F.col("doc_id").cast("string")).alias("text"), *[F.lit(float(v)).alias(n) for n, v in zip(("x", "y", "width", "height"), box, strict=True)])
+    kind = "array<struct<text:string,x:double,y:double,width:double,height:double>>"
+    page = F.element_at(F.array(*[F.array(*[line(*x) for x in lines]).cast(kind) for lines in _FORMULA_PAGES]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return geometry.formula_candidates(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), page.alias("lines"))).drop("page")

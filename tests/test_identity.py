@@ -107,3 +107,17 @@ def test_ranking_in_rows_equals_windows(spark):
     cols = ["doc_id", "task_id", "pos", "chunk_id", "text", "original_chars"]
     shares = revise.fair_shares_in_rows(retrieve.selected_in_rows(docs, 400), retrieve.task_list(), 900)
     assert sorted(map(tuple, shares.select(*cols).collect())) == sorted(map(tuple, revise.fair_shares(by_window, retrieve.tasks(spark), 900).select(*cols).collect()))
+
+
+def test_formula_candidates(spark):
+    from lectern.operators import geometry
+
+    lines = "array<struct<text:string,x:double,y:double,width:double,height:double>>"
+    body = [("E = a + b", 100.0, 300.0, 120.0, 12.0), (None, 1.0, 300.0, 5.0, 5.0), ("(3)", 390.0, 301.0, 16.0, 12.0)]
+    pages = [(1, 1, body), (2, 1, []), (3, 1, None), (4, 1, [("(3)", 390.0, 301.0, 16.0, 12.0)]), (5, 1, [("See https://a.b = c + d (3)", 10.0, 10.0, 90.0, 9.0)])]
+    got = geometry.formula_candidates(spark.createDataFrame(pages, f"doc_id int, page int, lines {lines}")).collect()
+    assert [(r.doc_id, r.text, r.equation_number, r.x, r.width) for r in got] == [(1, "E = a + b (3)", "3", 100.0, 306.0)]
+    # a line of the other column, and one after a line that isn't part of an equation, stay out
+    core = [("We define the objective of it", 42.0, 100.0, 240.0, 10.0), ("L = log p(x)", 60.0, 120.0, 150.0, 10.0), ("M = n(o)", 340.0, 128.0, 90.0, 10.0), ("and so on.", 60.0, 134.0, 100.0, 10.0), ("+ R(x)", 60.0, 148.0, 80.0, 10.0)]
+    got = geometry.formula_candidates(spark.createDataFrame([(1, 1, core)], f"doc_id int, page int, lines {lines}")).collect()
+    assert [(r.text, r.confidence, r.height) for r in got] == [("L = log p(x)", "core-unnumbered-equation", 10.0)]
