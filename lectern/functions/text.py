@@ -219,23 +219,35 @@ def strip_tex_comments(c: Column) -> Column:
     return F.regexp_replace(text_of(c), r"(?m)(^|[^\\])%.*$", "$1")
 
 
+# What LaTeX commands become in a line and in running text, in this order, and the environments that running text leaves out.
+TEX_FLOATS = r"(?:equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?|figure\*?|table\*?|tabular\*?)"
+TEX_INLINE = [(r"\\cite[tpa]?\{[^}]*\}|\\label\{[^}]*\}", ""), (r"\\ref\{([^}]*)\}", "$1"), (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", "$1"), (r"[{}]", "")]
+TEX_PLAIN = [
+    (rf"(?s)\\begin\{{{TEX_FLOATS}\}}.*?\\end\{{{TEX_FLOATS}\}}", "\n"),
+    (r"\\(?:section|subsection|subsubsection)\*?\{([^}]*)\}", "\n## $1\n"),
+    (r"\\(?:title|author|date)\{([^}]*)\}", "\n$1\n"),
+    (r"\\begin\{abstract\}", "\n## Abstract\n"),
+    (r"\\end\{abstract\}|\\(?:input|include)\{[^}]+\}", "\n"),
+    (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{([^{}]*)\})?", "$1"),
+    (r"[{}]", ""),
+    (r"[ \t]{2,}", " "),
+    (r"\n{3,}", "\n\n"),
+]
+
+
+def _replaced(c: Column, rules: list[tuple[str, str]]) -> Column:
+    return reduce(lambda x, rule: F.regexp_replace(x, *rule), rules, c)
+
+
 def tex_inline(c: Column) -> Column:
-    """Plain words of inline LaTeX."""
-    x = F.regexp_replace(text_of(c), r"\\(?:cite\w*|ref|eqref|label|footnote)\{[^}]*\}", "")
-    x = F.regexp_replace(x, r"\\(?:textbf|textit|emph|mathrm|text|texttt)\{([^{}]*)\}", "$1")
-    x = F.regexp_replace(F.regexp_replace(x, r"\\[a-zA-Z]+\*?", " "), r"[{}~]", " ")
-    return collapse(x)
+    """Plain words of a line of LaTeX."""
+    return collapse(_replaced(text_of(c), TEX_INLINE))
 
 
 def tex_plain(c: Column, most: int = 30_000) -> Column:
-    """Running text of a LaTeX body: headings as Markdown, floats and display math left out."""
-    x = strip_tex_comments(c)
-    x = F.regexp_replace(x, r"(?s)\\begin\{(figure|table|equation|align|gather|algorithm)\*?\}.*?\\end\{\1\*?\}", " ")
-    x = F.regexp_replace(x, r"\\(?:sub)*section\*?\{([^}]*)\}", "\n## $1\n")
-    x = F.regexp_replace(x, r"(?s)^.*?\\begin\{document\}", "")
-    x = F.regexp_replace(x, r"\\(?:cite\w*|ref|label)\{[^}]*\}", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"\\(?:textbf|textit|emph)\{([^{}]*)\}", "$1"), r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?", " ")
-    return F.substring(paper_text(F.regexp_replace(x, r"[{}]", "")), 1, most)
+    """Running text of a LaTeX document's body: headings as Markdown, floats and display math left out."""
+    body = F.nullif(F.get(F.split(text_of(c), r"\\begin\{document\}"), F.lit(1)), F.lit(""))
+    return F.substring(strip(_replaced(F.coalesce(body, text_of(c)), TEX_PLAIN)), 1, most)
 
 
 def lenient_json(c: Column, schema: str) -> Column:

@@ -121,3 +121,15 @@ def test_formula_candidates(spark):
     core = [("We define the objective of it", 42.0, 100.0, 240.0, 10.0), ("L = log p(x)", 60.0, 120.0, 150.0, 10.0), ("M = n(o)", 340.0, 128.0, 90.0, 10.0), ("and so on.", 60.0, 134.0, 100.0, 10.0), ("+ R(x)", 60.0, 148.0, 80.0, 10.0)]
     got = geometry.formula_candidates(spark.createDataFrame([(1, 1, core)], f"doc_id int, page int, lines {lines}")).collect()
     assert [(r.text, r.confidence, r.height) for r in got] == [("L = log p(x)", "core-unnumbered-equation", 10.0)]
+
+
+def test_report_says_whether_all_passed(spark, tmp_path):
+    import json
+
+    from lectern.sources import files
+
+    cases = spark.createDataFrame([("a", True), ("b", False)], "name string, passed boolean")
+    of = lambda n: spark.createDataFrame([(2, n)], "n_cases long, n_passed long")
+    assert not files.write_report(cases, of(1), str(tmp_path / "r")) and files.write_report(cases, of(2), str(tmp_path / "r"))
+    lines = [json.loads(x) for p in (tmp_path / "r" / "cases").glob("part-*") for x in p.read_text().splitlines()]
+    assert sorted((x["name"], x["passed"]) for x in lines) == [("a", True), ("b", False)]
