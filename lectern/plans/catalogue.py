@@ -428,12 +428,13 @@ def registry() -> Registry:
     return r
 
 
-_PLANNED = ", ".join(f"('{o.name}', '{o.stage}', {str(not o.input_types or 'text' in o.input_types).lower()}, {'NULL' if not o.input_types or 'text' in o.input_types else repr('not for text')})" for o in registry().operators.values())
-
-
-@query(f"SELECT * FROM (VALUES {_PLANNED}) t(name, stage, selected, reason)")
+@query("""WITH o(name, stage, latex) AS (VALUES ('latex.formulas', 'extract', true), ('latex.figures', 'extract', true), ('latex.tables', 'extract', true), ('context.select', 'retrieve', false), ('evidence.retrieve', 'retrieve', false),
+('reflection.audit', 'verify', false), ('paper-type-classifier', 'planning', false), ('evaluation.run', 'evaluate', false)), s AS (SELECT doc_id AS source_id, CASE doc_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'pdf' END AS kind FROM documents)
+SELECT source_id, name, stage, NOT latex OR coalesce(kind = 'arxiv', false) AS selected, CASE WHEN latex AND kind IS NULL THEN 'not for a source of no type' WHEN latex AND kind <> 'arxiv' THEN 'not for ' || kind END AS reason FROM s, o""")
 def tool_plan(spark, d):
-    return registry().plan(spark, "text")
+    """The operators for each document as a source of one of three types, or none."""
+    k = F.col("doc_id") % 4
+    return registry().plans(_t(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.when(k == 0, "text").when(k == 1, "arxiv").when(k == 2, "pdf").alias("source_type")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -191,19 +191,19 @@ def panel_headings(spark, d):
 # ------------------------------------------------------------------ results
 
 
-@query("""WITH v AS (SELECT user_id, list(CASE user_id % 3 WHEN 0 THEN value / 1000 WHEN 1 THEN value / 100 ELSE value END ORDER BY event_id) AS s, max(event_type) AS kind, user_id % 12 AS overall FROM events WHERE event_id % 7 = user_id % 7 OR event_id % 11 = 0 GROUP BY user_id),
+@query("""WITH v AS (SELECT user_id, list(CASE user_id % 3 WHEN 0 THEN value / 1000 WHEN 1 THEN value / 100 ELSE value END ORDER BY event_id) AS s, event_id // 50 AS block, user_id % 12 AS overall FROM events GROUP BY user_id, event_id // 50),
 m AS (SELECT *, list_filter(s, lambda x: x > 0) AS p FROM v), b AS (SELECT *, CASE WHEN len(p) < 3 THEN 1 WHEN list_max(p) <= 1 THEN 100 WHEN list_max(p) <= 10 THEN 10 ELSE 1 END AS times FROM m)
-SELECT user_id, times::INT AS multiplier, coalesce(list_median(list_transform(p, lambda x: x * times)), 0)::DOUBLE AS median, floor(greatest(0, least(100, overall * CASE WHEN times > 1 THEN times WHEN overall > 0 AND overall <= 10 AND coalesce(list_median(list_transform(p, lambda x: x * times)), 0) >= 40 THEN 10 ELSE 1 END)) + 0.5)::INT AS overall,
+SELECT user_id, block, times::INT AS multiplier, coalesce(list_median(list_transform(p, lambda x: x * times)), 0)::DOUBLE AS median, floor(greatest(0, least(100, overall * CASE WHEN times > 1 THEN times WHEN overall > 0 AND overall <= 10 AND coalesce(list_median(list_transform(p, lambda x: x * times)), 0) >= 40 THEN 10 ELSE 1 END)) + 0.5)::INT AS overall,
 CASE WHEN user_id % 2 = 0 AND user_id % 5 <> 0 THEN 'pass' ELSE 'revise' END AS verdict, list_sum(list_transform(s, lambda x: floor(greatest(0, least(100, x * times)) + 0.5)))::BIGINT AS total FROM b""")
 def score_scale(spark, d):
-    kept = table(spark, d, "events").filter((F.col("event_id") % 7 == F.col("user_id") % 7) | (F.col("event_id") % 11 == 0))
+    events = table(spark, d, "events").withColumn("block", F.expr("event_id div 50"))  # so that a review has 50 scores at most
     value = F.when(F.col("user_id") % 3 == 0, F.col("value") / 1000).when(F.col("user_id") % 3 == 1, F.col("value") / 100).otherwise(F.col("value"))
-    s = kept.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", value.alias("v")))), lambda x: x["v"]).alias("s"))
+    s = events.groupBy("user_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", value.alias("v")))), lambda x: x["v"]).alias("s"))
     by = R.score_multiplier(F.col("s"))
     r = R.review(F.col("s"), (F.col("user_id") % 12).cast("double"), F.when(F.col("user_id") % 2 == 0, "PASS").otherwise("fail"), F.when(F.col("user_id") % 5 == 0, F.array(F.lit("high"))).otherwise(F.array(F.lit("low"))))
     middle = R.median(F.filter(F.transform("s", lambda x: x * by), lambda x: x > 0))
-    told = s.select("user_id", by.alias("multiplier"), middle.alias("median"), r.alias("r"))
-    return told.select("user_id", "multiplier", "median", "r.overall", "r.verdict", F.aggregate("r.scores", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    told = s.select("user_id", "block", by.alias("multiplier"), middle.alias("median"), r.alias("r"))
+    return told.select("user_id", "block", "multiplier", "median", "r.overall", "r.verdict", F.aggregate("r.scores", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 _PANEL = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate([*R.PANELS, "margin"])) + " END"
