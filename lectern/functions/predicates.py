@@ -59,6 +59,17 @@ def complexity_only(c: Column) -> Column:
     return strip(text_of(c)).rlike(r"^(?i:[OΘΩ])\s*\([^)]*\)$")
 
 
+def image_data_url(c: Column) -> Column:
+    """Whether an address holds an image itself, of a kind that is shown."""
+    return text_of(c).rlike(r"(?i)^data:image/(?:png|jpeg|webp);base64,")
+
+
+def paper_url(c: Column) -> Column:
+    """An address of a paper's own page; empty for any other."""
+    x = strip(text_of(c))
+    return F.when(x.rlike(r"(?i)^https://(?:doi\.org|arxiv\.org)/"), x).otherwise("")
+
+
 def safe_url(c: Column) -> Column:
     return text_of(c).rlike(r"(?i)^(?:https?://|/api/)")
 

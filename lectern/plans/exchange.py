@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import assets as A
-from ..operators import geometry
+from ..operators import coerce, geometry
 from ..sources import files
 from .base import query, table
 
@@ -73,3 +73,62 @@ def figure_backfill(spark, d):
     spoken = F.concat(F.coalesce(F.regexp_replace("text", "(?i)fig", "f"), F.lit("")), F.when(k == 1, " as Figure 3a and fig. 2 show").otherwise(" as FIGURE 1 and Fig. 2B show"))
     numbers = F.when(k == 2, F.array(F.lit("1"))).otherwise(F.array(F.lit("1"), F.lit("2b"), F.lit("2")))
     return table(spark, d, "documents").select("doc_id", A.needs_backfill(spoken, numbers, k == 3).alias("needed"))
+
+
+#: JSON of figures and tables by doc_id % 6 (@: the document's number), and what must come of it: name, source, caption, number of assets and first address; null where it isn't JSON.
+_FIGURE_JSON = [
+    '["Fig @", "", 7]',
+    '[{"name": " A  figure @ ", "source": ["x", " y ", ""], "caption": "What it shows.", "assets": [{"url": " https://a.b/@ "}, {"url": ""}, {"type": "t"}, "no"]}]',
+    '[{"name": 5, "caption": {"a": "one", "b": "two"}, "assets": {"url": "u"}}]',
+    '{"name": "no list"}',
+    'not JSON @ [',
+    '[{"assets": [{"url": "data:image/png;base64,AA  @"}, {"url": "1"}, {"url": "2"}, {"url": "3"}, {"url": "4"}, {"url": "5"}, {"url": "6"}]}, null, "third", "fourth"]',
+]
+_FIGURE_ROWS = [
+    [("Fig @", "Original paper figure placeholder", None, 0, None), ("Figure 2", "Original paper figure placeholder", None, 0, None), ("Figure 3", "Original paper figure placeholder", "", 0, None)],
+    [("A figure @", "x; y", "What it shows.", 1, "https://a.b/@")],
+    [("Figure 1", "Original paper figure placeholder", "one; two", 0, None)],
+    [],
+    [],
+    [("Figure 1", "Original paper figure placeholder", "", 6, "data:image/png;base64,AA  @"), ("Figure 2", "Original paper figure placeholder", "", 0, None), ("third", "Original paper figure placeholder", None, 0, None)],
+]
+
+
+def _text_sql(x: str | None) -> str:
+    return "NULL::VARCHAR" if x is None else "replace('" + x.replace("'", "''") + "', '@', doc_id::VARCHAR)"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS idx, {_text_sql(n)} AS name, {_text_sql(s)} AS source, {_text_sql(c)} AS caption, {k} AS n_assets, {_text_sql(u)} AS url FROM documents WHERE doc_id % 6 = {case}"
+        for case, rows in enumerate(_FIGURE_ROWS) for i, (n, s, c, k, u) in enumerate(rows)
+    )
+)
+def coerced_figures(spark, d):
+    """Untrusted JSON of figures, three of each list at most."""
+    json = F.replace(F.element_at(F.array(*[F.lit(x) for x in _FIGURE_JSON]), (F.col("doc_id") % 6 + 1).cast("int")), F.lit("@"), F.col("doc_id").cast("string"))
+    good, _ = coerce.parsed(table(spark, d, "documents").select("doc_id", json.alias("json")), "json")
+    made = good.select("doc_id", F.posexplode(coerce.figures(F.col("v"), 3)).alias("idx", "f"))
+    return made.select("doc_id", "idx", "f.name", "f.source", "f.caption", F.size("f.assets").alias("n_assets"), F.get("f.assets", F.lit(0))["url"].alias("url"))
+
+
+_TABLE_JSON = """[{"name": "Table 12: x@", "caption": "C", "rows": [["a", 1, "b"], "no", [" c  d "]], "image": {"url": "i@"}, "pdfCrop": {"url": "p", "tableNumber": 0}}, {"pdfCrop": {"url": "q", "tableNumber": "7"}}, {"source": "s", "image": {"path": "x"}}]"""
+_TABLE_ROWS = [("Table 12: x@", "Original paper artwork", "i@", "image/png", 12, "a,,b||c d"), ("Table 2", "Original paper artwork", None, None, 7, ""), ("Table 3", "s", None, None, None, "")]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS idx, {_text_sql(n)} AS name, {_text_sql(s)} AS source, {_text_sql(u)} AS url, {_text_sql(t)} AS type, {'NULL' if k is None else k}::DOUBLE AS table_number, {_text_sql(r)} AS cells FROM documents WHERE doc_id % 2 = 0"
+        for i, (n, s, u, t, k, r) in enumerate(_TABLE_ROWS)
+    )
+    + " UNION ALL SELECT doc_id, -1, 'broken', NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 2 = 1"
+)
+def coerced_tables(spark, d):
+    """Untrusted JSON of tables, beside the rows that aren't JSON."""
+    json = F.when(F.col("doc_id") % 2 == 0, F.replace(F.lit(_TABLE_JSON), F.lit("@"), F.col("doc_id").cast("string"))).otherwise("{broken")
+    good, bad = coerce.parsed(table(spark, d, "documents").select("doc_id", json.alias("json")), "json")
+    made = good.select("doc_id", F.posexplode(coerce.tables(F.col("v"), 5)).alias("idx", "t"))
+    cells = F.array_join(F.transform("t.rows", lambda r: F.array_join(r, ",")), "|")
+    none = F.lit(None).cast("string")
+    aside = bad.select("doc_id", F.lit(-1).alias("idx"), F.lit("broken").alias("name"), none.alias("source"), none.alias("url"), none.alias("type"), F.lit(None).cast("double").alias("table_number"), none.alias("cells"))
+    return made.select("doc_id", "idx", "t.name", "t.source", "t.image.url", "t.image.type", "t.pdf_crop.table_number", cells.alias("cells")).union(aside)

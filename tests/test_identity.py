@@ -133,3 +133,21 @@ def test_report_says_whether_all_passed(spark, tmp_path):
     assert not files.write_report(cases, of(1), str(tmp_path / "r")) and files.write_report(cases, of(2), str(tmp_path / "r"))
     lines = [json.loads(x) for p in (tmp_path / "r" / "cases").glob("part-*") for x in p.read_text().splitlines()]
     assert sorted((x["name"], x["passed"]) for x in lines) == [("a", True), ("b", False)]
+
+
+def test_untrusted_json(spark):
+    """Nulls, other kinds, long texts and too long lists; broken rows stand aside with their other columns."""
+    import json
+
+    from lectern.functions import predicates
+    from lectern.operators import coerce
+
+    long = "A sentence of some length that says a thing. " * 80
+    rows = [(1, json.dumps([{"name": "n" * 200, "caption": long, "assets": [{"url": f"u{i}", "path": "p" * 300} for i in range(9)]}] * 4)), (2, "null"), (3, None), (4, "[1"), (5, "[[]]"), (6, '"text"')]
+    good, bad = coerce.parsed(spark.createDataFrame(rows, "id int, json string"), "json")
+    got = {r.id: r.f for r in good.select("id", coerce.figures(F.col("v"), 3).alias("f")).collect()}
+    assert {r.id for r in bad.collect()} == {3, 4} and bad.columns == ["id", "json"]
+    assert len(got[1]) == 3 and got[1][0].name == "n" * 160 + "..." and len(got[1][0].assets) == 6 and len(got[1][0].assets[0].path) == 243 and 0 < len(got[1][0].caption) < len(long)
+    assert got[2] == [] and got[6] == [] and [x.name for x in got[5]] == ["Figure 1"]
+    urls = spark.createDataFrame([(" https://doi.org/10.1/x ",), ("http://doi.org/x",), ("HTTPS://arXiv.org/abs/1",), (None,), ("data:image/svg+xml;base64,AA",), ("DATA:image/webp;base64,AA",)], "u string")
+    assert [tuple(r) for r in urls.select(predicates.paper_url(F.col("u")), predicates.image_data_url(F.col("u"))).collect()] == [("https://doi.org/10.1/x", False), ("", False), ("HTTPS://arXiv.org/abs/1", False), ("", False), ("", False), ("", True)]
