@@ -2,13 +2,16 @@
 
 Candidates are maximal runs of at least SHORTEST characters of [A-Za-z0-9+/_-]. Two questions are asked:
 
-1. Could it be random? The encoding is inferred from the characters (decimal, hex, base32, base64), and
-   three tests are made under uniform draws from its alphabet: chi-squared of the symbol counts, the
-   number of runs of one character class, and the serial correlation of the symbols' values. Their smallest
-   p-value, times their number, is the battery's.
-2. Could it be a natural word, path or name? There, the character class (lower, upper, digit, other)
-   seldom changes. The rate q of changes is measured over all runs of whatever length in the corpus; the
-   p-value is the binomial tail of the changes seen.
+1. Could it be random? The encoding is inferred from the characters (decimal, hex, letters of one case, base32,
+   base36, base64), and three tests are made under uniform draws from its alphabet: chi-squared of the symbol counts,
+   the number of runs of one character class (where the alphabet has several), and the serial correlation of the
+   symbols' values. Their smallest p-value, times their number, is the battery's.
+2. Could it be a natural word, path or name? There, the character class (lower, upper, digit, other) seldom
+   changes, and the pairs of characters within a class are common ones. The rate q of changes and the share of
+   each pair are measured over all runs of whatever length in the corpus. The first p-value is the binomial tail
+   of the changes seen; the second is the Chernoff bound of the tail of the pairs' surprise (the sum of -log of
+   their shares). The smaller one, times two, is the run's; runs of one class have the second only to speak for them.
+   A corpus of few characters says nothing of pairs, as each of them counts once more than it was seen.
 
 Both p-values go through Benjamini-Hochberg in each stratum of length, over all runs of the corpus in it: a run is
 reported if the battery doesn't reject randomness at ALPHA and the tail rejects nature at FDR. So longer runs need
@@ -19,7 +22,8 @@ The texts are read once: the first pass emits spans and candidates, and counts;
 checkpointed candidates; the last step is a projection.
 
 Defined results: a null text has no spans. Offsets are code points, ends exclusive. Rows repeat as in
-the input; extra columns are ignored. An empty table gives no rows.
+the input; extra columns are ignored. An empty table gives no rows. A text of any length is scanned whole; a run
+may be as long as it. Equal p-values are rejected together.
 """
 
 from __future__ import annotations
@@ -54,7 +58,14 @@ KINDS = ("assign", "access", "hex", "random")
 CLASS = np.zeros(256, np.uint8)
 CLASS[97:123], CLASS[65:91], CLASS[48:58] = 1, 2, 3
 CLASS[[ord(c) for c in "+/_-"]] = 4
-_ALPHABETS = (("decimal", "0123456789"), ("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"))
+#: Number of a byte among the characters of candidates, and which pairs of these are of one class.
+PLACE = np.cumsum(CLASS > 0) - 1
+SYMBOLS = int((CLASS > 0).sum())
+SAME = np.equal.outer(CLASS[CLASS > 0], CLASS[CLASS > 0]).ravel()
+#: Exponents at which the Chernoff bound is taken.
+LAMBDAS = np.arange(1, 41) / 40
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_ALPHABETS = (("decimal", _DIGITS), ("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("letters", _LOWER), ("letters", _UPPER), ("base32", _UPPER + "234567"), ("base36", _LOWER + _DIGITS), ("base36", _UPPER + _DIGITS), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -118,6 +129,31 @@ def natural_log_p(n: int, changes: int, q: float) -> float:
     return min(0.0, math.lgamma(n) - math.lgamma(changes + 1) - math.lgamma(n - changes) + changes * math.log(q) + (n - 1 - changes) * math.log1p(-q) + math.log(total))
 
 
+def pairs_of(token: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs of neighbours of one class in a run of bytes."""
+    x = PLACE[token].astype(np.int64)
+    pairs = x[:-1] * SYMBOLS + x[1:]
+    return pairs[SAME[pairs]]
+
+
+class Pairs:
+    """What the corpus tells of pairs of characters of one class: their surprise, and the log of its moments at LAMBDAS."""
+
+    def __init__(self, counts: dict[int, int]):
+        n = SAME.astype(float)
+        for pair, count in counts.items():
+            n[pair] += count
+        log_share = np.log(n[SAME] / n.sum())
+        self.surprise = np.zeros(len(n))
+        self.surprise[SAME] = -log_share
+        self.moments = np.array([math.log(float(np.exp(x * log_share).sum())) for x in 1 - LAMBDAS])
+
+    def log_p(self, token: np.ndarray) -> float:
+        """Log of a bound of the probability of as much surprise, or more, in as many pairs of the corpus."""
+        pairs = pairs_of(token)
+        return min(0.0, float((len(pairs) * self.moments - LAMBDAS * self.surprise[pairs].sum()).min()))
+
+
 def p_class(log_p: float) -> int:
     """The class of a p-value; its upper end is 10 ** (-class / CLASSES)."""
     return int(min(CLASSES * DECADES, -log_p / math.log(10) * CLASSES))
@@ -151,19 +187,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = (kind[1:] > 0) & (kind[:-1] > 0)
             step[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(raw))] - 1] = False
             changed = int((step & (kind[1:] != kind[:-1])).sum())
-            # by stratum the runs without a change, which are natural for sure; at -1 and -2 the steps without and with a change
+            # at -1 and -2 the steps without and with a change, at -3 and below the pairs of one class
             counts: dict[int, int] = {-1: int(step.sum()) - changed, -2: changed}
+            at = np.flatnonzero(step & (kind[1:] == kind[:-1]))
+            seen = np.bincount(PLACE[raw[at]].astype(np.int64) * SYMBOLS + PLACE[raw[at + 1]], minlength=1)
+            counts |= {-3 - int(k): int(seen[k]) for k in np.flatnonzero(seen)}
             random: dict[int, list] = {}
             changes = np.r_[0, np.cumsum(kind[1:] != kind[:-1])] if len(kind) else kind
             points = np.cumsum((raw & 0xC0) != 0x80) if len(starts) else starts  # code points up to each byte
             for s, e, r in zip(starts.tolist(), ends.tolist(), rows.tolist(), strict=True):
                 t = int(changes[e - 1] - changes[s])
-                if t == 0:
-                    counts[_stratum(e - s)] = counts.get(_stratum(e - s), 0) + 1
-                    continue
                 p = battery(raw[s:e])[1]
                 at = int(points[s] - points[offsets[r]])
-                random.setdefault(r, []).append({"start": at, "end": at + e - s, "changes": t, "stratum": _stratum(e - s), "battery": p_class(math.log(p) if p > 0 else -math.inf)})
+                random.setdefault(r, []).append({"start": at, "end": at + e - s, "changes": t, "stratum": _stratum(e - s), "battery": p_class(math.log(p) if p > 0 else -math.inf), "token": raw[s:e].tobytes()})
             low = blob.lower()
             hexed = runs(raw, offsets, _HEX_BYTE)
             some = set((np.searchsorted(offsets, hexed[0][hexed[1] - hexed[0] >= 24], "right") - 1).tolist())
@@ -187,22 +223,27 @@ _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[[*range(48, 58), *range(97, 103)]] = True
 _INT = pa.int32()
 _SPANS = pa.list_(pa.struct([("start", _INT), ("kind", _INT), ("end", _INT)]))
-_RANDOM = pa.list_(pa.struct([(c, _INT) for c in ("start", "end", "changes", "stratum", "battery")]))
+_RANDOM = pa.list_(pa.struct([*[(c, _INT) for c in ("start", "end", "changes", "stratum", "battery")], ("token", pa.binary())]))
 _TESTED = pa.list_(pa.struct([("stratum", _INT), ("runs", pa.int64())]))
-_SCHEMA = "doc_id long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,changes:int,stratum:int,battery:int>>, tested array<struct<stratum:int,runs:long>>"
+_SCHEMA = "doc_id long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,changes:int,stratum:int,battery:int,token:binary>>, tested array<struct<stratum:int,runs:long>>"
 
 
 def secrets(docs: DataFrame, fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans; one row for each row of docs."""
     seen = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _SCHEMA))
-    tested = {r.stratum: r.runs for r in seen.select(F.explode("tested").alias("t")).groupBy("t.stratum").agg(F.sum("t.runs").alias("runs")).collect()}  # a row for each stratum
+    tested = {r.stratum: r.runs for r in seen.select(F.explode("tested").alias("t")).groupBy("t.stratum").agg(F.sum("t.runs").alias("runs")).collect()}  # a row for each pair of characters at most
     changed = tested.get(-2, 0)
     q = min(0.5, max(1e-4, changed / max(1, changed + tested.get(-1, 0))))
+    known = Pairs({-3 - k: n for k, n in tested.items() if k <= -3})
+
+    def nature_class(c: dict) -> int:
+        n = c["end"] - c["start"]
+        return p_class(min(0.0, math.log(2) + min(natural_log_p(n, c["changes"], q), known.log_p(np.frombuffer(c["token"], np.uint8)))))
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column("candidates").to_pylist()
-            nature = [[p_class(natural_log_p(c["end"] - c["start"], c["changes"], q)) for c in x] for x in found]
+            nature = [[nature_class(c) for c in x] for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nature, pa.list_(_INT))], [*batch.schema.names, "nature"])
 
     kept = seen.drop("tested")
@@ -213,10 +254,6 @@ def secrets(docs: DataFrame, fdr: float = FDR, alpha: float = ALPHA) -> DataFram
         for of in held:
             by = held[of].setdefault(r.stratum, {})
             by[r[of]] = by.get(r[of], 0) + r["count"]
-    for stratum, runs in tested.items():
-        if stratum >= 0:
-            by = held["nature"].setdefault(stratum, {})
-            by[0] = by.get(0, 0) + runs
     limit = {of: F.array(*[F.lit(rejected_from(by[x], level) if x in by else CLASSES * DECADES + 1) for x in range(len(STRATA))]) for of, by, level in (("battery", held["battery"], alpha), ("nature", held["nature"], fdr))}
     chosen = F.filter(F.arrays_zip("candidates", "nature"), lambda c: (c["candidates"]["battery"] < F.get(limit["battery"], c["candidates"]["stratum"])) & (c["nature"] >= F.get(limit["nature"], c["candidates"]["stratum"])))
     random = F.transform(chosen, lambda c: F.struct(c["candidates"]["start"].alias("start"), F.lit(3).alias("kind"), c["candidates"]["end"].alias("end")))

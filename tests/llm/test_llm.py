@@ -1,5 +1,6 @@
 """Each operator against brute force, and on hard tables: nulls, empty and long texts, ties, repeats, clashing names."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -367,24 +368,34 @@ def test_secrets(spark, hard, none):
 def brute_random(texts):
     """Spans by the definitions: exact binomial tails, the three tests from their formulas, step-up control in each stratum."""
     from fractions import Fraction
-    from math import comb, erfc, log10, sqrt
+    from math import comb, erfc, exp, log, log10, sqrt
 
     kind = lambda c: 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4
-    found, steps, changed = [], 0, 0
+    found, steps, changed, pairs = [], 0, 0, {}
     for d, text in enumerate(texts):
         for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
             t = sum(kind(x) != kind(y) for x, y in zip(m[0], m[0][1:], strict=False))
             steps, changed = steps + len(m[0]) - 1, changed + t
+            for a, b in zip(m[0], m[0][1:], strict=False):
+                if kind(a) == kind(b):
+                    pairs[a + b] = pairs.get(a + b, 0) + 1
             if len(m[0]) >= 20:
                 found.append((d, m.start(), m.end(), t, m[0]))
     q = Fraction(changed, steps)
+    every = [a + b for s in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-") for a in s for b in s]
+    total = sum(pairs.values()) + len(every)
+    share = {x: (pairs.get(x, 0) + 1) / total for x in every}
+    moments = [(i / 40, sum(v ** (1 - i / 40) for v in share.values())) for i in range(1, 41)]
     judged = {}
     for d, s, e, t, x in found:
         n = e - s
         nature = float(sum(comb(n - 1, i) * q**i * (1 - q) ** (n - 1 - i) for i in range(t, n))) if t > (n - 1) * q else 1.0
+        within = [a + b for a, b in zip(x, x[1:], strict=False) if a + b in share]
+        seldom = min(len(within) * log(m) - v * sum(-log(share[w]) for w in within) for v, m in moments)
+        nature = min(1.0, 2 * min(nature, exp(min(0.0, seldom))))
         alphabet = next((a for _, a in secrets._ALPHABETS if not set(x) - set(a)), None)
         p = 0.0
-        if alphabet and t:
+        if alphabet:
             k = len(alphabet)
             chi = sum((x.count(a) - n / k) ** 2 / (n / k) for a in alphabet)
             tests = [0.5 * erfc((chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) / sqrt(2))]
@@ -397,11 +408,13 @@ def brute_random(texts):
             tests.append(erfc(abs(sum(a * b for a, b in zip(c, c[1:], strict=False)) / ((k * k - 1) / 12) / sqrt(n - 1)) / sqrt(2)))
             p = min(1.0, len(tests) * min(tests))
         up = lambda p: 10 ** (-min(3200, int(-8 * log10(p))) / 8) if p > 0 else 1e-400
-        judged[d, s, e] = (max(b for b in secrets.STRATA if b <= n), up(p), up(nature), t > 0)
+        judged[d, s, e] = (max(b for b in secrets.STRATA if b <= n), up(p), up(nature))
+
+    @functools.cache
     def rejected(which, level, stratum):
-        ps = sorted(v[which] for v in judged.values() if v[0] == stratum and (v[3] or which == 2))
+        ps = sorted(v[which] for v in judged.values() if v[0] == stratum)
         return max((p for i, p in enumerate(ps, 1) if p <= level * sum(y <= p for y in ps) / len(ps)), default=-1.0)
-    return sorted(k for k, (b, p, nature, some) in judged.items() if some and p > rejected(1, secrets.ALPHA, b) and nature <= rejected(2, secrets.FDR, b))
+    return sorted(k for k, (b, p, nature) in judged.items() if p > rejected(1, secrets.ALPHA, b) and nature <= rejected(2, secrets.FDR, b))
 
 
 def test_random_spans_equal_brute_force(spark):
@@ -421,6 +434,21 @@ def test_random_spans_equal_brute_force(spark):
     assert f"random:{len(texts[1]) + 1}:{len(texts[1]) + 1 + len(long)}" in r.spans
 
 
+def test_random_runs_of_one_class(spark):
+    """Random digits, letters of one case and base32 without digits are found; long words, numbers of few digits and paths of one case aren't."""
+    rng = np.random.default_rng(3)
+    pick = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    words = "donau dampf schiff fahrts gesellschaft kapitaen versicherung verantwortung anti establish mentarian internation alization under standing counter revolution recht schutz unter suchung".split()
+    prose = [" ".join("".join(rng.choice(words, int(rng.integers(1, 5)))) for _ in range(400)) for _ in range(40)]
+    natural = ["donaudampfschifffahrtsgesellschaft", "RECHTSSCHUTZVERSICHERUNG".lower(), "internationalizationunderstanding", "0" * 30, "2024" * 8]
+    found = [pick("0123456789", 60), pick("abcdefghijklmnopqrstuvwxyz", 60), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 60), pick("abcdefghijklmnopqrstuvwxyz", 24), pick("abcdefghijklmnopqrstuvwxyz0123456789", 40)]
+    texts = prose + natural + found
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[len(prose) + i].n_random for i in range(len(natural))] == [0] * len(natural)
+    assert [f"random:0:{len(x)}" in got[len(prose) + len(natural) + i].spans.split(",") for i, x in enumerate(found)] == [True] * len(found)
+    assert sum(got[i].n_random for i in range(len(prose))) == 0
+
+
 # ---------------------------------------------------------------- 7 toxicity
 
 
