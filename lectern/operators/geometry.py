@@ -196,11 +196,37 @@ def formula_candidates(pages: DataFrame, page_width: float = PAGE_WIDTH) -> Data
 
     doc_id, page, line_no, text, equation_number, confidence, x, y, width, height. All within a page's row.
     """
+    return _found_formulas(pages, page_width).select("doc_id", "page", F.explode("found").alias("f")).select("doc_id", "page", "f.line_no", "f.c.*")
+
+
+def _found_formulas(pages: DataFrame, page_width: float) -> DataFrame:
     clean = F.transform("lines", lambda l, i: F.struct(i.alias("no"), collapse(l["text"]).alias("text"), *[l[n].cast("double").alias(n) for n in ("x", "y", "width", "height")]))
     rows = once(pages.select("doc_id", "page", "lines"), "l", clean)
     of = lambda m: F.struct(m["no"].alias("line_no"), F.coalesce(_numbered(F.col("l"), m, page_width), _core(F.col("l"), m, page_width)).alias("c"))
-    found = once(rows, "found", F.filter(F.transform("l", of), lambda x: x["c"].isNotNull()))
-    return found.select("doc_id", "page", F.explode("found").alias("f")).select("doc_id", "page", "f.line_no", "f.c.*")
+    return once(rows, "found", F.filter(F.transform("l", of), lambda x: x["c"].isNotNull()))
+
+
+def formula_regions(pages: DataFrame, page_width: float = PAGE_WIDTH, page_height: float = PAGE_HEIGHT) -> DataFrame:
+    """The candidates of formula_candidates with the padded box to show of each: within its column, or the page where it crosses the gutter, and above the next line there."""
+
+    def padded(lines: Column, f: Column) -> Column:
+        right = f["x"] + f["width"]
+        crosses = (f["x"] < page_width * 0.46) & (right > page_width * 0.54)
+        whole = F.struct(F.lit(page_width * 0.045).alias("left"), F.lit(page_width * 0.955).alias("right"))
+
+        def within(b: Column) -> Column:
+            side, around = F.greatest(F.lit(7.0), f["height"] * 0.65), F.greatest(F.lit(4.0), F.least(F.lit(7.0), f["height"] * 0.24))
+            below = F.filter(lines, lambda l: (l["y"] > f["y"] + f["height"] + 1) & _center(l).between(b["left"], b["right"]))
+            after = F.get(_by(below, lambda l: l["y"]), F.lit(0))
+            top, natural = F.greatest(F.lit(page_height * 0.025), f["y"] - around), f["y"] + f["height"] + around
+            bottom = F.least(natural, F.coalesce(after["y"] - after["height"] - 3, natural))
+            x = F.greatest(b["left"], f["x"] - side)
+            return F.struct(x.alias("x"), top.alias("y"), F.least(b["right"] - x, right - x + side).alias("width"), F.greatest(f["height"] + around, bottom - top).alias("height"))
+
+        return bound(F.when(crosses, whole).otherwise(column_bounds(f["x"], f["width"], page_width)), within)
+
+    rows = _found_formulas(pages, page_width).select("doc_id", "page", "l", F.explode("found").alias("f"))
+    return rows.select("doc_id", "page", "f.line_no", "f.c.text", "f.c.equation_number", "f.c.confidence", padded(F.col("l"), F.col("f.c")).alias("r")).select("*", "r.*").drop("r")
 
 
 # ------------------------------------------------------------------ tables
@@ -211,19 +237,24 @@ def table_rows(rows: DataFrame) -> DataFrame:
 
     cells: array<struct<text, x, width>> from left to right.
     """
-    cells, text = F.filter("cells", lambda c: F.trim(c["text"]) != ""), text_of(F.col("text"))
+    marks = _table_marks(F.filter("cells", lambda c: F.trim(c["text"]) != ""), text_of(F.col("text")), F.col("height"), F.col("n_lines"))
+    return rows.select("*", *[c.alias(f"is_{n}") for n, c in marks.items()])
+
+
+def _table_marks(cells: Column, text: Column, height: Column, n_lines: Column) -> dict[str, Column]:
+    """Whether a row of cells from left to right is a table's data, header or label of a group."""
     n, numeric = F.size(cells), F.size(F.filter(cells, lambda c: F.trim(c["text"]).rlike(NUMBER_CELL)))
     compact = F.size(F.filter(cells, lambda c: F.length(F.trim(c["text"])) <= 34)) / F.greatest(n, F.lit(1))
     ends = F.transform(cells, lambda c: c["x"] + c["width"])
-    wide = F.exists(F.arrays_zip(F.slice(F.transform(cells, lambda c: c["x"]), 2, 10_000).alias("x"), F.slice(ends, 1, F.greatest(n - 1, F.lit(0))).alias("e")), lambda p: p["x"] - p["e"] > F.greatest(F.lit(9.0), F.col("height") * 0.9))
-    apart = (F.col("n_lines") >= 2) | F.coalesce(wide, F.lit(False))
+    wide = F.exists(F.arrays_zip(F.slice(F.transform(cells, lambda c: c["x"]), 2, 10_000).alias("x"), F.slice(ends, 1, F.greatest(n - 1, F.lit(0))).alias("e")), lambda p: p["x"] - p["e"] > F.greatest(F.lit(9.0), height * 0.9))
+    apart = (n_lines >= 2) | F.coalesce(wide, F.lit(False))
     values = F.regexp_count(text, F.lit(r"(?:^|\s)[+\-]?(?:\d+(?:\.\d+)?|\.\d+)%?(?=\s|$)"))
     section = text.rlike(r"^\d+(?:\.\d+)+\.?\s+[A-Za-z]")
     prose = ~apart & (F.regexp_count(text, F.lit("[A-Za-z]{3,}")) >= 7) & (text.rlike(r"[.!?)]$") | (F.length(text) >= 72))
     data = ~section & ~prose & ((numeric >= 2) | (values >= 2) | ((numeric >= 1) & apart & (compact >= 0.5)) | ((values >= 1) & apart & (F.length(text) < 100)))
     header = ~section & apart & (n >= 2) & (compact >= 0.65) & (F.length(text) < 120) & ~text.rlike("[.!?]$")
     label = ~section & ~prose & ~data & ~header & (F.length(text) <= 72) & (F.regexp_count(text, F.lit("[A-Za-z]{2,}")) <= 9) & text.rlike(GROUP_LABEL)
-    return rows.select("*", data.alias("is_data"), header.alias("is_header"), label.alias("is_label"))
+    return {"data": data, "header": header, "label": label}
 
 
 def table_blocks(rows: DataFrame, captions: DataFrame, page_height: float = PAGE_HEIGHT) -> DataFrame:
@@ -247,6 +278,220 @@ def table_blocks(rows: DataFrame, captions: DataFrame, page_height: float = PAGE
     return good.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("doc_id", "page", "number", "direction", "top", "bottom", "n_rows")
 
 
+# ------------------------------------------------------------------ captions
+
+# How captions begin, where they can't go on, what ends them, and what shows that a line is code drawn in a figure.
+FIGURE_CAPTION = r"(?i)^(?:figure|fig\.)\s*(\d+[a-z]?)\s*[:.\-]\s*(.*)"
+TABLE_CAPTION = r"(?i)^table\s*(\d+[a-z]?)\s*[:.\-]\s*(.*)"
+SECTION_START, NUMBER_AT_END = r"^\d+(?:\.\d+)*\.?\s+[A-Z]", r"(?i)[(\[]\d+[a-z]?[)\]]\s*$"
+OPEN_ABBREVIATION = r"(?i)\b(?:w\.r\.t|e\.g|i\.e)\.$"
+CODE_HINT = r"(?i)(?:>>>|\bdef\s+|\breturn\b|\bfor\s+\w+\s+in\b|\bimport\b|assert\s+|==|\[[^\]]*\]|\w+\([^)]*\)\s*(?:->|:))"
+CODE_LINE = r"(?i)(?:>>>|\bdef\s+|\breturn\b|\bfor\s+\w+\s+in\b|assert\s+)"
+# Shares of a page's height that a figure takes at most above its caption (usual, low and across the page) and at least (usual, across).
+FIGURE_SPAN, LOW_FIGURE_SPAN, FIGURE_FLOOR, WIDE_FIGURE_FLOOR = 0.38, 0.62, 0.15, 0.22
+
+
+def _is_caption(text: Column) -> Column:
+    return text.rlike(FIGURE_CAPTION) | text.rlike(TABLE_CAPTION)
+
+
+def _span(left, right) -> Column:
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    return F.struct(as_column(left).alias("left"), as_column(right).alias("right"))
+
+
+def _box(x: Column, y: Column, width: Column, height: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"), width.alias("width"), height.alias("height"))
+
+
+def _across(line: Column, page_width: float) -> Column:
+    """Whether a caption stands in the middle of the page, across both columns."""
+    return (line["width"] >= page_width * 0.3) & (F.abs(_center(line) - page_width / 2) <= page_width * 0.12)
+
+
+def _with_rows(pages: DataFrame) -> DataFrame:
+    """Pages with `l`, their lines, and `r`, the rows of lines on one height with what marks them as a table's."""
+    items = "items" in pages.schema["lines"].dataType.elementType.fieldNames()
+    nothing = F.array().cast("array<struct<text:string,x:double,width:double>>")
+
+    def line(l: Column, i: Column) -> Column:
+        cell = lambda c: F.struct(F.trim(text_of(c["text"])).alias("text"), c["x"].cast("double").alias("x"), c["width"].cast("double").alias("width"))
+        cells = F.coalesce(F.filter(F.transform(l["items"], cell), lambda c: c["text"] != ""), nothing) if items else nothing
+        return F.struct(i.alias("no"), collapse(l["text"]).alias("text"), *[l[n].cast("double").alias(n) for n in ("x", "y", "width", "height")], _by(cells, lambda c: c["x"]).alias("cells"))
+
+    def signal(l: Column) -> Column:
+        c, numbers = l["cells"], F.regexp_count(l["text"], F.lit(r"(?:^|\s)[+-]?(?:\d+\.?\d*|\.\d+)%?"))
+        wide = F.filter(F.transform(c, lambda x, i: F.when(i > 0, x["x"] - F.get(c, i - 1)["x"] - F.get(c, i - 1)["width"])), lambda g: g > F.greatest(F.lit(8.0), l["height"] * 0.9))
+        compact = (F.size(c) >= 3) & (F.size(wide) >= 2) & (F.size(F.filter(c, lambda x: F.length(x["text"]) <= 24)) >= F.ceil(F.size(c) * 0.7))
+        return (numbers >= 2) | ((numbers >= 1) & compact) | (compact & (F.length(l["text"]) < 90))
+
+    told = lambda l: F.struct(*[l[n].alias(n) for n in ("no", "text", "x", "y", "width", "height", "cells")], signal(l).alias("signal"))
+    df = once(once(pages.select("doc_id", "page", "lines"), "raw", F.transform("lines", line)), "l", F.transform("raw", told))
+    df = once(df, "down", _by(F.col("l"), lambda l: l["y"], lambda l: l["x"]))
+    start = F.expr("named_struct('tops', cast(array() as array<double>), 'at', cast(array() as array<int>))")
+
+    def step(a: Column, l: Column) -> Column:
+        above = F.size(F.filter(a["tops"], lambda t: t < l["y"] - F.greatest(F.lit(3.0), l["height"] * 0.55)))
+        tops = F.when(above == F.size(a["tops"]), F.array_append(a["tops"], l["y"])).otherwise(a["tops"])
+        return F.struct(tops.alias("tops"), F.array_append(a["at"], above).alias("at"))
+
+    df = once(df, "placed", F.aggregate("down", start, step))
+    mine = lambda k: _by(F.filter(F.col("down"), lambda l, i: F.get(F.col("placed.at"), i) == k), lambda l: l["x"])
+
+    def row(t: Column, ls: Column) -> Column:
+        own = lambda l: F.when(F.size(l["cells"]) > 0, l["cells"]).when(l["text"] != "", F.array(F.struct(l["text"].alias("text"), l["x"].alias("x"), l["width"].alias("width")))).otherwise(nothing)
+        edge = lambda f, of: f(F.transform(ls, of))
+        return F.struct(
+            t.alias("y"), edge(F.array_max, lambda l: l["height"]).alias("height"), edge(F.array_min, lambda l: l["x"]).alias("x"), edge(F.array_max, _right).alias("right"),
+            _joined(ls).alias("text"), F.size(ls).alias("n_lines"), _by(F.flatten(F.transform(ls, own)), lambda c: c["x"]).alias("cells"), F.transform(ls, _center).alias("centers"),
+        )
+
+    df = once(df, "plain", F.transform(F.col("placed.tops"), lambda t, k: bound(mine(k), lambda ls: row(t, ls))))
+    kept = ("y", "height", "x", "right", "text", "n_lines", "centers")
+    marked = lambda r: F.struct(*[r[n].alias(n) for n in kept], *[F.coalesce(c, F.lit(False)).alias(n) for n, c in _table_marks(r["cells"], r["text"], r["height"], r["n_lines"]).items()])
+    return once(df, "r", F.transform("plain", marked)).select("doc_id", "page", "l", "r")
+
+
+def _of_table(r: Column) -> Column:
+    return r["data"] | r["header"] | r["label"]
+
+
+def _whole_caption(lines: Column, c: Column, page_width: float) -> Column:
+    """struct<text, bottom> of a caption with the at most three lines that go on with it in its column."""
+    across = _across(c, page_width)
+    start = F.struct(F.array(F.when(c["begin"] == "", c["text"]).otherwise(c["begin"])).alias("parts"), (c["y"] + c["height"]).alias("bottom"), F.lit(False).alias("over"))
+
+    def step(s: Column, l: Column) -> Column:
+        last, off = F.element_at(s["parts"], -1), F.abs(_center(l) - _center(c))
+        complete = last.rlike(r"[.!?]$") & ~last.rlike(OPEN_ABBREVIATION)
+        beside = (off > page_width * 0.3) | (across & (l["width"] < page_width * 0.43) & (off > page_width * 0.16))
+        other = _is_caption(l["text"]) | l["text"].rlike(SECTION_START) | l["text"].rlike(NUMBER_AT_END) | (_words(l, 2) < 2)
+        ends = s["over"] | complete | (l["y"] - s["bottom"] > F.greatest(F.lit(18.0), c["height"] * 1.8)) | beside | other
+        held = F.struct(s["parts"].alias("parts"), s["bottom"].alias("bottom"), F.lit(True).alias("over"))
+        grown = F.struct(F.array_append(s["parts"], l["text"]).alias("parts"), (l["y"] + l["height"]).alias("bottom"), (F.size(s["parts"]) >= 3).alias("over"))
+        return F.when(ends, held).otherwise(grown)
+
+    def within(b: Column) -> Column:
+        below = F.filter(lines, lambda l: (l["no"] != c["no"]) & (l["y"] > c["y"]) & _center(l).between(b["left"], b["right"]))
+        folded = F.aggregate(F.slice(_by(below, lambda l: l["y"], lambda l: l["x"]), 1, 8), start, step)
+        text = lambda s: collapse(F.regexp_replace(F.array_join(s["parts"], " "), r"([A-Za-z])-\s+([a-z])", "$1$2"))
+        return bound(folded, lambda s: F.struct(text(s).alias("text"), s["bottom"].alias("bottom")))
+
+    return bound(F.when(across, _span(page_width * 0.045, page_width * 0.955)).otherwise(column_bounds(c["x"], c["width"], page_width)), within)
+
+
+def _table_block(rows: Column, low: Column, high: Column, first: bool) -> Column:
+    """The first, or last, run of table rows without a wide gap that makes a table, of those whose top is in a range; else null."""
+    near = F.filter(rows, lambda r: r["y"].between(low, high) & _of_table(r))
+
+    def runs(k: Column) -> Column:
+        opens = lambda r, i: F.when((i == 0) | (r["y"] - F.get(k, i - 1)["y"] - F.get(k, i - 1)["height"] > F.greatest(F.lit(18.0), r["height"] * 1.9)), i)
+        cut = lambda cuts: F.transform(cuts, lambda at, j: F.slice(k, at + 1, F.coalesce(F.get(cuts, j + 1), F.size(k)) - at))
+        return bound(F.filter(F.transform(k, opens), lambda i: i.isNotNull()), cut)
+
+    count = lambda run, kind: F.size(F.filter(run, lambda r: r[kind]))
+    good = F.filter(bound(near, runs), lambda run: ((count(run, "data") >= 1) & (F.size(run) >= 2)) | (count(run, "header") >= 3))
+    return F.try_element_at(good, F.lit(1 if first else -1))
+
+
+def _table_region(lines: Column, rows: Column, c: Column, page_width: float, page_height: float) -> Column:
+    """The padded box of the table above a caption, else below it; null without one."""
+    near = F.filter(lines, lambda l: (F.abs(l["y"] - c["y"]) < page_height * 0.32) & l["signal"])
+
+    def shared(n: Column) -> Column:
+        right = F.filter(n, lambda l: _center(l) > page_width / 2)
+        facing = lambda r: F.size(F.filter(n, lambda l: (_center(l) < page_width / 2) & F.exists(r, lambda o: F.abs(l["y"] - o["y"]) <= F.greatest(F.lit(4.0), l["height"] * 0.7))))
+        return F.exists(n, lambda l: l["width"] >= page_width * 0.58) | (bound(right, facing) >= 2)
+
+    def goes_on(s: Column, r: Column) -> Column:
+        ends = s["over"] | (r["y"] - s["bottom"] > 18) | _of_table(r) | (_words(r, 2) == 0) | (r["n_lines"] > 2)
+        return F.struct(F.when(ends, s["bottom"]).otherwise(r["y"] + r["height"]).alias("bottom"), ends.alias("over"))
+
+    def around(b: Column, block: Column) -> Column:
+        edge = lambda f, of: f(F.transform(block, of))
+        h, top, bottom = F.get(block, F.lit(0))["height"], edge(F.array_min, lambda r: r["y"]), edge(F.array_max, lambda r: r["y"] + r["height"])
+        rival = F.exists(lines, lambda l: (l["no"] != c["no"]) & l["text"].rlike(TABLE_CAPTION) & (F.abs(l["y"] - c["y"]) <= F.greatest(F.lit(16.0), c["height"] * 1.5)))
+        across = F.exists(block, lambda r: (r["x"] < page_width * 0.45) & (r["right"] > page_width * 0.55)) & ~rival
+        pad, padded = max(7.0, page_width * 0.012), bottom + F.greatest(F.lit(6.0), h * 0.6)
+        x = F.when(across, page_width * 0.025).otherwise(F.greatest(b["left"], edge(F.array_min, lambda r: r["x"]) - pad))
+        right = F.when(across, page_width * 0.975).otherwise(F.least(b["right"], edge(F.array_max, lambda r: r["right"]) + pad))
+        y = F.greatest(F.lit(page_height * 0.02), top - F.greatest(F.lit(11.0), h * 1.15))
+        end = F.when(bottom <= c["y"], F.least(padded, c["y"] - F.greatest(F.lit(2.0), h * 0.18))).otherwise(padded)
+        return _box(x, y, F.greatest(F.lit(40.0), right - x), F.greatest(F.lit(24.0), end - y))
+
+    def within(b: Column) -> Column:
+        mine = F.filter(rows, lambda r: F.exists(r["centers"], lambda m: m.between(b["left"], b["right"])))
+
+        def beside(mine: Column) -> Column:
+            start = F.struct((c["y"] + c["height"]).alias("bottom"), F.lit(False).alias("over"))
+            after = F.aggregate(F.slice(F.filter(mine, lambda r: r["y"] > c["y"]), 1, 6), start, goes_on)["bottom"] + 2
+            above = _table_block(mine, F.greatest(F.lit(0.0), c["y"] - page_height * 0.32), c["y"] - 2, False)
+            below = bound(after, lambda a: _table_block(mine, a, F.least(F.lit(page_height), a + page_height * 0.28), True))
+            return bound(F.coalesce(above, below), lambda block: F.when(block.isNotNull(), around(b, block)))
+
+        return bound(mine, beside)
+
+    wide = _span(page_width * 0.035, page_width * 0.965)
+    return bound(F.when(bound(near, shared), wide).otherwise(column_bounds(c["x"], c["width"], page_width)), within)
+
+
+def _figure_region(lines: Column, captions: Column, c: Column, page_width: float, page_height: float) -> Column:
+    """The box above a figure's caption: down from the header, prose or earlier caption there, within its column or the page."""
+    across = _across(c, page_width)
+    end = F.greatest(F.lit(1.0), c["y"] - c["height"] - 6)
+
+    def start_of(b: Column, mine: Column) -> Column:
+        before = F.filter(captions, lambda o: _center(o).between(b["left"], b["right"]) & (o["y"] < c["y"] - F.greatest(F.lit(18.0), c["height"] * 1.8)))
+        gap = lambda o: F.greatest(F.lit(7.0), o["height"] * 0.65)
+        under = lambda o: F.greatest(o["whole"]["bottom"], F.coalesce(o["table"]["y"] + o["table"]["height"], o["whole"]["bottom"])) + gap(o)
+        held = F.coalesce(bound(F.get(_by(before, lambda o: -o["y"]), F.lit(0)), under), F.lit(0.0))
+        code = lambda l: l["text"].rlike(CODE_LINE) | (F.size(F.filter(mine, lambda o: (F.abs(o["y"] - l["y"]) <= F.greatest(F.lit(34.0), l["height"] * 3.5)) & o["text"].rlike(CODE_HINT))) >= 2)
+        prose = F.filter(mine, lambda l: (l["y"] < end - 55) & (l["y"] >= end - page_height * 0.48) & (_words(l, 2) >= 8) & l["text"].rlike(r"[.!?)]$") & ~code(l))
+        header = F.filter(mine, lambda l: (l["y"] < page_height * 0.045) & (l["y"] < end - 30))
+        below_last = lambda ls: bound(F.try_element_at(ls, F.lit(-1)), lambda l: l["y"] + l["height"] + 7)
+        span = F.when(across & (c["y"] >= page_height * 0.7), LOW_FIGURE_SPAN).otherwise(FIGURE_SPAN)
+        inferred = F.coalesce(below_last(header), below_last(prose), end - page_height * span)
+        floor = end - page_height * F.when(across, WIDE_FIGURE_FLOOR).otherwise(FIGURE_FLOOR)
+        return F.greatest(F.lit(page_height * 0.05), F.least(inferred, floor), held)
+
+    def within(b: Column) -> Column:
+        mine = F.filter(lines, lambda l: _center(l).between(b["left"], b["right"]))
+        return bound(bound(mine, lambda m: start_of(b, m)), lambda y: _box(b["left"], y, b["right"] - b["left"], F.greatest(F.lit(40.0), end - y)))
+
+    return bound(F.when(across, _span(page_width * 0.035, page_width * 0.965)).otherwise(column_bounds(c["x"], c["width"], page_width)), within)
+
+
+def steady_region(region: Column, kind: Column, page_width: float = PAGE_WIDTH, page_height: float = PAGE_HEIGHT) -> Column:
+    """struct<x, y, width, height, recovered>: a region that is too flat for its kind grows upwards from its bottom."""
+    table, width, height = kind == "table", F.greatest(F.lit(1.0), region["width"]), F.greatest(F.lit(1.0), region["height"])
+    least = F.when(table, page_height * 0.075).otherwise(F.greatest(F.lit(page_height * 0.11), width / 6.5))
+    kept = (height >= least) & (width / height <= F.when(table, 9.0).otherwise(7.5))
+    bottom = F.least(F.lit(page_height * 0.975), region["y"] + height)
+    y = F.greatest(F.lit(page_height * 0.035), bottom - F.least(page_height * F.when(table, 0.3).otherwise(0.38), F.greatest(least, height * 2.4)))
+    grown = (F.greatest(F.lit(page_width * 0.02), region["x"]), y, F.least(F.lit(page_width * 0.96), width), bottom - y)
+    return F.struct(*[F.when(kept, region[n]).otherwise(g).alias(n) for n, g in zip(("x", "y", "width", "height"), grown, strict=True)], (~kept).alias("recovered"))
+
+
+def caption_regions(pages: DataFrame, page_width: float = PAGE_WIDTH, page_height: float = PAGE_HEIGHT) -> DataFrame:
+    """What figure and table captions of pages (doc_id, page, lines array<struct<text, x, y, width, height[, items]>>) stand for.
+
+    doc_id, page, line_no, kind, number, caption, x, y, width, height, recovered. A table's caption without
+    table rows near it gives none; a figure's always gives one. All within a page's row, and without a shuffle.
+    """
+    df = _with_rows(pages)
+    kind = lambda l: F.when(l["text"].rlike(FIGURE_CAPTION), "figure").otherwise("table")
+    part = lambda l, n: F.when(l["text"].rlike(FIGURE_CAPTION), F.regexp_extract(l["text"], FIGURE_CAPTION, n)).otherwise(F.regexp_extract(l["text"], TABLE_CAPTION, n))
+    fields = ("no", "text", "x", "y", "width", "height")
+    opened = F.transform(F.filter("l", lambda l: _is_caption(l["text"])), lambda l: F.struct(*[l[n].alias(n) for n in fields], kind(l).alias("kind"), part(l, 1).alias("number"), part(l, 2).alias("begin")))
+    df = once(df, "o", opened)
+    table = lambda c: F.when(c["kind"] == "table", _table_region(F.col("l"), F.col("r"), c, page_width, page_height))
+    df = once(df, "c", F.transform("o", lambda c: F.struct(*[c[n].alias(n) for n in (*fields, "kind", "number")], _whole_caption(F.col("l"), c, page_width).alias("whole"), table(c).alias("table"))))
+    region = lambda c: F.when(c["kind"] == "table", c["table"]).otherwise(_figure_region(F.col("l"), F.col("c"), c, page_width, page_height))
+    found = F.transform("c", lambda c: F.struct(c["no"].alias("line_no"), c["kind"].alias("kind"), c["number"].alias("number"), c["whole"]["text"].alias("caption"), region(c).alias("region")))
+    each = df.select("doc_id", "page", F.inline(F.filter(found, lambda f: f["region"].isNotNull())))
+    return each.withColumn("region", steady_region(F.col("region"), F.col("kind"), page_width, page_height)).select("doc_id", "page", "line_no", "kind", "number", "caption", "region.*")
+
+
 # ------------------------------------------------------------------ titles
 
 

@@ -137,3 +137,57 @@ def formula_candidates(spark, d):
     kind = "array<struct<text:string,x:double,y:double,width:double,height:double>>"
     page = F.element_at(F.array(*[F.array(*[line(*x) for x in lines]).cast(kind) for lines in _FORMULA_PAGES]), (F.col("doc_id") % 7 + 1).cast("int"))
     return geometry.formula_candidates(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), page.alias("lines"))).drop("page")
+
+
+def _page_lines(pages: list, shift=None):
+    """Lines of the page that doc_id chooses; @ stands for the document's number, and all may stand lower by a shift."""
+    moved = lambda n, v: F.lit(float(v)) + (shift if shift is not None and n == "y" else F.lit(0.0))
+    line = lambda t, *box: F.struct(F.replace(F.lit(t), F.lit("@"), F.col("doc_id").cast("string")).alias("text"), *[moved(n, v).alias(n) for n, v in zip(("x", "y", "width", "height"), box, strict=True)])
+    kind = "array<struct<text:string,x:double,y:double,width:double,height:double>>"
+    return F.element_at(F.array(*[F.array(*[line(*x) for x in lines]).cast(kind) for lines in pages]), (F.col("doc_id") % len(pages) + 1).cast("int"))
+
+
+_BOXES = " UNION ALL ".join(f"SELECT doc_id, {k} AS page, {n} AS line_no, replace('{t}', '@', doc_id::VARCHAR) AS text, {x}::DOUBLE AS x, {y}::DOUBLE AS y, {w}::DOUBLE AS w, {h}::DOUBLE AS h FROM documents WHERE doc_id % 7 = {k}" for k, page in enumerate(_FORMULA_PAGES) for n, (t, x, y, w, h) in enumerate(page))
+
+
+@query(f"""WITH f AS ({_FOUND}), l AS ({_BOXES}),
+b AS (SELECT *, x < 612 * 0.46 AND x + width > 612 * 0.54 OR width >= 612 * 0.62 AS wide, x + width / 2 < 306 AS at_left, greatest(7, height * 0.65) AS side, greatest(4, least(7, height * 0.24)) AS around FROM f),
+s AS (SELECT *, CASE WHEN wide OR at_left THEN 612 * 0.045 ELSE 306 + 612 * 0.025 END AS lo, CASE WHEN wide OR NOT at_left THEN 612 * 0.955 ELSE 306 - 612 * 0.025 END AS hi FROM b),
+n AS (SELECT s.doc_id, s.line_no, arg_min(l.y - l.h, l.y) AS stop FROM s JOIN l ON l.doc_id = s.doc_id AND l.y > s.y + s.height + 1 AND l.x + l.w / 2 BETWEEN s.lo AND s.hi GROUP BY ALL)
+SELECT doc_id, line_no, equation_number, round(greatest(lo, x - side), 6)::DOUBLE AS x, round(greatest(792 * 0.025, y - around), 6)::DOUBLE AS y, round(least(hi - greatest(lo, x - side), x + width - greatest(lo, x - side) + side), 6)::DOUBLE AS width,
+ round(greatest(height + around, least(y + height + around, coalesce(stop - 3, y + height + around)) - greatest(792 * 0.025, y - around)), 6)::DOUBLE AS height FROM s LEFT JOIN n USING (doc_id, line_no)""")
+def formula_regions(spark, d):
+    """The padded boxes of formula_candidates."""
+    found = geometry.formula_regions(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), _page_lines(_FORMULA_PAGES).alias("lines")))
+    return found.select("doc_id", "line_no", "equation_number", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
+
+
+#: Pages by doc_id % 6, all lower by doc_id % 32; and the regions there: line, kind, number, caption, x, y, width, height, whether recovered.
+_CAPTION_PAGES = [
+    [("Figure 1: Overall system of @", 105, 430, 402, 10), ("architecture across both columns.", 120, 443, 300, 10), ("body text of the left column here.", 42, 456, 250, 10)],
+    [("we keep the parameters of the model fixed while we train the adapters.", 42, 200, 245, 10), ("x", 330, 210, 20, 10), ("Figure 2: Left part of @.", 42, 500, 200, 10), ("Fig. 3 - Right part.", 330, 500, 200, 10)],
+    [("Table 1: Scores of @.", 42, 150, 240, 10), ("Model A", 42, 172, 60, 10), ("91.2", 150, 172, 20, 10), ("Model B", 42, 186, 60, 10), ("88.1", 150, 186, 20, 10), ("Figure 4: Below the table.", 42, 420, 220, 10)],
+    [("Method", 60, 300, 40, 10), ("Accuracy", 300, 300, 50, 10), ("Model A", 60, 314, 40, 10), ("91.2", 300, 314, 30, 10), ("Model @", 60, 328, 40, 10), ("84.0", 300, 328, 30, 10), ("Table 7: Scores of all, e.g.", 42, 350, 240, 10), ("those of both columns go on", 42, 363, 240, 10)],
+    [("Table 5: there is none", 42, 300, 240, 10), ("the text goes on in long sentences of prose without any table here.", 42, 330, 245, 10)],
+    [("running head of the paper", 42, 0, 200, 10), ("def f(x): return x and then we go on with many words here too.", 330, 300, 240, 10), ("Figure 6a: Code of @", 330, 480, 200, 10), ("that is hyphen-", 330, 493, 200, 10), ("ated here", 330, 506, 200, 10)],
+]
+_REGIONS = [
+    [(0, "figure", "1", "Overall system of @ architecture across both columns.", 21.42, 113.04, 569.16, 300.96, False)],
+    [(2, "figure", "2", "Left part of @.", 27.54, 217.0, 263.16, 267.0, False), (3, "figure", "3", "Right part.", 321.3, 183.04, 263.16, 300.96, False)],
+    [(0, "table", "1", "Scores of @.", 34.656, 102.4, 142.688, 99.6, True), (5, "figure", "4", "Below the table.", 27.54, 209.0, 263.16, 195.0, False)],
+    [(6, "table", "7", "Scores of all, e.g. those of both columns go on", 15.3, 210.8, 581.4, 133.2, True)],
+    [],
+    [(2, "figure", "6a", "Code of @ that is hyphenated here", 321.3, 163.04, 263.16, 300.96, False)],
+]
+_AT = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS line_no, '{kind}' AS kind, '{number}' AS number, replace('{t}', '@', doc_id::VARCHAR) AS caption, {x}::DOUBLE AS x, round({y} + doc_id % 32, 6)::DOUBLE AS y, {w}::DOUBLE AS width, {h}::DOUBLE AS height, {r} AS recovered FROM documents WHERE doc_id % 6 = {k}"
+    for k, page in enumerate(_REGIONS) for n, kind, number, t, x, y, w, h, r in page
+)
+
+
+@query(_AT)
+def caption_regions(spark, d):
+    """What the captions of a page a document stand for."""
+    shift = (F.col("doc_id") % 32).cast("double")
+    found = geometry.caption_regions(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), _page_lines(_CAPTION_PAGES, shift).alias("lines")))
+    return found.select("doc_id", "line_no", "kind", "number", "caption", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")], "recovered")
