@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import classify, evaluate, ground, identity, latex, monitor, retrieve, revise, sets
 from ..operators.registry import Operator, Registry
 from ..sources import files
-from . import agents, analysis, assets, base, exchange, grounding, identities, layout, results, retrieval
+from . import agents, analysis, assets, base, exchange, grounding, identities, layout, panels, results, retrieval
 from .base import query, table
 
 _t = table
