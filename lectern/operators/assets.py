@@ -29,6 +29,7 @@ APPENDIX, SECONDARY = r"(?i)appendix|supplement|附录", r"(?i)secondary|additio
 MECHANISM = r"(?i)\b(?:objective|likelihood|probability|distribution|marginali[sz](?:e|ed|es|ation|ing)?|latent variable|loss|posterior|transition|optimization|update rule|attention|projection|entropy|fusion|score)\b|目标函数|概率|分布|边缘化|隐变量|损失|后验|优化|更新规则|注意力|投影|熵|融合|得分"
 SAMPLE = (r"\bsample (?:figure|table)(?: caption| title)?\b", r"\b(?:replace this|placeholder) (?:figure|table)\b")
 MINIMAX = r"(?is)\bmin\b.{0,20}\bmax\b.{0,30}V\s*\(\s*D\s*,\s*G\s*\)"
+IMAGE_MECHANISM = r"\b(?:score|objective|likelihood|probability|loss|posterior|attention|projection)\b"
 RECOMMENDED_POINTS = {"formula": 18, "table": 4, "figure": 12}
 PURPOSES = {"formula": "Core mechanism", "table": "Main experimental evidence", "figure": "Method or result overview"}
 NO_INSIGHT = "Selected as key source evidence for the poster."
@@ -229,6 +230,31 @@ def formula_decision(formulas: Column, theory: Column, method: Column, kind: Col
     return F.struct(required.alias("required"), F.size(fit).alias("available"))
 
 
+def recovered_formulas(chosen: DataFrame, rows: DataFrame, papers: DataFrame) -> DataFrame:
+    """doc_id, place, rank of the source's best formula for each paper that would show none but a plan asks for one.
+
+    chosen: (doc_id) of papers that show a formula or an image of one; rows: the source's ranked assets; papers: (doc_id, kind).
+    A plan stands for what method and theory say, so any plausible formula will do; guidelines go without.
+    """
+    best = rows.filter("type = 'formula' and rank = 1").select("doc_id", "place", "rank")
+    asked = papers.filter(text_of(F.col("kind")) != "guideline").select("doc_id").distinct()
+    return best.join(asked, "doc_id", "left_semi").join(chosen.select("doc_id"), "doc_id", "left_anti")
+
+
+def shows_mechanism(name: Column, caption: Column) -> Column:
+    """Whether an image of a formula is one of how a paper works."""
+    text = strict_key(F.concat_ws(" ", text_of(name), text_of(caption)))
+    return text.rlike(CORE_FORMULA) | (text.rlike(IMAGE_MECHANISM) & text_of(caption).rlike("[=≈≃∝]"))
+
+
+def formula_images(rows: DataFrame, limit: int = LIMITS["formula"]) -> DataFrame:
+    """The images of formulas to show, of ranked ones (doc_id, rank, name, caption, recommended): what is recommended, else what shows the mechanism, else the best."""
+    doc = Window.partitionBy("doc_id")
+    level = F.when(F.col("recommended"), 2).when(shows_mechanism(F.col("name"), F.col("caption")), 1).otherwise(0)
+    told = rows.withColumn("_level", level).withColumn("_most", F.max("_level").over(doc)).filter("_level = _most")
+    return told.withColumn("pos", F.row_number().over(doc.orderBy("rank")) - 1).filter(F.col("pos") < limit).drop("_level", "_most")
+
+
 # ------------------------------------------------------------------ artwork and captions from another source
 
 

@@ -138,6 +138,27 @@ def formula_decision(spark, d):
     return both.select("doc_id", A.formula_decision(F.col("fs"), F.col("theory"), F.col("method"), F.col("kind"), F.lit(False)).alias("x")).select("doc_id", "x.*")
 
 
+@query(f"WITH {RANKED} SELECT doc_id, place::INT AS place FROM ranked WHERE type = 'formula' AND rank = 1 AND kind <> 'guideline' AND doc_id % 3 <> 0")
+def recovered_formulas(spark, d):
+    """A formula for each paper whose selection, here that of every third document only, shows none."""
+    chosen = table(spark, d, "documents").select("doc_id").filter("doc_id % 3 = 0")
+    return A.recovered_formulas(chosen, A.ranked(assets(spark, d), analysis(spark, d)), analysis(spark, d).select("doc_id", "kind")).select("doc_id", "place")
+
+
+_IMAGES = f"""i AS (SELECT doc_id, idx, rank, CASE WHEN idx = 3 AND doc_id % 4 = 3 THEN 'attention score' ELSE name END AS name, caption, rec IS NOT NULL AND doc_id % 2 = 0 AS recommended FROM ranked WHERE type = 'formula'),
+k AS (SELECT *, {key_sql("name || ' ' || caption")} AS text FROM i),
+v AS (SELECT *, CASE WHEN recommended THEN 2 WHEN {_has(A.CORE_FORMULA)} OR regexp_matches(text, '\\b(?:score|objective|likelihood|probability|loss|posterior|attention|projection)\\b') AND regexp_matches(caption, '[=≈≃∝]') THEN 1 ELSE 0 END AS level FROM k),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, level ORDER BY rank) - 1 AS pos, max(level) OVER (PARTITION BY doc_id) AS most FROM v)"""
+
+
+@query(f"WITH {RANKED}, {_IMAGES} SELECT doc_id, pos::INT AS pos, idx::INT AS idx FROM w WHERE level = most AND pos < 2")
+def formula_images(spark, d):
+    """Images of formulas by recommendation, by mechanism or by rank, as the document's id has it."""
+    rows = A.ranked(assets(spark, d), analysis(spark, d)).filter("type = 'formula'")
+    told = rows.withColumns({"name": F.expr("if(idx = 3 and doc_id % 4 = 3, 'attention score', name)"), "recommended": F.expr("recommended and doc_id % 2 = 0")})
+    return A.formula_images(told).select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("idx").cast("int").alias("idx"))
+
+
 # ------------------------------------------------------------------ captions and pages
 
 #: Pairs of captions around each benchmark item: the first source's, and the page's.

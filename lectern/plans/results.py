@@ -301,6 +301,25 @@ def section_notes(spark, d):
     return R.section_notes(analysis, evidence, "conv_id").select("conv_id", "section", md5(F.col("summary")).alias("summary_md5"), F.array_join("locations", "|").alias("locations"))
 
 
+#: Formulas by doc_id % 6, with @ for the document's number, and their HTML.
+_READABLE = [
+    ("min_G max_D V(D,G) = E_x[log D(x)] + @", '<span class="math-operator">min</span><sub>G</sub> <span class="math-operator">max</span><sub>D</sub> V(D,G) <wbr>= E<sub>x</sub>[log D(x)] <wbr>+ @'),
+    ("\\mathbb{E}_{x~p_data(x)}[\\log D(x|y_@)]", '<span class="math-expectation">𝔼</span><sub>x∼p_data(x)</sub>[log D(x∣y<sub>@</sub>)]'),
+    ("$x^2 ≤ y^{n+@} - \\mathbf{w}_1$", "x<sup>2</sup> ≤y<sup>n+@</sup> <wbr>- w<sub>1</sub>"),
+    ("a < b & 'c' > @", "a &lt; b &amp; &#039;c&#039; &gt; @"),
+    ("\\left( E_{a} + E_{b<@} \\right)", '( <span class="math-expectation">𝔼</span><sub>a</sub> <wbr>+ <span class="math-expectation">𝔼</span><sub>b&lt;@</sub> )'),
+    ("", ""),
+]
+_HTML = "[" + ", ".join("'" + h.replace("'", "''") + "'" for _, h in _READABLE) + "]"
+
+
+@query(f"SELECT doc_id, replace(({_HTML})[doc_id % 6 + 1], '@', doc_id::VARCHAR) AS html FROM documents")
+def readable_formulas(spark, d):
+    """A formula a document as HTML."""
+    one = F.element_at(F.array(*[F.lit(x) for x, _ in _READABLE]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", S.readable_math(F.replace(one, F.lit("@"), F.col("doc_id").cast("string"))).alias("html"))
+
+
 # ------------------------------------------------------------------ scalar forms
 
 #: Texts with what the scalar functions look for, around each benchmark item.

@@ -70,3 +70,18 @@ def test_compressed_is_a_subsequence_within_budget(spark):
 def test_round_budgets(spark):
     assert one(spark, P.round_budget(F.lit(6500), F.col("r")), r=6) == 29000
     assert one(spark, P.round_chunks(F.lit(5), F.col("r")), r=6) == 18
+
+
+def test_readable_math(spark):
+    """Indices never nest, what stands under an expectation is escaped only, and text without a formula is escaped."""
+    from lectern.functions import spans
+
+    forms = {
+        "min_G E_{x~p_data(x)}[D(x|y)]": '<span class="math-operator">min</span><sub>G</sub> <span class="math-expectation">𝔼</span><sub>x∼p_data(x)</sub>[D(x∣y)]',
+        "X_fake = G(c, z)": "X_fake <wbr>= G(c, z)".replace("X_fake", "X<sub>fake</sub>"),
+        "x^{2} + y^10": "x<sup>2</sup> <wbr>+ y<sup>10</sup>",
+        "<b> 'q'": "&lt;b&gt; &#039;q&#039;",
+        "": "",
+    }
+    df = spark.createDataFrame([*forms.items(), (None, "")], "x string, html string")
+    assert [r for r in df.select("html", spans.readable_math(df.x).alias("got")).collect() if r.html != r.got] == []
