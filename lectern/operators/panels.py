@@ -169,3 +169,59 @@ def two_columns(papers: DataFrame, aspects: list[float] = ASPECTS) -> DataFrame:
     tried = F.get(shapes, F.col("best.n"))
     aspect = F.least(F.lit(2.1), F.greatest(tried, 1 / F.greatest(F.col("best.bottom"), F.lit(0.001))))
     return df.select("doc_id", aspect.alias("aspect"), ratio.alias("ratio"), F.col("best.mask").alias("mask"), F.col("best.loss").alias("loss"), panels.alias("panels"))
+
+
+# How much each section counts and its usual shape, and what its content adds.
+SECTIONS = {"problem": (0.95, 1.35), "motivation": (0.9, 1.35), "method": (1.35, 1.75), "theory": (1.15, 1.05), "visuals": (1.55, 2.25), "results": (1.2, 1.05), "contribution": (0.78, 4.2)}
+OTHER_SECTION = (1.0, 1.35)
+PRIORITIES = {"high": 1.16, "supporting": 0.82}
+MEDIA_WEIGHTS = {"n_images": 1.45, "n_drawings": 0.9, "n_diagrams": 0.85, "n_figures": 0.55, "n_formulas": 0.65, "n_table_figures": 1.15}
+
+
+def panel_features(rows: DataFrame) -> DataFrame:
+    """Panels by their content with weight, aspect, min_width, min_height, has_table and samples, as two_columns takes them.
+
+    rows: (…, id, priority, text_chars, image_aspects and drawing_aspects array<double>, groups array<array<double>> of figures' shapes,
+    n_diagrams, n_figures, n_formulas, n_table_rows, n_table_figures, n_table_images, n_multi, samples). Missing numbers count as 0;
+    a measured height is never below what its figures need to be read.
+    """
+    counts = ["text_chars", "n_diagrams", "n_figures", "n_formulas", "n_table_rows", "n_table_figures", "n_table_images", "n_multi"]
+    listed = lambda n: F.coalesce(F.filter(n, lambda a: a > 0), F.array().cast("array<double>"))
+    df = rows.withColumns({n: F.coalesce(n, F.lit(0)) for n in counts} | {n: listed(n) for n in ("image_aspects", "drawing_aspects")})
+    df = df.withColumns({"n_images": F.size("image_aspects"), "n_drawings": F.size("drawing_aspects")})
+    df = once(df, "_media", F.concat("image_aspects", "drawing_aspects"))
+    floored = F.transform("samples", lambda s: F.struct(s["width"].cast("double").alias("width"), F.greatest(s["height"].cast("double"), figure_floor(F.col("groups"), s["width"])).alias("height")))
+    df = once(df, "_sizes", floored).drop("samples").withColumnRenamed("_sizes", "samples")
+    bias = lambda k: F.coalesce(*[F.when(F.col("id") == n, F.lit(v[k])) for n, v in SECTIONS.items()], F.lit(OTHER_SECTION[k]))
+    df = once(df, "_at", F.struct(*[height_at(F.col("samples"), F.lit(float(w))).alias(n) for n, w in (("text", 560), ("diagram", 1120), ("compact", CANVAS - 40))], aspect_at(F.col("samples"), F.lit(560.0), bias(1)).alias("shape")))
+    c, at = F.col, lambda n: F.col(f"_at.{n}")
+    table = (c("n_table_figures") > 0) | (c("n_table_rows") > 0)
+    rich = (c("n_images") > 0) | (c("n_drawings") > 0) | (c("n_formulas") > 1)
+    factor = F.coalesce(*[F.when(c("priority") == k, F.lit(v)) for k, v in PRIORITIES.items()], F.lit(1.0))
+    media = sum((c(n) * v for n, v in MEDIA_WEIGHTS.items()), F.least(c("n_table_rows"), F.lit(10)) * 0.12)
+    measured = F.when(at("text") > 0, _clamp(at("text") / 210, 0.75, 3.8)).otherwise(1.0)
+    weight = _clamp((0.55 + _clamp(c("text_chars") / 260, 0.45, 2.8) + media + measured) * bias(0) * factor, 0.75, 9.5)
+    mean = F.aggregate("_media", F.lit(0.0), lambda s, a: s + a) / F.nullif(F.size("_media"), F.lit(0))
+    grouped = F.coalesce(mean, bias(1)) * F.when(F.size("_media") > 1, 1.35).otherwise(1.0)
+    shape = F.when((c("n_multi") > 0) | (c("n_figures") > 1), F.greatest(grouped, F.lit(1.35))).otherwise(grouped)
+    alone = F.when(F.size("_media") > 0, shape).otherwise(at("shape") * 0.82 + bias(1) * 0.18)
+    shown = F.aggregate(F.coalesce("groups", F.array().cast("array<array<double>>")), F.lit(0), lambda s, g: s + F.size(g))
+    width = (
+        F.when(c("id") == "contribution", 0.28).when(c("id") == "problem", 0.26)
+        .when(table, F.when((c("n_table_figures") > 1) | (c("n_table_images") > 1), 0.46).otherwise(0.36))
+        .when((shown > 1) | ((shown > 0) & F.exists("_media", lambda a: a < 2.2)), 0.46)
+        .when((c("n_multi") > 0) & (c("n_figures") > 1), 0.42)
+        .when(F.exists("_media", lambda a: a >= 1.45) | (c("n_images") > 0) | (c("n_formulas") > 0), 0.4)
+        .when(rich, 0.3).otherwise(0.16)
+    )
+    content = _clamp(0.13 + c("text_chars") / 6000, 0.13, 0.19)
+    text = F.when(at("text") > 0, _clamp((at("text") + 18) / CANVAS, 0.085, 0.19)).otherwise(content)
+    diagram = F.when(~rich & (at("diagram") > 0), _clamp((at("diagram") + 18) / CANVAS, 0.095, 0.16)).otherwise(text)
+    summary = F.least(F.when(c("id") == "problem", 0.16).otherwise(0.145), F.greatest(F.lit(0.075), (at("compact") + 14) / CANVAS))
+    height = (
+        F.when(c("id").isin("problem", "contribution") & (at("compact") > 0), summary)
+        .when(table, _clamp(0.215 + F.least(c("n_table_rows"), F.lit(12)) * 0.004, 0.215, 0.255))
+        .when(rich, F.greatest(F.lit(0.2), content)).when(c("n_diagrams") > 0, diagram).otherwise(text)
+    )
+    made = {"weight": F.when(table, _clamp(weight * 1.22, 0.75, 9.5)).otherwise(weight), "aspect": F.when(table, _clamp((shape + 1.45) / 2, 1.45, 2.45)).otherwise(_clamp(alone, 0.75, 6.8)), "min_width": width, "min_height": height, "has_table": table}
+    return df.withColumns(made).drop("_media", "_at")

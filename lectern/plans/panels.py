@@ -62,3 +62,34 @@ def panel_columns(spark, d):
     found = panels.two_columns(_papers(spark, d))
     tall = lambda left: F.round(F.aggregate(F.filter("panels", lambda p: (p["x"] == 0) == F.lit(left)), F.lit(0.0), lambda s, p: s + p["h"]), 6)
     return found.select("doc_id", F.round("aspect", 6).alias("aspect"), "ratio", "mask", F.round("loss", 3).alias("loss"), tall(True).alias("left_height"), tall(False).alias("right_height"))
+
+
+_CLAMP = "least({2}, greatest({1}, {0}))".format
+_FLOOR = "CASE WHEN drawn THEN " + _CLAMP("((greatest(120, {w} - 24) - 8 * (k - 1)) / k / a)", "CASE WHEN a < 1.15 THEN 180 ELSE 110 END", "CASE WHEN a < 1.15 THEN 520 ELSE 620 END") + " + 78 ELSE 0 END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, ['problem', 'motivation', 'method', 'theory', 'visuals', 'results', 'contribution'][doc_id % 7 + 1] AS id, [0.95, 0.9, 1.35, 1.15, 1.55, 1.2, 0.78][doc_id % 7 + 1]::DOUBLE AS base, [1.35, 1.35, 1.75, 1.05, 2.25, 1.05, 4.2][doc_id % 7 + 1]::DOUBLE AS usual,
+ coalesce(n_chars, 0) AS chars, doc_id % 3 AS k, 1 + 0.5::DOUBLE * (doc_id % 5) AS a, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS svg, doc_id % 2 = 0 AND doc_id % 3 > 0 AS drawn, (doc_id % 5 = 0)::INT AS diagrams, doc_id % 4 AS formulas, CASE WHEN doc_id % 6 = 1 THEN 14 ELSE 0 END AS trows, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 0 END AS tfigs, (doc_id % 13 = 0) AS multi,
+ doc_id % 9 = 0 AS none, (120 + 40 * (doc_id % 10))::DOUBLE AS t, [1.16, 0.82, 1][doc_id // 7 % 3 + 1]::DOUBLE AS factor FROM documents),
+h AS (SELECT *, CASE WHEN none THEN 0 ELSE greatest(t / 2, {_FLOOR.format(w=560)}) END AS h2, CASE WHEN none THEN 0 ELSE greatest(t / 4, {_FLOOR.format(w=1120)}) END AS h3, k + svg AS media, tfigs + trows > 0 AS tab, k + svg > 0 OR formulas > 1 AS rich FROM x),
+m AS (SELECT *, h3 * greatest(0.95, pow(1120 / 1560, 0.2)) AS h4, CASE WHEN h2 > 0 THEN {_CLAMP('560 / h2', 0.75, 6.8)} ELSE usual END AS seen, (CASE WHEN media > 0 THEN (k * a + svg * 2.4) / media ELSE usual END) * CASE WHEN media > 1 THEN 1.35 ELSE 1 END AS grouped FROM h),
+s AS (SELECT *, CASE WHEN multi OR k > 1 THEN greatest(grouped, 1.35) ELSE grouped END AS shape, {_CLAMP('0.13 + chars / 6000', 0.13, 0.19)} AS content,
+ {_CLAMP(f"(0.55 + {_CLAMP('chars / 260', 0.45, 2.8)} + k * 1.45 + svg * 0.9 + diagrams * 0.85 + k * 0.55 + formulas * 0.65 + tfigs * 1.15 + least(trows, 10) * 0.12 + CASE WHEN h2 > 0 THEN {_CLAMP('h2 / 210', 0.75, 3.8)} ELSE 1 END) * base * factor", 0.75, 9.5)} AS weight FROM m),
+l AS (SELECT *, CASE WHEN h2 > 0 THEN {_CLAMP('(h2 + 18) / 1600', 0.085, 0.19)} ELSE content END AS low FROM s)
+SELECT doc_id, id, round(CASE WHEN tab THEN {_CLAMP('weight * 1.22', 0.75, 9.5)} ELSE weight END, 6)::DOUBLE AS weight, round(CASE WHEN tab THEN {_CLAMP('(shape + 1.45) / 2', 1.45, 2.45)} ELSE {_CLAMP('CASE WHEN media > 0 THEN shape ELSE seen * 0.82 + usual * 0.18 END', 0.75, 6.8)} END, 6)::DOUBLE AS aspect,
+ (CASE WHEN id = 'contribution' THEN 0.28 WHEN id = 'problem' THEN 0.26 WHEN tab THEN CASE WHEN tfigs > 1 THEN 0.46 ELSE 0.36 END WHEN drawn AND (k > 1 OR a < 2.2 OR svg > 0 AND 2.4 < 2.2) THEN 0.46 WHEN multi AND k > 1 THEN 0.42 WHEN k > 0 OR svg > 0 OR formulas > 0 THEN 0.4 ELSE 0.16 END)::DOUBLE AS min_width,
+ round(CASE WHEN id IN ('problem', 'contribution') AND h4 > 0 THEN {_CLAMP('(h4 + 14) / 1600', 0.075, "CASE WHEN id = 'problem' THEN 0.16 ELSE 0.145 END")} WHEN tab THEN {_CLAMP('0.215 + least(trows, 12) * 0.004', 0.215, 0.255)} WHEN rich THEN greatest(0.2, content) WHEN diagrams > 0 AND h3 > 0 THEN {_CLAMP('(h3 + 18) / 1600', 0.095, 0.16)} ELSE low END, 6)::DOUBLE AS min_height FROM l""")
+def panel_features(spark, d):
+    """Weight, shape and least sizes of a panel a document, by what its id puts there."""
+    i = F.col("doc_id")
+    flag = lambda n: (i % n == 0).cast("int")
+    images = F.array_repeat(1 + (i % 5) * 0.5, (i % 3).cast("int"))
+    tall = 120 + 40 * (i % 10)
+    sizes = F.array(*[F.struct(F.lit(float(w)).alias("width"), (tall * share).cast("double").alias("height")) for w, share in ((280, 1.0), (560, 0.5), (1120, 0.25))])
+    columns = {
+        "id": F.element_at(F.array(*[F.lit(n) for n in _IDS]), (i % 7 + 1).cast("int")), "priority": F.element_at(F.array(F.lit("high"), F.lit("supporting"), F.lit("")), (F.floor(i / 7) % 3 + 1).cast("int")), "text_chars": F.col("n_chars"),
+        "image_aspects": images, "drawing_aspects": F.when(i % 4 == 0, F.array(F.lit(2.4))), "groups": F.when(i % 2 == 0, F.array(images)), "n_diagrams": flag(5), "n_figures": i % 3, "n_formulas": i % 4, "n_table_rows": F.when(i % 6 == 1, 14),
+        "n_table_figures": flag(11) * 2, "n_table_images": flag(11), "n_multi": flag(13), "samples": F.when(i % 9 == 0, F.slice(sizes, 1, 0)).otherwise(sizes),
+    }
+    made = panels.panel_features(table(spark, d, "documents").select("doc_id", *[v.alias(k) for k, v in columns.items()]))
+    return made.select("doc_id", "id", F.round("weight", 6).alias("weight"), F.round("aspect", 6).alias("aspect"), F.col("min_width").cast("double").alias("min_width"), F.round("min_height", 6).alias("min_height"))

@@ -94,3 +94,57 @@ def test_figure_floor(spark):
     df = spark.createDataFrame(rows, "id int, g array<array<double>>, w double")
     got = {r.id: r.f for r in df.select("id", P.figure_floor(F.col("g"), F.col("w")).alias("f")).collect()}
     assert got == {1: 520 + 78, 2: 520 + 110 + 78, 3: 0, 4: 0, 5: 0}
+
+
+def features_of(p):
+    """Weight, aspect and least sizes of one panel, step by step."""
+    sections = dict(problem=(0.95, 1.35), motivation=(0.9, 1.35), method=(1.35, 1.75), theory=(1.15, 1.05), visuals=(1.55, 2.25), results=(1.2, 1.05), contribution=(0.78, 4.2))
+    base, usual = sections.get(p["id"], (1.0, 1.35))
+    hold = lambda v, a, b: min(b, max(a, v))
+
+    def floor(w):
+        out = 0
+        for g in filter(None, p["groups"]):
+            per = min(2, len(g))
+            each = (max(120, w - 24) - 8 * (per - 1)) / per
+            tops = [hold(each / a, *((180, 520) if a < 1.15 else (110, 620))) for a in g]
+            out += 78 + sum(max(tops[k : k + per]) for k in range(0, len(g), per))
+        return out
+
+    sizes = [(w, max(h, floor(w))) for w, h in p["samples"]]
+    at = lambda w: tall(sizes, w)
+    media, text = p["image_aspects"] + p["drawing_aspects"], p["text_chars"]
+    table, rich = p["n_table_figures"] + p["n_table_rows"] > 0, bool(media) or p["n_formulas"] > 1
+    w = 0.55 + hold(text / 260, 0.45, 2.8) + (hold(at(560) / 210, 0.75, 3.8) if at(560) else 1)
+    w += len(p["image_aspects"]) * 1.45 + len(p["drawing_aspects"]) * 0.9 + p["n_diagrams"] * 0.85 + p["n_figures"] * 0.55 + p["n_formulas"] * 0.65 + min(p["n_table_rows"], 10) * 0.12 + p["n_table_figures"] * 1.15
+    w = hold(w * base * {"high": 1.16, "supporting": 0.82}.get(p["priority"], 1), 0.75, 9.5)
+    shape = (sum(media) / len(media) if media else usual) * (1.35 if len(media) > 1 else 1)
+    if p["n_multi"] or p["n_figures"] > 1:
+        shape = max(shape, 1.35)
+    aspect = hold((shape + 1.45) / 2, 1.45, 2.45) if table else hold(shape if media else 0.82 * (hold(560 / at(560), 0.75, 6.8) if at(560) else usual) + 0.18 * usual, 0.75, 6.8)
+    shown = sum(map(len, p["groups"]))
+    rules = [(p["id"] == "contribution", 0.28), (p["id"] == "problem", 0.26), (table, 0.46 if p["n_table_figures"] > 1 or p["n_table_images"] > 1 else 0.36), (shown > 1 or (shown and any(a < 2.2 for a in media)), 0.46), (p["n_multi"] and p["n_figures"] > 1, 0.42), (any(a >= 1.45 for a in media) or p["image_aspects"] or p["n_formulas"], 0.4), (rich, 0.3), (True, 0.16)]
+    content = hold(0.13 + text / 6000, 0.13, 0.19)
+    low = hold((at(560) + 18) / 1600, 0.085, 0.19) if at(560) else content
+    drawn = hold((at(1120) + 18) / 1600, 0.095, 0.16) if at(1120) and not rich else low
+    if p["id"] in ("problem", "contribution") and at(1560):
+        height = hold((at(1560) + 14) / 1600, 0.075, 0.16 if p["id"] == "problem" else 0.145)
+    else:
+        height = hold(0.215 + min(p["n_table_rows"], 12) * 0.004, 0.215, 0.255) if table else max(0.2, content) if rich else drawn if p["n_diagrams"] else low
+    return hold(w * 1.22, 0.75, 9.5) if table else w, aspect, next(v for on, v in rules if on), height
+
+
+def test_panel_features_equal_loops(spark):
+    rng = random.Random(2)
+    some = lambda most: [rng.choice([0.6, 1.0, 1.5, 2.4, 5.0]) for _ in range(rng.randint(0, most))]
+    rows = []
+    for k in range(300):
+        p = {"k": k, "id": rng.choice([*IDS, "quality"]), "priority": rng.choice(["high", "supporting", "", None]), "text_chars": rng.choice([0, 90, 400, 2000]), "image_aspects": some(2) if k % 2 else [], "drawing_aspects": some(2) if k % 3 else [], "groups": [some(3) for _ in range(rng.randint(0, 2))]}
+        p |= {n: rng.choice([0, 0, 0, 1, 2]) for n in ("n_diagrams", "n_figures", "n_formulas", "n_table_figures", "n_table_images", "n_multi")} | {"n_table_rows": rng.choice([0, 0, 5, 20])}
+        rows.append(p | {"samples": [(float(w), rng.uniform(50, 700)) for w in sorted(rng.sample([280, 420, 560, 1120, 1560], rng.randint(0, 4)))]})
+    kind = "k int, id string, priority string, text_chars int, image_aspects array<double>, drawing_aspects array<double>, groups array<array<double>>, n_diagrams int, n_figures int, n_formulas int, n_table_figures int, n_table_images int, n_multi int, n_table_rows int, samples array<struct<width:double,height:double>>"
+    df = spark.createDataFrame([tuple(p[c.split(" ")[0]] for c in kind.split(", ")) for p in rows], kind)
+    got = {r.k: (r.weight, r.aspect, r.min_width, r.min_height) for r in P.panel_features(df).select("k", "weight", "aspect", "min_width", "min_height").collect()}
+    assert len(got) == 300
+    for p in rows:
+        assert got[p["k"]] == pytest.approx(features_of(p)), p
