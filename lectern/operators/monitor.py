@@ -33,9 +33,18 @@ def call_pairs(events: DataFrame, keys: list[str], at: str, status: str, opens:
 ERRORS = [("billing", r"(?i)\b402\b|insufficient balance|payment required|billing"), ("key", r"(?i)\b401\b|authentication fails|invalid api key|unauthorized"), ("rate", r"(?i)\b429\b|rate limit|too many requests|quota")]
 
 
+# A status code at the beginning of a message, and the codes that tell a class.
+LEADING_CODE, CODES = r"(?i)^\W*(?:(?:https?|error|status|code)\W+)*[1-5]\d\d\b", r"\b(?:401|402|429)\b"
+
+
 def error_class(message: Column) -> Column:
-    """Whether the balance, the key or the rate was refused, or something else went wrong."""
-    return F.coalesce(*[F.when(message.rlike(p), kind) for kind, p in ERRORS], F.lit("other"))
+    """Whether the balance, the key or the rate was refused, or something else went wrong.
+
+    In a message that begins with its status code, later numbers are no codes (but ids and the like).
+    """
+    lead = F.regexp_extract(message, LEADING_CODE, 0)
+    x = F.when(lead != "", F.concat(lead, F.regexp_replace(F.substring(message, F.length(lead) + 1, F.length(message)), CODES, ""))).otherwise(message)
+    return F.coalesce(*[F.when(x.rlike(p), kind) for kind, p in ERRORS], F.lit("other"))
 
 
 def sessions(events: DataFrame, key: str, at: str, gap_seconds: int) -> DataFrame:
