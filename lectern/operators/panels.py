@@ -1,14 +1,18 @@
 """Panels of a report page: their heights by width, how badly a place suits them, and the best arrangement in two columns.
 
 A paper's panels stand in its row (doc_id, panels array<struct<id, weight, aspect, min_width, min_height, has_table,
-samples array<struct<width, height>>>>), in reading order. Sizes are shares of the page's width. All is
-built-in expressions and without a shuffle; a paper has seven panels at most, so the candidates are bounded.
+samples array<struct<width, height>>>>), in reading order. Sizes are shares of the page's width. Nothing is shuffled;
+a paper has seven panels at most, so the candidates are bounded.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.arrays import bound, once
 
@@ -29,19 +33,27 @@ def height_at(samples: Column, width: Column) -> Column:
 
     Sizes that aren't above 0 don't count; of two at one width either may.
     """
+    return bound(_points(samples), lambda p: _height(p, width))
+
+
+def _points(samples: Column) -> Column:
+    """The measured sizes that count, by width."""
     number = lambda s: F.struct(s["width"].cast("double").alias("width"), s["height"].cast("double").alias("height"))
-    points = F.array_sort(F.transform(F.filter(F.coalesce(samples, F.array().cast("array<struct<width:double,height:double>>")), lambda s: (s["width"] > 0) & (s["height"] > 0)), number))
+    return F.array_sort(F.transform(F.filter(F.coalesce(samples, F.array().cast("array<struct<width:double,height:double>>")), lambda s: (s["width"] > 0) & (s["height"] > 0)), number))
+
 
-    def among(p: Column) -> Column:
+def _height(p: Column, width: Column) -> Column:
+    """height_at of a panel's _points."""
+
+    def among(upper: Column) -> Column:  # place of the first size that isn't narrower
         first, last = F.get(p, F.lit(0)), F.try_element_at(p, F.lit(-1))
-        upper = F.size(F.filter(p, lambda s: s["width"] < width))  # place of the first size that isn't narrower
         a, b = F.get(p, upper - 1), F.get(p, upper)
         between = a["height"] + (b["height"] - a["height"]) * (width - a["width"]) / (b["width"] - a["width"])
         narrow = first["height"] * F.pow(first["width"] / F.greatest(width, F.lit(80.0)), F.lit(0.7))
         wide = F.greatest(last["height"] * 0.95, last["height"] * F.pow(last["width"] / width, F.lit(0.2)))
         return F.when(F.size(p) == 0, 0.0).when(width <= first["width"], narrow).when(width >= last["width"], wide).otherwise(between)
 
-    return bound(points, among)
+    return bound(F.size(F.filter(p, lambda s: s["width"] < width)), among)
 
 
 def aspect_at(samples: Column, width: Column, fallback: Column) -> Column:
@@ -67,108 +79,126 @@ def figure_floor(groups: Column, width: Column) -> Column:
     return F.when(width > 0, total).otherwise(0.0)
 
 
-def panel_height(panel: Column, width: Column) -> Column:
-    """Height, as a share of the page's width, that a panel needs in a column of some pixels."""
-    room = F.when(F.coalesce(panel["has_table"], F.lit(False)), 24).otherwise(18)
-    needs = bound(height_at(panel["samples"], width), lambda h: F.when(h > 0, (h + room) / CANVAS).otherwise(0.13))
-    return F.greatest(F.coalesce(F.nullif(panel["min_height"], F.lit(0.0)), F.lit(0.09)), needs)
-
-
-def panel_loss(panel: Column, w: Column, h: Column) -> Column:
-    """How badly a place of a width and height suits a panel: its shape, its least sizes, cut content and blank room."""
-    positive = lambda x: F.greatest(F.lit(0.0), x)
-    weight = panel["weight"]
-
-    def shaped(shape: Column) -> Column:
-        narrow = positive(F.greatest(F.lit(0.16), F.coalesce(panel["min_width"], F.lit(0.0))) - w)
-        low = positive(F.greatest(F.lit(0.075), F.coalesce(F.nullif(panel["min_height"], F.lit(0.0)), F.lit(0.13))) - h)
-        portrait = positive(0.62 - shape)
-        broken = narrow + low + portrait
-        loss = F.abs(F.log(shape / panel["aspect"])) * weight + F.when(broken > 0, 100_000 + broken * weight * 100_000).otherwise(0.0)
-        loss += positive(0.18 - w) * 24 + positive(0.14 - h) * 24 + portrait * weight * 20
-        loss += F.when((h > 0.42) & (w < 0.24), (0.24 - w + h - 0.42) * weight * 30).otherwise(0.0)
-        return loss + F.when(panel["aspect"] >= 2.4, positive(1.45 - shape) * weight * 18).otherwise(0.0)
-
-    def filled(needs: Column) -> Column:
-        has = F.greatest(F.lit(80.0), h * CANVAS - 8)
-        cut = F.when(needs > has, 250_000 + (needs - has) * weight * 2_500).otherwise(0.0)
-        return F.when(needs > 0, cut + positive(has / needs - 1.18) * weight * 48).otherwise(0.0)
-
-    return bound(F.greatest(w / F.greatest(h, F.lit(0.001)), F.lit(0.05)), shaped) + bound(height_at(panel["samples"], F.greatest(F.lit(120.0), w * CANVAS - 8)), filled)
+#: Widths of the columns by side and ratio, and how many arrangements' papers are worked on at once.
+_WIDTHS = np.array([RATIOS, [1 - r for r in RATIOS]])
+_AT_ONCE = 256
+
+
+def panel_heights(tall: np.ndarray, table: np.ndarray, least_height: np.ndarray) -> np.ndarray:
+    """Heights, as shares of the page's width, that panels need where their content is so tall (in pixels; 0: not measured)."""
+    needs = np.where(tall > 0, (tall + np.where(table > 0, 24, 18)) / CANVAS, 0.13)
+    return np.maximum(np.where(least_height > 0, least_height, 0.09), needs)
+
+
+def panel_losses(weight: np.ndarray, aspect: np.ndarray, least_width: np.ndarray, least_height: np.ndarray, tall: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How badly places of a width and height suit panels: their shape, their least sizes, cut content and blank room."""
+    positive = lambda x: np.maximum(0.0, x)
+    shape = np.maximum(w / np.maximum(h, 0.001), 0.05)
+    narrow = positive(np.where(least_width > 0.16, least_width, 0.16) - w)
+    low = positive(np.maximum(0.075, np.where(least_height > 0, least_height, 0.13)) - h)
+    portrait = positive(0.62 - shape)
+    broken = narrow + low + portrait
+    loss = np.abs(np.log(shape / aspect)) * weight + np.where(broken > 0, 100_000 + broken * weight * 100_000, 0.0)
+    loss = loss + (positive(0.18 - w) * 24 + positive(0.14 - h) * 24 + portrait * weight * 20)
+    loss = loss + np.where((h > 0.42) & (w < 0.24), (0.24 - w + h - 0.42) * weight * 30, 0.0)
+    loss = loss + np.where(aspect >= 2.4, positive(1.45 - shape) * weight * 18, 0.0)
+    has = np.maximum(80.0, h * CANVAS - 8)
+    cut = np.where(tall > has, 250_000 + (tall - has) * weight * 2_500, 0.0)
+    return loss + np.where(tall > 0, cut + positive(has / np.where(tall > 0, tall, 1.0) - 1.18) * weight * 48, 0.0)
+
+
+def _best(facts: np.ndarray, ids: np.ndarray, aspects: list[float]) -> dict[str, np.ndarray]:
+    """The best arrangements of papers with one number of panels: facts by paper, panel and figure (see two_columns)."""
+    n, of = facts.shape[1], np.arange(len(facts))
+    weight, aspect, least_width, least_height, table = (facts[..., j, None, None] for j in range(5))
+    tall = facts[..., 5:].reshape(*facts.shape[:2], *_WIDTHS.shape)
+    h = panel_heights(tall, table, least_height)
+    loss = panel_losses(weight, aspect, least_width, least_height, tall, _WIDTHS, h)
+    fits = np.broadcast_to(_WIDTHS >= np.where(np.isnan(least_width) | (least_width == 0), 0.16, least_width), h.shape)
+    h, loss, fits = (x.transpose(0, 1, 3, 2) for x in (h, loss, fits))  # by paper, panel, ratio and side
+    masks = np.arange(1, 2**n - 1, 2)
+    left = (masks >> np.arange(n)[:, None]) & 1 > 0
+    shape = (len(facts), len(RATIOS), len(masks))
+    l, r, total, ok = np.zeros(shape), np.zeros(shape), np.zeros(shape), np.ones(shape, bool)
+    marks = {m: np.full(shape, np.nan) for m in ("theory", "results", "contribution")}
+    for i in range(n):
+        side = 1 - left[i].astype(int)
+        own, y = h[:, i][:, :, side], np.where(left[i], l, r)
+        marks = {m: np.where((ids[:, i] == m)[:, None, None], y, v) for m, v in marks.items()}
+        l, r = np.where(left[i], l + own, l), np.where(left[i], r, r + own)
+        total, ok = total + loss[:, i][:, :, side], ok & fits[:, i][:, :, side]
+    switches = (left[1:] != left[:-1]).sum(axis=0)
+    total = total + np.abs(l - r) * UNEVEN_COST + (np.abs(np.array(RATIOS) - 0.5) * OFF_CENTER_COST)[:, None] + np.maximum(0, switches - 2) * SWITCH_COST
+    ok &= ~(marks["theory"] > marks["results"] + SLACK) & ~(marks["contribution"] < marks["results"] - SLACK) & ~np.isnan(total)
+    total, l, r = (x.reshape(len(facts), -1) for x in (np.where(ok, total, np.inf), l, r))
+    bottom, best = np.maximum(l, r), np.full(len(facts), np.inf)
+    out = {k: np.zeros(len(facts), np.int32) for k in ("n", "at")} | {k: np.zeros(len(facts)) for k in ("loss", "bottom")}
+    for j, a in enumerate(aspects):
+        high = 1.0 / a
+        cost = total + (np.maximum(0.0, high - l) + np.maximum(0.0, high - r)) * UNUSED_COST
+        adjusted = np.where(bottom <= high + SLACK, cost + np.abs(np.log(a / LIKED_ASPECT)) * SHAPE_COST, np.inf)
+        at = adjusted.argmin(axis=1)
+        better = adjusted[of, at] < best
+        best = np.where(better, adjusted[of, at], best)
+        for k, v in (("n", j), ("at", at), ("loss", cost[of, at]), ("bottom", bottom[of, at])):
+            out[k] = np.where(better, v, out[k])
+    ratio, m = np.divmod(out.pop("at"), len(masks))
+    sides = 1 - left[:, m].T.astype(int)
+    heights = h[of[:, None], np.arange(n), ratio[:, None], sides]
+    return out | {"k": ratio, "mask": masks[m], "heights": heights, "found": np.isfinite(best)}
+
+
+def _searched(aspects: list[float]):
+    """Batches of (doc_id, ids, facts) to the best arrangement of each paper that has one."""
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(first, _AT_ONCE)
+                sizes = pc.list_value_length(part.column("ids")).to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                facts = part.column("facts").flatten().flatten().to_numpy(zero_copy_only=False).reshape(int(sizes.sum()), -1)
+                ids = part.column("ids").flatten().to_numpy(zero_copy_only=False)
+                for size in np.unique(sizes):
+                    rows = np.flatnonzero(sizes == size)
+                    places = starts[rows][:, None] + np.arange(size)
+                    best = _best(facts[places], ids[places], aspects)
+                    found = np.flatnonzero(best["found"])
+                    columns = [pa.array(best[c][found].astype(np.int32)) for c in ("n", "k", "mask")] + [pa.array(best[c][found]) for c in ("loss", "bottom")]
+                    heights = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * size), pa.array(best["heights"][found].ravel()))
+                    own = part.take(pa.array(rows[found]))
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("ids"), *columns, heights], names=["doc_id", "ids", "n", "k", "mask", "loss", "bottom", "heights"])
+
+    return run
 
 
 def two_columns(papers: DataFrame, aspects: list[float] = ASPECTS) -> DataFrame:
     """doc_id, aspect, ratio, mask, loss, panels array<struct<id, x, y, w, h>> of the best arrangement in two columns.
 
     All assignments of panels to columns (bit i of the mask is set if panel i stands left; the first one does) are
-    tried at all ratios and shapes. As a panel's height depends on its column's width only, heights and losses are made once a
-    ratio and side, and an assignment adds them up. Theory may not stand below results, nor a contribution above them; no
+    tried at all ratios and shapes. As a panel's height depends on its column's width only, heights are made once a
+    ratio and side in the row; the assignments of some hundred papers are then added up together, in arrays. Theory may not stand below results, nor a contribution above them; no
     panel may be narrower than it must. Ties go to the first shape, ratio and mask. Papers of fewer than three or more
     than seven panels, with sizes of fewer than half of them, or without any arrangement that fits, have no row.
     """
     measured = F.size(F.filter("panels", lambda p: F.size(F.coalesce(p["samples"], F.array().cast("array<struct<width:double,height:double>>"))) > 0))
     rows = papers.filter(F.size("panels").between(3, 7) & (measured * 2 >= F.size("panels"))).select("doc_id", "panels")
-
-    def side(p: Column, w: Column) -> Column:
-        h = panel_height(p, F.greatest(F.lit(160.0), w * CANVAS - 8))
-        return bound(h, lambda v: F.struct(v.alias("h"), panel_loss(p, w, v).alias("loss"), (w >= F.coalesce(F.nullif(p["min_width"], F.lit(0.0)), F.lit(0.16))).alias("fits")))
-
-    ratios = F.array(*[F.lit(r) for r in RATIOS])
-    # `places`: by ratio the panels with what they need left and right
-    places = F.transform(ratios, lambda r: F.transform("panels", lambda p, i: F.struct(F.pow(F.lit(2), i).cast("int").alias("bit"), p["id"].alias("id"), side(p, r).alias("l"), side(p, 1 - r).alias("r"))))
-    df = once(rows, "places", places)
-    start = F.expr("named_struct('l', 0D, 'r', 0D, 'loss', 0D, 'theory', cast(null as double), 'results', cast(null as double), 'contribution', cast(null as double), 'switches', 0, 'last', cast(null as boolean), 'ok', true)")
-
-    def stacked(mask: Column, at: Column) -> Column:
-        def step(a: Column, p: Column) -> Column:
-            left = mask.bitwiseAND(p["bit"]) != 0
-
-            def put(s: Column) -> Column:
-                y = F.when(left, a["l"]).otherwise(a["r"])
-                marks = [F.when(p["id"] == n, y).otherwise(a[n]).alias(n) for n in ("theory", "results", "contribution")]
-                grown = lambda n, on: F.when(on, a[n] + s["h"]).otherwise(a[n]).alias(n)
-                switches = a["switches"] + F.coalesce(a["last"] != left, F.lit(False)).cast("int")
-                return F.struct(grown("l", left), grown("r", ~left), (a["loss"] + s["loss"]).alias("loss"), *marks, switches.alias("switches"), left.alias("last"), (a["ok"] & s["fits"]).alias("ok"))
-
-            return bound(F.when(left, p["l"]).otherwise(p["r"]), put)
-
-        return F.aggregate(at, start, step)
-
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("panels")).cast("int") - 2, F.lit(2))
-
-    def candidate(mask: Column, k: Column) -> Column:
-        def judged(s: Column) -> Column:
-            order = F.coalesce(s["theory"] <= s["results"] + SLACK, F.lit(True)) & F.coalesce(s["contribution"] >= s["results"] - SLACK, F.lit(True))
-            loss = s["loss"] + F.abs(s["l"] - s["r"]) * UNEVEN_COST + F.abs(F.get(ratios, k) - 0.5) * OFF_CENTER_COST + F.greatest(F.lit(0), s["switches"] - 2) * SWITCH_COST
-            return F.when(s["ok"] & order, F.struct(k.alias("k"), mask.alias("mask"), loss.alias("loss"), s["l"].alias("l"), s["r"].alias("r")))
-
-        return bound(stacked(mask, F.get(F.col("places"), k)), judged)
-
-    each = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(RATIOS) - 1)), lambda k: F.transform(masks, lambda m: candidate(m, k))))
-    df = once(df, "c", F.filter(each, lambda c: c.isNotNull()))
-
-    def shaped(aspect: Column, n: Column) -> Column:
-        tall = F.lit(1.0) / aspect
-        fits = F.filter("c", lambda c: F.greatest(c["l"], c["r"]) <= tall + SLACK)
-        unused = lambda c: (F.greatest(F.lit(0.0), tall - c["l"]) + F.greatest(F.lit(0.0), tall - c["r"])) * UNUSED_COST
-        cost = lambda c: c["loss"] + unused(c)
-        return F.array_min(F.transform(fits, lambda c: F.struct((cost(c) + F.abs(F.log(aspect / LIKED_ASPECT)) * SHAPE_COST).alias("adjusted"), n.alias("n"), c["k"].alias("k"), c["mask"].alias("mask"), cost(c).alias("loss"), F.greatest(c["l"], c["r"]).alias("bottom"))))
-
-    shapes = F.array(*[F.lit(float(a)) for a in aspects])
-    df = once(df, "best", F.array_min(F.filter(F.transform(shapes, shaped), lambda b: b.isNotNull()))).filter("best is not null")
-    ratio = F.get(ratios, F.col("best.k"))
-
-    def placed(p: Column, i: Column, at: Column) -> Column:
-        is_left = lambda q: F.col("best.mask").bitwiseAND(q["bit"]) != 0
-        h = lambda q: F.when(is_left(q), q["l"]["h"]).otherwise(q["r"]["h"])
-        above = F.filter(F.slice(at, F.lit(1), i), lambda q: is_left(q) == is_left(p))
-        y = F.aggregate(above, F.lit(0.0), lambda s, q: s + h(q))
-        return F.struct(p["id"].alias("id"), F.when(is_left(p), 0.0).otherwise(ratio).alias("x"), y.alias("y"), F.when(is_left(p), ratio).otherwise(1 - ratio).alias("w"), h(p).alias("h"))
-
-    panels = bound(F.get(F.col("places"), F.col("best.k")), lambda at: F.transform(at, lambda p, i: placed(p, i, at)))
-    tried = F.get(shapes, F.col("best.n"))
-    aspect = F.least(F.lit(2.1), F.greatest(tried, 1 / F.greatest(F.col("best.bottom"), F.lit(0.001))))
-    return df.select("doc_id", aspect.alias("aspect"), ratio.alias("ratio"), F.col("best.mask").alias("mask"), F.col("best.loss").alias("loss"), panels.alias("panels"))
+    widths = F.array(*[F.lit(float(w * CANVAS - 8)) for w in _WIDTHS.ravel()])
+    own = lambda p: F.array(*[p[c].cast("double") for c in ("weight", "aspect", "min_width", "min_height", "has_table")])
+    fact = lambda p: bound(_points(p["samples"]), lambda s: F.concat(own(p), F.transform(widths, lambda w: _height(s, w))))
+    asked = rows.select("doc_id", F.col("panels.id").cast("array<string>").alias("ids"), F.transform("panels", fact).alias("facts"))
+    schema = StructType([asked.schema["doc_id"], *StructType.fromDDL("ids array<string>, n int, k int, mask int, loss double, bottom double, heights array<double>")])
+    best = asked.mapInArrow(_searched(aspects), schema)
+    ratio = F.get(F.array(*[F.lit(r) for r in RATIOS]), F.col("k"))
+
+    def placed(name: Column, i: Column) -> Column:
+        side = lambda j: F.expr("mask").bitwiseAND(F.pow(F.lit(2), j).cast("int")) != 0
+        y = F.aggregate(F.filter(F.transform("heights", lambda h, j: F.struct(h.alias("h"), j.alias("j"))), lambda q: (q["j"] < i) & (side(q["j"]) == side(i))), F.lit(0.0), lambda s, q: s + q["h"])
+        return F.struct(name.alias("id"), F.when(side(i), 0.0).otherwise(ratio).alias("x"), y.alias("y"), F.when(side(i), ratio).otherwise(1 - ratio).alias("w"), F.get("heights", i).alias("h"))
+
+    tried = F.get(F.array(*[F.lit(float(a)) for a in aspects]), F.col("n"))
+    aspect = F.least(F.lit(2.1), F.greatest(tried, 1 / F.greatest(F.col("bottom"), F.lit(0.001))))
+    return best.select("doc_id", aspect.alias("aspect"), ratio.alias("ratio"), "mask", "loss", F.transform("ids", placed).alias("panels"))
 
 
 # How much each section counts and its usual shape, and what its content adds.

@@ -148,3 +148,12 @@ def test_panel_features_equal_loops(spark):
     assert len(got) == 300
     for p in rows:
         assert got[p["k"]] == pytest.approx(features_of(p)), p
+
+
+def test_two_columns_adds_up_assignments_in_arrays(spark):
+    one = [(n, 1.0, 1.2, 0.2, 0.1, False, [(560.0, 300.0)]) for n in IDS[:4]]
+    rows = [(i, one) for i in range(300)] + [(300, one[:2]), (301, [(*p[:6], None) for p in one])]  # more than are worked on at once, of two kinds that have no row
+    found = P.two_columns(spark.createDataFrame(rows, f"doc_id long, panels array<{PANEL}>"))
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    got = found.collect()
+    assert sorted(r.doc_id for r in got) == list(range(300)) and len({str(r[1:]) for r in got}) == 1
