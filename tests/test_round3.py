@@ -2,10 +2,44 @@
 
 from pyspark.sql import functions as F
 
-from lectern.operators import monitor
+from lectern.functions import text
+from lectern.operators import ground, monitor
 
 
 def test_numbers_after_a_leading_code_are_no_codes(spark):
     said = ["401 Unauthorized for user 402", "HTTP 401: no account 429", "429: billing", "LLM request failed (402): no", "request 12 failed with 429", None]
     got = [r.e for r in spark.createDataFrame([(m,) for m in said], "m string").select(monitor.error_class(F.col("m")).alias("e")).collect()]
     assert got == ["key", "key", "billing", "billing", "rate", "other"]
+
+
+def test_quotes_anywhere_with_one_inner_word_or_a_word_and_a_half(spark):
+    said = ["We saw the mecha- nism of doc12 has it", "of doc13 hat", "of doc123 has", "xof doc12 hay"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    asked = ["of doc12 ha", "f doc1", "mechanism of", "doc12", "the", "m of doc12 has i", "oc123 h", "nothing of"]
+    quotes = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    got = ground.found_anywhere(quotes, docs)
+    plain = [s.lower().replace("- ", "") for s in said]
+    assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, a in enumerate(asked) for d, p in enumerate(plain) if len(a) >= 4 and a in p)
+
+
+def test_quotes_with_common_beginnings_meet_few_documents(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.format_string("it is of doc1%04d has", "id").alias("text"))
+    quotes = spark.range(400).select(F.col("id").alias("item_id"), F.format_string("of doc1%04d ha", "id").alias("text"))
+    got = ground.found_anywhere(quotes, docs)
+    assert got.count() == 400 and got.filter("item_id = doc_id").count() == 400
+    # the runs are met by a broadcast, so no run is shuffled
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_hashes_of_texts_of_all_lengths_together(spark):
+    def plain(x):
+        units = x.encode("utf-16-be")
+        h = 2166136261
+        for i in range(0, min(len(units), 600), 2):
+            h = ((h ^ int.from_bytes(units[i : i + 2], "big")) * 16777619) & 0xFFFFFFFF
+        return f"{h:08x}:{min(len(units), 600) // 2}"
+
+    said = ["", "a", "\U0001f600b" * 7] + ["abé" * i for i in range(150)]
+    made = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i long, x string").coalesce(1).select("i", text.fnv1a(F.col("x"), 300).alias("h"))
+    assert [r.h for r in made.orderBy("i").collect()] == [plain(x) for x in said]
+    assert "ArrowEvalPython" in made._jdf.queryExecution().toString()
