@@ -58,9 +58,8 @@ def identity_reconciled(spark, d):
 @query("""SELECT doc_id, doc_id % 8 NOT IN (1, 2, 7) AS accepted, CASE doc_id % 8 WHEN 1 THEN 'Paper identity is inconsistent. Conflicting title metadata was detected; reload the PDF before generating.' WHEN 2 THEN 'Paper identity is inconsistent. Conflicting doi metadata was detected; reload the PDF before generating.'
 WHEN 7 THEN 'Paper identity is inconsistent. Conflicting title and doi metadata was detected; reload the PDF before generating.' END AS reason FROM documents""")
 def identity_quarantine(spark, d):
-    """Without a repair, papers in conflict go to a table of their own, with the reason."""
-    accepted, rejected = identity.quarantined(identity.create(papers(spark, d)))
-    return accepted.select("doc_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason")).union(rejected.select("doc_id", F.lit(False).alias("accepted"), "reason"))
+    """Without a repair, papers in conflict are told apart, with the reason."""
+    return identity.judged(identity.create(papers(spark, d))).select("doc_id", "accepted", "reason")
 
 
 @query(f"""WITH {_HASH}, i AS (SELECT doc_id, {_KEY} AS key, content_hash, coalesce(source, '') AS source, {_URL} AS url FROM k)

@@ -43,3 +43,10 @@ def test_hashes_of_texts_of_all_lengths_together(spark):
     made = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i long, x string").coalesce(1).select("i", text.fnv1a(F.col("x"), 300).alias("h"))
     assert [r.h for r in made.orderBy("i").collect()] == [plain(x) for x in said]
     assert "ArrowEvalPython" in made._jdf.queryExecution().toString()
+
+
+def test_quarantine_reads_its_papers_once(spark):
+    from lectern.plans import catalogue
+
+    plan = catalogue.queries()["identity_quarantine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1
