@@ -8,7 +8,7 @@ much through at worst, never too little, as the exact counts decide.
 
 A task adds up its own counts in blocks before anything is shuffled; counters of all tasks meet by range of buckets and are added one after another.
 
-Defined results: a null text is empty, a null lang is `und`. Texts are worked on in blocks of 1 MB that share a few words at each cut, so their length
+Defined results: a null text is empty, a null lang is `und`. Texts are worked on in blocks of half a MB that share a few words at each cut, so their length
 has no bound. Repeated rows and ids count as often as they occur. Ties in a rank go to the higher count, then to the smaller phrase in byte order. An empty table gives no row. Other
 columns are ignored.
 """
@@ -31,10 +31,12 @@ from .core import BLOCK, checkpointed, mix, row_blocks, runs, shared_folder, shu
 
 LONGEST, LEAST, TOP, INSIDE = 3, 10, 2000, 50
 BITS = 24
+#: Bytes of text that are worked on at once.
+_BLOCK = BLOCK // 2
 #: Buckets whose counters, or bits, make one row.
 _PART = 15
 #: Counts that a task holds before it passes them on.
-_HELD = 1_000_000
+_HELD = 600_000
 _SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
 _DDL = "lang string, phrase string, n long, part int, cells binary"
 
@@ -96,17 +98,17 @@ def _seed(lang: str) -> int:
 
 def _blocks(raw: np.ndarray, offsets: np.ndarray, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Parts of the texts with their row offsets and the place from which their words are new; a long text's parts share words."""
-    for i, j in row_blocks(offsets, BLOCK):
+    for i, j in row_blocks(offsets, _BLOCK):
         lo, hi = int(offsets[i]), int(offsets[j])
-        if j - i > 1 or hi - lo <= BLOCK:
+        if j - i > 1 or hi - lo <= _BLOCK:
             yield raw[lo:hi], offsets[i : j + 1] - lo, 0
             continue
         carried, at = b"", lo
         while at < hi:
-            end = min(at + BLOCK, hi)
+            end = min(at + _BLOCK, hi)
             while end < hi and _WORD[raw[end]]:  # on to the end of a word
-                gap = np.flatnonzero(~_WORD[raw[end : end + BLOCK]])
-                end = end + int(gap[0]) if len(gap) else min(end + BLOCK, hi)
+                gap = np.flatnonzero(~_WORD[raw[end : end + _BLOCK]])
+                end = end + int(gap[0]) if len(gap) else min(end + _BLOCK, hi)
             part = np.concatenate([np.frombuffer(carried, np.uint8), raw[at:end]])
             yield part, np.array([0, len(part)]), len(carried)
             carried, at = _tail(part, shared), end
@@ -130,15 +132,16 @@ def _pass(k: int, longest: int, least: int, bits: int, buckets, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << bits, np.uint8) if k < longest else None
-        held: list[pa.Table] = []
+        held: dict[str, list[pa.Table]] = {}
         rows = 0
 
         def added(x: list[pa.Table]) -> pa.Table:
-            return pa.concat_tables(x).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+            return pa.concat_tables(x).group_by("phrase", use_threads=False).aggregate([("n", "sum")]).select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])
 
-        def out(x: pa.Table) -> Iterator[pa.RecordBatch]:
-            none = [pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())]
-            yield from pa.Table.from_arrays([x.column(0).cast(pa.string()), x.column(1).cast(pa.string()), x.column(2), *none], schema=_SCHEMA).to_batches(50_000)
+        def out(lang: str, x: pa.Table) -> Iterator[pa.RecordBatch]:
+            for part in x.to_batches(25_000):
+                size = len(part)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), size), part.column(0).cast(pa.string()), part.column(1), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=_SCHEMA)
 
         for batch in batches:
             langs = batch.column("lang")
@@ -152,7 +155,7 @@ def _pass(k: int, longest: int, least: int, bits: int, buckets, frequent):
                     at = np.flatnonzero(alive & words.fresh[k - 1 :])
                     if len(at):
                         counts = pc.value_counts(words.phrases(at, k))
-                        held.append(pa.table({"lang": pa.array([lang] * len(counts), pa.large_string()), "phrase": counts.field("values"), "n": counts.field("counts")}))
+                        held.setdefault(lang, []).append(pa.table({"phrase": counts.field("values"), "n": counts.field("counts")}))
                         rows += len(counts)
                     if cells is not None:
                         longer = words.whole(k + 1)
@@ -160,13 +163,17 @@ def _pass(k: int, longest: int, least: int, bits: int, buckets, frequent):
                         bucket, n = np.unique(words.hashed(k + 1)[longer] & np.uint64((1 << bits) - 1), return_counts=True)
                         cells[bucket.astype(np.int64)] = np.minimum(cells[bucket.astype(np.int64)] + n, least)
                     if rows > _HELD:
-                        held = [added(held)]
-                        rows = len(held[0])
-                        if rows > _HELD // 2:
-                            yield from out(held.pop())
-                            rows = 0
-        if held:
-            yield from out(added(held))
+                        for own in held:  # one language after another, so that little stands beside what is held
+                            held[own] = [added(held[own])]
+                        rows = sum(len(x[0]) for x in held.values())
+                        while rows > _HELD // 2:  # the languages with most counts
+                            own = max(held, key=lambda k: len(held[k][0]))
+                            rows -= len(held[own][0])
+                            yield from out(own, held.pop(own)[0])
+                        pa.default_memory_pool().release_unused()
+        while held:
+            own, parts = held.popitem()
+            yield from out(own, added(parts))
         if cells is not None:
             for part in range(len(cells) >> _PART):
                 own = cells[part << _PART : (part + 1) << _PART]

@@ -196,3 +196,13 @@ def test_tree_agrees_with_its_column(spark):
     rows = spark.createDataFrame([tuple(map(float, r)) for r in mainhtml.LABELLED], ", ".join(f"{n} double" for n in [*mainhtml.FEATURES, "label"]))
     told = model.transform(VectorAssembler(inputCols=mainhtml.FEATURES, outputCol="features").transform(rows)).select("label", "prediction", mainhtml.as_column(model, [F.col(n) for n in mainhtml.FEATURES]).alias("own")).collect()
     assert all(r.prediction == r.own for r in told) and sum(r.label == r.own for r in told) >= 0.95 * len(told)
+
+
+def test_collocation_passes_hold_little():
+    """A pass gives its counts in small batches, each of one language, whatever it holds."""
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": [" ".join(f"w{i}" for i in range(60_000))] * 2})
+    out = [b for b in collocation._pass(1, 1, 10, 16, None, None)(iter([texts]))]
+    assert sum(b.num_rows for b in out) == 120_000 and max(b.num_rows for b in out) <= 25_000
+    assert all(len(set(b.column("lang").to_pylist())) == 1 for b in out)
