@@ -50,3 +50,10 @@ def test_quarantine_reads_its_papers_once(spark):
 
     plan = catalogue.queries()["identity_quarantine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_abbreviations_by_their_marks(spark):
+    said = "E. g. this vs. that, we.g. no. I.E. a W.R.T. b. ET AL. said v. s. it. xvs. y is 1.5. See 2.3.4. !!"
+    got = spark.createDataFrame([(said,)], "t string").select(text.export_sentences(F.col("t")).alias("e"), text.sentences(F.col("t")).alias("s")).first()
+    assert got.e[0] == "E.g. this vs. that, we."
+    assert got.s and text.export_sentences(F.col("t"))._jc.toString().count("regexp_extract_all") == 1  # before: twice
