@@ -8,13 +8,15 @@ whatever number of tasks has it, tasks share what was found, and a text leaves i
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bound, once
 from ..functions.predicates import heading, is_reference_section
-from ..functions.text import BLANKS, paper_text, sentences, strip, text_of
+from ..functions.text import paper_text, sentences, strip, text_of
 from .sets import few
 
 # What each reading task looks for, its label, goal, fields and the key of its evidence.
@@ -94,36 +96,21 @@ def sections(text: Column) -> Column:
     return bound(bound(F.split(text_of(text), "\n"), lambda x: F.struct(x.alias("lines"), F.transform(x, heading).alias("named"))), cut)
 
 
-def _last(x: Column, mark: str, most: Column | int) -> Column:
-    """The last place, from 0 up to most, at which a mark begins; -1 without one."""
-    head = F.substring(x, F.lit(1), F.lit(most + len(mark)))
-    return bound(F.struct(F.length(head).alias("n"), F.locate(mark[::-1], F.reverse(head)).alias("at")), lambda h: F.when(h["at"] == 0, -1).otherwise(h["n"] - len(mark) - h["at"] + 1))
+def _piece(size: int) -> str:
+    """A pattern whose matches, one after the other, are the pieces of a stripped text, and white space after each."""
+    least = LEAST_CUT + 1
+    ends = [rf".{{{least},{size}}}(?=\n\n)", rf".{{{least},{size}}}(?=\n)"] if size >= least else []
+    ends += [rf".{{{LEAST_CUT},{size}}}\.(?= )"] if size >= LEAST_CUT else []
+    return rf"(?s)(.{{1,{size}}}+\z|{'|'.join([*ends, f'.{{{size}}}'])})[ \t\n\x0B\f\r\x{{00A0}}\x{{FEFF}}]*+"
 
 
 def size_cuts(text: Column, size: int = CHUNK) -> Column:
     """array<string>: pieces of a text that is longer than size, cut at the last paragraph, line or sentence end that leaves enough.
 
-    A place moves along the text, of which no more than a piece is looked at in each step.
+    One pattern goes along the text, so a text's pieces are found in a single pass.
     """
-
-    def pieces(x: Column) -> Column:
-        n = F.length(x)
-
-        def step(state: Column, _: Column) -> Column:
-            at = state["at"]
-
-            def cut(head: Column) -> Column:
-                ends = F.array(_last(head, "\n\n", size), _last(head, "\n", size), _last(head, ". ", size) + 1)
-                long = F.when(n - at <= size, n - at).otherwise(F.coalesce(F.get(F.filter(ends, lambda e: e > LEAST_CUT), F.lit(0)), F.lit(size)))
-                return bound(long, lambda k: bound(F.substring(x, at + k + 1, F.lit(size)), lambda after: F.struct((at + k + F.length(after) - F.length(F.ltrim(after, F.lit(BLANKS)))).alias("at"), F.array_append(state["parts"], strip(F.substring(head, F.lit(1), k))).alias("parts"))))
-
-            return F.when(at >= n, state).otherwise(bound(F.substring(x, at + 1, F.lit(size + 2)), cut))
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-        return F.aggregate(F.sequence(F.lit(1), F.floor(n / LEAST_CUT).cast("int") + 2), start, step)["parts"]
-
-    cut = F.filter(bound(strip(text), pieces), lambda p: p != "")
-    return F.when(F.length(text) > size, cut).otherwise(F.filter(F.array(strip(text)), lambda p: p != ""))
+    whole = lambda x: F.when(F.length(x) > size, F.transform(F.regexp_extract_all(x, F.lit(_piece(size)), F.lit(1)), strip)).otherwise(F.array(x))
+    return F.filter(bound(strip(text), whole), lambda p: p != "")
 
 
 def chunks_in_rows(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
@@ -179,54 +166,113 @@ def top_chunks(scores: DataFrame, k: int | None = None, expanded: bool = False)
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k or (7 if expanded else 5))).drop("place", "forced", "turn")
 
 
-def _found(rows: DataFrame, plan: list[tuple[str, list[str]]]) -> DataFrame:
-    """rows with `found`: of each chunk the keywords in its heading and its text, each looked for once, and what its heading and lists tell."""
-    every = F.array(*[F.lit(k) for k in dict.fromkeys(k for _, ks in plan for k in ks)])
-    held = lambda x: bound(F.lower(x), lambda t: F.filter(every, lambda k: F.contains(t, k)))
-    told = lambda c: F.struct(
-        held(c["heading"]).alias("heading"), held(c["text"]).alias("text"), F.lower(F.concat(c["heading"], F.lit("\n"), c["text"])).rlike(EVIDENCE_LISTS).alias("listed"), is_reference_section(c["heading"]).alias("reference")
-    )
-    return once(rows, "found", F.transform("chunks", told))
+#: Words whose hits share a number.
+_BITS = 62
 
 
-def _task_scores(task: str, keywords: list[str], in_heading: int, points: list[tuple[str, str, int]], references: int, first: int, listed: int) -> Column:
-    """array<int>: the scores of a row's chunks for a task."""
-    own = F.array(*[F.lit(k) for k in keywords])
+def _trie(words: list[str]) -> str:
+    """A pattern of the longest of some words that begins at a place; words that begin alike share what they begin with."""
+    if not any(words):
+        return ""
+    heads = list(dict.fromkeys(w[0] for w in words if w))
+    one = lambda c: re.sub(r"([^\w\s])", r"\\\1", c) + _trie([w[1:] for w in words if w and w[0] == c])
+    inner = "|".join(map(one, heads))
+    return f"(?:{inner})?" if "" in words else f"(?:{inner})" if len(heads) > 1 else inner
 
-    def score(f: Column, i: Column) -> Column:
-        title = F.lower(F.get("chunks", i)["heading"])
-        said = sum((F.when(title.rlike(p), n).otherwise(0) for t, p, n in points if t == task), F.lit(0))
-        opening = F.when(i < 2, first - i).otherwise(0) if first > 2 else F.when(i < 2, first).otherwise(0)
-        shared = lambda x: F.size(F.array_intersect(x, own))
-        return in_heading * shared(f["heading"]) + 2 * shared(f["text"]) + said + opening + F.when(f["listed"], listed).otherwise(0) - F.when(f["reference"], references).otherwise(0)
 
-    return F.transform("found", score)
+class Words:
+    """The keywords of several tasks, all looked for in one pass over a text; a text's hits are bits of a few numbers, of which each task counts its own."""
 
+    def __init__(self, plan: list[tuple[str, list[str]]]):
+        self.plan, self.words = plan, list(dict.fromkeys(k for _, ks in plan for k in ks if k))
+
+    def hits(self, lower: Column) -> Column:
+        """struct of numbers: which words a lower-case text holds. At a place only the longest is found; the others that begin there begin it, so they are told by it."""
+        every = F.array(*[F.lit(k) for k in self.words])
+
+        def bits(places: Column, at: int) -> Column:
+            group = self.words[at : at + _BITS]
+            told = F.array(*[F.lit(sum(1 << i for i, k in enumerate(group) if w.startswith(k))).cast("long") for w in self.words])
+            return F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.get(told, i)))
+
+        found = F.array_distinct(F.regexp_extract_all(lower, F.lit(f"(?=({_trie(self.words)}))"), F.lit(1)))
+        places = F.transform(found, lambda w: F.array_position(every, w).cast("int") - 1)
+        return bound(places, lambda p: F.struct(*[bits(p, at).alias(f"b{at // _BITS}") for at in range(0, len(self.words), _BITS)]))
+
+    def count(self, hits: Column, keywords: list[str]) -> Column:
+        """How many of a task's keywords are among a text's hits."""
+        own, n = set(keywords), F.lit(int("" in keywords))
+        for j in range(0, len(self.words), _BITS):
+            mask = sum(1 << i for i, k in enumerate(self.words[j : j + _BITS]) if k in own)
+            n = n + F.bit_count(hits[f"b{j // _BITS}"].bitwiseAND(F.lit(mask).cast("long"))) if mask else n
+        return n
+
+
+def _weighed(chunks: Column, plan: list[tuple[str, list[str]]], in_heading: int, points: list[tuple[str, str, int]], references: int, opening: tuple[int, int], listed: int) -> Column:
+    """array<struct<scores, reference, forced>> of a row's chunks: a score for each task, and whether its section is one of FORCED. A heading is looked at once a row."""
+    words = Words(plan)
+    lists = lambda x: reduce(lambda a, b: a | b, [x.rlike(p) for p in EVIDENCE_LISTS.split("|")])
+
+    def of_heading(h: Column) -> Column:
+        def told(low: Column) -> Column:
+            said = lambda task: sum((F.when(low.rlike(p), n).otherwise(0) for t, p, n in points if t == task), F.lit(0))
+            base = lambda hits, reference: F.array(*[in_heading * words.count(hits, ks) + said(t) - F.when(reference, references).otherwise(0) for t, ks in plan])
+            both = F.struct(words.hits(low).alias("hits"), is_reference_section(h).alias("reference"))
+            forced = [h.rlike(FORCED[t]) if t in FORCED else F.lit(False) for t, _ in plan]
+            return bound(both, lambda x: F.struct(base(x["hits"], x["reference"]).alias("base"), x["reference"].alias("reference"), lists(low).alias("listed"), F.array(*forced).alias("forced")))
+
+        return bound(F.lower(h), told)
+
+    def of_chunk(c: Column, i: Column, h: Column) -> Column:
+        first = F.when(i == 0, opening[0]).when(i == 1, opening[1]).otherwise(0)
+
+        def made(low: Column) -> Column:
+            both = F.struct(words.hits(low).alias("hits"), (first + (F.when(h["listed"] | lists(low), listed).otherwise(0) if listed else F.lit(0))).alias("more"))
+            return bound(both, lambda x: F.struct(F.array(*[F.get(h["base"], F.lit(j)) + 2 * words.count(x["hits"], ks) + x["more"] for j, (_, ks) in enumerate(plan)]).alias("scores"), h["reference"].alias("reference"), h["forced"].alias("forced")))
+
+        return bound(F.lower(c["text"]), made)
+
+    def of_row(names: Column) -> Column:
+        place = lambda c: F.array_position(names, c["heading"]).cast("int") - 1
+        return bound(F.transform(names, of_heading), lambda heads: F.transform(chunks, lambda c, i: bound(F.get(heads, place(c)), lambda h: of_chunk(c, i, h))))
+
+    return bound(F.array_distinct(F.transform(chunks, lambda c: c["heading"])), of_row)
 
-def selected_in_rows(docs: DataFrame, size: int = CHUNK, k: int = 5, plan: list[tuple[str, list[str]]] | None = None, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
-    """doc_id, chunks and picked, array<struct<task_id, rank, idx, score>>: the k best chunks of each task, as top_chunks has them."""
-    plan = plan or task_list()
-    rows = _found(chunks_in_rows(docs, size, id_col, normal), plan)
 
-    def picks(task: str, keywords: list[str]) -> Column:
-        def of(scores: Column) -> Column:
-            order = F.transform(F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("low"), i.alias("i")))), lambda x: x["i"])
-            forced = lambda o: F.slice(F.filter(o, lambda i: F.get("chunks", i)["heading"].rlike(FORCED[task])), 1, 1) if task in FORCED else F.slice(o, 1, 0)
-            turns = bound(order, lambda o: F.array_distinct(F.concat(F.slice(o, 1, 1), forced(o), o)))
-            kept = F.slice(F.filter(turns, lambda i: ~F.get("found", i)["reference"]), 1, k)
-            return F.transform(kept, lambda i, r: F.struct(F.lit(task).alias("task_id"), (r + 1).alias("rank"), i.alias("idx"), F.get(scores, i).alias("score")))
+def _best_first(weighed: Column, task: int) -> Column:
+    """array<int>: the places of a row's chunks, by descending score of a task and then by place; score and place are sorted as one number."""
+    key = lambda w, i: (-F.get(w["scores"], F.lit(task))).cast("long") * (1 << 32) + i
+    return F.transform(F.sort_array(F.transform(weighed, key)), lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
 
-        return bound(_task_scores(task, keywords, 10, SECTION_POINTS, 40, 3, 8), of)
 
-    return once(rows, "picked", F.concat(*[picks(t, ks) for t, ks in plan])).select("doc_id", "chunks", "picked")
+def _picks(weighed: Column, plan: list[tuple[str, list[str]]], k: int, of: Callable[[Column], list[Column]]) -> Column:
+    """array<struct<task_id, rank, idx, score, …>>: the k best chunks of each task, as top_chunks has them, with more of each by its place."""
 
+    def task(j: int, name: str) -> Column:
+        forced = lambda o: F.slice(F.filter(o, lambda i: F.get(F.get(weighed, i)["forced"], F.lit(j))), 1, 1)
+        order = _best_first(weighed, j)
+        turns = bound(order, lambda o: F.array_distinct(F.concat(F.slice(o, 1, 1), forced(o), o))) if name in FORCED else order
+        kept = F.slice(F.filter(turns, lambda i: ~F.get(weighed, i)["reference"]), 1, k)
+        return F.transform(kept, lambda i, r: F.struct(F.lit(name).alias("task_id"), (r + 1).alias("rank"), i.alias("idx"), F.get(F.get(weighed, i)["scores"], F.lit(j)).alias("score"), *of(i)))
 
-def top_in_rows(docs: DataFrame, size: int = CHUNK, expanded: bool = False, **more) -> DataFrame:
+    return F.concat(*[task(j, t) for j, (t, _) in enumerate(plan)])
+
+
+def _picked(plan: list[tuple[str, list[str]]], k: int, of: Callable[[Column], list[Column]]) -> Column:
+    return bound(_weighed(F.col("chunks"), plan, 10, SECTION_POINTS, 40, (3, 2), 8), lambda w: _picks(w, plan, k, of))
+
+
+def selected_in_rows(docs: DataFrame, size: int = CHUNK, k: int = 5, plan: list[tuple[str, list[str]]] | None = None, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
+    """doc_id, chunks and picked, array<struct<task_id, rank, idx, score>>: the k best chunks of each task, as top_chunks has them."""
+    rows = chunks_in_rows(docs, size, id_col, normal)
+    return once(rows, "picked", _picked(plan or task_list(), k, lambda i: []))
+
+
+def top_in_rows(docs: DataFrame, size: int = CHUNK, expanded: bool = False, plan: list[tuple[str, list[str]]] | None = None, **more) -> DataFrame:
     """doc_id, task_id, rank, idx, score and the chunk's columns: what top_chunks gives for the reading plan, without a shuffle."""
-    picked = selected_in_rows(docs, size, 7 if expanded else 5, **more).select("doc_id", "chunks", F.inline("picked"))
-    c = F.get("chunks", F.col("idx"))
-    made = picked.select("doc_id", "task_id", "rank", "idx", "score", c.alias("c"))
-    return made.select("doc_id", "task_id", "rank", "idx", "score", F.format_string("S%dC%d", F.col("c.section_idx") + 1, F.col("c.part")).alias("chunk_id"), "c.section_idx", "c.heading", "c.part", "c.text")
+    rows, c = chunks_in_rows(docs, size, **more), lambda i, n: F.get("chunks", i)[n].alias(n)
+    made = rows.select("doc_id", F.inline(_picked(plan or task_list(), 7 if expanded else 5, lambda i: [c(i, n) for n in ("section_idx", "heading", "part", "text")])))
+    return made.select("doc_id", "task_id", "rank", "idx", "score", F.format_string("S%dC%d", F.col("section_idx") + 1, F.col("part")).alias("chunk_id"), "section_idx", "heading", "part", "text")
 
 
 def best_of_tasks(selected: DataFrame) -> DataFrame:
@@ -251,6 +297,25 @@ def within_budget(scores: DataFrame, max_chars: int = 6000, max_chunks: int = 4,
     return made.select("doc_id", "task_id", F.posexplode("kept").alias("pos", "e")).select("doc_id", "task_id", F.concat(F.lit("E"), F.col("pos") + 1).alias("evidence_id"), "e.chunk_id", "e.text")
 
 
+def budget_in_rows(docs: DataFrame, max_chars: int = 6000, max_chunks: int = 4, overhead: int = 40, least: int = 200, plan: list[tuple[str, list[str]]] | None = None, **more) -> DataFrame:
+    """doc_id, task_id, evidence_id, chunk_id, text: what within_budget gives of evidence_scored for the reading plan, without a shuffle."""
+    rows, plan = chunks_in_rows(docs, **more), plan or task_list()
+    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<struct<idx:int,text:string>>)").alias("kept"))
+
+    def step(a: Column, i: Column) -> Column:
+        left, c = F.lit(max_chars) - a["used"], F.get("chunks", i)
+        grown = lambda t: F.struct((a["used"] + F.length(t) + F.length(c["heading"]) + overhead).alias("used"), F.array_append(a["kept"], F.struct(i.alias("idx"), t.alias("text"))).alias("kept"))
+        return F.when(left < least, a).otherwise(bound(F.substring(c["text"], F.lit(1), left), grown))  # what is used only grows, so nothing follows
+
+    def of(weighed: Column) -> Column:
+        kept = lambda j: F.aggregate(F.slice(_best_first(weighed, j), 1, max_chunks), start, step)["kept"]
+        told = lambda t: lambda e, k: F.struct(F.lit(t).alias("task_id"), (k + 1).alias("place"), F.get("chunks", e["idx"])["section_idx"].alias("section_idx"), F.get("chunks", e["idx"])["part"].alias("part"), e["text"].alias("text"))
+        return F.concat(*[F.transform(kept(j), told(t)) for j, (t, _) in enumerate(plan)])
+
+    made = rows.select("doc_id", F.inline(bound(_weighed(F.col("chunks"), plan, 8, EVIDENCE_POINTS, 20, (2, 2), 0), of)))
+    return made.select("doc_id", "task_id", F.concat(F.lit("E"), F.col("place")).alias("evidence_id"), F.format_string("S%dC%d", F.col("section_idx") + 1, F.col("part")).alias("chunk_id"), "text")
+
+
 def units(text: Column, keywords: Column) -> Column:
     """Sentences from the best on, as (low, i, s): the first, those with keywords, and those that hold evidence count."""
     evidence = r"(?i)\d|=|\\begin|\\end|figure|table|dataset|baseline"
@@ -273,6 +338,32 @@ def packed(ranked: Column, budget: Column) -> Column:
     return strip(F.array_join(F.transform(F.array_sort(F.aggregate(ranked, start, step)["kept"]), lambda u: u["s"]), "\n"))
 
 
+def told_units(text: Column, words: Words) -> Column:
+    """array<struct<s, n, base, hits>>: a text's sentences with what their scores need, for all tasks of some words."""
+    marks = [r"[0-9=]", r"\\begin", r"\\end", "figure", "table", "dataset", "baseline"]
+
+    def told(s: Column, i: Column) -> Column:
+        evidence = lambda low: reduce(lambda a, b: a | b, [low.rlike(m) for m in marks])
+        base = lambda low: F.when(i == 0, 3).otherwise(0) + F.when(evidence(low), 2).otherwise(0)
+        return bound(F.lower(s), lambda low: F.struct(s.alias("s"), F.length(s).alias("n"), base(low).alias("base"), words.hits(low).alias("hits")))
+
+    return F.transform(sentences(text), told)
+
+
+def packed_told(told: Column, words: Words, keywords: list[str], budget: Column) -> Column:
+    """As packed(units(text, keywords), budget), from the text's told_units; score and place are sorted as one number."""
+    key = lambda u, i: (-(u["base"] + 4 * words.count(u["hits"], keywords))).cast("long") * (1 << 32) + i
+    start = F.expr("named_struct('used', 0, 'kept', cast(array() as array<int>))")
+
+    def step(a: Column, k: Column) -> Column:
+        i = k.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        used = a["used"] + F.get(told, i)["n"] + F.when(F.size(a["kept"]) > 0, 1).otherwise(0)
+        return bound(used, lambda n: F.when(n > budget, a).otherwise(F.struct(n.alias("used"), F.array_append(a["kept"], i).alias("kept"))))
+
+    kept = F.sort_array(F.aggregate(F.sort_array(F.transform(told, key)), start, step)["kept"])
+    return strip(F.array_join(F.transform(kept, lambda i: F.get(told, i)["s"]), "\n"))
+
+
 def compressed(text: Column, keywords: Column, budget: int) -> Column:
     """A text within a budget: itself if it fits, else its best sentences."""
     x = strip(text_of(text))
