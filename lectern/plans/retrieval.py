@@ -105,8 +105,7 @@ e AS (SELECT doc_id, task_id, 0::BIGINT AS place, '' AS chunk_id, '' AS text, 0:
  UNION ALL SELECT e.doc_id, e.task_id, p.place, p.chunk_id, left(p.text, 2000 - e.used), e.used + length(left(p.text, 2000 - e.used)) + length(p.heading) + 40 FROM e JOIN placed p ON p.doc_id = e.doc_id AND p.task_id = e.task_id AND p.place = e.place + 1 WHERE p.place <= 4 AND 2000 - e.used >= 200)
 SELECT doc_id, task_id, 'E' || place AS evidence_id, chunk_id, md5(text) AS text_md5 FROM e WHERE place > 0""")
 def evidence_budget(spark, d):
-    scores = retrieve.evidence_scored(retrieve.chunks(papers(spark, d), 1800, normal=False), retrieve.tasks(spark))
-    return retrieve.within_budget(scores, 2000).select("doc_id", "task_id", "evidence_id", "chunk_id", md5(F.col("text")).alias("text_md5"))
+    return retrieve.budget_in_rows(papers(spark, d), 2000, size=1800, normal=False).select("doc_id", "task_id", "evidence_id", "chunk_id", md5(F.col("text")).alias("text_md5"))
 
 
 @query(f"""WITH RECURSIVE {PAPERS}, x AS (SELECT doc_id, {strip_sql("text")} AS text FROM papers), s AS (SELECT doc_id, text, {sentences_sql("text")} AS s FROM x),
