@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bound
 from ..functions.spans import math_keys
 from ..functions.text import bounded, escape_html, numbers, strict_key, text_of
-from .retrieve import packed, units
+from .retrieve import Words, packed, packed_told, told_units, units
 from .sets import few
 
 # Words that support nothing.
@@ -100,21 +102,25 @@ def recalled(memory: DataFrame, task_table: DataFrame, limit: int = 5) -> DataFr
 # ------------------------------------------------------------------ fair shares
 
 
-def _source(idx: Column, c: Column, keywords: Column) -> Column:
-    """A chunk (section_idx, heading, part, text) as an entry of a context: its id, its label's length, and its units from the best on."""
+#: The least share of a context that a chunk gets.
+LEAST_SHARE = 180
+
+
+def _source(idx: Column, c: Column, told: Column) -> Column:
+    """A chunk (section_idx, heading, part, text) as an entry of a context: its id, its label's length, and what is told of its sentences."""
     name = F.format_string("S%dC%d", c["section_idx"] + 1, c["part"])
     label = F.length(F.concat(F.lit("[SOURCE "), name, F.lit(" | "), c["heading"], F.lit(" | part "), c["part"].cast("string"), F.lit("]")))
-    return F.struct(idx.alias("idx"), name.alias("chunk_id"), label.alias("label"), F.trim(c["text"]).alias("text"), units(c["text"], keywords).alias("units"))
+    return F.struct(idx.alias("idx"), name.alias("chunk_id"), label.alias("label"), F.trim(c["text"]).alias("text"), told.alias("units"))
 
 
-def _shares(entries: Column, task: Column, max_chars: int) -> Column:
-    """array<struct<chunk_id, text, original_chars>>: what of some entries, in order, goes into a context."""
+def _shares(entries: Column, task: Column, max_chars: int, pack: Callable[[Column, Column], Column] = packed) -> Column:
+    """array<struct<chunk_id, text, original_chars>>: what of some entries, in order, goes into a context; pack puts an entry's units into a share."""
     head = F.length(task) * 2 + F.lit(len("[GSSC CONTEXT | task= | goal=]") + 2)
     start = F.struct((F.lit(max_chars) - head).cast("int").alias("left"), F.lit(0).alias("k"), F.expr("cast(array() as array<struct<chunk_id:string,text:string,original_chars:int>>)").alias("kept"))
 
     def step(a: Column, c: Column) -> Column:
-        share = F.greatest(F.lit(180), F.floor((a["left"] - c["label"] - 2) / (F.size(entries) - a["k"])).cast("int"))
-        text = F.when(a["left"] < 220, F.lit("")).when(F.length(c["text"]) <= share, c["text"]).otherwise(packed(c["units"], share))
+        share = F.greatest(F.lit(LEAST_SHARE), F.floor((a["left"] - c["label"] - 2) / (F.size(entries) - a["k"])).cast("int"))
+        text = F.when(a["left"] < 220, F.lit("")).when(F.length(c["text"]) <= share, c["text"]).otherwise(pack(c["units"], share))
 
         def put(t: Column) -> Column:
             size = c["label"] + 1 + F.length(t)
@@ -145,14 +151,18 @@ def fair_shares(selected: DataFrame, task_table: DataFrame, max_chars: int = 500
 def fair_shares_in_rows(selected: DataFrame, plan: list[tuple[str, list[str]]], max_chars: int = 5000) -> DataFrame:
     """As fair_shares, from the rows of retrieve.selected_in_rows and the tasks they were selected for; nothing is shuffled."""
 
-    def of(task: str, keywords: list[str]) -> Column:
-        words = F.array(*[F.lit(k) for k in keywords])
-        places = F.array_sort(F.transform(F.filter("picked", lambda p: p["task_id"] == task), lambda p: p["idx"]))
-        entries = F.transform(places, lambda i: bound(F.get("chunks", i), lambda c: _source(i, c, words)))
-        kept = bound(entries, lambda e: _shares(e, F.lit(task), max_chars))
+    words = Words(plan)
+
+    def of(task: str, keywords: list[str], told: Column) -> Column:
+        places = F.sort_array(F.transform(F.filter("picked", lambda p: p["task_id"] == task), lambda p: p["idx"]))
+        entries = F.transform(places, lambda i: bound(F.get("chunks", i), lambda c: _source(i, c, F.get(told, i))))
+        kept = bound(entries, lambda e: _shares(e, F.lit(task), max_chars, lambda units, share: packed_told(units, words, keywords, share)))
         return F.transform(kept, lambda e, k: F.struct(F.lit(task).alias("task_id"), (k + 1).alias("pos"), e["chunk_id"].alias("chunk_id"), e["text"].alias("text"), e["original_chars"].alias("original_chars")))
 
-    return selected.select("doc_id", F.inline(F.concat(*[of(t, ks) for t, ks in plan])))
+    # the sentences of a chunk are found once, whatever number of tasks has it, and only if it can be longer than a share
+    long = lambda x: F.length(F.trim(x)) > LEAST_SHARE
+    told = bound(F.array_distinct(F.transform("picked", lambda p: p["idx"])), lambda used: F.transform("chunks", lambda c, i: F.when(F.array_contains(used, i) & long(c["text"]), told_units(c["text"], words))))
+    return selected.select("doc_id", F.inline(bound(told, lambda x: F.concat(*[of(t, ks, x) for t, ks in plan]))))
 
 
 # ------------------------------------------------------------------ export

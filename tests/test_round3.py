@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import ground, monitor
+from lectern.functions.arrays import bound
+from lectern.operators import ground, monitor, retrieve, revise
+from lectern.plans import base
 
 
 def test_numbers_after_a_leading_code_are_no_codes(spark):
@@ -57,3 +59,51 @@ def test_abbreviations_by_their_marks(spark):
     got = spark.createDataFrame([(said,)], "t string").select(text.export_sentences(F.col("t")).alias("e"), text.sentences(F.col("t")).alias("s")).first()
     assert got.e[0] == "E.g. this vs. that, we."
     assert got.s and text.export_sentences(F.col("t"))._jc.toString().count("regexp_extract_all") == 1  # before: twice
+
+
+_SAID = "# A method\n\nThe metrics of methods: it passes pass@ and a lossless gaining. Results of the dataset 4.5 = x. e.g. no. İt is ﬁgure.\n" * 9 + "\n## References\nthe model \U0001f600 of proposed evidence. " * 40
+
+
+def test_words_of_all_tasks_in_one_pass(spark):
+    plan = [("a", ["metric", "metrics", "pass@", "a b", "gain", "again"]), ("b", ["method", "tho", "metrics", "x.y", "novelty", "novel"])] + [(f"t{i}", [f"word{i}", "metric"]) for i in range(80)]
+    said = ["", "metrics again a b", "amethodpass@", "novelt x.y xzy", "word7 word79 metri", "gain\nagain novelty"]
+    words = retrieve.Words(plan)
+    got = spark.createDataFrame([(s,) for s in said], "s string").select("s", bound(words.hits(F.col("s")), lambda h: F.array(*[words.count(h, ks) for _, ks in plan])).alias("n"))
+    assert {r.s: r.n for r in got.collect()} == {s: [sum(k in s for k in ks) for _, ks in plan] for s in said}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_pieces_skip_any_number_of_blanks(spark):
+    text = "x" * 310 + " " * 600 + "y" * 20 + "\n\n" + "\U0001f600" * 420
+    got = spark.createDataFrame([(text,)], "t string").select(retrieve.size_cuts(F.col("t"), 400).alias("c")).first().c
+    assert got == ["x" * 310, "y" * 20 + "\n\n" + "\U0001f600" * 378, "\U0001f600" * 42]  # before: the blanks after the first 400 were cut again
+
+
+def test_evidence_in_rows_is_that_by_windows(spark):
+    docs = spark.createDataFrame([(1, _SAID), (2, None), (3, "a short one."), (4, _SAID[::-1])], "doc_id long, text string")
+    by_window = retrieve.within_budget(retrieve.evidence_scored(retrieve.chunks(docs, 700, normal=False), retrieve.tasks(spark)), 1500)
+    got = retrieve.budget_in_rows(docs, 1500, size=700, normal=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_window.select(*got.columns).collect())) and got.count() > 20
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_of_fair_shares_are_found_once_for_all_tasks(spark):
+    docs = spark.createDataFrame([(1, _SAID), (2, None), (3, _SAID[500:] * 2)], "doc_id long, text string")
+    got = revise.fair_shares_in_rows(retrieve.selected_in_rows(docs, 700), retrieve.task_list(), 1500)
+    by_window = revise.fair_shares(retrieve.top_chunks(retrieve.scored(retrieve.chunks(docs, 700), retrieve.tasks(spark))), retrieve.tasks(spark), 1500)
+    cols = ["doc_id", "task_id", "pos", "chunk_id", "text", "original_chars"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, by_window.select(*cols).collect())) and got.count()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[^.!?。！？]+[.!?。！？]?") == 1  # before: once a task
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    spark.range(20_000).selectExpr("id AS doc_id", "repeat(sha2(string(id), 256), 20) AS text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    most = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "64k")
+    try:
+        read = spark.read.parquet(str(tmp_path / "d"))
+        parts = lambda df: df.groupBy(F.spark_partition_id()).count().count()
+        assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and parts(read) < 4 and parts(base.spread(read)) >= 8
+    finally:
+        spark.conf.set(most, before)
