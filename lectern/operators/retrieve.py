@@ -170,13 +170,15 @@ def top_chunks(scores: DataFrame, k: int | None = None, expanded: bool = False)
 _BITS = 62
 
 
-def _trie(words: list[str]) -> str:
+def trie(words: list[str]) -> str:
     """A pattern of the longest of some words that begins at a place; words that begin alike share what they begin with."""
     if not any(words):
         return ""
     heads = list(dict.fromkeys(w[0] for w in words if w))
-    one = lambda c: re.sub(r"([^\w\s])", r"\\\1", c) + _trie([w[1:] for w in words if w and w[0] == c])
-    inner = "|".join(map(one, heads))
+    one = lambda c: re.sub(r"([^\w\s])", r"\\\1", c) + trie([w[1:] for w in words if w and w[0] == c])
+    # a class of signs is asked before its signs are, one by one
+    few = [heads[i : i + 4] for i in range(0, len(heads), 4)] if len(heads) > 6 else [heads]
+    inner = "|".join(f"(?=[{''.join(map(re.escape, g))}])(?:{'|'.join(map(one, g))})" if len(few) > 1 else "|".join(map(one, g)) for g in few)
     return f"(?:{inner})?" if "" in words else f"(?:{inner})" if len(heads) > 1 else inner
 
 
@@ -195,7 +197,7 @@ class Words:
             told = F.array(*[F.lit(sum(1 << i for i, k in enumerate(group) if w.startswith(k))).cast("long") for w in self.words])
             return F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.get(told, i)))
 
-        found = F.array_distinct(F.regexp_extract_all(lower, F.lit(f"(?=({_trie(self.words)}))"), F.lit(1)))
+        found = F.array_distinct(F.regexp_extract_all(lower, F.lit(f"(?=({trie(self.words)}))"), F.lit(1)))
         places = F.transform(found, lambda w: F.array_position(every, w).cast("int") - 1)
         return bound(places, lambda p: F.struct(*[bits(p, at).alias(f"b{at // _BITS}") for at in range(0, len(self.words), _BITS)]))
 

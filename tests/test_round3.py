@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.functions.arrays import bound
-from lectern.operators import ground, monitor, retrieve, revise
+from lectern.operators import analysis, ground, monitor, retrieve, revise
 from lectern.plans import base
 
 
@@ -107,3 +107,13 @@ def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
         assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and parts(read) < 4 and parts(base.spread(read)) >= 8
     finally:
         spark.conf.set(most, before)
+
+
+def test_answers_leave_a_papers_row_as_chosen_sentences_only(spark):
+    said = "The objective is a novel research problem of value. THE objective is a novel research problem, of value! Identify the gap and the motivation of it here. The gap and its motivation matter to us all. A plain line that says nothing of all the rest."
+    got = analysis.extractive_answers(spark.createDataFrame([(1, said), (2, None), (3, "none.")], "doc_id long, text string"))
+    best = {r.task_id: r.evidence for r in got.collect()}
+    # two words of the goal and a sign; of two sentences of one key the longer
+    assert best["problem"][0] == "THE objective is a novel research problem, of value!" and sum("bjective is a" in s for s in best["problem"]) == 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # before: all sentences were copied into a row for each task
