@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import first_by_key
 from ..functions.predicates import round_budget, round_chunks
-from ..functions.text import collapse, text_of
+from ..functions.text import collapse, stretches, text_of
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def answered(tasks: DataFrame, model: Callable[[list[str]], list[str]] | None =
     The model is any function from prompts to answers that can be sent to the executors; nothing here reaches a network.
     """
     if model is None:
-        return tasks.withColumn("answer", F.array_join(F.slice(F.regexp_extract_all(collapse(F.col("context")), F.lit("[^.!?。！？]+[.!?。！？]?"), F.lit(0)), 1, 2), ""))
+        return tasks.withColumn("answer", F.array_join(F.slice(stretches(collapse(F.col("context"))), 1, 2), ""))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
