@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from lectern.functions import evidence, text
+from lectern.operators import analysis
 
 _SAID = [
     "", ".", "a", "a.b..c!\n? d。e！？f", "... The end", "x" * 40_000 + ".\n" + "y" * 70_000, "\U0001f600. İ? no。", " \n ", "No stop\nat all",
@@ -26,3 +27,31 @@ def test_only_sentences_that_are_asked_for_get_tokens(spark):
     got = row.select("all", "some", best("all").alias("of_all"), best("some").alias("of_some")).first()
     assert [s.quote[:8] for s in got.all] == ["The Spar", "Nothing ", "Accuracy"] and [s.quote[:8] for s in got.some] == ["The Spar", "Accuracy"]
     assert got.of_all == got.of_some and len(got.of_some[0]) == 2
+
+
+_LINES = "$$\na\n\nb = 1\n$$ \nx $p = q$ y $r = s$\n\\begin{align}\nc = d\n$e$\n\\end{align} z\n\\begin{equation}f = g\\end{equation}\nno mark\n$$\nnever = closed\n\\begin{align}"
+
+
+def test_formulas_of_marked_lines_only(spark):
+    got = spark.createDataFrame([(_LINES,), ("\n".join(f"$x_{i} = {i}$" for i in range(12)),), (None,)], "t string").select(analysis._scanned(F.col("t")).alias("f"), analysis.text_formulas(F.col("t")).alias("t"))
+    rows = got.collect()
+    assert rows[0].f == ["a\n\nb = 1", "p = q", "\\begin{align}\nc = d\n$e$\n\\end{align} z", "\\begin{equation}f = g\\end{equation}"]
+    assert rows[1].f == [f"x_{i} = {i}" for i in range(8)] and rows[2].t == []
+
+
+def test_figures_of_lines_that_can_state_one(spark):
+    said = ["TABLE 3: [A b] Source: x", "![](y.png)", "FIG. curve of it", "如图: 方法流程图示", "Table 4 is none", "a [b] c", "figures"]
+    got = spark.createDataFrame([("\n".join(said),)], "t string").select(analysis.text_figures(F.col("t")).alias("f")).first().f
+    assert [tuple(f) for f in got] == [("A b", "x"), ("Figure 2", "y.png"), ("curve of it", analysis.PLACEHOLDER), ("方法流程图示", analysis.PLACEHOLDER)]
+
+
+def test_local_analysis_looks_at_a_sentence_once_for_all_fields(spark):
+    words = {"summary": ["abstract"], "problem": ["Problem", "limited"], "motivation": [], "method": ["model"], "results": ["accuracy"], "contributions": ["novel"]}
+    said = "An ABSTRACT model. Limited by 3.5 problems! The model\nnovel accuracy? Model three.\nMore accuracy"
+    made = analysis.local_analysis(spark.createDataFrame([(said,), (None,)], "text string"), F.lit("t"), words)
+    a, b = made.collect()
+    assert (a.summary, a.problem, a.method) == ("An ABSTRACT model.", "Limited by 3.5 problems!", "An ABSTRACT model. The model")
+    assert a.results == a.experiments == "novel accuracy? More accuracy" and a.contributions == "novel accuracy?" and a.motivation == analysis.DEFAULTS["motivation"]
+    assert b.summary == "" and b.method == analysis.DEFAULTS["method"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 3 and plan.count("(?<=[。！？.!?])") == 1  # before: in lower case for each word of each field; now once for all fields, and twice for figures
