@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import first_by_key
+from ..functions.arrays import bound, first_by_key
 from ..functions.predicates import round_budget, round_chunks
 from ..functions.text import collapse, stretches, text_of
+from . import retrieve
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,35 @@ def grounding_round(scores: DataFrame, quotes: DataFrame, options: Options = Opt
     return quotes.select("doc_id", "task_id", "quote_id").join(first, ["doc_id", "task_id", "quote_id"], "left")
 
 
+def grounding_in_rows(docs: DataFrame, plan: list[tuple[str, list[str]]], options: Options = Options(), overhead: int = 40, least: int = 200, **more) -> DataFrame:
+    """doc_id, task_id, quote_id, round: what grounding_round gives of evidence_scored for the tasks of a plan, of docs (doc_id, text, quotes array<struct<quote_id, quote>>), without a shuffle.
+
+    Every task is asked for all quotes of its document. Only chunks that some round can see are gone through.
+    """
+    most = min(18, options.evidence_chunks + 3 * (options.rounds - 1))
+    rows = retrieve.evidence_in_rows(docs, most, plan, keep=("quotes",), **more)
+    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<struct<before:int,text:string>>)").alias("seen"))
+
+    def step(a: Column, i: Column) -> Column:
+        grown = lambda c: F.struct((a["used"] + F.length(c["text"]) + F.length(c["heading"]) + overhead).alias("used"), F.array_append(a["seen"], F.struct(a["used"].alias("before"), c["text"].alias("text"))).alias("seen"))
+        return bound(F.get("chunks", i), grown)
+
+    def first_round(c: Column, place: Column, quote: Column) -> Column:
+        def told(at: Column) -> Column:
+            left = lambda r: round_budget(F.lit(options.evidence_chars), F.lit(r)) - c["before"]
+            holds = lambda r: (place < round_chunks(F.lit(options.evidence_chunks), F.lit(r))) & (left(r) >= least) & (at + F.length(quote) - 1 <= left(r))
+            return F.when(at > 0, F.coalesce(*[F.when(holds(r), F.lit(r)) for r in range(1, options.rounds + 1)]))
+
+        return bound(F.instr(c["text"], quote), told)
+
+    def of(task: str, j: int) -> Column:
+        earliest = lambda seen, q: F.array_min(F.transform(seen, lambda c, place: first_round(c, place, q["quote"])))
+        told = lambda seen: F.transform("quotes", lambda q: F.struct(F.lit(task).alias("task_id"), q["quote_id"].alias("quote_id"), earliest(seen, q).alias("round")))
+        return bound(F.aggregate(F.get("best", F.lit(j)), start, step)["seen"], told)
+
+    return rows.select("doc_id", F.inline(F.concat(*[of(t, j) for j, (t, _) in enumerate(plan)])))
+
+
 def prompts(tasks: DataFrame) -> DataFrame:
     """Tasks (…, label, goal, fields, context) with the text that a model is asked."""
     asked = F.format_string("Task: %s\nGoal: %s\nAnswer with JSON that has the fields %s and an array `evidence` of exact quotes. Use only the evidence below; leave a field empty that it doesn't support.\n\n%s", text_of(F.col("label")), text_of(F.col("goal")), F.array_join("fields", ", "), text_of(F.col("context")))

@@ -113,11 +113,11 @@ def size_cuts(text: Column, size: int = CHUNK) -> Column:
     return F.filter(bound(strip(text), whole), lambda p: p != "")
 
 
-def chunks_in_rows(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
-    """doc_id and chunks, array<struct<section_idx, heading, part, text>>: the pieces of all sections, in order."""
+def chunks_in_rows(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns to keep, and chunks, array<struct<section_idx, heading, part, text>>: the pieces of all sections, in order."""
     text = paper_text(F.col("text")) if normal else text_of(F.col("text"))
     of = lambda s, i: F.transform(size_cuts(s["text"], size), lambda t, k: F.struct(i.alias("section_idx"), s["heading"].alias("heading"), (k + 1).alias("part"), t.alias("text")))
-    return once(docs.select(F.col(id_col).alias("doc_id"), "text"), "chunks", F.flatten(F.transform(sections(text), of))).select("doc_id", "chunks")
+    return once(docs.select(F.col(id_col).alias("doc_id"), "text", *keep), "chunks", F.flatten(F.transform(sections(text), of))).select("doc_id", *keep, "chunks")
 
 
 def chunks(docs: DataFrame, size: int = CHUNK, id_col: str = "doc_id", normal: bool = True) -> DataFrame:
@@ -318,6 +318,13 @@ def budget_in_rows(docs: DataFrame, max_chars: int = 6000, max_chunks: int = 4,
     return made.select("doc_id", "task_id", F.concat(F.lit("E"), F.col("place")).alias("evidence_id"), F.format_string("S%dC%d", F.col("section_idx") + 1, F.col("part")).alias("chunk_id"), "text")
 
 
+def evidence_in_rows(docs: DataFrame, n: int, plan: list[tuple[str, list[str]]] | None = None, **more) -> DataFrame:
+    """doc_id, chunks and best, array<array<int>>: for each task of the plan the places of its n best chunks by evidence_scored, the best first."""
+    plan = plan or task_list()
+    best = lambda w: F.array(*[F.slice(_best_first(w, j), 1, n) for j in range(len(plan))])
+    return once(chunks_in_rows(docs, **more), "best", bound(_weighed(F.col("chunks"), plan, 8, EVIDENCE_POINTS, 20, (2, 2), 0), best))
+
+
 def units(text: Column, keywords: Column) -> Column:
     """Sentences from the best on, as (low, i, s): the first, those with keywords, and those that hold evidence count."""
     evidence = r"(?i)\d|=|\\begin|\\end|figure|table|dataset|baseline"

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from lectern.functions import evidence, text
-from lectern.operators import analysis, assets
+from lectern.operators import agent, analysis, assets, retrieve
 
 _SAID = [
     "", ".", "a", "a.b..c!\n? d。e！？f", "... The end", "x" * 40_000 + ".\n" + "y" * 70_000, "\U0001f600. İ? no。", " \n ", "No stop\nat all",
@@ -77,3 +77,25 @@ def test_ranked_of_tables_keeps_families_places_and_terms(spark):
     # 4 for being named by the recommendation, 4 for a word, 5 for a table, 12 for its place, less 18 for an ablation beside the main one and 0.01 for its place
     assert (late.recommendation, late.importance, late.ablation, late.placement, late.score) == (4.0, 4.0, -18.0, "theory", 6.99)
     assert got[1, "table", 1].main_result == 24.0 and got[1, "table", 1].context == 4.0 and got[2, "figure", None].provenance == 5.0
+
+
+def test_rounds_within_a_row_equal_those_of_windows(spark):
+    said = "# Method\n" + "The model trains. " * 150 + "early words\n\n" + "Results of it. " * 120 + "\n# Results\n" + "accuracy score " * 140 + "late words\n# Other\n" + "nothing. " * 700 + "last words"
+    asked = ["early words", "late words", "last words", "absent", "The model", None, "accuracy"]
+    docs = spark.createDataFrame([(1, said), (2, None), (3, "early words"), (4, said[2000:] * 3)], "doc_id long, text string")
+    quotes = F.array(*[F.struct(F.lit(i).alias("quote_id"), F.lit(q).cast("string").alias("quote")) for i, q in enumerate(asked)])
+    plan = [(t, ws) for t, ws in retrieve.task_list() if t in ("method", "results", "overview")]
+    options = agent.Options(evidence_chars=3000, evidence_chunks=3, rounds=4)
+    got = agent.grounding_in_rows(docs.withColumn("quotes", quotes), plan, options, size=700, normal=False)
+    scores = retrieve.evidence_scored(retrieve.chunks(docs, 700, normal=False), retrieve.tasks(spark).filter("task_id in ('method', 'results', 'overview')"))
+    each = docs.select("doc_id", F.explode(F.array(*[F.lit(t) for t, _ in plan])).alias("task_id")).select("doc_id", "task_id", F.inline(quotes))
+    key = lambda df: sorted(((r.doc_id, r.task_id, r.quote_id, r["round"]) for r in df.collect()), key=str)
+    assert key(got) == key(agent.grounding_round(scores, each, options)) and {r["round"] for r in got.collect()} >= {1, 2, None}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_query_of_rounds_neither_joins_nor_sorts(spark):
+    from lectern.plans import catalogue
+
+    plan = catalogue.queries()["grounding_rounds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("FileScan") == 1  # before: two windows and joins, and texts shuffled twice
