@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import search
-from lectern.operators import ground
+from lectern.operators import ground, identity
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,20 @@ def test_quotes_in_parts_of_a_long_text(spark):
     asked = [f"{text[i : i + 20]}" for i in at] + [text[at[1] : at[1] + 9_000], text[at[1] : at[1] + 9_000] + "9"]
     got = spark.createDataFrame([("x",), (text,)], "t string").select(search.quotes_held(F.col("t"), sorted(set(asked))).alias("h")).collect()
     assert [sorted(r.h) for r in got] == [[], sorted({q for q in asked if q in text})]
+
+
+def test_identity_hashes_whole_texts(spark, monkeypatch):
+    from lectern.functions import text
+
+    def plain(x):
+        h = 2166136261
+        for c in x:
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        return f"{h:08x}:{len(x)}"
+
+    monkeypatch.setattr(text, "_LISTED", 7_000)
+    said = ["word " * 12_000 + end for end in ("one", "two")] + ["é" * n for n in (49_999, 50_000, 50_001, 140_000)] + ["short", ""]
+    got = identity.identify(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [r.content_hash for r in got] == [plain(x) for x in said] and got[0].key != got[1].key
+    units = [np.frombuffer(x.encode("utf-16-be"), ">u2") for x in said]
+    assert [f"{h:08x}:{len(x)}" for h, x in zip(text._fnv1a(units).tolist(), said)] == [plain(x) for x in said]  # here the last parts are lists of `_LISTED`
